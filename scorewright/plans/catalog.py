@@ -76,3 +76,141 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("flagship_advantages")(flagship)
+
+
+# ----------------------------------------------------------------- corpus
+from ..operators import corpus, search  # noqa: E402
+
+
+def _kept(spark, sf_dir):
+    return corpus.dedup_emails(fx.email_source(spark, sf_dir))
+
+
+@register("email_filters")
+def q_email_filters(spark, sf_dir):
+    """Rows that pass the cleaning, body-length and recipient-count steps."""
+    staged = corpus.with_outcome(corpus.clean_addresses(fx.email_source(spark, sf_dir)))
+    return staged.filter(F.col("stage_outcome") == "candidate").select(
+        "message_id", corpus.recipient_count().alias("n_recipients"), F.length("body").alias("body_chars"))
+
+
+@register("email_dedup")
+def q_email_dedup(spark, sf_dir):
+    return _kept(spark, sf_dir).select("message_id", "ordinal", "dropped_copies")
+
+
+@register("email_outcomes")
+def q_email_outcomes(spark, sf_dir):
+    return corpus.build_outcomes(fx.email_source(spark, sf_dir))
+
+
+@register("email_build")
+def q_email_build(spark, sf_dir):
+    return corpus.emails_table(_kept(spark, sf_dir))
+
+
+@register("recipients_build")
+def q_recipients_build(spark, sf_dir):
+    return corpus.recipients_table(_kept(spark, sf_dir)).select(
+        "email_id", "recipient_address", "recipient_type", F.col("position").cast("int").alias("position"))
+
+
+@register("unique_check")
+def q_unique_check(spark, sf_dir):
+    return corpus.unique_violations(corpus.emails_table(_kept(spark, sf_dir)))
+
+
+@register("corpus_counts")
+def q_corpus_counts(spark, sf_dir):
+    kept = _kept(spark, sf_dir)
+    e = corpus.emails_table(kept).agg(F.count(F.lit(1)).alias("n")).select(F.lit("emails").alias("table_name"), "n")
+    r = corpus.recipients_table(kept).agg(F.count(F.lit(1)).alias("n")).select(F.lit("recipients").alias("table_name"), "n")
+    return e.unionByName(r)
+
+
+def _tables(spark, sf_dir):
+    kept = _kept(spark, sf_dir)
+    return corpus.emails_table(kept), corpus.recipients_table(kept)
+
+
+def _lookup_ids(spark, sf_dir):
+    return fx.scenarios(spark, sf_dir).select(F.explode("message_ids").alias("message_id"))
+
+
+@register("read_email")
+def q_read_email(spark, sf_dir):
+    emails, rec = _tables(spark, sf_dir)
+    out = corpus.read_emails(emails, rec, _lookup_ids(spark, sf_dir))
+    return out.select("message_id", "date", "subject", "from_address",
+                      *[F.array_join(f"{k}_addresses", ",").alias(f"{k}_addresses") for k in ("to", "cc", "bcc")],
+                      F.length("body").alias("body_chars"), "file_name")
+
+
+@register("index_postings")
+def q_index_postings(spark, sf_dir):
+    emails, _ = _tables(spark, sf_dir)
+    return search.postings(emails).select("term", "message_id", "field", F.col("pos").cast("int").alias("pos"))
+
+
+def search_requests(spark, sf_dir):
+    s = fx.scenarios(spark, sf_dir)
+    i = F.col("id")
+    return s.select(
+        i.alias("request_id"),
+        F.col("inbox_address").alias("inbox"),
+        "keywords",
+        F.when(i % 5 == 0, F.lit("en@ex.com")).alias("from_addr"),
+        F.when(i % 6 == 1, F.lit("u3@ex.com")).alias("to_addr"),
+        F.when(i % 3 == 0, F.lit("2001-01-10")).alias("sent_after"),
+        F.col("query_date").alias("sent_before"),
+        (i % 10 + 1).cast("int").alias("max_results"),
+    )
+
+
+@register("corpus_search")
+def q_corpus_search(spark, sf_dir):
+    emails, rec = _tables(spark, sf_dir)
+    res = search.search(emails, rec, search_requests(spark, sf_dir))
+    return res.select("request_id", F.col("rank").cast("int").alias("rank"), "message_id", "date")
+
+
+@register("scenario_search")
+def q_scenario_search(spark, sf_dir):
+    emails, rec = _tables(spark, sf_dir)
+    res = search.search(emails, rec, search.scenario_requests(fx.scenarios(spark, sf_dir)))
+    return res.select("request_id", F.col("rank").cast("int").alias("rank"), "message_id", "date")
+
+
+@register("search_snippets")
+def q_search_snippets(spark, sf_dir):
+    emails, rec = _tables(spark, sf_dir)
+    res, hits = search.search_with_hits(emails, rec, search.scenario_requests(fx.scenarios(spark, sf_dir)))
+    return search.snippets(res, hits, emails).select(
+        "request_id", F.col("rank").cast("int").alias("rank"), "message_id", "field", "snippet")
+
+
+@register("inbox_semi_join")
+def q_inbox_semi_join(spark, sf_dir):
+    """Messages visible in each scenario's inbox (sender or recipient)."""
+    emails, rec = _tables(spark, sf_dir)
+    p = search.parties(emails, rec)
+    inboxes = fx.scenarios(spark, sf_dir).select(F.col("id").alias("request_id"), F.col("inbox_address").alias("inbox"))
+    j = inboxes.join(p, inboxes.inbox == p.party)
+    return j.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+@register("search_filters")
+def q_search_filters(spark, sf_dir):
+    """Sender / recipient / date filters of each request, without keywords."""
+    emails, rec = _tables(spark, sf_dir)
+    req = search_requests(spark, sf_dir)
+    e = emails.select("message_id", "from_address", "date")
+    cand = e.join(search.broadcast_if_small(req.select("request_id", "from_addr", "sent_after", "sent_before", "to_addr")),
+                  F.col("from_addr").isNotNull() & (F.col("from_address") == F.col("from_addr")))
+    cand = cand.filter(search._opt("sent_after", F.col("date") >= F.concat(F.col("sent_after"), F.lit(" 00:00:00")))
+                       & search._opt("sent_before", F.col("date") < F.concat(F.col("sent_before"), F.lit(" 00:00:00"))))
+    r = rec.select("email_id", "recipient_address")
+    with_to = cand.filter(F.col("to_addr").isNotNull())
+    with_to = with_to.join(r, (with_to.message_id == r.email_id) & (with_to.to_addr == r.recipient_address), "left_semi")
+    cand = cand.filter(F.col("to_addr").isNull()).unionByName(with_to)
+    return cand.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_messages"))

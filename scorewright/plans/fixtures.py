@@ -59,3 +59,57 @@ def math_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         completion.alias("completion"),
         F.col("o_orderdate").alias("event_time"),
     )
+
+
+def _addr(prefix: str, n: Column) -> Column:
+    return F.concat(F.lit(prefix), _s(n), F.lit("@ex.com"))
+
+
+def email_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed email records built from ``documents`` (texts repeat, so dedup
+    has work; 31 bcc recipients when ``doc_id % 97 = 0``; empty and null
+    addresses in some cc arrays)."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    i = F.col("doc_id")
+    cc = (F.when(i % 3 == 0, F.array(_addr("u", i % 5), F.lit("")))
+          .when(i % 3 == 1, F.array(F.lit(None).cast("string")))
+          .otherwise(F.array().cast("array<string>")))
+    bcc = (F.when(i % 97 == 0, F.transform(F.sequence(F.lit(1), F.lit(31)), lambda n: _addr("b", n)))
+           .when(i % 4 == 0, F.array(_addr("u", i % 13)))
+           .otherwise(F.array().cast("array<string>")))
+    return d.select(
+        F.concat(F.lit("m"), _s(i)).alias("message_id"),
+        F.substring_index("text", "\n", 1).alias("subject"),
+        F.concat("lang", F.lit("@ex.com")).alias("from"),
+        F.array(_addr("u", i % 7), _addr("u", (i + 3) % 11)).alias("to"),
+        cc.alias("cc"),
+        bcc.alias("bcc"),
+        F.timestamp_add("HOUR", i, F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).alias("date"),
+        F.col("text").alias("body"),
+        F.concat("source", F.lit("/"), _s(i)).alias("file_name"),
+        i.alias("ordinal"),
+    )
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation scenarios from ``benchmark`` passages: the keywords are a
+    word and a two-word phrase of the passage, so they occur in the documents
+    that quote it."""
+    from ..functions.text import fts_tokens
+
+    b = read_table(spark, sf_dir, "benchmark", ["item_id", "text"]).withColumn("_tok", fts_tokens("text"))
+    i = F.col("item_id")
+    tok = F.col("_tok")
+    ids = F.array(*[F.concat(F.lit("m"), _s((i * m) % 200)) for m in (13, 17, 19)])
+    return b.select(
+        i.alias("id"),
+        F.concat(F.lit("Which message mentions "), F.try_element_at(tok, F.lit(2)), F.lit("?")).alias("question"),
+        F.substring("text", 1, 40).alias("answer"),
+        F.slice(ids, 1, (i % 3 + 1).cast("int")).alias("message_ids"),
+        ((i % 10) / 10.0).cast("float").alias("how_realistic"),
+        _addr("u", i % 7).alias("inbox_address"),
+        F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), ((i * 37) % 420).cast("int")), "yyyy-MM-dd").alias("query_date"),
+        F.when(i % 4 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
+        F.array(F.try_element_at(tok, F.lit(2)),
+                F.concat_ws(" ", F.try_element_at(tok, F.lit(4)), F.try_element_at(tok, F.lit(5)))).alias("keywords"),
+    )

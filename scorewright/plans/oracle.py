@@ -143,3 +143,193 @@ SELECT prompt_id, gen_idx, format_exact, format_approx, answer_reward, number_re
         ELSE (reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-6) END, 6) AS advantage,
   CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY reward DESC, gen_idx) AS INTEGER) AS rank
 FROM totals WINDOW w AS (PARTITION BY prompt_id)"""
+
+
+# ------------------------------------------------------------------ corpus
+TOK = "'[\\p{L}\\p{N}]+'"
+
+
+def _toks(x: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower({x})), {TOK})"
+
+
+EMAIL_SOURCE = """
+email_source AS (
+  SELECT 'm' || CAST(doc_id AS VARCHAR) AS message_id,
+         split_part(text, chr(10), 1) AS subject,
+         lang || '@ex.com' AS "from",
+         ['u' || CAST(doc_id % 7 AS VARCHAR) || '@ex.com', 'u' || CAST((doc_id + 3) % 11 AS VARCHAR) || '@ex.com'] AS "to",
+         CASE doc_id % 3 WHEN 0 THEN ['u' || CAST(doc_id % 5 AS VARCHAR) || '@ex.com', '']
+                         WHEN 1 THEN [NULL::VARCHAR] ELSE []::VARCHAR[] END AS cc,
+         CASE WHEN doc_id % 97 = 0 THEN list_transform(range(1, 32), lambda n: 'b' || CAST(n AS VARCHAR) || '@ex.com')
+              WHEN doc_id % 4 = 0 THEN ['u' || CAST(doc_id % 13 AS VARCHAR) || '@ex.com']
+              ELSE []::VARCHAR[] END AS bcc,
+         TIMESTAMP '2001-01-01 00:00:00' + to_hours(doc_id) AS date,
+         text AS body, source || '/' || CAST(doc_id AS VARCHAR) AS file_name, doc_id AS ordinal
+  FROM documents
+),
+cleaned AS (
+  SELECT * REPLACE (list_filter("to", lambda x: x IS NOT NULL AND x <> '') AS "to",
+                    list_filter(cc, lambda x: x IS NOT NULL AND x <> '') AS cc,
+                    list_filter(bcc, lambda x: x IS NOT NULL AND x <> '') AS bcc)
+  FROM email_source
+),
+staged AS (
+  SELECT *, CASE WHEN body IS NULL THEN 'invalid' WHEN length(body) > 5000 THEN 'skipped'
+                 WHEN len("to") + len(cc) + len(bcc) > 30 THEN 'skipped' ELSE 'candidate' END AS stage_outcome
+  FROM cleaned
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY subject, body, "from" ORDER BY ordinal) AS rn,
+            count(*) OVER (PARTITION BY subject, body, "from") - 1 AS dropped_copies
+  FROM staged WHERE stage_outcome = 'candidate'
+),
+kept AS (SELECT * FROM ranked WHERE rn = 1),
+emails AS (
+  SELECT ordinal AS id, message_id, subject, "from" AS from_address,
+         strftime(date, '%Y-%m-%d %H:%M:%S') AS date, body, file_name FROM kept
+),
+recip_items AS (
+  SELECT message_id, unnest(list_concat(
+           list_transform("to", lambda a, i: {'addr': a, 'rtype': 'to', 'pos': i - 1}),
+           list_transform(cc, lambda a, i: {'addr': a, 'rtype': 'cc', 'pos': i - 1}),
+           list_transform(bcc, lambda a, i: {'addr': a, 'rtype': 'bcc', 'pos': i - 1}))) AS r
+  FROM kept
+),
+recipients AS (
+  SELECT message_id AS email_id, r.addr AS recipient_address, r.rtype AS recipient_type, CAST(r.pos AS INTEGER) AS position
+  FROM recip_items
+)"""
+
+SCENARIOS = f"""
+scen_tok AS (SELECT item_id, text, {_toks('text')} AS tok FROM benchmark),
+scenarios AS (
+  SELECT item_id AS id, 'Which message mentions ' || tok[2] || '?' AS question, substr(text, 1, 40) AS answer,
+         list_slice(['m' || CAST((item_id * 13) % 200 AS VARCHAR), 'm' || CAST((item_id * 17) % 200 AS VARCHAR),
+                     'm' || CAST((item_id * 19) % 200 AS VARCHAR)], 1, CAST(item_id % 3 + 1 AS INTEGER)) AS message_ids,
+         CAST((item_id % 10) / 10.0 AS FLOAT) AS how_realistic,
+         'u' || CAST(item_id % 7 AS VARCHAR) || '@ex.com' AS inbox_address,
+         strftime(DATE '2001-01-01' + CAST((item_id * 37) % 420 AS INTEGER), '%Y-%m-%d') AS query_date,
+         CASE WHEN item_id % 4 = 0 THEN 'test' ELSE 'train' END AS split,
+         [tok[2], concat_ws(' ', tok[4], tok[5])] AS keywords
+  FROM scen_tok
+)"""
+
+POSTINGS = f"""
+fields AS (
+  SELECT message_id, 'subject' AS field, {_toks('subject')} AS toks FROM emails
+  UNION ALL SELECT message_id, 'body' AS field, {_toks('body')} AS toks FROM emails
+),
+postings AS (
+  SELECT unnest(toks) AS term, message_id, field, unnest(range(len(toks))) AS pos FROM fields
+)"""
+
+
+def _search_ctes(req_sql: str) -> str:
+    return f"""
+req AS ({req_sql}),
+kw AS (SELECT request_id, unnest(keywords) AS keyword, unnest(range(len(keywords))) AS kw_idx FROM req),
+kwt AS (SELECT request_id, kw_idx, {_toks('keyword')} AS toks FROM kw),
+terms AS (SELECT request_id, kw_idx, len(toks) AS n_terms, unnest(toks) AS term, unnest(range(len(toks))) AS term_idx FROM kwt),
+hits AS (SELECT t.request_id, t.kw_idx, t.n_terms, p.message_id, p.field, p.pos - t.term_idx AS start
+         FROM postings p JOIN terms t ON p.term = t.term),
+ph AS (SELECT request_id, kw_idx, message_id, field, start, n_terms FROM hits
+       GROUP BY request_id, kw_idx, message_id, field, start, n_terms HAVING count(*) = n_terms),
+mm AS (SELECT d.request_id, d.message_id FROM (SELECT DISTINCT request_id, kw_idx, message_id FROM ph) d
+       JOIN req r ON r.request_id = d.request_id
+       GROUP BY d.request_id, d.message_id, len(r.keywords) HAVING count(*) = len(r.keywords)),
+cand AS (
+  SELECT m.request_id, m.message_id, e.date, r.max_results FROM mm m
+  JOIN req r ON r.request_id = m.request_id JOIN emails e ON e.message_id = m.message_id
+  WHERE (r.from_addr IS NULL OR e.from_address = r.from_addr)
+    AND (r.sent_after IS NULL OR e.date >= r.sent_after || ' 00:00:00')
+    AND (r.sent_before IS NULL OR e.date < r.sent_before || ' 00:00:00')
+    AND (e.from_address = r.inbox OR EXISTS (SELECT 1 FROM recipients x WHERE x.email_id = m.message_id AND x.recipient_address = r.inbox))
+    AND (r.to_addr IS NULL OR EXISTS (SELECT 1 FROM recipients x WHERE x.email_id = m.message_id AND x.recipient_address = r.to_addr))
+),
+results AS (
+  SELECT * FROM (SELECT request_id, message_id, date, max_results,
+                        CAST(row_number() OVER (PARTITION BY request_id ORDER BY date DESC, message_id) AS INTEGER) AS rank
+                 FROM cand) WHERE rank <= max_results
+)"""
+
+
+SEARCH_REQ = """SELECT id AS request_id, inbox_address AS inbox, keywords,
+  CASE WHEN id % 5 = 0 THEN 'en@ex.com' END AS from_addr, CASE WHEN id % 6 = 1 THEN 'u3@ex.com' END AS to_addr,
+  CASE WHEN id % 3 = 0 THEN '2001-01-10' END AS sent_after, query_date AS sent_before,
+  CAST(id % 10 + 1 AS INTEGER) AS max_results FROM scenarios"""
+SCENARIO_REQ = """SELECT id AS request_id, inbox_address AS inbox, keywords, NULL::VARCHAR AS from_addr,
+  NULL::VARCHAR AS to_addr, NULL::VARCHAR AS sent_after, query_date AS sent_before, 10 AS max_results FROM scenarios"""
+
+SQL["email_filters"] = with_(EMAIL_SOURCE) + """
+SELECT message_id, CAST(len("to") + len(cc) + len(bcc) AS INTEGER) AS n_recipients, length(body) AS body_chars
+FROM staged WHERE stage_outcome = 'candidate'"""
+
+SQL["email_dedup"] = with_(EMAIL_SOURCE) + "SELECT message_id, ordinal, dropped_copies FROM kept"
+
+SQL["email_outcomes"] = with_(EMAIL_SOURCE) + """
+SELECT stage_outcome AS outcome, count(*) AS n FROM staged WHERE stage_outcome <> 'candidate' GROUP BY 1
+UNION ALL SELECT 'kept', count(*) FROM kept
+UNION ALL SELECT 'duplicate', CAST(coalesce(sum(dropped_copies), 0) AS BIGINT) FROM kept"""
+
+SQL["email_build"] = with_(EMAIL_SOURCE) + "SELECT * FROM emails"
+
+SQL["recipients_build"] = with_(EMAIL_SOURCE) + "SELECT * FROM recipients"
+
+SQL["unique_check"] = with_(EMAIL_SOURCE) + """
+SELECT message_id, count(*) AS n FROM emails GROUP BY message_id HAVING count(*) > 1"""
+
+SQL["corpus_counts"] = with_(EMAIL_SOURCE) + """
+SELECT 'emails' AS table_name, count(*) AS n FROM emails
+UNION ALL SELECT 'recipients', count(*) FROM recipients"""
+
+SQL["read_email"] = with_(EMAIL_SOURCE, SCENARIOS) + """,
+ids AS (SELECT DISTINCT unnest(message_ids) AS message_id FROM scenarios)
+SELECT e.message_id, e.date, e.subject, e.from_address,
+  coalesce((SELECT string_agg(recipient_address, ',' ORDER BY position) FROM recipients r
+            WHERE r.email_id = e.message_id AND lower(r.recipient_type) = 'to'), '') AS to_addresses,
+  coalesce((SELECT string_agg(recipient_address, ',' ORDER BY position) FROM recipients r
+            WHERE r.email_id = e.message_id AND lower(r.recipient_type) = 'cc'), '') AS cc_addresses,
+  coalesce((SELECT string_agg(recipient_address, ',' ORDER BY position) FROM recipients r
+            WHERE r.email_id = e.message_id AND lower(r.recipient_type) = 'bcc'), '') AS bcc_addresses,
+  length(e.body) AS body_chars, e.file_name
+FROM emails e WHERE e.message_id IN (SELECT message_id FROM ids)"""
+
+SQL["index_postings"] = with_(EMAIL_SOURCE, POSTINGS) + """
+SELECT term, message_id, field, CAST(pos AS INTEGER) AS pos FROM postings"""
+
+SQL["corpus_search"] = with_(EMAIL_SOURCE, SCENARIOS, POSTINGS, _search_ctes(SEARCH_REQ)) + """
+SELECT request_id, rank, message_id, date FROM results"""
+
+SQL["scenario_search"] = with_(EMAIL_SOURCE, SCENARIOS, POSTINGS, _search_ctes(SCENARIO_REQ)) + """
+SELECT request_id, rank, message_id, date FROM results"""
+
+SQL["search_snippets"] = with_(EMAIL_SOURCE, SCENARIOS, POSTINGS, _search_ctes(SCENARIO_REQ)) + f""",
+cov AS (SELECT p.request_id, p.message_id, p.field, unnest(range(p.start, p.start + p.n_terms)) AS hpos
+        FROM ph p WHERE (p.request_id, p.message_id) IN (SELECT (request_id, message_id) FROM results)),
+pf AS (SELECT request_id, message_id, field, min(hpos) AS first, list(DISTINCT hpos) AS hset FROM cov GROUP BY ALL),
+best AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY request_id, message_id
+                                                     ORDER BY CASE WHEN field = 'subject' THEN 0 ELSE 1 END) = 1),
+bt AS (SELECT b.*, {_toks("CASE WHEN b.field = 'subject' THEN e.subject ELSE e.body END")} AS toks
+       FROM best b JOIN emails e ON e.message_id = b.message_id)
+SELECT r.request_id, r.rank, r.message_id, bt.field,
+  (CASE WHEN bt.first > 0 THEN ' ... ' ELSE '' END)
+  || array_to_string(list_transform(list_slice(bt.toks, bt.first + 1, bt.first + 15),
+       lambda t, i: CASE WHEN list_contains(bt.hset, bt.first + i - 1) THEN '<b>' || t || '</b>' ELSE t END), ' ')
+  || (CASE WHEN bt.first + 15 < len(bt.toks) THEN ' ... ' ELSE '' END) AS snippet
+FROM results r LEFT JOIN bt ON bt.request_id = r.request_id AND bt.message_id = r.message_id"""
+
+SQL["inbox_semi_join"] = with_(EMAIL_SOURCE, SCENARIOS) + """,
+parties AS (SELECT DISTINCT message_id, party FROM (
+  SELECT message_id, from_address AS party FROM emails
+  UNION ALL SELECT email_id, recipient_address FROM recipients))
+SELECT s.id AS request_id, count(*) AS n_messages FROM scenarios s JOIN parties p ON p.party = s.inbox_address
+GROUP BY s.id"""
+
+SQL["search_filters"] = with_(EMAIL_SOURCE, SCENARIOS) + f""",
+req AS ({SEARCH_REQ})
+SELECT r.request_id, count(*) AS n_messages FROM req r JOIN emails e ON e.from_address = r.from_addr
+WHERE (r.sent_after IS NULL OR e.date >= r.sent_after || ' 00:00:00')
+  AND (r.sent_before IS NULL OR e.date < r.sent_before || ' 00:00:00')
+  AND (r.to_addr IS NULL OR EXISTS (SELECT 1 FROM recipients x WHERE x.email_id = e.message_id AND x.recipient_address = r.to_addr))
+GROUP BY r.request_id"""

@@ -214,3 +214,92 @@ def q_search_filters(spark, sf_dir):
     with_to = with_to.join(r, (with_to.message_id == r.email_id) & (with_to.to_addr == r.recipient_address), "left_semi")
     cand = cand.filter(F.col("to_addr").isNull()).unionByName(with_to)
     return cand.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+# ------------------------------------------------------- extraction rewards
+from ..functions.text import collapse_ws, py_strip  # noqa: E402
+from ..operators import extraction  # noqa: E402
+
+
+def _ie_scored(spark, sf_dir):
+    rows = fx.ie_rows(spark, sf_dir)
+    return extraction.score_extraction(extraction.parse_gold(rows))
+
+
+def _r6(name):
+    return F.round(name, 6).alias(name)
+
+
+@register("ie_rewards")
+def q_ie_rewards(spark, sf_dir):
+    s = _ie_scored(spark, sf_dir)
+    return s.select("row_id", "validity", _r6("field_mean"), "constraints", "format", _r6("reward"))
+
+
+@register("ie_validity")
+def q_ie_validity(spark, sf_dir):
+    return _ie_scored(spark, sf_dir).select("row_id", "validity")
+
+
+@register("ie_field_scores")
+def q_ie_field_scores(spark, sf_dir):
+    return extraction.field_scores_long(_ie_scored(spark, sf_dir), ["row_id"]).select("row_id", "field", _r6("sim"))
+
+
+@register("ie_field_mean")
+def q_ie_field_mean(spark, sf_dir):
+    return _ie_scored(spark, sf_dir).select("row_id", _r6("field_mean"))
+
+
+@register("ie_constraints")
+def q_ie_constraints(spark, sf_dir):
+    return _ie_scored(spark, sf_dir).select("row_id", "constraints")
+
+
+@register("ie_format")
+def q_ie_format(spark, sf_dir):
+    return _ie_scored(spark, sf_dir).select("row_id", "format")
+
+
+@register("parse_outcomes")
+def q_parse_outcomes(spark, sf_dir):
+    s = extraction.parse_pred(fx.ie_rows(spark, sf_dir))
+    return s.select("row_id", F.col("pred.outcome").alias("outcome"), F.size("pred.keys").alias("n_keys")).select(
+        "row_id", "outcome", F.when(F.col("n_keys") >= 0, F.col("n_keys")).alias("n_keys"))
+
+
+@register("date_profile")
+def q_date_profile(spark, sf_dir):
+    return extraction.date_format_profile(extraction.parse_pred(fx.ie_rows(spark, sf_dir)))
+
+
+@register("reward_join")
+def q_reward_join(spark, sf_dir):
+    """Completions joined to their gold by key, scored, then normalised per
+    prompt group (gold parsed once per key before the join)."""
+    rows = fx.ie_rows(spark, sf_dir)
+    gold = extraction.parse_gold(rows.select("row_id", "gold_json")).drop("gold_json")
+    comps = rows.select("row_id", "prompt_id", "completion")
+    scored = extraction.score_extraction(comps.join(gold, "row_id"))
+    out = groups.group_normalize(scored, "prompt_id")
+    return out.select("row_id", "prompt_id", _r6("reward"), _r6("advantage"))
+
+
+@register("normalize_text")
+def q_normalize_text(spark, sf_dir):
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select("doc_id", extraction.norm_value(F.col("text")).alias("norm"))
+
+
+@register("pair_similarity")
+def q_pair_similarity(spark, sf_dir):
+    """Distinct (gold, prediction) normalised pairs of used fields with their
+    similarity (checked against difflib in unit tests)."""
+    s = _ie_scored(spark, sf_dir)
+    g = F.transform(extraction.fields_arr(), lambda k: extraction.norm_value(extraction._field("gold", k).value))
+    p = F.transform(extraction.fields_arr(), lambda k: extraction.norm_value(extraction._field("pred", k).value))
+    z = F.arrays_zip(g.alias("g"), p.alias("p"), F.col("field_used").alias("u"), F.col("field_sims").alias("s"))
+    pairs = s.filter(F.col("field_sims").isNotNull()).select(F.explode(z).alias("z")).filter("z.u")
+    return pairs.select(F.col("z.g").alias("gold_norm"), F.col("z.p").alias("pred_norm"),
+                        F.round("z.s", 6).alias("sim")).distinct()

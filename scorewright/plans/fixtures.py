@@ -113,3 +113,78 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.try_element_at(tok, F.lit(2)),
                 F.concat_ws(" ", F.try_element_at(tok, F.lit(4)), F.try_element_at(tok, F.lit(5)))).alias("keywords"),
     )
+
+
+def _q(x: Column) -> Column:
+    """JSON string literal of a plain text value (no quotes/backslashes in it)."""
+    return F.concat(F.lit('"'), x, F.lit('"'))
+
+
+def _json_obj(pairs: list[tuple[str, Column]], trailing_comma: bool = False) -> Column:
+    parts = []
+    for i, (k, v) in enumerate(pairs):
+        parts += [F.lit(("," if i else "") + f'"{k}":'), v]
+    return F.concat(F.lit("{"), *parts, F.lit(",}" if trailing_comma else "}"))
+
+
+def ie_gold_pairs(o_cols=None) -> list[tuple[str, Column]]:
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    filing = F.to_date("o_orderdate")
+    v = k % 10
+    published = F.when(v == 5, F.date_sub(filing, 30)).otherwise(F.date_add(filing, 30))
+    d = lambda x: _q(F.date_format(x, "yyyy-MM-dd"))
+    decision = (F.when(F.col("o_orderstatus") == "F", "ACCEPTED")
+                .when(F.col("o_orderstatus") == "O", "PENDING").otherwise("REJECTED"))
+    summary = F.when(k % 3 == 0, F.lit("null")).otherwise(_q(F.concat(F.lit("Summary of order "), _s(k))))
+    claims = F.concat(F.lit("["), _q(F.concat(F.lit("Claim about part "), _s(k % 50))), F.lit(","),
+                      _q(F.concat(F.lit("Second claim for "), _s(cust))), F.lit("]"))
+    return [
+        ("publication_number", _q(F.concat(F.lit("US"), _s(k), F.lit("A1")))),
+        ("application_number", _q(F.concat(_s(cust), F.lit("/"), _s(k)))),
+        ("patent_number", _q(_s(k * 7))),
+        ("date_published", d(published)),
+        ("filing_date", d(filing)),
+        ("patent_issue_date", d(F.date_add(filing, 400))),
+        ("abandon_date", F.lit('""')),
+        ("decision", _q(decision)),
+        ("main_cpc_label", _q(F.col("o_orderpriority"))),
+        ("main_ipcr_label", _q(F.concat(F.lit("G06F"), _s(k % 100)))),
+        ("title", _q(F.concat(F.lit("Order "), _s(k), F.lit(" for customer "), _s(cust)))),
+        ("abstract", _q(F.concat(F.lit("Total price "), _s(F.floor("o_totalprice"))))),
+        ("summary", summary),
+        ("claims", claims),
+    ]
+
+
+def ie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold records and one stored completion each; ten completion shapes by
+    ``o_orderkey % 10``: 0 exact JSON, 1 wrapped in prose, 2 missing key,
+    3 extra key, 4 yyyy/MM/dd date, 5 gold dates out of order, 6 trailing
+    comma, 7 top-level array, 8 no brace, 9 unbalanced first brace."""
+    o = read_table(spark, sf_dir, "orders",
+                   ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    pairs = ie_gold_pairs()
+    gold = _json_obj(pairs)
+    no_claims = _json_obj([p for p in pairs if p[0] != "claims"])
+    extra = _json_obj([("note", F.lit('"extra"'))] + pairs)
+    slash = _json_obj([(n, _q(F.date_format(F.to_date("o_orderdate"), "yyyy/MM/dd")) if n == "filing_date" else v)
+                       for n, v in pairs])
+    v = F.col("o_orderkey") % 10
+    completion = (
+        F.when(v.isin(0, 5), gold)
+        .when(v == 1, F.concat(F.lit("Here is the extracted record: "), gold, F.lit(" Let me know if you need more.")))
+        .when(v == 2, no_claims)
+        .when(v == 3, extra)
+        .when(v == 4, slash)
+        .when(v == 6, _json_obj(pairs, trailing_comma=True))
+        .when(v == 7, F.concat(F.lit("["), gold, F.lit("]")))
+        .when(v == 8, F.lit("No JSON here, sorry."))
+        .otherwise(F.concat(F.lit('{"note": 1, '), gold))
+    )
+    return o.select(
+        F.col("o_orderkey").alias("row_id"),
+        F.floor(F.col("o_orderkey") / 4).alias("prompt_id"),
+        v.cast("int").alias("variant"),
+        gold.alias("gold_json"),
+        completion.alias("completion"),
+    )

@@ -333,3 +333,64 @@ WHERE (r.sent_after IS NULL OR e.date >= r.sent_after || ' 00:00:00')
   AND (r.sent_before IS NULL OR e.date < r.sent_before || ' 00:00:00')
   AND (r.to_addr IS NULL OR EXISTS (SELECT 1 FROM recipients x WHERE x.email_id = e.message_id AND x.recipient_address = r.to_addr))
 GROUP BY r.request_id"""
+
+
+# --------------------------------------------------------- extraction rewards
+IE_EXPECTED = """
+ie AS (SELECT o_orderkey AS row_id, o_orderkey // 4 AS prompt_id, CAST(o_orderkey % 10 AS INTEGER) AS variant,
+              CASE WHEN o_orderkey % 3 = 0 THEN 12 ELSE 13 END AS n_used FROM orders),
+ie_exp AS (
+  SELECT row_id, prompt_id, variant, n_used,
+    CAST(CASE WHEN variant IN (0, 1, 3, 4, 5) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS validity,
+    CAST(CASE WHEN variant IN (0, 1, 3, 5) THEN 1.0
+              WHEN variant = 2 THEN CAST(n_used - 1 AS DOUBLE) / n_used
+              WHEN variant = 4 THEN (n_used - 1 + 0.8) / n_used ELSE 0.0 END AS DOUBLE) AS field_mean,
+    CAST(CASE WHEN variant IN (0, 1, 2, 3, 4) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS constraints,
+    CAST(CASE WHEN variant IN (0, 1, 5) THEN 0.1 ELSE 0.0 END AS DOUBLE) AS format
+  FROM ie
+),
+ie_rew AS (
+  SELECT *, least(1.0, greatest(0.0, 0.5 * validity + 0.4 * field_mean + 0.1 * constraints + 0.05 * format)) AS reward
+  FROM ie_exp
+)"""
+
+SQL["ie_rewards"] = with_(IE_EXPECTED) + """
+SELECT row_id, validity, round(field_mean, 6) AS field_mean, constraints, format, round(reward, 6) AS reward FROM ie_rew"""
+
+SQL["ie_validity"] = with_(IE_EXPECTED) + "SELECT row_id, validity FROM ie_exp"
+SQL["ie_field_mean"] = with_(IE_EXPECTED) + "SELECT row_id, round(field_mean, 6) AS field_mean FROM ie_exp"
+SQL["ie_constraints"] = with_(IE_EXPECTED) + "SELECT row_id, constraints FROM ie_exp"
+SQL["ie_format"] = with_(IE_EXPECTED) + "SELECT row_id, format FROM ie_exp"
+
+_FIELD_LIST = "[" + ", ".join(q(f) for f in K.RELEVANT_FIELDS) + "]"
+
+SQL["ie_field_scores"] = with_(IE_EXPECTED) + f""",
+f AS (SELECT row_id, variant, n_used, unnest({_FIELD_LIST}) AS field FROM ie_exp WHERE variant <= 5)
+SELECT row_id, field,
+  CAST(CASE WHEN variant = 2 AND field = 'claims' THEN 0.0 WHEN variant = 4 AND field = 'filing_date' THEN 0.8
+            ELSE 1.0 END AS DOUBLE) AS sim
+FROM f WHERE field <> 'abandon_date' AND NOT (field = 'summary' AND n_used = 12)"""
+
+SQL["parse_outcomes"] = with_(IE_EXPECTED) + """
+SELECT row_id,
+  CASE variant WHEN 1 THEN 'span' WHEN 6 THEN 'span_invalid' WHEN 7 THEN 'not_object' WHEN 8 THEN 'no_brace'
+               WHEN 9 THEN 'unbalanced' ELSE 'whole' END AS outcome,
+  CAST(CASE variant WHEN 2 THEN 13 WHEN 3 THEN 15 WHEN 0 THEN 14 WHEN 1 THEN 14 WHEN 4 THEN 14 WHEN 5 THEN 14 END AS INTEGER) AS n_keys
+FROM ie_exp"""
+
+SQL["date_profile"] = with_(IE_EXPECTED) + """,
+f AS (SELECT variant, unnest(['filing_date', 'date_published', 'patent_issue_date', 'abandon_date']) AS field
+      FROM ie_exp WHERE variant <= 5)
+SELECT field, CASE WHEN field = 'abandon_date' THEN 'absent' WHEN field = 'filing_date' AND variant = 4 THEN 'slash'
+                   ELSE 'iso' END AS format, count(*) AS n
+FROM f GROUP BY ALL"""
+
+SQL["reward_join"] = with_(IE_EXPECTED) + """
+SELECT row_id, prompt_id, round(reward, 6) AS reward,
+  round(CASE WHEN max(reward) OVER w = min(reward) OVER w THEN reward - avg(reward) OVER w
+        ELSE (reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-6) END, 6) AS advantage
+FROM ie_rew WINDOW w AS (PARTITION BY prompt_id)"""
+
+SQL["normalize_text"] = """
+SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 4000) AS norm
+FROM documents"""

@@ -303,3 +303,124 @@ def q_pair_similarity(spark, sf_dir):
     pairs = s.filter(F.col("field_sims").isNotNull()).select(F.explode(z).alias("z")).filter("z.u")
     return pairs.select(F.col("z.g").alias("gold_norm"), F.col("z.p").alias("pred_norm"),
                         F.round("z.s", 6).alias("sim")).distinct()
+
+
+# ------------------------------------------------------- prompts and chat
+from ..operators import prompts, sampling  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+MAX_SEQ_LENGTH = 2048
+
+
+@register("extraction_prompt")
+def q_extraction_prompt(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select("doc_id", prompts.extraction_prompt("text").alias("prompt"))
+
+
+def manifest(spark, sf_dir):
+    """Manifest stand-in: document text with the gold record of the same key."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    g = fx.ie_rows(spark, sf_dir).select(F.col("row_id").alias("doc_id"), "gold_json")
+    return d.join(g, "doc_id").select(
+        F.concat(F.lit("patent_"), F.col("doc_id").cast("string")).alias("patent_id"), "doc_id", "text", "gold_json")
+
+
+@register("sft_samples")
+def q_sft_samples(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    return m.select("patent_id", prompts.sft_sample(prompts.extraction_prompt("text"), F.col("gold_json")).alias("text"))
+
+
+@register("training_rows")
+def q_training_rows(spark, sf_dir):
+    m = manifest(spark, sf_dir)
+    return m.select(prompts.extraction_prompt("text").alias("prompt"), "gold_json", "patent_id")
+
+
+@register("reasoning_messages")
+def q_reasoning_messages(spark, sf_dir):
+    r = fx.reasoning_rows(spark, sf_dir)
+    r = r.filter(prompts.numeric_answer("expected_answer"))
+    m = r.select("doc_id", prompts.reasoning_messages("problem", "generated_solution", "expected_answer").alias("m"))
+    return m.select("doc_id", F.size("m").alias("n_messages"), F.col("m")[0]["content"].alias("system_content"),
+                    F.col("m")[1]["content"].alias("user_content"), F.col("m")[2]["content"].alias("assistant_content"))
+
+
+@register("numeric_filter")
+def q_numeric_filter(spark, sf_dir):
+    r = fx.reasoning_rows(spark, sf_dir)
+    return r.filter(prompts.numeric_answer("expected_answer")).select("doc_id", "expected_answer")
+
+
+def _chat_texts(spark, sf_dir, add_generation_prompt=True):
+    conv = prompts.conversations_to_messages(fx.chat(spark, sf_dir))
+    return conv.select("conv_id", prompts.render_chat("messages", add_generation_prompt=add_generation_prompt).alias("text"))
+
+
+@register("chat_template")
+def q_chat_template(spark, sf_dir):
+    return _chat_texts(spark, sf_dir)
+
+
+@register("token_budget_filter")
+def q_token_budget_filter(spark, sf_dir):
+    t = _chat_texts(spark, sf_dir, add_generation_prompt=False)
+    t = t.select("conv_id", prompts.ws_token_count("text").alias("n_tokens"))
+    return prompts.token_budget_filter(t, "n_tokens", MAX_SEQ_LENGTH)
+
+
+@register("quantile_length_filter")
+def q_quantile_length_filter(spark, sf_dir):
+    t = _chat_texts(spark, sf_dir, add_generation_prompt=False)
+    t = t.select("conv_id", prompts.ws_token_count("text").alias("n_tokens"))
+    return prompts.quantile_length_filter(t, "n_tokens", 0.9)
+
+
+@register("flatten_messages")
+def q_flatten_messages(spark, sf_dir):
+    conv = prompts.conversations_to_messages(fx.chat(spark, sf_dir))
+    return conv.select("conv_id", prompts.flatten_messages("messages").alias("text"))
+
+
+@register("split_reasoning")
+def q_split_reasoning(spark, sf_dir):
+    r = fx.reasoning_rows(spark, sf_dir)
+    thinking, content = prompts.split_reasoning("generated_solution")
+    return r.select("doc_id", thinking.alias("thinking"), content.alias("content"))
+
+
+@register("hash_answer")
+def q_hash_answer(spark, sf_dir):
+    r = fx.reasoning_rows(spark, sf_dir)
+    return r.select("doc_id", prompts.hash_answer("solution").alias("answer"),
+                    prompts.hash_answer("solution", marked=True).alias("marked_answer"))
+
+
+@register("prompt_messages")
+def q_prompt_messages(spark, sf_dir):
+    r = fx.reasoning_rows(spark, sf_dir)
+    m = r.select("doc_id", prompts.prompt_messages("problem").alias("prompt"), prompts.hash_answer("solution").alias("answer"))
+    return m.select("doc_id", F.size("prompt").alias("n_messages"), F.col("prompt")[0]["role"].alias("first_role"),
+                    F.col("prompt")[1]["content"].alias("user_content"), "answer")
+
+
+@register("transcript_preview")
+def q_transcript_preview(spark, sf_dir):
+    c = fx.chat(spark, sf_dir)
+    return c.select("conv_id", "turn", "role", prompts.preview("role", "text").alias("preview"))
+
+
+@register("agent_prompt")
+def q_agent_prompt(spark, sf_dir):
+    s = fx.scenarios(spark, sf_dir)
+    return s.select("id", prompts.agent_system_prompt("inbox_address", "query_date").alias("system_content"),
+                    F.col("question").alias("user_content"))
+
+
+@register("pack_sequences")
+def q_pack_sequences(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    t = d.select("doc_id", prompts.ws_token_count("text").alias("n_tokens"))
+    return sampling.pack_blocks(t, ["doc_id"], "n_tokens", MAX_SEQ_LENGTH).select(
+        "doc_id", "n_tokens", "start", "first_block", "last_block")

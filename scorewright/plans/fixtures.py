@@ -188,3 +188,28 @@ def ie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         gold.alias("gold_json"),
         completion.alias("completion"),
     )
+
+
+def reasoning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasoning-trace rows from ``documents``: problem = first line, solution
+    = text inside think tags (some without), expected answer by residue: a
+    number, a word, '1d'-style, space-padded number or empty."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
+    i = F.col("doc_id")
+    expected = (F.when(i % 5 == 0, _s(F.col("n_chars")))
+                .when(i % 5 == 1, F.lit("forty"))
+                .when(i % 5 == 2, F.concat(_s(i % 10), F.lit("d")))
+                .when(i % 5 == 3, F.concat(F.lit(" "), _s(i % 10), F.lit(" ")))
+                .otherwise(F.lit("")))
+    text = F.col("text")
+    gen = (F.when(i % 7 == 3, text)
+           .when(i % 5 == 0, F.concat(F.lit("  " + K.THINK_OPEN), text, F.lit(K.THINK_CLOSE + "\n\n")))
+           .otherwise(F.concat(F.lit(K.THINK_OPEN + "\n"), text, F.lit("\n" + K.THINK_CLOSE + "\nThe answer is "), expected)))
+    problem = F.substring_index(text, "\n", 1)
+    solution = F.when(i % 3 == 0, F.concat(problem, F.lit("\n" + K.HASH_MARK + " "), expected)).otherwise(problem)
+    return d.select(i.alias("doc_id"), problem.alias("problem"), gen.alias("generated_solution"),
+                    expected.alias("expected_answer"), solution.alias("solution"))
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])

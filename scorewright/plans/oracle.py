@@ -292,7 +292,7 @@ SELECT e.message_id, e.date, e.subject, e.from_address,
             WHERE r.email_id = e.message_id AND lower(r.recipient_type) = 'cc'), '') AS cc_addresses,
   coalesce((SELECT string_agg(recipient_address, ',' ORDER BY position) FROM recipients r
             WHERE r.email_id = e.message_id AND lower(r.recipient_type) = 'bcc'), '') AS bcc_addresses,
-  length(e.body) AS body_chars, e.file_name
+  CAST(length(e.body) AS INTEGER) AS body_chars, e.file_name
 FROM emails e WHERE e.message_id IN (SELECT message_id FROM ids)"""
 
 SQL["index_postings"] = with_(EMAIL_SOURCE, POSTINGS) + """
@@ -394,3 +394,128 @@ FROM ie_rew WINDOW w AS (PARTITION BY prompt_id)"""
 SQL["normalize_text"] = """
 SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 4000) AS norm
 FROM documents"""
+
+
+# ------------------------------------------------------- prompts and chat
+from ..operators.prompts import extraction_prompt_parts  # noqa: E402
+
+_HEAD, _TAIL = extraction_prompt_parts()
+NL = "chr(10)"
+
+IE_GOLD = """
+gold AS (
+  SELECT o_orderkey AS row_id,
+    '{"publication_number":"US' || CAST(o_orderkey AS VARCHAR) || 'A1"'
+    || ',"application_number":"' || CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) || '"'
+    || ',"patent_number":"' || CAST(o_orderkey * 7 AS VARCHAR) || '"'
+    || ',"date_published":"' || strftime(CASE WHEN o_orderkey % 10 = 5 THEN CAST(o_orderdate AS DATE) - 30
+                                              ELSE CAST(o_orderdate AS DATE) + 30 END, '%Y-%m-%d') || '"'
+    || ',"filing_date":"' || strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || '"'
+    || ',"patent_issue_date":"' || strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d') || '"'
+    || ',"abandon_date":""'
+    || ',"decision":"' || CASE o_orderstatus WHEN 'F' THEN 'ACCEPTED' WHEN 'O' THEN 'PENDING' ELSE 'REJECTED' END || '"'
+    || ',"main_cpc_label":"' || o_orderpriority || '"'
+    || ',"main_ipcr_label":"G06F' || CAST(o_orderkey % 100 AS VARCHAR) || '"'
+    || ',"title":"Order ' || CAST(o_orderkey AS VARCHAR) || ' for customer ' || CAST(o_custkey AS VARCHAR) || '"'
+    || ',"abstract":"Total price ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '"'
+    || ',"summary":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"Summary of order ' || CAST(o_orderkey AS VARCHAR) || '"' END
+    || ',"claims":["Claim about part ' || CAST(o_orderkey % 50 AS VARCHAR) || '","Second claim for ' || CAST(o_custkey AS VARCHAR) || '"]}'
+    AS gold_json
+  FROM orders
+),
+manifest AS (
+  SELECT 'patent_' || CAST(d.doc_id AS VARCHAR) AS patent_id, d.doc_id, d.text, g.gold_json
+  FROM documents d JOIN gold g ON g.row_id = d.doc_id
+)"""
+
+REASONING = f"""
+r0 AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS problem,
+         CASE doc_id % 5 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN 'forty'
+              WHEN 2 THEN CAST(doc_id % 10 AS VARCHAR) || 'd' WHEN 3 THEN ' ' || CAST(doc_id % 10 AS VARCHAR) || ' '
+              ELSE '' END AS expected_answer
+       FROM documents),
+reasoning AS (
+  SELECT doc_id, problem, expected_answer,
+    CASE WHEN doc_id % 7 = 3 THEN text
+         WHEN doc_id % 5 = 0 THEN '  <think>' || text || '</think>' || {NL} || {NL}
+         ELSE '<think>' || {NL} || text || {NL} || '</think>' || {NL} || 'The answer is ' || expected_answer END AS generated_solution,
+    CASE WHEN doc_id % 3 = 0 THEN problem || {NL} || '#### ' || expected_answer ELSE problem END AS solution
+  FROM r0
+)"""
+
+NUMERIC = ("(regexp_matches(trim(expected_answer), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') "
+           "AND TRY_CAST(trim(expected_answer) AS DOUBLE) IS NOT NULL)")
+
+CHAT = f"""
+conv AS (SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS m
+         FROM conversations GROUP BY conv_id),
+rendered AS (
+  SELECT conv_id,
+    CASE WHEN m[1].role = 'system' THEN m[1].content || {q(K.DEFAULT_EOS)} ELSE {q(K.MATH_SYSTEM_PROMPT + K.DEFAULT_EOS)} END
+    || array_to_string(list_transform(CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END,
+         lambda x: CASE WHEN x.role = 'user' THEN x.content WHEN x.role = 'assistant' THEN x.content || {q(K.DEFAULT_EOS)}
+                        ELSE '' END), '') AS body
+  FROM conv
+),
+ntok AS (SELECT conv_id, CAST(len(regexp_extract_all(body, '\\S+')) AS INTEGER) AS n_tokens FROM rendered)"""
+
+SQL["extraction_prompt"] = f"SELECT doc_id, {q(_HEAD)} || text || {q(_TAIL)} AS prompt FROM documents"
+
+SQL["sft_samples"] = with_(IE_GOLD) + f"""
+SELECT patent_id, {q(_HEAD)} || text || {q(_TAIL)} || {q(K.SFT_ANSWER_OPEN)} || gold_json || {q(K.SFT_ANSWER_CLOSE)} AS text
+FROM manifest"""
+
+SQL["training_rows"] = with_(IE_GOLD) + f"""
+SELECT {q(_HEAD)} || text || {q(_TAIL)} AS prompt, gold_json, patent_id FROM manifest"""
+
+SQL["numeric_filter"] = with_(REASONING) + f"SELECT doc_id, expected_answer FROM reasoning WHERE {NUMERIC}"
+
+SQL["reasoning_messages"] = with_(REASONING) + f"""
+SELECT doc_id, 3 AS n_messages, {q(K.MATH_SYSTEM_PROMPT)} AS system_content, problem AS user_content,
+  {q(K.REASONING_START)} || regexp_replace(replace(replace(generated_solution, '<think>', ''), '</think>', ''), '^\\s+|\\s+$', '', 'g')
+  || {q(K.REASONING_END + K.SOLUTION_START)} || expected_answer || {q(K.SOLUTION_END)} AS assistant_content
+FROM reasoning WHERE {NUMERIC}"""
+
+SQL["chat_template"] = with_(CHAT) + f"SELECT conv_id, body || {q(K.REASONING_START)} AS text FROM rendered"
+
+SQL["token_budget_filter"] = with_(CHAT) + f"SELECT conv_id, n_tokens FROM ntok WHERE n_tokens <= {2048 / 2}"
+
+SQL["quantile_length_filter"] = with_(CHAT) + """
+SELECT conv_id, n_tokens FROM ntok WHERE n_tokens <= (SELECT floor(quantile_cont(n_tokens, 0.9)) FROM ntok)"""
+
+SQL["flatten_messages"] = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
+
+_AFTER = "(length(generated_solution) - strpos(reverse(generated_solution), reverse('</think>')) + 2)"
+SQL["split_reasoning"] = with_(REASONING) + f"""
+SELECT doc_id,
+  regexp_replace(CASE WHEN contains(generated_solution, '</think>') THEN substr(generated_solution, 1, {_AFTER} - 1) ELSE '' END,
+                 '^\\n+|\\n+$', '', 'g') AS thinking,
+  regexp_replace(CASE WHEN contains(generated_solution, '</think>') THEN substr(generated_solution, {_AFTER}) ELSE generated_solution END,
+                 '^\\n+|\\n+$', '', 'g') AS content
+FROM reasoning"""
+
+SQL["hash_answer"] = with_(REASONING) + """
+SELECT doc_id, solution AS answer,
+  CASE WHEN contains(solution, '####') THEN regexp_replace(split_part(solution, '####', 2), '^\\s+|\\s+$', '', 'g') END AS marked_answer
+FROM reasoning"""
+
+SQL["prompt_messages"] = with_(REASONING) + """
+SELECT doc_id, 2 AS n_messages, 'system' AS first_role, problem AS user_content, solution AS answer FROM reasoning"""
+
+SQL["transcript_preview"] = """
+SELECT conv_id, turn, role,
+  CASE WHEN role = 'system' AND length(text) > 100 THEN substr(text, 1, 100) || '...'
+       WHEN role = 'tool' AND length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview
+FROM conversations"""
+
+_AG_HEAD, _AG_REST = K.AGENT_SYSTEM_PROMPT.split("{max_turns}")
+_AG_MID, _AG_TAIL = _AG_REST.split("{inbox}")
+_AG_MID2, _AG_TAIL2 = _AG_TAIL.split("{query_date}")
+SQL["agent_prompt"] = with_(SCENARIOS) + f"""
+SELECT id, {q(_AG_HEAD + str(K.MAX_TURNS) + _AG_MID)} || inbox_address || {q(_AG_MID2)} || query_date || {q(_AG_TAIL2)}
+  AS system_content, question AS user_content FROM scenarios"""
+
+SQL["pack_sequences"] = """
+WITH t AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS n_tokens FROM documents),
+s AS (SELECT doc_id, n_tokens, CAST(coalesce(sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t)
+SELECT doc_id, n_tokens, start, start // 2048 AS first_block, (start + greatest(n_tokens - 1, 0)) // 2048 AS last_block FROM s"""

@@ -262,7 +262,7 @@ SCENARIO_REQ = """SELECT id AS request_id, inbox_address AS inbox, keywords, NUL
   NULL::VARCHAR AS to_addr, NULL::VARCHAR AS sent_after, query_date AS sent_before, 10 AS max_results FROM scenarios"""
 
 SQL["email_filters"] = with_(EMAIL_SOURCE) + """
-SELECT message_id, CAST(len("to") + len(cc) + len(bcc) AS INTEGER) AS n_recipients, length(body) AS body_chars
+SELECT message_id, CAST(len("to") + len(cc) + len(bcc) AS INTEGER) AS n_recipients, CAST(length(body) AS INTEGER) AS body_chars
 FROM staged WHERE stage_outcome = 'candidate'"""
 
 SQL["email_dedup"] = with_(EMAIL_SOURCE) + "SELECT message_id, ordinal, dropped_copies FROM kept"

@@ -70,6 +70,7 @@ class _Field:
         self.present = F.coalesce(found, F.lit(False))
         self.kind = F.when(found, F.element_at(p["kinds"], pos.cast("int")))
         self.value = F.when(found, F.element_at(p["vals"], pos.cast("int")))
+        self.norm = F.coalesce(F.when(found, F.element_at(p["norms"], pos.cast("int"))), F.lit(""))
 
 
 def _field(parsed: str, name) -> _Field:
@@ -138,8 +139,8 @@ def with_field_similarities(df: DataFrame, gold: str = "gold", pred: str = "pred
     object. Each intermediate array is its own projection so the optimizer
     does not inline (and re-evaluate) the regex work into every consumer."""
     df = df.withColumns({
-        "_g": F.transform(fields_arr(), lambda k: norm_value(_field(gold, k).value)),
-        "_p": F.transform(fields_arr(), lambda k: norm_value(_field(pred, k).value)),
+        "_g": F.transform(fields_arr(), lambda k: _field(gold, k).norm),
+        "_p": F.transform(fields_arr(), lambda k: _field(pred, k).norm),
         "field_used": F.transform(fields_arr(), lambda k: gold_nonempty(gold, k)),
     })
     df = df.withColumn("_t", F.zip_with("_g", "_p", lambda a, b: F.when(((a == "") & (b == "")) | (a == b), F.lit(1.0))

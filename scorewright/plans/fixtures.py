@@ -32,7 +32,7 @@ def _thousands(n: Column) -> Column:
 def math_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored completions of a math task: 4 generations per prompt, twelve
     completion shapes by ``o_orderkey % 12``."""
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"], key="o_orderkey")
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
     a = _s(cust)
     sol = lambda body: F.concat(F.lit(WORKING + K.SOLUTION_START), body, F.lit(K.SOLUTION_END))
@@ -69,7 +69,7 @@ def email_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed email records built from ``documents`` (texts repeat, so dedup
     has work; 31 bcc recipients when ``doc_id % 97 = 0``; empty and null
     addresses in some cc arrays)."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"], key="doc_id")
     i = F.col("doc_id")
     cc = (F.when(i % 3 == 0, F.array(_addr("u", i % 5), F.lit("")))
           .when(i % 3 == 1, F.array(F.lit(None).cast("string")))
@@ -162,7 +162,8 @@ def ie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     3 extra key, 4 yyyy/MM/dd date, 5 gold dates out of order, 6 trailing
     comma, 7 top-level array, 8 no brace, 9 unbalanced first brace."""
     o = read_table(spark, sf_dir, "orders",
-                   ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+                   ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+                   key="o_orderkey")
     pairs = ie_gold_pairs()
     gold = _json_obj(pairs)
     no_claims = _json_obj([p for p in pairs if p[0] != "claims"])
@@ -194,7 +195,7 @@ def reasoning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasoning-trace rows from ``documents``: problem = first line, solution
     = text inside think tags (some without), expected answer by residue: a
     number, a word, '1d'-style, space-padded number or empty."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"], key="doc_id")
     i = F.col("doc_id")
     expected = (F.when(i % 5 == 0, _s(F.col("n_chars")))
                 .when(i % 5 == 1, F.lit("forty"))

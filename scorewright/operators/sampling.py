@@ -1,10 +1,11 @@
 """Ordinals, splits, seeded orders, batches and epochs.
 
 Global positions never use an unpartitioned window over all rows (that runs
-in one task). ``with_prefix_sum`` range-partitions on the order key, runs the
-per-partition running sum over Arrow batches, and adds the offset of each
-partition from a table with one row per partition (bounded by the partition
-count, so its window and broadcast are bounded too).
+in one task). ``with_prefix_sum`` range-partitions on the order key,
+materialises that partitioning once (checkpoint), runs the per-partition
+running sum over Arrow batches, and adds the offset of each partition from a
+table with one row per partition (bounded by the partition count, so its
+window and broadcast are bounded too).
 
 Seeded orders use ``md5(key || seed)``: deterministic under retries and the
 same order in any engine (unlike ``rand()``/``randomSplit`` on unordered
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..session import cut_lineage
 
 
 def _local_prefix(value_col: str, out: str):
@@ -43,6 +45,12 @@ def with_prefix_sum(df: DataFrame, order_cols: list[str], value: Column | str, o
               .repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
+    # Both branches below must see the same partitions. Range bounds come from
+    # sampling, and a recomputed input may arrive in another order, so the
+    # partitioned rows are materialised once (reliable checkpoint in the
+    # shared checkpoint folder; also keeps positions stable if an executor
+    # is lost later).
+    ranged = cut_lineage(ranged)
     schema = T.StructType(ranged.schema.fields + [T.StructField("_loc", T.LongType())])
     local = ranged.mapInPandas(_local_prefix("_v", "_loc"), schema)
     totals = ranged.groupBy("_pid").agg(F.sum("_v").alias("_tot"))

@@ -424,3 +424,71 @@ def q_pack_sequences(spark, sf_dir):
     t = d.select("doc_id", prompts.ws_token_count("text").alias("n_tokens"))
     return sampling.pack_blocks(t, ["doc_id"], "n_tokens", MAX_SEQ_LENGTH).select(
         "doc_id", "n_tokens", "start", "first_block", "last_block")
+
+
+# ------------------------------------------------------------ patent records
+from ..operators import records  # noqa: E402
+from .. import constants as K  # noqa: E402
+
+
+@register("relevant_fields")
+def q_relevant_fields(spark, sf_dir):
+    p = fx.patents(spark, sf_dir).select("record_id", records.project_json("raw_json").alias("r"))
+    return p.select("record_id", *[F.col("r")[f].alias(f) for f in K.PROJECTED_FIELDS])
+
+
+@register("sanitize_text")
+def q_sanitize_text(spark, sf_dir):
+    pg = read_table(spark, sf_dir, "pages", ["page_id", "html"], key="page_id")
+    return pg.select("page_id", records.sanitize("html").alias("text"))
+
+
+@register("render_document")
+def q_render_document(spark, sf_dir):
+    p = fx.patents(spark, sf_dir)
+    return p.select("record_id", records.render_document(p).alias("text"))
+
+
+def _split_records(spark, sf_dir):
+    p = fx.patents(spark, sf_dir).select("record_id", "file_name", "publication_number")
+    return sampling.positional_split(p, ["file_name"])
+
+
+@register("positional_split")
+def q_positional_split(spark, sf_dir):
+    s = _split_records(spark, sf_dir)
+    return s.select("record_id", "split", "position",
+                    records.file_stem("publication_number", "position").alias("stem"))
+
+
+def _listings(spark, sf_dir):
+    s = _split_records(spark, sf_dir).withColumn("stem", records.file_stem("publication_number", "position"))
+    k = F.col("record_id")
+    folder = F.when(F.col("split") == "train", F.lit("Train_data")).otherwise(F.lit("Val_data"))
+    pdfs = s.filter(k % 7 != 1).select("stem", F.concat(folder, F.lit("/pdfs/"), F.col("stem"), F.lit(".pdf")).alias("path"))
+    labels = s.filter(k % 11 != 2).select("stem", F.concat(folder, F.lit("/labels/"), F.col("stem"), F.lit(".json")).alias("path"))
+    return s, pdfs, labels
+
+
+@register("pair_by_stem")
+def q_pair_by_stem(spark, sf_dir):
+    _, pdfs, labels = _listings(spark, sf_dir)
+    return records.pair_by_stem(pdfs, labels)
+
+
+@register("label_records")
+def q_label_records(spark, sf_dir):
+    s = _split_records(spark, sf_dir).select("record_id", "position")
+    p = fx.patents(spark, sf_dir).join(s, "record_id")
+    return p.select(records.file_stem("publication_number", "position").alias("file_stem"),
+                    records.label_json().alias("json"))
+
+
+@register("gold_lookup")
+def q_gold_lookup(spark, sf_dir):
+    s, pdfs, labels = _listings(spark, sf_dir)
+    manifest = records.pair_by_stem(pdfs, labels)
+    p = fx.patents(spark, sf_dir).join(s.select("record_id", "stem", "position"), "record_id")
+    contents = p.join(labels, "stem").select("path", records.label_json().alias("content"))
+    rows, _missing = records.attach_labels(manifest, contents)
+    return rows.select("patent_id", "gold_json")

@@ -214,3 +214,51 @@ def reasoning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+
+
+def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw patent records from ``orders`` (+ ``documents`` text as the
+    description where the keys meet): typed columns, absent keys as null,
+    ``claims`` a list or a string, and ``raw_json`` the record as JSON with
+    absent keys left out."""
+    o = read_table(spark, sf_dir, "orders",
+                   ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+                   key="o_orderkey")
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    r = o.join(d, o.o_orderkey == d.doc_id, "left")
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    filing = F.to_date("o_orderdate")
+    ymd = lambda x: F.date_format(x, "yyyy-MM-dd")
+    title = (F.when(k % 5 == 0, F.concat(F.lit("Order "), _s(k), F.lit(' for "customer" '), _s(cust), F.lit(" & co")))
+             .when(k % 17 == 4, F.lit(None).cast("string"))
+             .otherwise(F.concat(F.lit("Order "), _s(k), F.lit(" for customer "), _s(cust))))
+    rec = r.select(
+        k.alias("record_id"),
+        F.concat(F.lit("record_"), F.lpad(_s(k), 10, "0"), F.lit(".json")).alias("file_name"),
+        F.when(k % 13 != 0, F.concat(F.lit("US"), _s(k), F.lit("A1"))).alias("publication_number"),
+        F.concat(_s(cust), F.lit("/"), _s(k)).alias("application_number"),
+        _s(k * 7).alias("patent_number"),
+        ymd(F.date_add(filing, 30)).alias("date_published"),
+        ymd(filing).alias("filing_date"),
+        ymd(F.date_add(filing, 400)).alias("patent_issue_date"),
+        F.when(k % 4 != 0, F.lit("")).alias("abandon_date"),
+        F.when(F.col("o_orderstatus") == "F", "ACCEPTED").when(F.col("o_orderstatus") == "O", "PENDING")
+        .otherwise("REJECTED").alias("decision"),
+        F.col("o_orderpriority").alias("main_cpc_label"),
+        F.concat(F.lit("G06F"), _s(k % 100)).alias("main_ipcr_label"),
+        title.alias("title"),
+        F.when(k % 11 != 3, F.concat(F.lit("Total price "), _s(F.floor("o_totalprice")), F.lit(" <USD>"))).alias("abstract"),
+        F.when(k % 3 != 0, F.concat(F.lit("Summary of order "), _s(k))).alias("summary"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("Claim about part "), _s(k % 50)),
+                                   F.concat(F.lit("Second claim for 'c"), _s(cust), F.lit("'")))).alias("claims_list"),
+        F.when(k % 2 == 1, F.concat(F.lit("Single claim text for "), _s(k))).alias("claims_text"),
+        F.col("text").alias("description"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("Ann "), _s(cust)), F.concat(F.lit("Bob "), _s(k)))).alias("inventors"),
+        F.when(k % 3 == 1, F.concat(F.lit("Applicant "), _s(cust))).alias("applicant"),
+        F.when(k % 5 == 2, ymd(F.date_add(filing, 60))).alias("publication_date"),
+        F.when(k % 3 == 0, F.array(F.concat(F.lit("figs/fig_"), _s(k), F.lit("_1.png")),
+                                   F.concat(F.lit("figs/sub/fig_"), _s(k), F.lit("_2.png")))).alias("figures"),
+    )
+    raw = F.to_json(F.struct(*[F.col(cname) for cname in rec.columns if cname not in ("record_id", "file_name", "claims_list", "claims_text")],
+                             F.coalesce(F.col("claims_list"), F.array(F.col("claims_text"))).alias("claims")))
+    return rec.withColumn("raw_json", raw)

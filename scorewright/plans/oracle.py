@@ -519,3 +519,100 @@ SQL["pack_sequences"] = """
 WITH t AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\\S+')) AS INTEGER) AS n_tokens FROM documents),
 s AS (SELECT doc_id, n_tokens, CAST(coalesce(sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t)
 SELECT doc_id, n_tokens, start, start // 2048 AS first_block, (start + greatest(n_tokens - 1, 0)) // 2048 AS last_block FROM s"""
+
+
+# ------------------------------------------------------------ patent records
+PATENTS = """
+patents AS (
+  SELECT o_orderkey AS record_id,
+    'record_' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || '.json' AS file_name,
+    CASE WHEN o_orderkey % 13 <> 0 THEN 'US' || CAST(o_orderkey AS VARCHAR) || 'A1' END AS publication_number,
+    CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR) AS application_number,
+    CAST(o_orderkey * 7 AS VARCHAR) AS patent_number,
+    strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d') AS date_published,
+    strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS filing_date,
+    strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d') AS patent_issue_date,
+    CASE WHEN o_orderkey % 4 <> 0 THEN '' END AS abandon_date,
+    CASE o_orderstatus WHEN 'F' THEN 'ACCEPTED' WHEN 'O' THEN 'PENDING' ELSE 'REJECTED' END AS decision,
+    o_orderpriority AS main_cpc_label,
+    'G06F' || CAST(o_orderkey % 100 AS VARCHAR) AS main_ipcr_label,
+    CASE WHEN o_orderkey % 5 = 0 THEN 'Order ' || CAST(o_orderkey AS VARCHAR) || ' for "customer" ' || CAST(o_custkey AS VARCHAR) || ' & co'
+         WHEN o_orderkey % 17 = 4 THEN NULL
+         ELSE 'Order ' || CAST(o_orderkey AS VARCHAR) || ' for customer ' || CAST(o_custkey AS VARCHAR) END AS title,
+    CASE WHEN o_orderkey % 11 <> 3 THEN 'Total price ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' <USD>' END AS abstract,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'Summary of order ' || CAST(o_orderkey AS VARCHAR) END AS summary,
+    CASE WHEN o_orderkey % 2 = 0 THEN ['Claim about part ' || CAST(o_orderkey % 50 AS VARCHAR),
+                                      'Second claim for ''c' || CAST(o_custkey AS VARCHAR) || ''''] END AS claims_list,
+    CASE WHEN o_orderkey % 2 = 1 THEN 'Single claim text for ' || CAST(o_orderkey AS VARCHAR) END AS claims_text,
+    d.text AS description,
+    CASE WHEN o_orderkey % 2 = 0 THEN ['Ann ' || CAST(o_custkey AS VARCHAR), 'Bob ' || CAST(o_orderkey AS VARCHAR)] END AS inventors,
+    CASE WHEN o_orderkey % 3 = 1 THEN 'Applicant ' || CAST(o_custkey AS VARCHAR) END AS applicant,
+    CASE WHEN o_orderkey % 5 = 2 THEN strftime(CAST(o_orderdate AS DATE) + 60, '%Y-%m-%d') END AS publication_date,
+    CASE WHEN o_orderkey % 3 = 0 THEN ['figs/fig_' || CAST(o_orderkey AS VARCHAR) || '_1.png',
+                                      'figs/sub/fig_' || CAST(o_orderkey AS VARCHAR) || '_2.png'] END AS figures
+  FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey
+)"""
+
+
+def _unescape(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
+                    ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def _san(x: str) -> str:
+    x = _unescape(x)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return f"replace({x}, chr(0), '')"
+
+
+_LABEL_JSON = ("'{' || concat_ws(',', " + ", ".join(
+    f"CASE WHEN {f} IS NOT NULL THEN '\"{f}\":' || CAST(to_json({f}) AS VARCHAR) END" for f in K.PROJECTED_FIELDS)
+    + ") || '}'")
+
+SPLIT = """
+ps AS (SELECT record_id, publication_number, file_name, row_number() OVER (ORDER BY file_name) - 1 AS position,
+              count(*) OVER () AS n FROM patents),
+splits AS (SELECT record_id, publication_number, position,
+                  CASE WHEN position < CAST(floor(0.85::DOUBLE * n) AS BIGINT) THEN 'train' ELSE 'val' END AS split,
+                  'patent_' || coalesce(publication_number, CAST(position AS VARCHAR)) AS stem FROM ps),
+listing AS (SELECT record_id, stem, CASE WHEN split = 'train' THEN 'Train_data' ELSE 'Val_data' END AS folder FROM splits),
+pdfs AS (SELECT stem, folder || '/pdfs/' || stem || '.pdf' AS path FROM listing WHERE record_id % 7 <> 1),
+labels AS (SELECT record_id, stem, folder || '/labels/' || stem || '.json' AS path FROM listing WHERE record_id % 11 <> 2),
+pairs AS (SELECT p.stem AS patent_id, p.path AS pdf_path, l.path AS gold_json_path FROM pdfs p JOIN labels l ON l.stem = p.stem)"""
+
+SQL["relevant_fields"] = with_(PATENTS) + "SELECT record_id, " + ", ".join(K.PROJECTED_FIELDS) + " FROM patents"
+
+SQL["sanitize_text"] = f"SELECT page_id, {_san('html')} AS text FROM pages"
+
+SQL["render_document"] = with_(PATENTS) + f"""
+SELECT record_id, array_to_string(
+  [{_san(q(K.NO_TITLE) if False else 'coalesce(title, ' + q(K.NO_TITLE) + ')')},
+   'Patent Number: ' || coalesce(patent_number, 'N/A'),
+   'Application Number: ' || coalesce(application_number, 'N/A'),
+   'Publication Date: ' || coalesce(publication_date, 'N/A'),
+   'Applicant: ' || coalesce(applicant, 'N/A'),
+   'Inventors: ' || CASE WHEN inventors IS NOT NULL THEN array_to_string(inventors, ', ') ELSE 'N/A' END,
+   {q(K.COVER_NOTE)}, 'Abstract', {_san('coalesce(abstract, ' + q(K.NO_ABSTRACT) + ')')}]
+  || CASE WHEN summary IS NOT NULL THEN ['Summary', {_san('summary')}] ELSE []::VARCHAR[] END
+  || ['Claims']
+  || CASE WHEN claims_list IS NOT NULL THEN list_transform(claims_list, lambda x, i: 'Claim ' || CAST(i AS VARCHAR) || '. ' || {_san('x')})
+          WHEN claims_text IS NOT NULL THEN [{_san('claims_text')}] ELSE []::VARCHAR[] END
+  || CASE WHEN coalesce(description, '') <> '' THEN ['Detailed Description']
+          || list_transform(string_split(description, chr(10) || chr(10)), lambda p: {_san('p')}) ELSE []::VARCHAR[] END
+  || CASE WHEN coalesce(len(figures), 0) > 0 THEN ['Figures'] || list_transform(figures, lambda f: regexp_extract(f, '([^/]*)$', 1))
+          ELSE []::VARCHAR[] END, chr(10)) AS text
+FROM patents"""
+
+SQL["positional_split"] = with_(PATENTS, SPLIT) + "SELECT record_id, split, position, stem FROM splits"
+
+SQL["pair_by_stem"] = with_(PATENTS, SPLIT) + "SELECT * FROM pairs"
+
+SQL["label_records"] = with_(PATENTS, SPLIT) + f"""
+SELECT s.stem AS file_stem, {_LABEL_JSON} AS json FROM patents p JOIN (SELECT record_id, stem FROM splits) s ON s.record_id = p.record_id"""
+
+SQL["gold_lookup"] = with_(PATENTS, SPLIT) + f""",
+contents AS (SELECT l.path, {_LABEL_JSON} AS content FROM patents p JOIN labels l ON l.record_id = p.record_id)
+SELECT pr.patent_id, c.content AS gold_json FROM pairs pr JOIN contents c ON c.path = pr.gold_json_path"""

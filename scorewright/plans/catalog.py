@@ -492,3 +492,192 @@ def q_gold_lookup(spark, sf_dir):
     contents = p.join(labels, "stem").select("path", records.label_json().alias("content"))
     rows, _missing = records.attach_labels(manifest, contents)
     return rows.select("patent_id", "gold_json")
+
+
+# ---------------------------------------- guess / judge / trajectories
+from ..operators import trajectories as trj  # noqa: E402
+
+
+@register("guess_reward")
+def q_guess_reward(spark, sf_dir):
+    g = fx.guess_rows(spark, sf_dir)
+    return g.select("row_id", trj.guess_reward("completion", "answer").alias("reward"))
+
+
+@register("synthetic_tasks")
+def q_synthetic_tasks(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    return sampling.synthetic_tasks(o, "o_orderkey")
+
+
+def _trajectories(spark, sf_dir):
+    return trj.build_trajectories(fx.trajectory_rows(spark, sf_dir))
+
+
+@register("trajectory_messages")
+def q_trajectory_messages(spark, sf_dir):
+    f = trj.flatten(_trajectories(spark, sf_dir))
+    return f.select("traj_id", F.col("pos").cast("int").alias("pos"), "role", "tool_name", "tool_call_id")
+
+
+@register("tool_calls")
+def q_tool_calls(spark, sf_dir):
+    c = trj.tool_calls(trj.flatten(_trajectories(spark, sf_dir)))
+    return c.select("traj_id", F.col("pos").cast("int").alias("pos"), "tool_name",
+                    F.array_join("keywords", ",").alias("keywords"), "answer",
+                    F.array_join("source_ids", ",").alias("source_ids"))
+
+
+def _finals(spark, sf_dir):
+    return trj.final_answers(trj.tool_calls(trj.flatten(_trajectories(spark, sf_dir))))
+
+
+@register("final_answers")
+def q_final_answers(spark, sf_dir):
+    return _finals(spark, sf_dir).select("traj_id", F.col("pos").cast("int").alias("pos"), "answer",
+                                         F.array_join("source_ids", ",").alias("source_ids"))
+
+
+@register("turn_cap")
+def q_turn_cap(spark, sf_dir):
+    t = trj.cap_turns(_trajectories(spark, sf_dir), K.MAX_TURNS)
+    return t.select("traj_id", F.size("messages").alias("n_messages"))
+
+
+@register("source_coverage")
+def q_source_coverage(spark, sf_dir):
+    meta = fx.trajectory_meta(spark, sf_dir).select("traj_id", "expected_ids")
+    s = trj.source_coverage(_finals(spark, sf_dir), meta)
+    return s.select("traj_id", "n_used", "n_expected", "n_hit", _r6("precision"), _r6("recall"))
+
+
+@register("group_prefix")
+def q_group_prefix(spark, sf_dir):
+    t = _trajectories(spark, sf_dir).withColumn("group_id", F.floor(F.col("traj_id") / 4))
+    return trj.group_prefix(t, "group_id")
+
+
+@register("judge_verdicts")
+def q_judge_verdicts(spark, sf_dir):
+    v = trj.judge_verdicts(fx.trajectory_meta(spark, sf_dir))
+    return v.select("traj_id", "parse_ok", "accept", "correct")
+
+
+@register("validation_metrics")
+def q_validation_metrics(spark, sf_dir):
+    v = trj.judge_verdicts(fx.trajectory_meta(spark, sf_dir))
+    return v.groupBy("split", "step").agg(F.round(F.avg("correct"), 6).alias("mean_correct"),
+                                          F.count(F.lit(1)).alias("n"))
+
+
+@register("trajectory_rank")
+def q_trajectory_rank(spark, sf_dir):
+    m = fx.trajectory_meta(spark, sf_dir)
+    r = groups.group_rank(m, "group_id", "reward", "traj_id")
+    return r.select("traj_id", "group_id", "reward", "rank")
+
+
+@register("judge_prompt")
+def q_judge_prompt(spark, sf_dir):
+    flat = trj.flatten(_trajectories(spark, sf_dir))
+    first_user = flat.filter(F.col("role") == "user").groupBy("traj_id").agg(
+        F.min_by("content", "pos").alias("question"))
+    fa = _finals(spark, sf_dir).select("traj_id", "answer")
+    j = first_user.join(fa, "traj_id")
+    return j.select("traj_id", prompts.judge_user_text("question", F.lit("see message m0"), "answer").alias("user_content"))
+
+
+@register("validation_plan")
+def q_validation_plan(spark, sf_dir):
+    val = fx.scenarios(spark, sf_dir).filter(F.col("split") == "test").select("id")
+    return trj.validation_plan(val, 50, 5).select("id", F.col("step").cast("int").alias("step"))
+
+
+@register("failure_budget")
+def q_failure_budget(spark, sf_dir):
+    m = trj.judge_verdicts(fx.trajectory_meta(spark, sf_dir)).withColumn("failed", ~F.col("parse_ok"))
+    return trj.failure_budget(m, "step", "failed", 4).select("step", "n_failed", "n_items", "budget", "within_budget")
+
+
+@register("fan_out")
+def q_fan_out(spark, sf_dir):
+    s = fx.scenarios(spark, sf_dir).select("id")
+    return groups.fan_out(s, 4).select("id", F.col("gen_idx").cast("int").alias("gen_idx"))
+
+
+@register("zero_fraction")
+def q_zero_fraction(spark, sf_dir):
+    t = fx.tensors(spark, sf_dir)
+    z = trj.zero_fraction(t, "values")
+    return t.select("vec_id", F.round(z, 6).alias("zero_frac"), (z == 1.0).alias("all_zero"))
+
+
+# ------------------------------------------------------- sampling and sources
+@register("seeded_shuffle")
+def q_seeded_shuffle(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    return sampling.seeded_shuffle(o, "o_orderkey", 42)
+
+
+@register("hash_split")
+def q_hash_split(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    return sampling.hash_split(o, "o_orderkey", 3407, 1)
+
+
+@register("epoch_batches")
+def q_epoch_batches(spark, sf_dir):
+    train = fx.scenarios(spark, sf_dir).filter(F.col("split") == "train").select("id")
+    e = sampling.epoch_batches(train, "id", groups_per_step=2, num_epochs=20, seed=42, initial_step=0, max_steps=50)
+    return e.select("id", F.col("epoch").cast("int").alias("epoch"), "step", "epoch_step", "slot")
+
+
+@register("mini_batches")
+def q_mini_batches(spark, sf_dir):
+    m = manifest(spark, sf_dir).select("patent_id")
+    b = sampling.mini_batches(m, "patent_id", 2, 42)
+    return b.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "patent_id"))), lambda s: s["patent_id"]), ",").alias("patent_ids"))
+
+
+@register("head_limit")
+def q_head_limit(spark, sf_dir):
+    m = manifest(spark, sf_dir).select("patent_id")
+    return sampling.head_limit(m, ["patent_id"], 128)
+
+
+@register("scenario_select")
+def q_scenario_select(spark, sf_dir):
+    """Train scenarios with at most one referenced message, seeded order, first 50."""
+    s = fx.scenarios(spark, sf_dir).filter((F.col("split") == "train") & (F.size("message_ids") <= 1))
+    s = sampling.seeded_shuffle(s.select("id"), "id", 42)
+    return s.filter(F.col("position") < 50).select("id", "position")
+
+
+@register("scenario_validation")
+def q_scenario_validation(spark, sf_dir):
+    s = fx.scenarios(spark, sf_dir)
+    i = F.col("id")
+    raw = s.select("id", "question", "answer", "message_ids", "inbox_address", "query_date",
+                   F.when(i % 9 == 4, F.lit("n/a")).otherwise(F.col("how_realistic").cast("string")).alias("how_realistic"),
+                   F.when(i % 11 == 5, F.lit("dev")).otherwise(F.col("split")).alias("split"))
+    from ..operators import validation
+    v = validation.validate_scenarios(raw)
+    return v.select("id", "valid", "reason")
+
+
+@register("math_source")
+def q_math_source(spark, sf_dir):
+    r = fx.reasoning_rows(spark, sf_dir)
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
+    j = r.join(d, "doc_id").withColumn("split", F.when(F.col("doc_id") % 2 == 0, "cot").otherwise("tir"))
+    return j.filter((F.col("lang") == "en") & (F.col("split") == "cot")).select(
+        "doc_id", "expected_answer", "problem", "generated_solution")
+
+
+@register("email_source")
+def q_email_source(spark, sf_dir):
+    e = fx.email_source(spark, sf_dir)
+    return e.select("message_id", "subject", "from", F.size("to").alias("n_to"), F.size("cc").alias("n_cc"),
+                    F.size("bcc").alias("n_bcc"), F.date_format("date", K.EMAIL_DATE_FORMAT).alias("date"))

@@ -262,3 +262,76 @@ def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.to_json(F.struct(*[F.col(cname) for cname in rec.columns if cname not in ("record_id", "file_name", "claims_list", "claims_text")],
                              F.coalesce(F.col("claims_list"), F.array(F.col("claims_text"))).alias("claims")))
     return rec.withColumn("raw_json", raw)
+
+
+def guess_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guess-game completions from ``orders``: 0, 1 or 2 guess tags, upper and
+    lower case, non-letter guesses, by residue."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey"], key="o_orderkey")
+    k = F.col("o_orderkey")
+    words = F.array(*[F.lit(w) for w in K.GUESS_WORDS])
+    ans = F.element_at(words, (k % 20 + 1).cast("int"))
+    other = F.element_at(words, ((k + 7) % 20 + 1).cast("int"))
+    v = k % 6
+    text = (F.when(v == 0, F.concat(F.lit("<guess>"), ans, F.lit("</guess>")))
+            .when(v == 1, F.concat(F.lit("<guess> "), F.upper(ans), F.lit(" </guess>")))
+            .when(v == 2, F.concat(F.lit("I think <guess>"), other, F.lit("</guess> no, <guess>"), ans, F.lit("</guess>")))
+            .when(v == 3, F.concat(F.lit("no tags "), ans))
+            .when(v == 4, F.concat(F.lit("<guess>"), other, F.lit("</guess>")))
+            .otherwise(F.lit("<guess>abc123</guess>")))
+    return o.select(k.alias("row_id"), ans.alias("answer"), text.alias("completion"))
+
+
+def trajectory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message rows of stored rollouts: one trajectory per conversation,
+    tool calls on assistant turns by residue, a judge response per
+    trajectory (valid, rejecting or broken JSON; acceptance from
+    ``labels.quality`` where present)."""
+    cv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"], key="conv_id")
+    k, t = F.col("conv_id"), F.col("turn")
+    r = (k + t) % 3
+    is_asst = F.col("role") == "assistant"
+    name = F.when(is_asst & (r == 0), F.lit("search_inbox")).when(is_asst & (r == 1), F.lit(K.FINAL_ANSWER_TOOL))
+    args = (F.when(name == "search_inbox",
+                   F.concat(F.lit('{"keywords": ["w'), _s(k % 9), F.lit('", "t'), _s(t), F.lit('"]}')))
+            .when(name == K.FINAL_ANSWER_TOOL,
+                  F.concat(F.lit('{"answer": "answer '), _s(k), F.lit("-"), _s(t),
+                           F.lit('", "reference_message_ids": ["m'), _s(k % 7), F.lit('", "m'), _s((k + t) % 5), F.lit('"]}'))))
+    return cv.select(
+        k.alias("traj_id"), t.alias("turn"), "role",
+        F.col("text").alias("content"),
+        name.alias("name"),
+        F.when(name.isNotNull(), F.concat(F.lit("call_"), _s(k), F.lit("_"), _s(t))).alias("tool_call_id"),
+        args.alias("tool_args"),
+    )
+
+
+def trajectory_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per trajectory: group (4 rollouts of one scenario), step, split,
+    reward, expected source ids and the stored judge response."""
+    cv = read_table(spark, sf_dir, "conversations", ["conv_id"]).distinct()
+    lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    j = cv.join(lab, cv.conv_id == lab.doc_id, "left")
+    k = F.col("conv_id")
+    accept = F.when(F.col("quality") == 1, F.lit("true")).otherwise(F.lit("false"))
+    resp = (F.when(k % 5 == 0, F.concat(F.lit('{"reasoning": "cut off at '), _s(k)))
+            .otherwise(F.concat(F.lit('{"reasoning": "checked '), _s(k), F.lit('", "accept": '), accept, F.lit("}"))))
+    return j.select(
+        k.alias("traj_id"),
+        F.floor(k / 4).alias("group_id"),
+        F.floor(k / 8).alias("step"),
+        F.when(k % 10 < 8, F.lit("train")).otherwise(F.lit("val")).alias("split"),
+        ((k * 37) % 100 / 100.0).alias("reward"),
+        F.array(F.concat(F.lit("m"), _s(k % 7)), F.concat(F.lit("m"), _s(k % 3))).alias("expected_ids"),
+        resp.alias("judge_response"),
+    )
+
+
+def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named arrays from ``embeddings``: entries with |x| < 0.05 set to 0,
+    all zero when ``vec_id % 50 = 0``."""
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"], key="vec_id")
+    arr = F.when(F.col("vec_id") % 50 == 0, F.transform("embedding", lambda x: F.lit(0.0)))
+    arr = arr.otherwise(F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < 0.05, F.lit(0.0))
+                                    .otherwise(x.cast("double"))))
+    return e.select("vec_id", arr.alias("values"))

@@ -616,3 +616,169 @@ SELECT s.stem AS file_stem, {_LABEL_JSON} AS json FROM patents p JOIN (SELECT re
 SQL["gold_lookup"] = with_(PATENTS, SPLIT) + f""",
 contents AS (SELECT l.path, {_LABEL_JSON} AS content FROM patents p JOIN labels l ON l.record_id = p.record_id)
 SELECT pr.patent_id, c.content AS gold_json FROM pairs pr JOIN contents c ON c.path = pr.gold_json_path"""
+
+
+# ---------------------------------------------- guess / judge / trajectories
+_WORDS = "[" + ", ".join(q(w) for w in K.GUESS_WORDS) + "]"
+
+GUESS = f"""
+g0 AS (SELECT o_orderkey AS row_id, {_WORDS}[o_orderkey % 20 + 1] AS answer, {_WORDS}[(o_orderkey + 7) % 20 + 1] AS other,
+              o_orderkey % 6 AS v FROM orders),
+guess_rows AS (
+  SELECT row_id, answer,
+    CASE v WHEN 0 THEN '<guess>' || answer || '</guess>'
+           WHEN 1 THEN '<guess> ' || upper(answer) || ' </guess>'
+           WHEN 2 THEN 'I think <guess>' || other || '</guess> no, <guess>' || answer || '</guess>'
+           WHEN 3 THEN 'no tags ' || answer
+           WHEN 4 THEN '<guess>' || other || '</guess>'
+           ELSE '<guess>abc123</guess>' END AS completion
+  FROM g0
+)"""
+
+SQL["guess_reward"] = with_(GUESS) + r"""
+SELECT row_id,
+  CAST(CASE WHEN len(regexp_extract_all(completion, '<guess>\s*([a-zA-Z]+)\s*</guess>', 1)) > 0
+            AND lower(regexp_extract_all(completion, '<guess>\s*([a-zA-Z]+)\s*</guess>', 1)[-1]) = answer THEN 1.0 ELSE 0.0 END
+     + 0.1 * CASE WHEN len(regexp_extract_all(completion, '<guess>\s*([a-zA-Z]+)\s*</guess>', 1)) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS reward
+FROM guess_rows"""
+
+SQL["synthetic_tasks"] = f"""
+SELECT o_orderkey, {q(K.GUESS_SYSTEM_PROMPT + chr(10) + chr(10) + K.GUESS_TASK)} AS prompt,
+  {_WORDS}[CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '42'), 1, 8))::UBIGINT % 20 AS INTEGER) + 1] AS answer
+FROM orders"""
+
+TRAJ = """
+trows AS (
+  SELECT conv_id AS traj_id, turn, role, text AS content,
+    CASE WHEN role = 'assistant' AND (conv_id + turn) % 3 = 0 THEN 'search_inbox'
+         WHEN role = 'assistant' AND (conv_id + turn) % 3 = 1 THEN 'return_final_answer' END AS name,
+    CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos
+  FROM conversations
+),
+tcalls AS (
+  SELECT *, CASE WHEN name IS NOT NULL THEN 'call_' || CAST(traj_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) END AS tool_call_id,
+    CASE WHEN name = 'search_inbox' THEN 'w' || CAST(traj_id % 9 AS VARCHAR) || ',t' || CAST(turn AS VARCHAR) END AS keywords,
+    CASE WHEN name = 'return_final_answer' THEN 'answer ' || CAST(traj_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS answer,
+    CASE WHEN name = 'return_final_answer' THEN 'm' || CAST(traj_id % 7 AS VARCHAR) || ',m' || CAST((traj_id + turn) % 5 AS VARCHAR) END AS source_ids,
+    CASE WHEN name = 'return_final_answer' THEN ['m' || CAST(traj_id % 7 AS VARCHAR), 'm' || CAST((traj_id + turn) % 5 AS VARCHAR)] END AS source_list
+  FROM trows
+),
+finals AS (SELECT * FROM tcalls WHERE name = 'return_final_answer'
+           QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY pos) = 1),
+tmeta AS (
+  SELECT c.conv_id AS traj_id, c.conv_id // 4 AS group_id, c.conv_id // 8 AS step,
+    CASE WHEN c.conv_id % 10 < 8 THEN 'train' ELSE 'val' END AS split,
+    CAST(((c.conv_id * 37) % 100) / 100.0 AS DOUBLE) AS reward,
+    ['m' || CAST(c.conv_id % 7 AS VARCHAR), 'm' || CAST(c.conv_id % 3 AS VARCHAR)] AS expected_ids,
+    c.conv_id % 5 <> 0 AS parse_ok,
+    (c.conv_id % 5 <> 0) AND coalesce(l.quality = 1, false) AS accept
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN labels l ON l.doc_id = c.conv_id
+)"""
+
+SQL["trajectory_messages"] = with_(TRAJ) + "SELECT traj_id, pos, role, name AS tool_name, tool_call_id FROM tcalls"
+
+SQL["tool_calls"] = with_(TRAJ) + """
+SELECT traj_id, pos, name AS tool_name, keywords, answer, source_ids FROM tcalls WHERE name IS NOT NULL"""
+
+SQL["final_answers"] = with_(TRAJ) + "SELECT traj_id, pos, answer, source_ids FROM finals"
+
+SQL["turn_cap"] = with_(TRAJ) + """,
+tc AS (SELECT traj_id, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY traj_id ORDER BY pos) AS t FROM trows)
+SELECT traj_id, CAST(count(*) FILTER (WHERE t <= 6) AS INTEGER) AS n_messages FROM tc GROUP BY traj_id"""
+
+SQL["source_coverage"] = with_(TRAJ) + """
+SELECT f.traj_id, CAST(len(list_distinct(f.source_list)) AS INTEGER) AS n_used,
+  CAST(len(list_distinct(m.expected_ids)) AS INTEGER) AS n_expected,
+  CAST(len(list_intersect(list_distinct(f.source_list), list_distinct(m.expected_ids))) AS INTEGER) AS n_hit,
+  round(len(list_intersect(list_distinct(f.source_list), list_distinct(m.expected_ids))) / len(list_distinct(f.source_list)), 6) AS precision,
+  round(len(list_intersect(list_distinct(f.source_list), list_distinct(m.expected_ids))) / len(list_distinct(m.expected_ids)), 6) AS recall
+FROM finals f JOIN tmeta m ON m.traj_id = f.traj_id"""
+
+SQL["group_prefix"] = with_(TRAJ) + """,
+sizes AS (SELECT traj_id // 4 AS group_id, count(*) AS n_traj, min(n) AS min_len
+          FROM (SELECT traj_id, count(*) AS n FROM trows GROUP BY traj_id) GROUP BY 1),
+pp AS (SELECT traj_id // 4 AS group_id, pos, count(DISTINCT role || chr(1) || content) AS n_sig, count(*) AS n
+       FROM trows GROUP BY 1, 2),
+br AS (SELECT pp.group_id, min(pos) AS first_break FROM pp JOIN sizes s ON s.group_id = pp.group_id
+       WHERE pp.n_sig > 1 OR pp.n < s.n_traj GROUP BY pp.group_id)
+SELECT s.group_id, CAST(coalesce(br.first_break, s.min_len) AS BIGINT) AS prefix_len
+FROM sizes s LEFT JOIN br ON br.group_id = s.group_id"""
+
+SQL["judge_verdicts"] = with_(TRAJ) + """
+SELECT traj_id, parse_ok, accept, CAST(CASE WHEN accept THEN 1.0 ELSE 0.0 END AS DOUBLE) AS correct FROM tmeta"""
+
+SQL["validation_metrics"] = with_(TRAJ) + """
+SELECT split, step, round(avg(CASE WHEN accept THEN 1.0 ELSE 0.0 END), 6) AS mean_correct, count(*) AS n
+FROM tmeta GROUP BY split, step"""
+
+SQL["trajectory_rank"] = with_(TRAJ) + """
+SELECT traj_id, group_id, reward,
+  CAST(row_number() OVER (PARTITION BY group_id ORDER BY reward DESC, traj_id) AS INTEGER) AS rank FROM tmeta"""
+
+SQL["judge_prompt"] = with_(TRAJ) + """,
+fu AS (SELECT traj_id, content AS question FROM trows WHERE role = 'user'
+       QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY pos) = 1)
+SELECT f.traj_id, 'Question: ' || fu.question || chr(10) || 'Reference answer: see message m0' || chr(10)
+  || 'AI answer: ' || f.answer AS user_content
+FROM finals f JOIN fu ON fu.traj_id = f.traj_id"""
+
+SQL["validation_plan"] = with_(SCENARIOS) + """
+SELECT id, CAST(unnest(range(0, 51, 5)) AS INTEGER) AS step FROM scenarios WHERE split = 'test'"""
+
+SQL["failure_budget"] = with_(TRAJ) + """
+SELECT step, count(*) FILTER (WHERE NOT parse_ok) AS n_failed, count(DISTINCT group_id) AS n_items,
+  count(DISTINCT group_id) * 4 AS budget, count(*) FILTER (WHERE NOT parse_ok) <= count(DISTINCT group_id) * 4 AS within_budget
+FROM tmeta GROUP BY step"""
+
+SQL["fan_out"] = with_(SCENARIOS) + "SELECT id, CAST(unnest(range(0, 4)) AS INTEGER) AS gen_idx FROM scenarios"
+
+SQL["zero_fraction"] = """
+WITH z AS (SELECT vec_id, len(list_filter(embedding, lambda x: vec_id % 50 = 0 OR abs(CAST(x AS DOUBLE)) < 0.05)) / len(embedding) AS f
+           FROM embeddings)
+SELECT vec_id, round(f, 6) AS zero_frac, f = 1.0 AS all_zero FROM z"""
+
+
+# --------------------------------------------------- sampling and sources
+SQL["seeded_shuffle"] = """
+SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '42'), o_orderkey) - 1 AS position
+FROM orders"""
+
+SQL["hash_split"] = """
+SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '3407'), 1, 8))::UBIGINT % 100 < 1
+                        THEN 'test' ELSE 'train' END AS split
+FROM orders"""
+
+SQL["epoch_batches"] = with_(SCENARIOS) + """,
+tr AS (SELECT id FROM scenarios WHERE split = 'train'),
+n AS (SELECT count(*) AS n FROM tr),
+e AS (SELECT id, unnest(range(0, 20)) AS epoch FROM tr),
+p AS (SELECT id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5(CAST(epoch AS VARCHAR) || ':' || CAST(id AS VARCHAR) || '42'), id) - 1 AS pos FROM e)
+SELECT id, CAST(epoch AS INTEGER) AS epoch, epoch * (((SELECT n FROM n) + 1) // 2) + pos // 2 AS step,
+  pos // 2 AS epoch_step, CAST(pos % 2 AS INTEGER) AS slot
+FROM p WHERE epoch * (((SELECT n FROM n) + 1) // 2) + pos // 2 <= 50"""
+
+SQL["mini_batches"] = with_(IE_GOLD) + """,
+p AS (SELECT patent_id, row_number() OVER (ORDER BY md5(patent_id || '42'), patent_id) - 1 AS position FROM manifest)
+SELECT position // 2 AS batch_id, count(*) AS n, string_agg(patent_id, ',' ORDER BY position) AS patent_ids
+FROM p GROUP BY 1"""
+
+SQL["head_limit"] = with_(IE_GOLD) + "SELECT patent_id FROM manifest ORDER BY patent_id LIMIT 128"
+
+SQL["scenario_select"] = with_(SCENARIOS) + """,
+p AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '42'), id) - 1 AS position
+      FROM scenarios WHERE split = 'train' AND len(message_ids) <= 1)
+SELECT id, position FROM p WHERE position < 50"""
+
+SQL["scenario_validation"] = with_(SCENARIOS) + """
+SELECT id, CASE WHEN id % 11 = 5 THEN false WHEN id % 9 = 4 THEN false ELSE true END AS valid,
+  CASE WHEN id % 11 = 5 THEN 'split not in train/test' WHEN id % 9 = 4 THEN 'how_realistic not a number' END AS reason
+FROM scenarios"""
+
+SQL["math_source"] = with_(REASONING) + """
+SELECT r.doc_id, r.expected_answer, r.problem, r.generated_solution
+FROM reasoning r JOIN documents d ON d.doc_id = r.doc_id WHERE d.lang = 'en' AND r.doc_id % 2 = 0"""
+
+SQL["email_source"] = with_(EMAIL_SOURCE) + """
+SELECT message_id, subject, "from", CAST(len("to") AS INTEGER) AS n_to, CAST(len(cc) AS INTEGER) AS n_cc,
+  CAST(len(bcc) AS INTEGER) AS n_bcc, strftime(date, '%Y-%m-%d %H:%M:%S') AS date
+FROM email_source"""

@@ -681,3 +681,69 @@ def q_email_source(spark, sf_dir):
     e = fx.email_source(spark, sf_dir)
     return e.select("message_id", "subject", "from", F.size("to").alias("n_to"), F.size("cc").alias("n_cc"),
                     F.size("bcc").alias("n_bcc"), F.date_format("date", K.EMAIL_DATE_FORMAT).alias("date"))
+
+
+# ------------------------------------------------------------------ streaming
+import time as _time  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..streaming import index as sindex  # noqa: E402
+from ..streaming import scores as sscores  # noqa: E402
+
+
+def _completion_files(spark, sf_dir, parts: int = 4) -> tuple[str, object]:
+    """Stored completions written as several files (the arriving stream)."""
+    m = fx.math_rows(spark, sf_dir).withColumn(
+        "event_time", F.timestamp_add("SECOND", F.col("prompt_id") * 10, F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")))
+    path = scratch_path(spark, "completion-stream")
+    m.repartition(parts, "prompt_id").write.mode("overwrite").parquet(path)
+    return path, m.schema
+
+
+@register("stream_scores")
+def q_stream_scores(spark, sf_dir):
+    path, schema = _completion_files(spark, sf_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    scored = sscores.score_stream(stream).select(
+        "prompt_id", "gen_idx", "format_exact", "format_approx", "answer_reward", "number_reward", "reward")
+    name = "scores_" + _uuid.uuid4().hex[:8]
+    return sscores.run_available(scored, name, scratch_path(spark, "ckpt-scores"), "append")
+
+
+@register("stream_group_stats")
+def q_stream_group_stats(spark, sf_dir):
+    path, schema = _completion_files(spark, sf_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stats = sscores.group_stats_stream(sscores.score_stream(stream))
+    name = "gstats_" + _uuid.uuid4().hex[:8]
+    out = sscores.run_available(stats, name, scratch_path(spark, "ckpt-gstats"), "complete")
+    return out.select("prompt_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      F.round("mean_reward", 6).alias("mean_reward"), F.round("std_reward", 6).alias("std_reward"), "n")
+
+
+CHANGE_SCHEMA = "op string, message_id string, subject string, body string, seq long"
+
+
+@register("stream_index")
+def q_stream_index(spark, sf_dir):
+    """Index kept current from a change feed of inserts, updates and deletes
+    (three change files consumed one micro-batch each)."""
+    emails, _ = _tables(spark, sf_dir)
+    e = emails.select("message_id", "subject", "body", F.col("id").alias("ordinal"))
+    o = F.col("ordinal")
+    sets = [
+        e.filter(o % 3 != 0).select(F.lit("insert").alias("op"), "message_id", "subject", "body"),
+        e.filter(o % 3 == 0).select(F.lit("insert").alias("op"), "message_id", "subject", "body").unionByName(
+            e.filter((o % 5 == 1) & (o % 3 != 0)).select(F.lit("update").alias("op"), "message_id",
+                                                          F.concat(F.lit("updated "), F.col("subject")).alias("subject"), "body")),
+        e.filter(o % 7 == 2).select(F.lit("delete").alias("op"), "message_id",
+                                    F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("body")),
+    ]
+    changes = scratch_path(spark, "changes")
+    for i, s in enumerate(sets):
+        s.withColumn("seq", F.lit(i).cast("long")).coalesce(1).write.mode("append").parquet(changes)
+        _time.sleep(1.1)
+    base = scratch_path(spark, "index")
+    sindex.run_change_feed(spark, changes, CHANGE_SCHEMA, base, scratch_path(spark, "ckpt-index"))
+    return sindex.live_postings(spark, base).select("term", "message_id", "field", F.col("pos").cast("int").alias("pos"))

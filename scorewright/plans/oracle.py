@@ -782,3 +782,21 @@ SQL["email_source"] = with_(EMAIL_SOURCE) + """
 SELECT message_id, subject, "from", CAST(len("to") AS INTEGER) AS n_to, CAST(len(cc) AS INTEGER) AS n_cc,
   CAST(len(bcc) AS INTEGER) AS n_bcc, strftime(date, '%Y-%m-%d %H:%M:%S') AS date
 FROM email_source"""
+
+
+# ------------------------------------------------------------------ streaming
+SQL["stream_scores"] = SQL["math_rewards"]
+
+SQL["stream_group_stats"] = with_(MATH_ROWS, MATH_SCORED) + """
+SELECT prompt_id, strftime(date_trunc('hour', TIMESTAMP '2001-01-01 00:00:00' + to_seconds(prompt_id * 10)), '%Y-%m-%d %H:%M:%S') AS window_start,
+  round(avg(reward), 6) AS mean_reward, round(stddev_pop(reward), 6) AS std_reward, count(*) AS n
+FROM totals GROUP BY prompt_id"""
+
+SQL["stream_index"] = with_(EMAIL_SOURCE) + f""",
+final AS (SELECT message_id, CASE WHEN id % 5 = 1 AND id % 3 <> 0 THEN 'updated ' || subject ELSE subject END AS subject, body
+          FROM emails WHERE id % 7 <> 2),
+fields AS (
+  SELECT message_id, 'subject' AS field, {_toks('subject')} AS toks FROM final
+  UNION ALL SELECT message_id, 'body' AS field, {_toks('body')} AS toks FROM final
+)
+SELECT unnest(toks) AS term, message_id, field, CAST(unnest(range(len(toks))) AS INTEGER) AS pos FROM fields"""

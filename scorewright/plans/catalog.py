@@ -747,3 +747,20 @@ def q_stream_index(spark, sf_dir):
     base = scratch_path(spark, "index")
     sindex.run_change_feed(spark, changes, CHANGE_SCHEMA, base, scratch_path(spark, "ckpt-index"))
     return sindex.live_postings(spark, base).select("term", "message_id", "field", F.col("pos").cast("int").alias("pos"))
+
+
+@register("manifest_scan")
+def q_manifest_scan(spark, sf_dir):
+    """Manifest written with the sink (partitioned by split) and read back
+    with its declared schema."""
+    from ..sources import files, sinks
+    s, pdfs, labels = _listings(spark, sf_dir)
+    pairs = records.pair_by_stem(pdfs, labels)
+    meta = s.select(F.col("stem").alias("patent_id"), F.col("record_id").alias("doc_id"), "split")
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    m = (pairs.join(meta, "patent_id").join(docs, "doc_id", "left")
+         .select("patent_id", "pdf_path", "gold_json_path", F.coalesce("text", F.lit("")).alias("text"), "split"))
+    path = scratch_path(spark, "manifest")
+    sinks.write_manifests(m, path)
+    back = files.read_manifest(spark, path)
+    return back.select("patent_id", "pdf_path", "gold_json_path", F.length("text").alias("n_chars"), "split")

@@ -800,3 +800,7 @@ fields AS (
   UNION ALL SELECT message_id, 'body' AS field, {_toks('body')} AS toks FROM final
 )
 SELECT unnest(toks) AS term, message_id, field, CAST(unnest(range(len(toks))) AS INTEGER) AS pos FROM fields"""
+
+SQL["manifest_scan"] = with_(PATENTS, SPLIT) + """
+SELECT pr.patent_id, pr.pdf_path, pr.gold_json_path, CAST(length(coalesce(d.text, '')) AS INTEGER) AS n_chars, s.split
+FROM pairs pr JOIN splits s ON s.stem = pr.patent_id LEFT JOIN documents d ON d.doc_id = s.record_id"""

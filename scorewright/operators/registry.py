@@ -9,7 +9,7 @@ Arrow-batched ``pandas_udf`` (one call per batch, never per row).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -79,8 +79,6 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
 def token_counter(tokenizer_factory: Callable[[], Callable[[str], list]]):
     """Token-count column from a user tokenizer, loaded once per Python
     worker and applied to Arrow batches (iterator pandas UDF)."""
-    from collections.abc import Iterator
-
     @F.pandas_udf(T.IntegerType())
     def count(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = tokenizer_factory()

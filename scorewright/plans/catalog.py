@@ -764,3 +764,14 @@ def q_manifest_scan(spark, sf_dir):
     sinks.write_manifests(m, path)
     back = files.read_manifest(spark, path)
     return back.select("patent_id", "pdf_path", "gold_json_path", F.length("text").alias("n_chars"), "split")
+
+
+def _math_rule(name):
+    def q(spark, sf_dir):
+        return _scored_math(spark, sf_dir).select("prompt_id", "gen_idx", name)
+    q.__name__ = f"q_{name}"
+    return q
+
+
+for _rule in ("format_exact", "format_approx", "answer_reward", "number_reward"):
+    register(_rule)(_math_rule(_rule))

@@ -804,3 +804,6 @@ SELECT unnest(toks) AS term, message_id, field, CAST(unnest(range(len(toks))) AS
 SQL["manifest_scan"] = with_(PATENTS, SPLIT) + """
 SELECT pr.patent_id, pr.pdf_path, pr.gold_json_path, CAST(length(coalesce(d.text, '')) AS INTEGER) AS n_chars, s.split
 FROM pairs pr JOIN splits s ON s.stem = pr.patent_id LEFT JOIN documents d ON d.doc_id = s.record_id"""
+
+for _rule in ("format_exact", "format_approx", "answer_reward", "number_reward"):
+    SQL[_rule] = with_(MATH_ROWS, MATH_SCORED) + f"\nSELECT prompt_id, gen_idx, {_rule} FROM scored"

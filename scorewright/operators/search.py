@@ -65,8 +65,15 @@ def phrase_hits(post: DataFrame, terms: DataFrame) -> DataFrame:
     """(request_id, kw_idx, message_id, field, start, n_terms) for every full
     phrase occurrence. Postings stream through a hash join on ``term``; the
     grouping key includes message_id and start, so a frequent term spreads
-    over many groups."""
-    hits = post.join(broadcast_if_small(terms), "term")
+    over many groups. When the postings are stored partitioned by term
+    ``bucket``, the join also matches on the bucket, so folders of buckets no
+    request uses are pruned at run time."""
+    if "bucket" in post.columns:
+        from ..plans.store import term_bucket
+        terms = terms.withColumn("bucket", term_bucket(F.col("term")))
+        hits = post.join(broadcast_if_small(terms), ["bucket", "term"])
+    else:
+        hits = post.join(broadcast_if_small(terms), "term")
     starts = hits.select("request_id", "kw_idx", "n_terms", "message_id", "field",
                          (F.col("pos") - F.col("term_idx")).alias("start"))
     return (starts.groupBy("request_id", "kw_idx", "message_id", "field", "start", "n_terms")
@@ -125,7 +132,11 @@ def search_with_hits(emails, recipients, requests, post=None):
     with_to = with_to.join(r, (with_to.message_id == r.email_id) & (with_to.to_addr == r.recipient_address), "left_semi")
     cand = cand.filter(F.col("to_addr").isNull()).unionByName(with_to)
     w = Window.partitionBy("request_id").orderBy(F.col("date").desc(), F.col("message_id"))
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("max_results"))
+    # the literal cap lets Spark plan a partial WindowGroupLimit before the
+    # exchange; the per-request limit (<= the cap) is applied after it
+    ranked = (cand.withColumn("rank", F.row_number().over(w))
+              .filter(F.col("rank") <= K.MAX_SEARCH_RESULTS)
+              .filter(F.col("rank") <= F.col("max_results")))
     return ranked.select("request_id", "rank", "message_id", "date"), hits
 
 

@@ -4,7 +4,9 @@
   case-folded, accent-folded runs of letters and digits.
 * Phrase match: every keyword is a phrase; all keywords of a request must
   match, each inside one field (different keywords may hit different fields).
-  A phrase matches at ``start`` when its i-th term is at ``start + i``.
+* Rarest term first: candidates are the messages holding the request's
+  rarest term (from the postings and a per-term count table); each phrase is
+  then verified exactly on the stored space-joined token string of a field.
 * Filters: inbox (sender or any recipient), optional sender, optional
   recipient, half-open date interval on the ``yyyy-MM-dd HH:mm:ss`` text.
 * Top-k per request by date descending (message_id breaks ties); Spark plans
@@ -12,9 +14,10 @@
   the exchange, so a request that matches a third of the corpus still ships
   at most k rows per map task.
 
-The request-term table is broadcast only after its row count is checked
-(``broadcast_if_small``); above the bound the join is a shuffle join with AQE
-skew handling.
+The request-side tables are broadcast only after their row count is checked
+(``broadcast_if_small``); above the bound the joins are shuffle joins with
+AQE skew handling. Stored postings are partitioned by term bucket, so the
+join on (bucket, term) prunes folders of unused buckets at run time.
 """
 
 from __future__ import annotations
@@ -61,36 +64,6 @@ def request_terms(requests: DataFrame) -> DataFrame:
                      F.posexplode("tokens").alias("term_idx", "term"))
 
 
-def phrase_hits(post: DataFrame, terms: DataFrame) -> DataFrame:
-    """(request_id, kw_idx, message_id, field, start, n_terms) for every full
-    phrase occurrence. Postings stream through a hash join on ``term``; the
-    grouping key includes message_id and start, so a frequent term spreads
-    over many groups. When the postings are stored partitioned by term
-    ``bucket``, the join also matches on the bucket, so folders of buckets no
-    request uses are pruned at run time."""
-    if "bucket" in post.columns:
-        from ..plans.store import term_bucket
-        terms = terms.withColumn("bucket", term_bucket(F.col("term")))
-        hits = post.join(broadcast_if_small(terms), ["bucket", "term"])
-    else:
-        hits = post.join(broadcast_if_small(terms), "term")
-    starts = hits.select("request_id", "kw_idx", "n_terms", "message_id", "field",
-                         (F.col("pos") - F.col("term_idx")).alias("start"))
-    return (starts.groupBy("request_id", "kw_idx", "message_id", "field", "start", "n_terms")
-            .agg(F.count(F.lit(1)).alias("m"))
-            .filter(F.col("m") == F.col("n_terms"))
-            .drop("m"))
-
-
-def matching_messages(hits: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, message_id) where every keyword of the request matched."""
-    per_kw = hits.select("request_id", "kw_idx", "message_id").distinct()
-    n_kw = requests.select("request_id", F.size("keywords").alias("n_kw"))
-    got = per_kw.groupBy("request_id", "message_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    return (got.join(broadcast_if_small(n_kw), "request_id")
-            .filter(F.col("n_hit") == F.col("n_kw")).select("request_id", "message_id"))
-
-
 def parties(emails: DataFrame, recipients: DataFrame) -> DataFrame:
     """(message_id, party): the sender and every recipient, distinct. Turns
     'sender = x OR EXISTS recipient = x' into one semi join."""
@@ -104,66 +77,122 @@ def _opt(colname: str, pred: Column) -> Column:
     return F.col(colname).isNull() | pred
 
 
+def with_token_strings(emails: DataFrame, fields=("subject", "body")) -> DataFrame:
+    """Adds ``<field>_toks``: the field's tokens joined by single spaces with
+    a leading and trailing space. A phrase occurs in the field exactly when
+    ' ' + phrase tokens joined + ' ' is a substring (tokens have no spaces)."""
+    return emails.withColumns({f"{f}_toks": F.concat(F.lit(" "), F.array_join(fts_tokens(f), " "), F.lit(" "))
+                               for f in fields})
+
+
+def term_stats(post: DataFrame) -> DataFrame:
+    """(term, n): postings per term (map-side partial counts)."""
+    keys = ["bucket", "term"] if "bucket" in post.columns else ["term"]
+    return post.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _keyword_needles(valid: DataFrame) -> DataFrame:
+    kw = valid.select("request_id", F.posexplode("keywords").alias("kw_idx", "keyword"))
+    kw = kw.withColumn("toks", fts_tokens("keyword"))
+    return kw.select("request_id", "kw_idx", "toks",
+                     F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("needle"))
+
+
+def candidates(post: DataFrame, stats: DataFrame, valid: DataFrame) -> DataFrame:
+    """(request_id, message_id) of messages holding the request's rarest
+    term: a message that matches every phrase must hold every term, so the
+    rarest one bounds the candidates. A frequent term never drives the join
+    unless all of a request's terms are frequent."""
+    terms = request_terms(valid)
+    bucketed = "bucket" in post.columns
+    if bucketed:
+        from ..plans.store import term_bucket
+        terms = terms.withColumn("bucket", term_bucket(F.col("term")))
+    keys = ["bucket", "term"] if bucketed else ["term"]
+    with_n = terms.join(stats, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    anchor = with_n.groupBy("request_id").agg(F.min_by(F.struct(*keys), F.struct("n", "term")).alias("a"))
+    anchor = anchor.select("request_id", *[F.col(f"a.{k}").alias(k) for k in keys])
+    hits = post.select(*keys, "message_id").join(broadcast_if_small(anchor), keys)
+    return hits.select("request_id", "message_id").distinct()
+
+
 def search(emails: DataFrame, recipients: DataFrame, requests: DataFrame,
-           post: DataFrame | None = None) -> DataFrame:
+           post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Batch form of the filtered top-k search. ``requests`` columns:
     request_id, inbox, keywords, from_addr, to_addr, sent_after, sent_before,
-    max_results. Returns request_id, rank, message_id, date, plus the hits
-    for snippets via ``search_with_hits``."""
-    return search_with_hits(emails, recipients, requests, post)[0]
-
-
-def search_with_hits(emails, recipients, requests, post=None):
+    max_results. Returns request_id, rank, message_id, date."""
     valid, _ = validate_requests(requests)
+    if "subject_toks" not in emails.columns:
+        emails = with_token_strings(emails)
     post = post if post is not None else postings(emails)
-    hits = phrase_hits(post, request_terms(valid))
-    cand = matching_messages(hits, valid)
-    meta = valid.select("request_id", "inbox", "from_addr", "to_addr", "sent_after", "sent_before", "max_results")
-    cand = (cand.join(broadcast_if_small(meta), "request_id")
-            .join(emails.select("message_id", "from_address", "date"), "message_id"))
+    stats = stats if stats is not None else term_stats(post)
+    needles = _keyword_needles(valid).groupBy("request_id").agg(F.collect_list("needle").alias("needles"))
+    meta = valid.select("request_id", "inbox", "from_addr", "to_addr", "sent_after", "sent_before",
+                        "max_results").join(needles, "request_id")
+    # no hint here: AQE broadcasts the smaller side from measured sizes
+    cand = (candidates(post, stats, valid).join(meta, "request_id")
+            .join(emails.select("message_id", "from_address", "date", "subject_toks", "body_toks"), "message_id"))
+    every_phrase = F.forall("needles", lambda n: F.contains(F.col("subject_toks"), n) | F.contains(F.col("body_toks"), n))
     cand = cand.filter(
-        _opt("from_addr", F.col("from_address") == F.col("from_addr"))
+        every_phrase
+        & _opt("from_addr", F.col("from_address") == F.col("from_addr"))
         & _opt("sent_after", F.col("date") >= F.concat(F.col("sent_after"), F.lit(" 00:00:00")))
         & _opt("sent_before", F.col("date") < F.concat(F.col("sent_before"), F.lit(" 00:00:00"))))
-    p = parties(emails, recipients)
-    cand = cand.join(p, (cand.message_id == p.message_id) & (cand.inbox == p.party), "left_semi")
-    r = recipients.select(F.col("email_id"), F.col("recipient_address"))
-    with_to = cand.filter(F.col("to_addr").isNotNull())
-    with_to = with_to.join(r, (with_to.message_id == r.email_id) & (with_to.to_addr == r.recipient_address), "left_semi")
-    cand = cand.filter(F.col("to_addr").isNull()).unionByName(with_to)
+    cand = cand.select("request_id", "message_id", "date", "from_address", "inbox", "to_addr", "max_results")
+    rec = recipients.select(F.col("email_id").alias("message_id"), F.col("recipient_address").alias("addr"))
+    # inbox: sender is the inbox, or the inbox is among the recipients; the
+    # recipient side is looked up only for candidate (message, inbox) keys
+    inbox_keys = cand.select("message_id", F.col("inbox").alias("addr")).distinct()
+    in_inbox = rec.join(inbox_keys, ["message_id", "addr"]).distinct().withColumn("_in", F.lit(True))
+    cand = (cand.join(in_inbox.withColumnRenamed("addr", "inbox"), ["message_id", "inbox"], "left")
+            .filter((F.col("from_address") == F.col("inbox")) | F.col("_in").isNotNull()).drop("_in"))
+    to_keys = cand.filter(F.col("to_addr").isNotNull()).select("message_id", F.col("to_addr").alias("addr")).distinct()
+    to_hit = rec.join(to_keys, ["message_id", "addr"]).distinct().withColumn("_to", F.lit(True))
+    cand = (cand.join(to_hit.withColumnRenamed("addr", "to_addr"), ["message_id", "to_addr"], "left")
+            .filter(F.col("to_addr").isNull() | F.col("_to").isNotNull()).drop("_to"))
     w = Window.partitionBy("request_id").orderBy(F.col("date").desc(), F.col("message_id"))
     # the literal cap lets Spark plan a partial WindowGroupLimit before the
     # exchange; the per-request limit (<= the cap) is applied after it
     ranked = (cand.withColumn("rank", F.row_number().over(w))
               .filter(F.col("rank") <= K.MAX_SEARCH_RESULTS)
               .filter(F.col("rank") <= F.col("max_results")))
-    return ranked.select("request_id", "rank", "message_id", "date"), hits
+    return ranked.select("request_id", "rank", "message_id", "date")
 
 
-def snippets(results: DataFrame, hits: DataFrame, emails: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
+def snippets(results: DataFrame, requests: DataFrame, emails: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
     """Snippet per result: the field with a match (subject preferred), a
-    window of ``width`` tokens from the earliest match, matched tokens wrapped
-    in <b>...</b>, ' ... ' where the window cuts the field. (Fragment choice
-    differs from SQLite's scoring heuristic; this one is 'earliest match'.)"""
-    h = hits.join(results.select("request_id", "message_id"), ["request_id", "message_id"], "left_semi")
-    covered = h.select("request_id", "message_id", "field",
-                       F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_terms") - 1)).alias("hpos"))
-    per_field = covered.groupBy("request_id", "message_id", "field").agg(
-        F.min("hpos").alias("first"), F.collect_set("hpos").alias("hset"))
-    pick = Window.partitionBy("request_id", "message_id").orderBy(F.when(F.col("field") == "subject", 0).otherwise(1))
-    best = per_field.withColumn("_o", F.row_number().over(pick)).filter("_o = 1").drop("_o")
+    window of ``width`` tokens from the earliest match, every matched phrase
+    token wrapped in <b>...</b>, ' ... ' where the window cuts the field.
+    (Fragment choice differs from SQLite's scoring heuristic; this one is
+    'earliest match'.) Works on the <= k results per request only."""
+    phrases = _keyword_needles(requests).groupBy("request_id").agg(F.collect_list("toks").alias("phrases"))
     e = emails.select("message_id", "subject", "body")
-    j = best.join(e, "message_id")
-    toks = fts_tokens(F.when(F.col("field") == "subject", F.col("subject")).otherwise(F.col("body")))
-    j = j.withColumn("_t", toks)
+    j = results.join(phrases, "request_id").join(e, "message_id")
+
+    def covered(tok_col):
+        def starts(p):
+            n = F.size(p)
+            return F.when(F.size(tok_col) >= n, F.filter(F.sequence(F.lit(0), F.size(tok_col) - n),
+                                                          lambda i: F.slice(tok_col, i + 1, n) == p)) \
+                .otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.flatten(
+            F.transform(starts(p), lambda i: F.sequence(i, i + F.size(p) - 1))))))
+
+    j = j.withColumns({"_st": fts_tokens("subject"), "_bt": fts_tokens("body")})
+    j = j.withColumns({"_sh": covered(F.col("_st")), "_bh": covered(F.col("_bt"))})
+    use_subject = F.size("_sh") > 0
+    j = j.withColumns({
+        "field": F.when(use_subject, F.lit("subject")).otherwise(F.lit("body")),
+        "_t": F.when(use_subject, F.col("_st")).otherwise(F.col("_bt")),
+        "hset": F.when(use_subject, F.col("_sh")).otherwise(F.col("_bh")),
+    }).withColumn("first", F.array_min("hset"))
     window = F.slice("_t", F.col("first") + 1, width)
     marked = F.transform(window, lambda t, i: F.when(F.array_contains("hset", F.col("first") + i),
                                                       F.concat(F.lit(K.SNIPPET_OPEN), t, F.lit(K.SNIPPET_CLOSE))).otherwise(t))
     text = F.concat(F.when(F.col("first") > 0, F.lit(K.SNIPPET_ELLIPSIS)).otherwise(F.lit("")),
                     F.array_join(marked, " "),
                     F.when(F.col("first") + width < F.size("_t"), F.lit(K.SNIPPET_ELLIPSIS)).otherwise(F.lit("")))
-    return results.join(j.select("request_id", "message_id", "field", text.alias("snippet")),
-                        ["request_id", "message_id"], "left")
+    return j.select(*results.columns, "field", text.alias("snippet"))
 
 
 def scenario_requests(scen: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def _lookup_ids(spark, sf_dir):
 
 @register("read_email")
 def q_read_email(spark, sf_dir):
-    emails, rec, _ = _store(spark, sf_dir)
+    emails, rec, _, _ = _store(spark, sf_dir)
     out = corpus.read_emails(emails, rec, _lookup_ids(spark, sf_dir))
     return out.select("message_id", "date", "subject", "from_address",
                       *[F.array_join(f"{k}_addresses", ",").alias(f"{k}_addresses") for k in ("to", "cc", "bcc")],
@@ -175,23 +175,24 @@ def _store(spark, sf_dir):
 @register("corpus_search")
 def q_corpus_search(spark, sf_dir):
     """Batch search over the stored corpus and postings (built once)."""
-    emails, rec, post = _store(spark, sf_dir)
-    res = search.search(emails, rec, search_requests(spark, sf_dir), post)
+    emails, rec, post, stats = _store(spark, sf_dir)
+    res = search.search(emails, rec, search_requests(spark, sf_dir), post, stats)
     return res.select("request_id", F.col("rank").cast("int").alias("rank"), "message_id", "date")
 
 
 @register("scenario_search")
 def q_scenario_search(spark, sf_dir):
-    emails, rec, post = _store(spark, sf_dir)
-    res = search.search(emails, rec, search.scenario_requests(fx.scenarios(spark, sf_dir)), post)
+    emails, rec, post, stats = _store(spark, sf_dir)
+    res = search.search(emails, rec, search.scenario_requests(fx.scenarios(spark, sf_dir)), post, stats)
     return res.select("request_id", F.col("rank").cast("int").alias("rank"), "message_id", "date")
 
 
 @register("search_snippets")
 def q_search_snippets(spark, sf_dir):
-    emails, rec, post = _store(spark, sf_dir)
-    res, hits = search.search_with_hits(emails, rec, search.scenario_requests(fx.scenarios(spark, sf_dir)), post)
-    return search.snippets(res, hits, emails).select(
+    emails, rec, post, stats = _store(spark, sf_dir)
+    req = search.scenario_requests(fx.scenarios(spark, sf_dir))
+    res = search.search(emails, rec, req, post, stats)
+    return search.snippets(res, req, emails).select(
         "request_id", F.col("rank").cast("int").alias("rank"), "message_id", "field", "snippet")
 
 

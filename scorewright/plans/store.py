@@ -7,6 +7,7 @@ row groups."""
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,21 +17,23 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import sinks
 from . import fixtures as fx
 
-VERSION = "v1"
+VERSION = "v2"
 TERM_BUCKETS = 64
 
 
-def _base(spark: SparkSession, sf_dir: str) -> str:
+def _base(spark: SparkSession, sf_dir: str, tag: str = "") -> str:
+    tag = tag or os.environ.get("SCOREWRIGHT_STORE_TAG", "")
     h = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{h}-{VERSION}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{h}-{VERSION}{tag}"
 
 
 def term_bucket(term) -> F.Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def corpus_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    base = _base(spark, sf_dir)
+def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(emails with token strings, recipients, postings, term statistics)."""
+    base = _base(spark, sf_dir, tag)
     state = {}
 
     def kept():
@@ -40,7 +43,7 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     emails = sinks.build_once(
-        spark, f"{base}/emails", lambda: corpus.emails_table(kept()),
+        spark, f"{base}/emails", lambda: search.with_token_strings(corpus.emails_table(kept())),
         lambda df, p: df.repartitionByRange(n, "date").sortWithinPartitions("date", "message_id")
         .write.mode("overwrite").parquet(p))
     recipients = sinks.build_once(
@@ -51,4 +54,7 @@ def corpus_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         spark, f"{base}/postings", lambda: search.postings(emails).withColumn("bucket", term_bucket(F.col("term"))),
         lambda df, p: df.repartition(n, "bucket").sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(p))
-    return emails, recipients, postings
+    stats = sinks.build_once(
+        spark, f"{base}/term_stats", lambda: search.term_stats(postings),
+        lambda df, p: df.repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(p))
+    return emails, recipients, postings, stats

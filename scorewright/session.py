@@ -43,16 +43,23 @@ def build_session(master: str | None = None, app: str = "scorewright",
     return spark
 
 
+_LOCAL_CKPT: str | None = None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is read and used as is. Only when
     the setting is absent (local runs and tests) a private folder is created.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    global _LOCAL_CKPT
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT
     if not d:
-        d = tempfile.mkdtemp(prefix="scorewright-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = _LOCAL_CKPT = tempfile.mkdtemp(prefix="scorewright-ckpt-")
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - not modifiable at runtime; the context dir below is enough
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -31,27 +31,12 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import collapse_ws, py_strip
-from ..functions.udfs import parse_completion
+from ..functions.udfs import field_scores, parse_completion
 
 def fields_arr() -> Column:
     return F.array(*[F.lit(f) for f in K.RELEVANT_FIELDS])
 
 
-def _ratio_list(gs, ps):
-    if gs is None or ps is None:
-        return None
-    out = []
-    for g, p in zip(gs, ps):
-        out.append(None if g is None or p is None else difflib.SequenceMatcher(None, g, p).ratio())
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def ratio_arrays(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    """Element-wise ratio; null where either side is null (already decided)."""
-    return pd.Series([_ratio_list(g, p) for g, p in zip(gold, pred)])
-
-
 def norm_value(v: Column, max_len: int = K.NORM_MAX_LEN) -> Column:
     """null -> ''; lower; strip; collapse whitespace; cut to max_len after."""
     s = F.coalesce(v, F.lit(""))
@@ -59,18 +44,18 @@ def norm_value(v: Column, max_len: int = K.NORM_MAX_LEN) -> Column:
 
 
 class _Field:
-    """Kind and str() text of one key of a parsed object (both null when the
-    key is absent or there is no object)."""
+    """Kind, str() text and comparison form of one scored field of a parsed
+    object (kind/value null when the key is absent or there is no object).
+    The parse output is aligned to RELEVANT_FIELDS, so this is a positional
+    lookup."""
 
-    def __init__(self, parsed: str, name):
+    def __init__(self, parsed: str, name: str):
         p = F.col(parsed)
-        name = F.lit(name) if isinstance(name, str) else name
-        pos = F.array_position(p["keys"], name)
-        found = pos > 0
-        self.present = F.coalesce(found, F.lit(False))
-        self.kind = F.when(found, F.element_at(p["kinds"], pos.cast("int")))
-        self.value = F.when(found, F.element_at(p["vals"], pos.cast("int")))
-        self.norm = F.coalesce(F.when(found, F.element_at(p["norms"], pos.cast("int"))), F.lit(""))
+        idx = K.RELEVANT_FIELDS.index(name) + 1
+        self.kind = F.element_at(p["fkinds"], idx)
+        self.present = F.coalesce(self.kind.isNotNull(), F.lit(False))
+        self.value = F.element_at(p["fvals"], idx)
+        self.norm = F.coalesce(F.element_at(p["fnorms"], idx), F.lit(""))
 
 
 def _field(parsed: str, name) -> _Field:
@@ -134,24 +119,16 @@ def format_bonus(pred: str = "pred") -> Column:
 
 
 def with_field_similarities(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Adds ``field_used`` (gold non-empty flags) and ``field_sims`` over the
-    14 scored fields; ``field_sims`` is null when the completion has no
-    object. Each intermediate array is its own projection so the optimizer
-    does not inline (and re-evaluate) the regex work into every consumer."""
-    df = df.withColumns({
-        "_g": F.transform(fields_arr(), lambda k: _field(gold, k).norm),
-        "_p": F.transform(fields_arr(), lambda k: _field(pred, k).norm),
-        "field_used": F.transform(fields_arr(), lambda k: gold_nonempty(gold, k)),
-    })
-    df = df.withColumn("_t", F.zip_with("_g", "_p", lambda a, b: F.when(((a == "") & (b == "")) | (a == b), F.lit(1.0))
-                                        .when((a == "") | (b == ""), F.lit(0.0))))
-    need = F.exists("_t", lambda t: t.isNull())
-    df = df.withColumn("_h", ratio_arrays(
-        F.when(need, F.zip_with("_g", "_t", lambda a, t: F.when(t.isNull(), a))),
-        F.when(need, F.zip_with("_p", "_t", lambda b, t: F.when(t.isNull(), b)))))
-    sims = F.when(F.col(pred)["keys"].isNull(), F.lit(None)).otherwise(
-        F.when(F.col("_h").isNull(), F.col("_t")).otherwise(F.zip_with("_t", "_h", lambda t, h: F.coalesce(t, h))))
-    return df.withColumn("field_sims", sims).drop("_g", "_p", "_t", "_h")
+    """Adds ``field_used`` (gold non-empty flags), ``field_sims`` and
+    ``field_mean`` over the 14 scored fields (one Arrow call per batch);
+    sims are null and the mean 0 when the completion has no object."""
+    fs = field_scores(F.col(gold)["fnorms"], F.col(gold)["fused"], F.col(pred)["fnorms"])
+    df = df.withColumn("_fs", fs)
+    return df.withColumns({
+        "field_used": F.col(gold)["fused"],
+        "field_sims": F.col("_fs")["sims"],
+        "field_mean": F.coalesce(F.col("_fs")["mean"], F.lit(0.0)),
+    }).drop("_fs")
 
 
 def field_mean(used: Column, sims: Column) -> Column:
@@ -169,7 +146,6 @@ def score_extraction(df: DataFrame, completion: str = "completion", gold: str =
     w1, w2, w3, w4 = weights
     df = df.withColumns({
         "validity": validity("pred"),
-        "field_mean": field_mean(F.col("field_used"), F.col("field_sims")),
         "constraints": constraints("pred"),
         "format": format_bonus("pred"),
     })

@@ -304,8 +304,8 @@ def q_pair_similarity(spark, sf_dir):
     """Distinct (gold, prediction) normalised pairs of used fields with their
     similarity (checked against difflib in unit tests)."""
     s = _ie_scored(spark, sf_dir)
-    g = F.transform(extraction.fields_arr(), lambda k: extraction._field("gold", k).norm)
-    p = F.transform(extraction.fields_arr(), lambda k: extraction._field("pred", k).norm)
+    g = F.col("gold")["fnorms"]
+    p = F.col("pred")["fnorms"]
     z = F.arrays_zip(g.alias("g"), p.alias("p"), F.col("field_used").alias("u"), F.col("field_sims").alias("s"))
     pairs = s.filter(F.col("field_sims").isNotNull()).select(F.explode(z).alias("z")).filter("z.u")
     return pairs.select(F.col("z.g").alias("gold_norm"), F.col("z.p").alias("pred_norm"),

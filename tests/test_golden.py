@@ -105,9 +105,9 @@ def test_python_whitespace_and_floats(spark):
 
 
 def test_similarity_is_asymmetric():
-    from scorewright.operators.extraction import _ratio_list
-    assert _ratio_list(["tide"], ["diet"]) == [difflib.SequenceMatcher(None, "tide", "diet").ratio()]
-    assert _ratio_list(["tide"], ["diet"]) != _ratio_list(["diet"], ["tide"])
+    from scorewright.functions.udfs import _sim
+    assert _sim("tide", "diet") == difflib.SequenceMatcher(None, "tide", "diet").ratio()
+    assert _sim("tide", "diet") != _sim("diet", "tide")
 
 
 def test_guess_without_tag(spark):

@@ -1,13 +1,18 @@
 """Group-relative statistics over completions that share a prompt.
 
-All groups here are bounded by the number of generations per prompt (K), so a
-window partitioned by the group key never holds more than K rows; the shuffle
-is one hash exchange on the group key, and ranking reuses it.
+Nothing here puts a whole group into one task, so a group that holds a
+third of all rows is still spread over many tasks:
+
+* statistics are partial aggregates (map-side combine) joined back to the
+  rows on the group key; AQE's skew join splits a hot key on the row side;
+* ranks come from a global ordinal over (group, reward desc, tiebreak) on
+  range partitions (a hot group spans many partitions) minus the group's
+  first ordinal (a partial ``min`` aggregate).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -18,20 +23,24 @@ def group_normalize(df: DataFrame, group: str | list[str] = "prompt_id", reward:
     """(r - mean) / (std + eps) with population std; when every reward in the
     group is equal the std is taken as exactly 0 and the result is r - mean."""
     keys = [group] if isinstance(group, str) else list(group)
-    w = Window.partitionBy(*keys)
+    stats = df.groupBy(*keys).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std"),
+                                  (F.max(reward) == F.min(reward)).alias("_flat"))
     r = F.col(reward)
-    mean = F.avg(r).over(w)
-    std = F.stddev_pop(r).over(w)
-    flat = F.max(r).over(w) == F.min(r).over(w)
-    return df.withColumn(out, F.when(flat, r - mean).otherwise((r - mean) / (std + F.lit(eps))))
+    j = df.join(stats, keys)
+    adv = F.when(F.col("_flat"), r - F.col("_mean")).otherwise((r - F.col("_mean")) / (F.col("_std") + F.lit(eps)))
+    return j.withColumn(out, adv).drop("_mean", "_std", "_flat")
 
 
 def group_rank(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
                tiebreak: str = "gen_idx", out: str = "rank") -> DataFrame:
     """1-based rank by reward descending, ties by the generation ordinal."""
+    from .sampling import with_ordinal
+
     keys = [group] if isinstance(group, str) else list(group)
-    w = Window.partitionBy(*keys).orderBy(F.col(reward).desc(), F.col(tiebreak))
-    return df.withColumn(out, F.row_number().over(w))
+    o = with_ordinal(df.withColumn("_neg", -F.col(reward)), [*keys, "_neg", tiebreak], "_ord")
+    first = o.groupBy(*keys).agg(F.min("_ord").alias("_first"))
+    return (o.join(first, keys).withColumn(out, (F.col("_ord") - F.col("_first") + 1).cast("int"))
+            .drop("_neg", "_ord", "_first"))
 
 
 def group_stats(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward") -> DataFrame:

@@ -5,14 +5,14 @@ third of all rows is still spread over many tasks:
 
 * statistics are partial aggregates (map-side combine) joined back to the
   rows on the group key; AQE's skew join splits a hot key on the row side;
-* ranks come from a global ordinal over (group, reward desc, tiebreak) on
-  range partitions (a hot group spans many partitions) minus the group's
-  first ordinal (a partial ``min`` aggregate).
+* ranks use a window for ordinary groups and, for groups above a row bound,
+  a global ordinal over (group, reward desc, tiebreak) on range partitions
+  (a hot group spans many partitions) minus the group's first ordinal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -31,16 +31,35 @@ def group_normalize(df: DataFrame, group: str | list[str] = "prompt_id", reward:
     return j.withColumn(out, adv).drop("_mean", "_std", "_flat")
 
 
+HOT_GROUP_ROWS = 1_000_000
+
+
 def group_rank(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
-               tiebreak: str = "gen_idx", out: str = "rank") -> DataFrame:
-    """1-based rank by reward descending, ties by the generation ordinal."""
+               tiebreak: str = "gen_idx", out: str = "rank", hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """1-based rank by reward descending, ties by the generation ordinal.
+
+    Group sizes come from a partial count. Groups up to ``hot_rows`` rows are
+    ranked with a window (the hash exchange on the group key is shared with
+    the size join). Groups above it are ranked by a global ordinal over
+    range partitions (a hot group spans many partitions) minus the group's
+    first ordinal; only the key, reward and tiebreak columns take that path,
+    and it is skipped when no group is that large."""
     from .sampling import with_ordinal
 
     keys = [group] if isinstance(group, str) else list(group)
-    o = with_ordinal(df.withColumn("_neg", -F.col(reward)), [*keys, "_neg", tiebreak], "_ord")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot_keys = sizes.filter(F.col("_n") > hot_rows).select(*keys)
+    j = df.join(sizes, keys)
+    w = Window.partitionBy(*keys).orderBy(F.col(reward).desc(), F.col(tiebreak))
+    small = j.filter(F.col("_n") <= hot_rows).withColumn(out, F.row_number().over(w)).drop("_n")
+    if hot_keys.limit(1).count() == 0:
+        return small
+    hot = j.filter(F.col("_n") > hot_rows).drop("_n")
+    narrow = hot.select(*keys, tiebreak, (-F.col(reward)).alias("_neg"))
+    o = with_ordinal(narrow, [*keys, "_neg", tiebreak], "_ord")
     first = o.groupBy(*keys).agg(F.min("_ord").alias("_first"))
-    return (o.join(first, keys).withColumn(out, (F.col("_ord") - F.col("_first") + 1).cast("int"))
-            .drop("_neg", "_ord", "_first"))
+    ranks = o.join(first, keys).select(*keys, tiebreak, (F.col("_ord") - F.col("_first") + 1).cast("int").alias(out))
+    return small.unionByName(hot.join(ranks, [*keys, tiebreak]))
 
 
 def group_stats(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward") -> DataFrame:

@@ -36,3 +36,12 @@ def test_dedup_idempotent(spark):
     twice = corpus.dedup_emails(once.select(*src.columns))
     assert once.count() == twice.count()
     assert twice.agg(F.sum("dropped_copies")).first()[0] == 0
+
+
+def test_group_rank_hot_path_matches_window(spark):
+    from scorewright.operators import groups as g
+    df = (math_rewards.score_math(fx.math_rows(spark, SF_SMALL))
+          .withColumn("grp", F.col("prompt_id") % 3).withColumn("uid", F.col("prompt_id") * 4 + F.col("gen_idx")))
+    a = {r["uid"]: r["rank"] for r in g.group_rank(df, "grp", "reward", "uid", hot_rows=10).select("uid", "rank").collect()}
+    b = {r["uid"]: r["rank"] for r in g.group_rank(df, "grp", "reward", "uid").select("uid", "rank").collect()}
+    assert a == b and len(a) == df.count()

@@ -3,11 +3,13 @@
 Nothing here puts a whole group into one task, so a group that holds a
 third of all rows is still spread over many tasks:
 
-* statistics are partial aggregates (map-side combine) joined back to the
-  rows on the group key; AQE's skew join splits a hot key on the row side;
-* ranks use a window for ordinary groups and, for groups above a row bound,
-  a global ordinal over (group, reward desc, tiebreak) on range partitions
-  (a hot group spans many partitions) minus the group's first ordinal.
+* a keys-only partial count decides whether any group is above a row bound;
+* ordinary groups use windows (normalize and rank share one exchange);
+* with a hot group, statistics are partial aggregates joined back to the
+  rows (AQE's skew join splits the hot key on the row side), and ranks come
+  from a global ordinal over (group, reward desc, tiebreak) on range
+  partitions (a hot group spans many partitions) minus the group's first
+  ordinal.
 """
 
 from __future__ import annotations
@@ -18,42 +20,57 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
+HOT_GROUP_ROWS = 1_000_000
+
+
+def has_hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_ROWS) -> bool:
+    """True when some group has more than ``hot_rows`` rows. Reads only the
+    key columns and counts with map-side partial aggregation."""
+    sizes = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.filter(F.col("_n") > hot_rows).limit(1).count() > 0
+
+
 def group_normalize(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
-                    out: str = "advantage", eps: float = K.GROUP_STD_EPS) -> DataFrame:
+                    out: str = "advantage", eps: float = K.GROUP_STD_EPS,
+                    hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """(r - mean) / (std + eps) with population std; when every reward in the
-    group is equal the std is taken as exactly 0 and the result is r - mean."""
+    group is equal the std is taken as exactly 0 and the result is r - mean.
+
+    Ordinary groups: one window pass (the exchange on the group key is shared
+    with a following rank). If any group exceeds ``hot_rows``, statistics are
+    partial aggregates joined back instead, so no task holds a whole hot
+    group (AQE's skew join splits the hot key on the row side)."""
     keys = [group] if isinstance(group, str) else list(group)
+    r = F.col(reward)
+    if not has_hot_groups(df, keys, hot_rows):
+        w = Window.partitionBy(*keys)
+        mean, std = F.avg(r).over(w), F.stddev_pop(r).over(w)
+        flat = F.max(r).over(w) == F.min(r).over(w)
+        return df.withColumn(out, F.when(flat, r - mean).otherwise((r - mean) / (std + F.lit(eps))))
     stats = df.groupBy(*keys).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std"),
                                   (F.max(reward) == F.min(reward)).alias("_flat"))
-    r = F.col(reward)
     j = df.join(stats, keys)
     adv = F.when(F.col("_flat"), r - F.col("_mean")).otherwise((r - F.col("_mean")) / (F.col("_std") + F.lit(eps)))
     return j.withColumn(out, adv).drop("_mean", "_std", "_flat")
 
 
-HOT_GROUP_ROWS = 1_000_000
-
-
 def group_rank(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
                tiebreak: str = "gen_idx", out: str = "rank", hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """1-based rank by reward descending, ties by the generation ordinal.
 
-    Group sizes come from a partial count. Groups up to ``hot_rows`` rows are
-    ranked with a window (the hash exchange on the group key is shared with
-    the size join). Groups above it are ranked by a global ordinal over
-    range partitions (a hot group spans many partitions) minus the group's
-    first ordinal; only the key, reward and tiebreak columns take that path,
-    and it is skipped when no group is that large."""
+    Ordinary groups are ranked with a window. If some group exceeds
+    ``hot_rows``, those groups are ranked by a global ordinal over range
+    partitions (a hot group spans many partitions) minus the group's first
+    ordinal; only key, reward and tiebreak columns take that path."""
     from .sampling import with_ordinal
 
     keys = [group] if isinstance(group, str) else list(group)
+    w = Window.partitionBy(*keys).orderBy(F.col(reward).desc(), F.col(tiebreak))
+    if not has_hot_groups(df, keys, hot_rows):
+        return df.withColumn(out, F.row_number().over(w))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = sizes.filter(F.col("_n") > hot_rows).select(*keys)
     j = df.join(sizes, keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(reward).desc(), F.col(tiebreak))
     small = j.filter(F.col("_n") <= hot_rows).withColumn(out, F.row_number().over(w)).drop("_n")
-    if hot_keys.limit(1).count() == 0:
-        return small
     hot = j.filter(F.col("_n") > hot_rows).drop("_n")
     narrow = hot.select(*keys, tiebreak, (-F.col(reward)).alias("_neg"))
     o = with_ordinal(narrow, [*keys, "_neg", tiebreak], "_ord")

@@ -45,3 +45,11 @@ def test_group_rank_hot_path_matches_window(spark):
     a = {r["uid"]: r["rank"] for r in g.group_rank(df, "grp", "reward", "uid", hot_rows=10).select("uid", "rank").collect()}
     b = {r["uid"]: r["rank"] for r in g.group_rank(df, "grp", "reward", "uid").select("uid", "rank").collect()}
     assert a == b and len(a) == df.count()
+
+
+def test_group_normalize_hot_path_matches_window(spark):
+    from scorewright.operators import groups as g
+    df = math_rewards.score_math(fx.math_rows(spark, SF_SMALL)).withColumn("grp", F.col("prompt_id") % 3)
+    a = {(r["prompt_id"], r["gen_idx"]): round(r["advantage"], 9) for r in g.group_normalize(df, "grp", hot_rows=10).collect()}
+    b = {(r["prompt_id"], r["gen_idx"]): round(r["advantage"], 9) for r in g.group_normalize(df, "grp").collect()}
+    assert a == b

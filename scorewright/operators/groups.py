@@ -32,9 +32,10 @@ def has_hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_ROW
 
 def group_normalize(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
                     out: str = "advantage", eps: float = K.GROUP_STD_EPS,
-                    hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                    hot_rows: int = HOT_GROUP_ROWS, hot: bool | None = None) -> DataFrame:
     """(r - mean) / (std + eps) with population std; when every reward in the
     group is equal the std is taken as exactly 0 and the result is r - mean.
+    ``hot`` passes an already computed ``has_hot_groups`` answer.
 
     Ordinary groups: one window pass (the exchange on the group key is shared
     with a following rank). If any group exceeds ``hot_rows``, statistics are
@@ -42,7 +43,7 @@ def group_normalize(df: DataFrame, group: str | list[str] = "prompt_id", reward:
     group (AQE's skew join splits the hot key on the row side)."""
     keys = [group] if isinstance(group, str) else list(group)
     r = F.col(reward)
-    if not has_hot_groups(df, keys, hot_rows):
+    if not (has_hot_groups(df, keys, hot_rows) if hot is None else hot):
         w = Window.partitionBy(*keys)
         mean, std = F.avg(r).over(w), F.stddev_pop(r).over(w)
         flat = F.max(r).over(w) == F.min(r).over(w)
@@ -55,7 +56,8 @@ def group_normalize(df: DataFrame, group: str | list[str] = "prompt_id", reward:
 
 
 def group_rank(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
-               tiebreak: str = "gen_idx", out: str = "rank", hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+               tiebreak: str = "gen_idx", out: str = "rank", hot_rows: int = HOT_GROUP_ROWS,
+               hot: bool | None = None) -> DataFrame:
     """1-based rank by reward descending, ties by the generation ordinal.
 
     Ordinary groups are ranked with a window. If some group exceeds
@@ -66,7 +68,7 @@ def group_rank(df: DataFrame, group: str | list[str] = "prompt_id", reward: str
 
     keys = [group] if isinstance(group, str) else list(group)
     w = Window.partitionBy(*keys).orderBy(F.col(reward).desc(), F.col(tiebreak))
-    if not has_hot_groups(df, keys, hot_rows):
+    if not (has_hot_groups(df, keys, hot_rows) if hot is None else hot):
         return df.withColumn(out, F.row_number().over(w))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     j = df.join(sizes, keys)

@@ -69,8 +69,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     group-relative advantage -> rank. One hash exchange on prompt_id serves
     both windows."""
     df = _scored_math(spark, sf_dir)
-    df = groups.group_normalize(df)
-    df = groups.group_rank(df)
+    hot = groups.has_hot_groups(df, ["prompt_id"])
+    df = groups.group_normalize(df, hot=hot)
+    df = groups.group_rank(df, hot=hot)
     return df.select("prompt_id", "gen_idx", "format_exact", "format_approx", "answer_reward",
                      "number_reward", "reward", F.round("advantage", 6).alias("advantage"), "rank")
 

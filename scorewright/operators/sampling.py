@@ -131,6 +131,8 @@ def head_limit(df: DataFrame, order_cols: list[str], limit, falsy_means_all: boo
     does (slice form ``[:limit]``, where 0 keeps nothing)."""
     if limit is None or (falsy_means_all and not limit):
         return df
+    if int(limit) <= 0:
+        return df.limit(0)
     return df.orderBy(*order_cols).limit(int(limit))
 
 

@@ -122,3 +122,16 @@ def test_extract_hook_with_fallback(spark):
     out = files.extract_text(fl, lambda: (lambda b: b.decode("utf-8")), lambda: (lambda b: b.decode("latin-1")))
     got = {os.path.basename(r["path"]): r["text"] for r in out.collect()}
     assert got == {"a.txt": "héllo", "b.txt": "ÿþ"}
+
+
+def test_label_sink_and_head_limit_rules(spark):
+    from scorewright.operators import sampling
+    path = tempfile.mkdtemp(prefix="sw-lab-") + "/l"
+    df = spark.createDataFrame([("patent_US1A1", '{"title":"a"}'), ("patent_7", '{"title":"b"}')], "file_stem string, json string")
+    sinks.write_label_records(df, path)
+    assert sorted(r["file_stem"] for r in spark.read.json(path).collect()) == ["patent_7", "patent_US1A1"]
+    ids = spark.range(5).withColumnRenamed("id", "k")
+    assert sampling.head_limit(ids, ["k"], 0).count() == 5          # 'if limit:' keeps all on 0
+    assert sampling.head_limit(ids, ["k"], 0, falsy_means_all=False).count() == 0   # slice form
+    assert sampling.head_limit(ids, ["k"], None, falsy_means_all=False).count() == 5
+    assert [r["k"] for r in sampling.head_limit(ids, ["k"], 2).collect()] == [0, 1]

@@ -15,8 +15,9 @@ def test_late_rows_dropped_after_watermark(spark):
     ok = "<end_working_out><SOLUTION>5</SOLUTION>"
     rows1 = [(1, i, "5", ok, "2001-01-01 00:10:00") for i in range(4)]
     rows2 = [(2, 0, "5", ok, "2001-01-01 03:00:00")]   # moves the watermark to 02:50
-    rows3 = [(1, 9, "5", "late and wrong", "2001-01-01 00:20:00"), (3, 0, "5", ok, "2001-01-01 06:00:00")]
-    for rows in (rows1, rows2, rows3):
+    rows3 = [(3, 0, "5", ok, "2001-01-01 06:00:00")]   # window of prompt 1 is emitted and evicted
+    rows4 = [(1, 9, "5", "late and wrong", "2001-01-01 00:20:00")]
+    for rows in (rows1, rows2, rows3, rows4):
         (spark.createDataFrame(rows, "prompt_id long, gen_idx int, answer string, completion string, t string")
          .select("prompt_id", "gen_idx", "answer", "completion", F.col("t").cast("timestamp_ntz").alias("event_time"))
          .coalesce(1).write.mode("append").parquet(f"{base}/in"))
@@ -24,10 +25,12 @@ def test_late_rows_dropped_after_watermark(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     stats = scores.group_stats_stream(scores.score_stream(stream), window="1 hour", delay="10 minutes")
     out = scores.run_available(stats, "late_" + uuid.uuid4().hex[:6], f"{base}/ckpt", "append")
-    got = {r["prompt_id"]: r["n"] for r in out.collect()}
-    assert got.get(1) == 4          # the late row of prompt 1 was dropped
-    assert got.get(2) == 1
-    assert 3 not in got             # the last window is still open
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["prompt_id"], []).append(r["n"])
+    assert 4 in got[1] and 5 not in got[1]   # the emitted window is final; the late row never joins it
+    assert got[2] == [1]
+    assert 3 not in got                      # the last window is still open
 
 
 def test_stream_scores_equal_batch(spark):

@@ -85,6 +85,17 @@ def with_token_strings(emails: DataFrame, fields=("subject", "body")) -> DataFra
                                for f in fields})
 
 
+def postings_from_token_strings(emails: DataFrame, fields=("subject", "body")) -> DataFrame:
+    """Postings from stored ``<field>_toks`` strings (no second tokenising
+    pass over the texts)."""
+    def toks(f):
+        return F.filter(F.split(F.trim(F.col(f"{f}_toks")), " ", -1), lambda x: x != "")
+    arr = F.array(*[F.struct(F.lit(f).alias("field"), toks(f).alias("tokens")) for f in fields])
+    return (emails.select("message_id", F.explode(arr).alias("f"))
+            .select(F.col("message_id"), F.col("f.field").alias("field"),
+                    F.posexplode("f.tokens").alias("pos", "term")))
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     """(term, n): postings per term (map-side partial counts)."""
     keys = ["bucket", "term"] if "bucket" in post.columns else ["term"]

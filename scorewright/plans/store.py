@@ -17,7 +17,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import sinks
 from . import fixtures as fx
 
-VERSION = "v2"
+VERSION = "v3"
 TERM_BUCKETS = 64
 
 
@@ -51,7 +51,7 @@ def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataF
         lambda df, p: df.repartitionByRange(n, "recipient_address").sortWithinPartitions("recipient_address", "email_id")
         .write.mode("overwrite").parquet(p))
     postings = sinks.build_once(
-        spark, f"{base}/postings", lambda: search.postings(emails).withColumn("bucket", term_bucket(F.col("term"))),
+        spark, f"{base}/postings", lambda: search.postings_from_token_strings(emails).withColumn("bucket", term_bucket(F.col("term"))),
         lambda df, p: df.repartition(n, "bucket").sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(p))
     stats = sinks.build_once(

@@ -53,3 +53,39 @@ def test_group_normalize_hot_path_matches_window(spark):
     a = {(r["prompt_id"], r["gen_idx"]): round(r["advantage"], 9) for r in g.group_normalize(df, "grp", hot_rows=10).collect()}
     b = {(r["prompt_id"], r["gen_idx"]): round(r["advantage"], 9) for r in g.group_normalize(df, "grp").collect()}
     assert a == b
+
+
+def test_search_results_satisfy_filters(spark):
+    from scorewright.plans import catalog
+    from scorewright.plans.store import corpus_store
+    emails, rec, post, stats = corpus_store(spark, SF_SMALL)
+    req = catalog.search_requests(spark, SF_SMALL)
+    from scorewright.operators import search
+    res = search.search(emails, rec, req, post, stats)
+    j = (res.join(req, "request_id").join(emails.select("message_id", "from_address", "subject_toks", "body_toks"), "message_id"))
+    rows = j.collect()
+    recips = {}
+    for r in rec.collect():
+        recips.setdefault(r["email_id"], set()).add(r["recipient_address"])
+    for r in rows:
+        assert r["rank"] <= r["max_results"]
+        assert r["from_address"] == r["inbox"] or r["inbox"] in recips.get(r["message_id"], set())
+        if r["from_addr"]:
+            assert r["from_address"] == r["from_addr"]
+        if r["to_addr"]:
+            assert r["to_addr"] in recips.get(r["message_id"], set())
+        if r["sent_before"]:
+            assert r["date"] < r["sent_before"] + " 00:00:00"
+        if r["sent_after"]:
+            assert r["date"] >= r["sent_after"] + " 00:00:00"
+
+
+def test_stored_postings_equal_fresh_postings(spark):
+    from scorewright.operators import corpus as c
+    from scorewright.operators import search
+    from scorewright.plans.store import corpus_store
+    emails, _, post, _ = corpus_store(spark, SF_SMALL)
+    fresh = search.postings(c.emails_table(c.dedup_emails(fx.email_source(spark, SF_SMALL))))
+    cols = ["term", "message_id", "field", "pos"]
+    assert post.select(*cols).exceptAll(fresh.select(*cols)).count() == 0
+    assert fresh.select(*cols).exceptAll(post.select(*cols)).count() == 0

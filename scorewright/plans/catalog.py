@@ -288,8 +288,9 @@ def q_reward_join(spark, sf_dir):
     rows = fx.ie_rows(spark, sf_dir)
     gold = extraction.parse_gold(rows.select("row_id", "gold_json")).drop("gold_json")
     comps = rows.select("row_id", "prompt_id", "completion")
+    hot = groups.has_hot_groups(comps, ["prompt_id"])  # group sizes are known before scoring
     scored = extraction.score_extraction(comps.join(gold, "row_id"))
-    out = groups.group_normalize(scored, "prompt_id")
+    out = groups.group_normalize(scored, "prompt_id", hot=hot)
     return out.select("row_id", "prompt_id", _r6("reward"), _r6("advantage"))
 
 

@@ -89,3 +89,20 @@ def test_stored_postings_equal_fresh_postings(spark):
     cols = ["term", "message_id", "field", "pos"]
     assert post.select(*cols).exceptAll(fresh.select(*cols)).count() == 0
     assert fresh.select(*cols).exceptAll(post.select(*cols)).count() == 0
+
+
+def test_dedup_with_hot_copy_group(spark):
+    """One (subject, body, from) key holds a third of the rows: the first copy
+    is kept, the rest counted, and the aggregation is partial (map-side)."""
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("subject"),
+        F.when(F.col("id") % 3 == 0, F.lit("same body")).otherwise(F.lit("b")).alias("body"),
+        F.lit("a@ex.com").alias("from"),
+        F.col("id").alias("ordinal"), F.col("id").cast("string").alias("message_id"))
+    kept = corpus.keep_first(df)
+    hot = kept.filter("subject = 'hot'").first()
+    assert hot["ordinal"] == 0 and hot["dropped_copies"] == n // 3 - 1
+    assert kept.count() == n - (n // 3 - 1)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan or "partial_" in plan

@@ -784,3 +784,18 @@ def _math_rule(name):
 
 for _rule in ("format_exact", "format_approx", "answer_reward", "number_reward"):
     register(_rule)(_math_rule(_rule))
+
+
+MAX_PROMPT_LENGTH = 2048
+
+
+@register("prompt_truncation")
+def q_prompt_truncation(spark, sf_dir):
+    """Extraction prompts cut to the prompt budget (whitespace tokens); the
+    completion budget is what is left of the sequence budget."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"], key="doc_id")
+    toks = F.split(F.trim(F.regexp_replace(prompts.extraction_prompt("text"), "[ \\t\\n\\r\\f]+", " ")), " ", -1)
+    cut = sampling.truncate_tokens(toks, MAX_PROMPT_LENGTH)
+    return d.select("doc_id", F.size(toks).alias("n_tokens"), F.size(cut).alias("n_kept"),
+                    F.array_join(cut, " ").alias("prompt"),
+                    F.lit(MAX_SEQ_LENGTH * 2 - MAX_PROMPT_LENGTH).alias("max_completion_tokens"))

@@ -807,3 +807,10 @@ FROM pairs pr JOIN splits s ON s.stem = pr.patent_id LEFT JOIN documents d ON d.
 
 for _rule in ("format_exact", "format_approx", "answer_reward", "number_reward"):
     SQL[_rule] = with_(MATH_ROWS, MATH_SCORED) + f"\nSELECT prompt_id, gen_idx, {_rule} FROM scored"
+
+SQL["prompt_truncation"] = f"""
+WITH t AS (SELECT doc_id, string_split(trim(regexp_replace({q(_HEAD)} || text || {q(_TAIL)}, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ') AS toks
+           FROM documents)
+SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(least(len(toks), 2048) AS INTEGER) AS n_kept,
+  array_to_string(toks[1:2048], ' ') AS prompt, 2048 AS max_completion_tokens
+FROM t"""

@@ -106,3 +106,15 @@ def test_dedup_with_hot_copy_group(spark):
     assert kept.count() == n - (n // 3 - 1)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan or "partial_" in plan
+
+
+def test_epoch_resume_and_stop(spark):
+    items = spark.range(5).withColumnRenamed("id", "k")
+    full = sampling.epoch_batches(items, "k", groups_per_step=2, num_epochs=3, seed=1)
+    resumed = sampling.epoch_batches(items, "k", groups_per_step=2, num_epochs=3, seed=1, initial_step=4, max_steps=6)
+    f = {(r["step"], r["k"]) for r in full.collect()}
+    g = {(r["step"], r["k"]) for r in resumed.collect()}
+    assert g == {x for x in f if 4 <= x[0] <= 6}
+    per_epoch = full.groupBy("epoch").count().collect()
+    assert all(r["count"] == 5 for r in per_epoch)
+    assert full.agg(F.max("step")).first()[0] == 3 * 3 - 1   # ceil(5/2) steps per epoch

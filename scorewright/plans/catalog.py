@@ -727,7 +727,7 @@ def q_stream_group_stats(spark, sf_dir):
     stats = sscores.group_stats_stream(sscores.score_stream(stream))
     name = "gstats_" + _uuid.uuid4().hex[:8]
     out = sscores.run_available(stats, name, scratch_path(spark, "ckpt-gstats"), "complete")
-    return out.select("prompt_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+    return out.select("prompt_id", sscores.instant_to_utc_text(F.col("window.start")).alias("window_start"),
                       F.round("mean_reward", 6).alias("mean_reward"), F.round("std_reward", 6).alias("std_reward"), "n")
 
 

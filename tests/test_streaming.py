@@ -44,3 +44,16 @@ def test_stream_scores_equal_batch(spark):
     want = math_rewards.score_math(df)
     assert sorted(tuple(r) for r in got.select("id", "reward").collect()) == \
         sorted(tuple(r) for r in want.select("id", "reward").collect())
+
+
+def test_window_stats_independent_of_session_zone(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    q = E.queries()["stream_group_stats"]
+    a = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        b = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert a == b and a[0][1].endswith(":00:00")

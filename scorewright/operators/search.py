@@ -123,7 +123,9 @@ def candidates(post: DataFrame, stats: DataFrame, valid: DataFrame) -> DataFrame
     with_n = terms.join(stats, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     anchor = with_n.groupBy("request_id").agg(F.min_by(F.struct(*keys), F.struct("n", "term")).alias("a"))
     anchor = anchor.select("request_id", *[F.col(f"a.{k}").alias(k) for k in keys])
-    hits = post.select(*keys, "message_id").join(broadcast_if_small(anchor), keys)
+    # one anchor per request: the request count bounds the broadcast
+    small = valid.select("request_id").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = post.select(*keys, "message_id").join(F.broadcast(anchor) if small else anchor, keys)
     return hits.select("request_id", "message_id").distinct()
 
 

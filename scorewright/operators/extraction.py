@@ -22,12 +22,8 @@ per prompt, before completions are joined to it.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import collapse_ws, py_strip

@@ -225,7 +225,6 @@ def q_search_filters(spark, sf_dir):
 
 
 # ------------------------------------------------------- extraction rewards
-from ..functions.text import collapse_ws, py_strip  # noqa: E402
 from ..operators import extraction  # noqa: E402
 
 

@@ -57,3 +57,23 @@ def test_window_stats_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert a == b and a[0][1].endswith(":00:00")
+
+
+def test_change_feed_batches_are_idempotent_and_compact(spark):
+    from scorewright.streaming import index
+    base = tempfile.mkdtemp(prefix="sw-idx-")
+    rows0 = [("insert", "m1", "Hello world", "alpha beta"), ("insert", "m2", "Other", "beta gamma")]
+    rows1 = [("update", "m1", "Hello again", "delta"), ("delete", "m2", None, None)]
+    schema = "op string, message_id string, subject string, body string"
+    apply = index.apply_changes(base)
+    apply(spark.createDataFrame(rows0, schema), 0)
+    apply(spark.createDataFrame(rows1, schema), 1)
+    first = sorted(tuple(r) for r in index.live_postings(spark, base).select("term", "message_id", "field", "pos").collect())
+    apply(spark.createDataFrame(rows1, schema), 1)          # a retried batch rewrites only its own folder
+    again = sorted(tuple(r) for r in index.live_postings(spark, base).select("term", "message_id", "field", "pos").collect())
+    assert first == again
+    assert {t for t, m, _, _ in first} == {"hello", "again", "delta"} and {m for _, m, _, _ in first} == {"m1"}
+    out = base + "/compacted"
+    index.compact(spark, base, out)
+    comp = sorted(tuple(r) for r in spark.read.parquet(out).select("term", "message_id", "field", "pos").collect())
+    assert comp == first

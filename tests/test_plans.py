@@ -34,3 +34,11 @@ def test_quantile_cut_exact_and_sketch(spark):
     df = spark.range(0, 8).withColumnRenamed("id", "n")
     assert prompts.quantile_cut(df, "n", 0.9) == 6          # 6.3 truncated
     assert prompts.quantile_cut(df, "n", 0.9, exact=False) in (6, 7)
+
+
+def test_spread_is_noop_when_scan_has_enough_splits(spark):
+    from scorewright.sources.tables import spread
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert spread(many, "id") is many
+    few = spark.range(0, 1000, numPartitions=1)
+    assert spread(few, "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

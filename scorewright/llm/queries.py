@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table_path
+from . import rules, winnow
 from .token_count import count_tokens
 from .transducer import encode_documents
 
@@ -26,9 +27,17 @@ def op1_token_counts(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir), tokenizer_file(BYTE_FILE))
 
 
+def op3_quality_rules(spark, sf_dir):
+    return rules.quality_rules(documents(spark, sf_dir))
+
+
 def op8_bpe_codec(spark, sf_dir):
     return encode_documents(documents(spark, sf_dir), tokenizer_file(WORD_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_bpe_codec)}
-SQL: dict[str, str] = {}
+def op10_winnowing(spark, sf_dir):
+    return winnow.decontaminate(documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op8_bpe_codec, op10_winnowing)}
+SQL = {"op3_quality_rules": rules.SQL, "op10_winnowing": winnow.SQL}

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table_path
 from . import rules, winnow
+from .packing import pack_documents
+from .secrets import scan_secrets
+from .sharding import shard_documents
 from .token_count import count_tokens
 from .transducer import encode_documents
 
@@ -27,17 +30,30 @@ def op1_token_counts(spark, sf_dir):
     return count_tokens(documents(spark, sf_dir), tokenizer_file(BYTE_FILE))
 
 
+def op2_pack_sequences(spark, sf_dir):
+    return pack_documents(documents(spark, sf_dir), tokenizer_file(BYTE_FILE))
+
+
 def op3_quality_rules(spark, sf_dir):
     return rules.quality_rules(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return scan_secrets(documents(spark, sf_dir))
+
+
 def op8_bpe_codec(spark, sf_dir):
     return encode_documents(documents(spark, sf_dir), tokenizer_file(WORD_FILE))
 
 
+def op9_lpt_shards(spark, sf_dir):
+    return shard_documents(documents(spark, sf_dir))
+
+
 def op10_winnowing(spark, sf_dir):
     return winnow.decontaminate(documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op8_bpe_codec, op10_winnowing)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_pack_sequences, op3_quality_rules, op6_secret_scan, op8_bpe_codec, op9_lpt_shards, op10_winnowing)}
 SQL = {"op3_quality_rules": rules.SQL, "op10_winnowing": winnow.SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table_path
 from . import mil, rules, winnow
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -38,6 +39,10 @@ def op3_quality_rules(spark, sf_dir):
     return rules.quality_rules(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op5_quality_mil(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return mil.classify(docs, mil.train(docs, spark.read.parquet(table_path(sf_dir, "labels"))))
@@ -60,5 +65,5 @@ def op10_winnowing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_pack_sequences, op3_quality_rules, op5_quality_mil, op6_secret_scan, op8_bpe_codec, op9_lpt_shards, op10_winnowing)}
+    op1_token_counts, op2_pack_sequences, op3_quality_rules, op4_jaccard_join, op5_quality_mil, op6_secret_scan, op8_bpe_codec, op9_lpt_shards, op10_winnowing)}
 SQL = {"op3_quality_rules": rules.SQL, "op10_winnowing": winnow.SQL}

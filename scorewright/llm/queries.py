@@ -8,6 +8,7 @@ from ..sources.tables import table_path
 from . import mil, rules, winnow
 from .jaccard import jaccard_components
 from .packing import pack_documents
+from .repeats import remove_repeats
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .token_count import count_tokens
@@ -52,6 +53,10 @@ def op6_secret_scan(spark, sf_dir):
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op7_repeated_strings(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op8_bpe_codec(spark, sf_dir):
     return encode_documents(documents(spark, sf_dir), tokenizer_file(WORD_FILE))
 
@@ -65,5 +70,5 @@ def op10_winnowing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_pack_sequences, op3_quality_rules, op4_jaccard_join, op5_quality_mil, op6_secret_scan, op8_bpe_codec, op9_lpt_shards, op10_winnowing)}
+    op1_token_counts, op2_pack_sequences, op3_quality_rules, op4_jaccard_join, op5_quality_mil, op6_secret_scan, op7_repeated_strings, op8_bpe_codec, op9_lpt_shards, op10_winnowing)}
 SQL = {"op3_quality_rules": rules.SQL, "op10_winnowing": winnow.SQL}

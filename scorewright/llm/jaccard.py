@@ -450,3 +450,18 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     found = components(found, "op4-components")
     out = whole.join(found.toDF("rep", "root"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group stays, the one with the least id, with all
+    its columns; of rows that repeat an id one stays.  Documents without words
+    and rows without an id are in no group and stay."""
+    own = jaccard_components(docs, k, percent, doc_id, text).filter("doc_id is not null")
+    own = own.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    own = _kept(own.filter("least < doc_id or n > 1").select(F.col("doc_id").alias("_d"), (F.col("least") < F.col("doc_id")).alias("_gone")), "op4-gone")
+    same = docs[doc_id].cast("long") == F.col("_d")
+    kept = docs.join(own.filter("_gone").hint("shuffle_hash"), same, "left_anti")
+    again = own.filter("not _gone")
+    if not again.limit(1).count():
+        return kept
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id]))

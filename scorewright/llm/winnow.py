@@ -78,22 +78,20 @@ def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return step.groupBy("n", "window").agg(F.collect_set("item").alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated.
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("_t")).withColumn("_th", F.xxhash64("_t"))
 
-    Three steps.  The items' windows and fingerprints are written (their size
-    is then known, so Spark broadcasts them below its threshold and shuffles
-    them otherwise).  One pass over the texts joins the documents'
-    fingerprints with them.  Only documents with a hit are joined with their
-    text again, on the narrow side's hash table, and have the windows around
-    their hits compared.  Documents are told apart by (doc_id, hash of text),
-    so repeated rows and null ids keep their own results.  A null text has no
-    words; a document without words, and any document when there are no items,
-    is clean; other columns are not read."""
+
+def _hits(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(_d, _h, n_hit, items) of the keyed documents (doc_id, _t, _th) that hold
+    a window.
+
+    The items' windows and fingerprints are written (their size is then known,
+    so Spark broadcasts them below its threshold and shuffles them otherwise).
+    One pass over the texts joins the documents' fingerprints with them.  Only
+    documents with a hit are joined with their text again, on the narrow side's
+    hash table, and have the windows around their hits compared."""
     spark = docs.sparkSession
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("_t")).withColumn("_th", F.xxhash64("_t"))
     items = items.select(items[item_id].alias("_item"), items[item_text].alias("_text"))
 
     win_path, fp_path, cand_path = (scratch_path(spark, f"op10-{x}") for x in ("windows", "prints", "hits"))
@@ -111,7 +109,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     # extend: every window of the right length that holds a hit
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_h"))
-    held = docs.join(cand.hint("shuffle_hash"), same).dropDuplicates(key).select(*key, "hits", F.transform(words(F.col("_t")), lowered).alias("w"))
+    held = docs.join(cand.hint("shuffle_hash"), same).select(*key, "hits", F.transform(words(F.col("_t")), lowered).alias("w"))
     turn = 1 << POS_BITS
     place = F.transform("hits", lambda x: F.transform(
         F.sequence(x["pos"], F.greatest(F.size("w").cast("long"), x["pos"]), F.lit(turn).cast("long")),
@@ -126,9 +124,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))))
     per_doc = hits.groupBy(*key).agg(covered.cast("long").alias("n_hit"),
                                      F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_h"), "n_hit", "items")
+    return per_doc.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_h"), "n_hit", "items")
 
-    every = docs.select(*key, F.size(words(F.col("_t"))).cast("long").alias("n_words"))
+
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated.
+
+    Documents are told apart by (doc_id, hash of text), so repeated rows and
+    null ids keep their own results.  A null text has no words; a document
+    without words, and any document when there are no items, is clean; other
+    columns are not read."""
+    docs = _keyed(docs, doc_id, text)
+    per_doc = _hits(docs, items, item_id, item_text)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_h"))
+    every = docs.select("doc_id", "_th", F.size(words(F.col("_t"))).cast("long").alias("n_words"))
     out = every.join(per_doc, same, "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                       F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -136,6 +147,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                       F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                      item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows without a hit, with all their columns."""
+    found = _hits(_keyed(docs, doc_id, text), items, item_id, item_text).select("_d", "_h")
+    same = docs[doc_id].cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_h"))
+    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
       list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),

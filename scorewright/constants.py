@@ -58,6 +58,11 @@ THINK_OPEN = "<think>"
 THINK_CLOSE = "</think>"
 HASH_MARK = "####"
 
+# Answer patterns (regular expressions, dot and line modes on).
+FORMAT_PATTERN = r"(?dms)<end_working_out>.*?<SOLUTION>(.+?)</SOLUTION>[\s]{0,}(?:<\|endoftext\|>)?[\s]{0,}$"
+NUMBER_PATTERN = r"(?dms)<SOLUTION>.*?[\s]{0,}([-]?[\d\.\,]{1,})"
+GUESS_PATTERN = r"<guess>\s*([a-zA-Z]+)\s*</guess>"
+
 # Reward points of the math rewards.
 EXACT_FORMAT_POINTS = 3.0
 APPROX_TAG_ONCE = 0.5

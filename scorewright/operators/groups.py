@@ -1,90 +1,89 @@
 """Group-relative statistics over completions that share a prompt.
 
-Nothing here puts a whole group into one task, so a group that holds a
-third of all rows is still spread over many tasks:
-
-* a keys-only partial count decides whether any group is above a row bound;
-* ordinary groups use windows (normalize and rank share one exchange);
-* with a hot group, statistics are partial aggregates joined back to the
-  rows (AQE's skew join splits the hot key on the row side), and ranks come
-  from a global ordinal over (group, reward desc, tiebreak) on range
-  partitions (a hot group spans many partitions) minus the group's first
-  ordinal.
+One path whatever the group sizes, and nothing puts a whole group into one
+task, so a group that holds a third of all rows is still spread over many:
+
+* statistics are partial aggregates, written once in the shared folder (one row
+  per group) and joined back null-safe; both sides of that join are plain
+  shuffles, so AQE splits a hot key on the row side;
+* ranks come from one range partitioning on (group, reward descending with
+  nulls last, tiebreak): a row's position less its group's first position.  The
+  positions are carried on the rows, so equal tiebreaks and null keys keep one
+  rank per row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import cut_lineage
 
 
-HOT_GROUP_ROWS = 1_000_000
+def _keys(group: str | list[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
 
 
-def has_hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_ROWS) -> bool:
-    """True when some group has more than ``hot_rows`` rows. Reads only the
-    key columns and counts with map-side partial aggregation."""
-    sizes = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.filter(F.col("_n") > hot_rows).limit(1).count() > 0
+def _join_back(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Per-group columns joined to the rows; null keys are equal."""
+    stats = cut_lineage(stats)
+    named = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in stats.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _normal_stats(reward: str) -> list[Column]:
+    return [F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std"), (F.max(reward) == F.min(reward)).alias("_flat")]
+
+
+def _advantage(reward: str, eps: float) -> Column:
+    off = F.col(reward) - F.col("_mean")
+    return F.when(F.col("_flat"), off).otherwise(off / (F.col("_std") + F.lit(eps)))
+
+
+def _positions(df: DataFrame, keys: list[str], reward: str, tiebreak: str) -> DataFrame:
+    from .sampling import with_positions
+
+    return with_positions(df, [*[F.col(k).asc_nulls_first() for k in keys], F.col(reward).desc_nulls_last(), F.col(tiebreak).asc_nulls_first()], "_at")
 
 
 def group_normalize(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
-                    out: str = "advantage", eps: float = K.GROUP_STD_EPS,
-                    hot_rows: int = HOT_GROUP_ROWS, hot: bool | None = None) -> DataFrame:
+                    out: str = "advantage", eps: float = K.GROUP_STD_EPS) -> DataFrame:
     """(r - mean) / (std + eps) with population std; when every reward in the
     group is equal the std is taken as exactly 0 and the result is r - mean.
-    ``hot`` passes an already computed ``has_hot_groups`` answer.
-
-    Ordinary groups: one window pass (the exchange on the group key is shared
-    with a following rank). If any group exceeds ``hot_rows``, statistics are
-    partial aggregates joined back instead, so no task holds a whole hot
-    group (AQE's skew join splits the hot key on the row side)."""
-    keys = [group] if isinstance(group, str) else list(group)
-    r = F.col(reward)
-    if not (has_hot_groups(df, keys, hot_rows) if hot is None else hot):
-        w = Window.partitionBy(*keys)
-        mean, std = F.avg(r).over(w), F.stddev_pop(r).over(w)
-        flat = F.max(r).over(w) == F.min(r).over(w)
-        return df.withColumn(out, F.when(flat, r - mean).otherwise((r - mean) / (std + F.lit(eps))))
-    stats = df.groupBy(*keys).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std"),
-                                  (F.max(reward) == F.min(reward)).alias("_flat"))
-    j = df.join(stats, keys)
-    adv = F.when(F.col("_flat"), r - F.col("_mean")).otherwise((r - F.col("_mean")) / (F.col("_std") + F.lit(eps)))
-    return j.withColumn(out, adv).drop("_mean", "_std", "_flat")
+    A null reward has a null advantage and does not count."""
+    keys = _keys(group)
+    stats = df.groupBy(*keys).agg(*_normal_stats(reward))
+    return _join_back(df, stats, keys).withColumn(out, _advantage(reward, eps)).drop("_mean", "_std", "_flat")
 
 
 def group_rank(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward",
-               tiebreak: str = "gen_idx", out: str = "rank", hot_rows: int = HOT_GROUP_ROWS,
-               hot: bool | None = None) -> DataFrame:
-    """1-based rank by reward descending, ties by the generation ordinal.
-
-    Ordinary groups are ranked with a window. If some group exceeds
-    ``hot_rows``, those groups are ranked by a global ordinal over range
-    partitions (a hot group spans many partitions) minus the group's first
-    ordinal; only key, reward and tiebreak columns take that path."""
-    from .sampling import with_ordinal
-
-    keys = [group] if isinstance(group, str) else list(group)
-    w = Window.partitionBy(*keys).orderBy(F.col(reward).desc(), F.col(tiebreak))
-    if not (has_hot_groups(df, keys, hot_rows) if hot is None else hot):
-        return df.withColumn(out, F.row_number().over(w))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = df.join(sizes, keys)
-    small = j.filter(F.col("_n") <= hot_rows).withColumn(out, F.row_number().over(w)).drop("_n")
-    hot = j.filter(F.col("_n") > hot_rows).drop("_n")
-    narrow = hot.select(*keys, tiebreak, (-F.col(reward)).alias("_neg"))
-    o = with_ordinal(narrow, [*keys, "_neg", tiebreak], "_ord")
-    first = o.groupBy(*keys).agg(F.min("_ord").alias("_first"))
-    ranks = o.join(first, keys).select(*keys, tiebreak, (F.col("_ord") - F.col("_first") + 1).cast("int").alias(out))
-    return small.unionByName(hot.join(ranks, [*keys, tiebreak]))
+               tiebreak: str = "gen_idx", out: str = "rank") -> DataFrame:
+    """1-based rank by reward descending (nulls last), ties by ``tiebreak``;
+    rows equal in both get consecutive ranks in no given order."""
+    keys = _keys(group)
+    put = _positions(df, keys, reward, tiebreak)
+    first = put.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return _join_back(put, first, keys).withColumn(out, (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_first")
+
+
+def normalize_and_rank(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward", tiebreak: str = "gen_idx",
+                       advantage: str = "advantage", rank: str = "rank", eps: float = K.GROUP_STD_EPS) -> DataFrame:
+    """Both of the above over one range partitioning and one join."""
+    keys = _keys(group)
+    put = _positions(df, keys, reward, tiebreak)
+    stats = put.groupBy(*keys).agg(*_normal_stats(reward), F.min("_at").alias("_first"))
+    both = _join_back(put, stats, keys).withColumn(advantage, _advantage(reward, eps))
+    return both.withColumn(rank, (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_first", "_mean", "_std", "_flat")
 
 
 def group_stats(df: DataFrame, group: str | list[str] = "prompt_id", reward: str = "reward") -> DataFrame:
     """Mean (0 for an empty group), population std and size per group;
     partial aggregation happens map-side."""
-    keys = [group] if isinstance(group, str) else list(group)
+    keys = _keys(group)
     return df.groupBy(*keys).agg(
         F.coalesce(F.avg(reward), F.lit(0.0)).alias("mean_reward"),
         F.stddev_pop(reward).alias("std_reward"),

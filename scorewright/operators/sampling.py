@@ -1,11 +1,8 @@
 """Ordinals, splits, seeded orders, batches and epochs.
 
 Global positions never use an unpartitioned window over all rows (that runs
-in one task). ``with_prefix_sum`` range-partitions on the order key,
-materialises that partitioning once (checkpoint), runs the per-partition
-running sum over Arrow batches, and adds the offset of each partition from a
-table with one row per partition (bounded by the partition count, so its
-window and broadcast are bounded too).
+in one task): see ``with_positions`` and ``with_prefix_sum``.  Their offset
+table has one row per partition, so its window and broadcast are bounded.
 
 Seeded orders use ``md5(key || seed)``: deterministic under retries and the
 same order in any engine (unlike ``rand()``/``randomSplit`` on unordered
@@ -22,6 +19,23 @@ from .. import constants as K
 from ..session import cut_lineage
 
 
+def with_positions(df: DataFrame, order: list, out: str, num_partitions: int | None = None) -> DataFrame:
+    """Adds ``out``: the 0-based global position of each row in ``order``.
+
+    Range partitions, sorted, are materialised once (reliable checkpoint in the
+    shared folder), because range bounds come from sampling and both passes
+    must see the same partitions.  A row's place in its partition is the low
+    part of ``monotonically_increasing_id``; the rows before its partition come
+    from a table with one row per partition."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    put = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.expr("shiftright(_id, 33)")
+    sizes = put.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return put.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, place).drop("_part", "_id", "_before")
+
+
 def _local_prefix(value_col: str, out: str):
     def run(batches):
         acc = 0
@@ -36,23 +50,15 @@ def _local_prefix(value_col: str, out: str):
 def with_prefix_sum(df: DataFrame, order_cols: list[str], value: Column | str, out: str,
                     num_partitions: int | None = None) -> DataFrame:
     """Adds ``out`` = sum of ``value`` over all rows strictly before this row
-    in ``order_cols`` order (order_cols must be unique per row)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in ``order_cols`` order (order_cols must be unique per row).  Same plan as
+    ``with_positions``, with a running sum over the sorted batches."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     val = F.col(value) if isinstance(value, str) else value
-    ranged = (df.withColumn("_v", val.cast("long"))
-              .repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    # Both branches below must see the same partitions. Range bounds come from
-    # sampling, and a recomputed input may arrive in another order, so the
-    # partitioned rows are materialised once (reliable checkpoint in the
-    # shared checkpoint folder; also keeps positions stable if an executor
-    # is lost later).
-    ranged = cut_lineage(ranged)
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_loc", T.LongType())])
-    local = ranged.mapInPandas(_local_prefix("_v", "_loc"), schema)
-    totals = ranged.groupBy("_pid").agg(F.sum("_v").alias("_tot"))
+    put = cut_lineage(df.withColumn("_v", val.cast("long")).repartitionByRange(n, *order_cols)
+                      .sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id()))
+    schema = T.StructType(put.schema.fields + [T.StructField("_loc", T.LongType())])
+    local = put.mapInPandas(_local_prefix("_v", "_loc"), schema)
+    totals = put.groupBy("_pid").agg(F.sum("_v").alias("_tot"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")
@@ -62,16 +68,16 @@ def with_prefix_sum(df: DataFrame, order_cols: list[str], value: Column | str, o
 
 def with_ordinal(df: DataFrame, order_cols: list[str], out: str = "ordinal") -> DataFrame:
     """0-based global position in ``order_cols`` order."""
-    return with_prefix_sum(df, order_cols, F.lit(1), out)
+    return with_positions(df, [F.col(c) for c in order_cols], out)
 
 
 def positional_split(df: DataFrame, order_cols: list[str], train_fraction: float = K.TRAIN_FRACTION,
                      out: str = "split") -> DataFrame:
     """First ``int(train_fraction * n)`` rows in order -> 'train', the rest
-    -> 'val'. ``n`` is one scalar from a count job."""
-    n = df.count()
-    cut = int(train_fraction * n)
-    return with_ordinal(df, order_cols, "_ord").withColumn(
+    -> 'val'. ``n`` is counted on the same materialised rows as the positions."""
+    put = with_ordinal(df, order_cols, "_ord")
+    cut = int(train_fraction * put.count())
+    return put.withColumn(
         out, F.when(F.col("_ord") < cut, F.lit("train")).otherwise(F.lit("val"))).withColumnRenamed("_ord", "position")
 
 
@@ -109,8 +115,11 @@ def epoch_batches(items: DataFrame, key: str, groups_per_step: int, num_epochs:
     order; ``groups_per_step`` items per step; steps numbered across epochs;
     steps before ``initial_step`` skipped; stop after ``max_steps`` (the
     step equal to max_steps is still produced, then the loop breaks)."""
+    items = cut_lineage(items)
     n = items.count()
     steps_per_epoch = -(-n // groups_per_step)
+    if max_steps is not None and n:  # later epochs hold no step that is kept
+        num_epochs = min(num_epochs, max_steps // steps_per_epoch + 1)
     e = items.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(num_epochs - 1))))
     e = e.withColumn("_h", seed_hash(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.col(key).cast("string")), seed))
     e = with_ordinal(e, ["epoch", "_h", key], "_ord").drop("_h")

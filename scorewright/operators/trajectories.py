@@ -16,34 +16,28 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import c
-
-GUESS_RE = "<guess>\\s*([a-zA-Z]+)\\s*</guess>"
-
+from ..functions.udfs import read_verdict, strict_object
 
 def guess_reward(text, answer) -> Column:
     """exact (last tagged guess, lower-cased, equals answer) + 0.1 x has-tag;
     no tag -> guess '' and 0."""
-    found = F.regexp_extract_all(c(text), F.lit(GUESS_RE), 1)
+    found = F.regexp_extract_all(c(text), F.lit(K.GUESS_PATTERN), 1)
     has = F.size(found) > 0
     guess = F.when(has, F.lower(F.element_at(found, -1))).otherwise(F.lit(""))
     return (F.when(guess == c(answer), 1.0).otherwise(0.0)
             + F.lit(K.GUESS_FORMAT_BONUS) * F.when(has, 1.0).otherwise(0.0))
 
 
-JUDGE_SCHEMA = T.StructType([T.StructField("reasoning", T.StringType()), T.StructField("accept", T.BooleanType())])
-
-
 def judge_verdicts(df: DataFrame, response: str = "judge_response") -> DataFrame:
-    """Parse stored judge responses; a response without both fields (or not
-    JSON) is 'accept = false' with a parse-error reason; ``correct`` is the
-    float of accept."""
-    p = F.from_json(F.coalesce(F.col(response), F.lit("{}")), JUDGE_SCHEMA)
-    ok = p.isNotNull() & p["reasoning"].isNotNull() & p["accept"].isNotNull()
+    """Read stored judge responses; one that is not a strictly valid JSON
+    object with a reasoning text and an accept flag is 'accept = false' with a
+    parse-error reason; ``correct`` is the float of accept."""
+    df = df.withColumn("_v", read_verdict(F.col(response)))
     return df.withColumns({
-        "parse_ok": ok,
-        "accept": F.when(ok, p["accept"]).otherwise(F.lit(False)),
-        "reasoning": F.when(ok, p["reasoning"]).otherwise(F.concat(F.lit("Parse error. Raw: "), F.col(response))),
-    }).withColumn("correct", F.col("accept").cast("double"))
+        "parse_ok": F.col("_v").isNotNull(),
+        "accept": F.coalesce(F.col("_v.accept"), F.lit(False)),
+        "reasoning": F.coalesce(F.col("_v.reasoning"), F.concat(F.lit("Parse error. Raw: "), F.coalesce(F.col(response), F.lit("")))),
+    }).drop("_v").withColumn("correct", F.col("accept").cast("double"))
 
 
 MESSAGE = "struct<role:string,content:string,name:string,tool_call_id:string,tool_args:string>"
@@ -75,15 +69,19 @@ READ_ARGS = T.StructType([T.StructField("message_id", T.StringType())])
 
 
 def tool_calls(flat: DataFrame) -> DataFrame:
-    """Tool-call rows with arguments parsed by tool; unknown tools ignored."""
+    """Tool-call rows with arguments parsed by tool; unknown tools ignored.
+    Arguments that are no strictly valid JSON object give nulls."""
     calls = flat.filter(F.col("tool_name").isin("search_inbox", "read_email", K.FINAL_ANSWER_TOOL))
+    calls = calls.withColumn("_args", strict_object(F.col("tool_args")))
+
+    def of(tool, schema, field):
+        return F.when(F.col("tool_name") == tool, F.from_json("_args", schema)[field])
     return calls.withColumns({
-        "keywords": F.when(F.col("tool_name") == "search_inbox", F.from_json("tool_args", SEARCH_ARGS)["keywords"]),
-        "message_id": F.when(F.col("tool_name") == "read_email", F.from_json("tool_args", READ_ARGS)["message_id"]),
-        "answer": F.when(F.col("tool_name") == K.FINAL_ANSWER_TOOL, F.from_json("tool_args", FINAL_ARGS)["answer"]),
-        "source_ids": F.when(F.col("tool_name") == K.FINAL_ANSWER_TOOL,
-                             F.from_json("tool_args", FINAL_ARGS)["reference_message_ids"]),
-    })
+        "keywords": of("search_inbox", SEARCH_ARGS, "keywords"),
+        "message_id": of("read_email", READ_ARGS, "message_id"),
+        "answer": of(K.FINAL_ANSWER_TOOL, FINAL_ARGS, "answer"),
+        "source_ids": of(K.FINAL_ANSWER_TOOL, FINAL_ARGS, "reference_message_ids"),
+    }).drop("_args")
 
 
 def final_answers(calls: DataFrame, key: str = "traj_id") -> DataFrame:
@@ -96,11 +94,10 @@ def final_answers(calls: DataFrame, key: str = "traj_id") -> DataFrame:
 def cap_turns(traj: DataFrame, max_turns: int = K.MAX_TURNS) -> DataFrame:
     """Keep the messages up to the ``max_turns``-th model reply and its tool
     results (a model turn is an assistant message)."""
-    def keep(msgs):
-        turn_no = F.transform(msgs, lambda m, i: F.size(F.filter(F.slice(msgs, 1, i + 1), lambda x: x["role"] == "assistant")))
-        z = F.arrays_zip(msgs.alias("m"), turn_no.alias("t"))
-        return F.transform(F.filter(z, lambda x: x["t"] <= max_turns), lambda x: x["m"])
-    return traj.withColumn("messages", keep(F.col("messages")))
+    # places of the model replies, in order; what precedes reply max_turns + 1 stays
+    replies = F.filter(F.transform("messages", lambda m, i: F.when(m["role"] == "assistant", i)), lambda i: i.isNotNull())
+    end = F.coalesce(F.get(replies, F.lit(max_turns)), F.size("messages"))
+    return traj.withColumn("messages", F.slice("messages", 1, end))
 
 
 def source_coverage(answers: DataFrame, expected: DataFrame, key: str = "traj_id") -> DataFrame:
@@ -116,17 +113,25 @@ def source_coverage(answers: DataFrame, expected: DataFrame, key: str = "traj_id
 
 def group_prefix(traj: DataFrame, group: str, key: str = "traj_id") -> DataFrame:
     """Length of the message prefix shared by every trajectory of a group
-    (same role and content at every position)."""
-    flat = traj.select(group, key, F.posexplode("messages").alias("pos", "m")).select(
-        group, key, "pos", F.concat_ws("\u0001", F.col("m.role"), F.col("m.content")).alias("sig"))
-    sizes = traj.groupBy(group).agg(F.count(F.lit(1)).alias("n_traj"),
-                                    F.min(F.size("messages")).alias("min_len"))
-    per_pos = flat.groupBy(group, "pos").agg(F.count_distinct("sig").alias("n_sig"), F.count(F.lit(1)).alias("n"))
-    per_pos = per_pos.join(sizes, group)
-    breaks = per_pos.filter((F.col("n_sig") > 1) | (F.col("n") < F.col("n_traj")))
-    first_break = breaks.groupBy(group).agg(F.min("pos").alias("first_break"))
-    return sizes.join(first_break, group, "left").select(
-        group, F.coalesce(F.col("first_break"), F.col("min_len")).cast("long").alias("prefix_len"))
+    (same role and content at every position; compared by a 128-bit digest).
+    A position is shared if its least and greatest digests agree and every
+    trajectory has it, so each step is a partial aggregate."""
+    flat = traj.select(group, F.posexplode("messages").alias("pos", "m")).select(
+        group, "pos", F.md5(F.to_json(F.struct("m.role", "m.content"))).alias("sig"))
+    sizes = traj.groupBy(group).agg(F.count(F.lit(1)).alias("n_traj"), F.min(F.size("messages")).alias("min_len"))
+    per_pos = flat.groupBy(group, "pos").agg(F.min("sig").alias("a"), F.max("sig").alias("b"))
+    breaks = per_pos.filter("a != b").groupBy(group).agg(F.min("pos").alias("first_break"))
+    same = sizes[group].eqNullSafe(breaks[group])
+    return sizes.join(breaks, same, "left").select(
+        sizes[group], F.least("min_len", F.coalesce("first_break", "min_len")).cast("long").alias("prefix_len"))
+
+
+def without_prefix(traj: DataFrame, group: str, key: str = "traj_id") -> DataFrame:
+    """Trajectories with their group's shared prefix taken off (``prefix_len``
+    says how much)."""
+    cut = group_prefix(traj, group, key).toDF("_g", "prefix_len")
+    rest = F.slice("messages", (F.col("prefix_len") + 1).cast("int"), F.greatest(F.size("messages"), F.lit(1)))
+    return traj.join(cut, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("messages", rest)
 
 
 def validation_plan(scen: DataFrame, max_steps: int, interval: int) -> DataFrame:
@@ -146,4 +151,5 @@ def failure_budget(rollouts: DataFrame, step: str, failed: str, rollouts_per_gro
 
 
 def zero_fraction(df: DataFrame, arr: str) -> Column:
-    return F.size(F.filter(arr, lambda x: x == 0)) / F.size(arr)
+    """Share of entries that are 0; null for an empty or null array."""
+    return F.try_divide(F.size(F.filter(arr, lambda x: x == 0)), F.size(arr))

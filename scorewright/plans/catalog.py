@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import groups, math_rewards
+from ..sources.tables import read_table
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,29 @@ def q_group_rank(spark, sf_dir):
     return groups.group_rank(_scored_math(spark, sf_dir)).select("prompt_id", "gen_idx", "reward", "rank")
 
 
+def _odd_groups(spark, sf_dir):
+    """Rewards with one group that holds a third of the rows, null keys, null
+    rewards and equal tiebreaks."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"])
+    k = F.col("l_orderkey")
+    return li.select(
+        k.alias("order_key"), F.col("l_linenumber").alias("line"),
+        F.when(k % 3 == 0, F.lit(0)).when(k % 11 != 1, F.floor(k / 40)).cast("long").alias("grp"),
+        F.when(k % 13 != 2, F.col("l_quantity").cast("double")).alias("reward"), F.floor(F.col("l_linenumber") / 2).cast("long").alias("tie"))
+
+
+@register("group_rank_odd")
+def q_group_rank_odd(spark, sf_dir):
+    r = groups.group_rank(_odd_groups(spark, sf_dir), "grp", "reward", "tie")
+    return r.select("grp", "reward", "tie", "rank")  # equal rows differ in nothing but their ranks
+
+
+@register("group_normalize_odd")
+def q_group_normalize_odd(spark, sf_dir):
+    r = groups.group_normalize(_odd_groups(spark, sf_dir), "grp")
+    return r.select("order_key", "line", "grp", F.round("advantage", 6).alias("advantage"))
+
+
 @register("group_stats")
 def q_group_stats(spark, sf_dir):
     s = groups.group_stats(_scored_math(spark, sf_dir))
@@ -66,12 +90,8 @@ def q_math_reward_total(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised, ranked rewards per prompt group: math rewards -> total ->
-    group-relative advantage -> rank. One hash exchange on prompt_id serves
-    both windows."""
-    df = _scored_math(spark, sf_dir)
-    hot = groups.has_hot_groups(df, ["prompt_id"])
-    df = groups.group_normalize(df, hot=hot)
-    df = groups.group_rank(df, hot=hot)
+    group-relative advantage -> rank, over one range partitioning."""
+    df = groups.normalize_and_rank(_scored_math(spark, sf_dir).drop("completion", "answer", "event_time", "variant"))
     return df.select("prompt_id", "gen_idx", "format_exact", "format_approx", "answer_reward",
                      "number_reward", "reward", F.round("advantage", 6).alias("advantage"), "rank")
 
@@ -287,9 +307,8 @@ def q_reward_join(spark, sf_dir):
     rows = fx.ie_rows(spark, sf_dir)
     gold = extraction.parse_gold(rows.select("row_id", "gold_json")).drop("gold_json")
     comps = rows.select("row_id", "prompt_id", "completion")
-    hot = groups.has_hot_groups(comps, ["prompt_id"])  # group sizes are known before scoring
     scored = extraction.score_extraction(comps.join(gold, "row_id"))
-    out = groups.group_normalize(scored, "prompt_id", hot=hot)
+    out = groups.group_normalize(scored, "prompt_id")
     return out.select("row_id", "prompt_id", _r6("reward"), _r6("advantage"))
 
 
@@ -315,7 +334,6 @@ def q_pair_similarity(spark, sf_dir):
 
 # ------------------------------------------------------- prompts and chat
 from ..operators import prompts, sampling  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
 
 MAX_SEQ_LENGTH = 2048
 

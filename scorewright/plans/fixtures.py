@@ -250,16 +250,18 @@ def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 != 3, F.concat(F.lit("Total price "), _s(F.floor("o_totalprice")), F.lit(" <USD>"))).alias("abstract"),
         F.when(k % 3 != 0, F.concat(F.lit("Summary of order "), _s(k))).alias("summary"),
         F.when(k % 2 == 0, F.array(F.concat(F.lit("Claim about part "), _s(k % 50)),
-                                   F.concat(F.lit("Second claim for 'c"), _s(cust), F.lit("'")))).alias("claims_list"),
+                                   F.concat(F.lit("Second claim for 'c"), _s(cust), F.lit("' &copy; &nbsp;&#x27;")))).alias("claims_list"),
         F.when(k % 2 == 1, F.concat(F.lit("Single claim text for "), _s(k))).alias("claims_text"),
-        F.col("text").alias("description"),
+        F.when(k % 5 != 1, F.col("text")).alias("description"),
+        F.when(k % 5 == 1, F.split("text", "\n", -1)).alias("description_list"),
+        F.when(k % 6 == 3, F.concat(F.lit("Cleo "), _s(cust))).alias("inventors_text"),
         F.when(k % 2 == 0, F.array(F.concat(F.lit("Ann "), _s(cust)), F.concat(F.lit("Bob "), _s(k)))).alias("inventors"),
         F.when(k % 3 == 1, F.concat(F.lit("Applicant "), _s(cust))).alias("applicant"),
         F.when(k % 5 == 2, ymd(F.date_add(filing, 60))).alias("publication_date"),
         F.when(k % 3 == 0, F.array(F.concat(F.lit("figs/fig_"), _s(k), F.lit("_1.png")),
                                    F.concat(F.lit("figs/sub/fig_"), _s(k), F.lit("_2.png")))).alias("figures"),
     )
-    raw = F.to_json(F.struct(*[F.col(cname) for cname in rec.columns if cname not in ("record_id", "file_name", "claims_list", "claims_text")],
+    raw = F.to_json(F.struct(*[F.col(cname) for cname in rec.columns if cname not in ("record_id", "file_name", "claims_list", "claims_text", "description_list", "inventors_text")],
                              F.coalesce(F.col("claims_list"), F.array(F.col("claims_text"))).alias("claims")))
     return rec.withColumn("raw_json", raw)
 
@@ -296,7 +298,7 @@ def trajectory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.concat(F.lit('{"keywords": ["w'), _s(k % 9), F.lit('", "t'), _s(t), F.lit('"]}')))
             .when(name == K.FINAL_ANSWER_TOOL,
                   F.concat(F.lit('{"answer": "answer '), _s(k), F.lit("-"), _s(t),
-                           F.lit('", "reference_message_ids": ["m'), _s(k % 7), F.lit('", "m'), _s((k + t) % 5), F.lit('"]}'))))
+                           F.lit('", "reference_message_ids": ["m'), _s(k % 7), F.lit('", "m'), _s((k + t) % 5), F.when(k % 17 == 5, F.lit('"]} extra')).otherwise(F.lit('"]}')))))
     return cv.select(
         k.alias("traj_id"), t.alias("turn"), "role",
         F.col("text").alias("content"),
@@ -315,6 +317,13 @@ def trajectory_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id")
     accept = F.when(F.col("quality") == 1, F.lit("true")).otherwise(F.lit("false"))
     resp = (F.when(k % 5 == 0, F.concat(F.lit('{"reasoning": "cut off at '), _s(k)))
+            .when(k % 35 == 1, F.lit("{'reasoning': 'single quotes', 'accept': true}"))
+            .when(k % 35 == 2, F.lit('{"reasoning": "then more", "accept": true} trailing'))
+            .when(k % 35 == 3, F.lit('{"reasoning": "flag as text", "accept": "true"}'))
+            .when(k % 35 == 4, F.lit('{"reasoning": "flag as number", "accept": 1}'))
+            .when(k % 35 == 6, F.lit('{"reasoning": 7, "accept": true}'))
+            .when(k % 35 == 7, F.lit('{"reasoning": "no such flag", "accept": 2}'))
+            .when(k % 35 == 8, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit('{"reasoning": "checked '), _s(k), F.lit('", "accept": '), accept, F.lit("}"))))
     return j.select(
         k.alias("traj_id"),

@@ -56,10 +56,8 @@ math_rows AS (
 )"""
 
 # RE2 versions of the two patterns (RE2 '$' with m-flag stops at '\n' only).
-_EOS = re.escape(K.DEFAULT_EOS)
-FORMAT_RE = (f"(?ms){re.escape(K.REASONING_END)}.*?{re.escape(K.SOLUTION_START)}(.+?)"
-             f"{re.escape(K.SOLUTION_END)}[\\s]{{0,}}(?:{_EOS})?[\\s]{{0,}}$")
-NUMBER_RE = f"(?ms){re.escape(K.SOLUTION_START)}.*?[\\s]{{0,}}([-]?[\\d\\.\\,]{{1,}})"
+FORMAT_RE = K.FORMAT_PATTERN.replace("(?dms)", "(?ms)")
+NUMBER_RE = K.NUMBER_PATTERN.replace("(?dms)", "(?ms)")
 FLOAT_RE = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -127,6 +125,17 @@ SELECT prompt_id, gen_idx, reward,
   CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY reward DESC, gen_idx) AS INTEGER) AS rank
 FROM totals"""
 
+ODD_GROUPS = """WITH odd AS (SELECT l_orderkey AS order_key, l_linenumber AS line,
+  CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 WHEN l_orderkey % 11 <> 1 THEN l_orderkey // 40 END AS BIGINT) AS grp,
+  CASE WHEN l_orderkey % 13 <> 2 THEN CAST(l_quantity AS DOUBLE) END AS reward, CAST(l_linenumber // 2 AS BIGINT) AS tie FROM lineitem)
+"""
+
+SQL["group_rank_odd"] = ODD_GROUPS + """SELECT grp, reward, tie,
+  CAST(row_number() OVER (PARTITION BY grp ORDER BY reward DESC NULLS LAST, tie) AS INTEGER) AS rank FROM odd"""
+
+SQL["group_normalize_odd"] = ODD_GROUPS + """SELECT order_key, line, grp, round(CASE WHEN max(reward) OVER w = min(reward) OVER w THEN reward - avg(reward) OVER w
+  ELSE (reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-6) END, 6) AS advantage FROM odd WINDOW w AS (PARTITION BY grp)"""
+
 SQL["group_stats"] = with_(MATH_ROWS, MATH_SCORED) + """
 SELECT prompt_id, round(coalesce(avg(reward), 0.0), 6) AS mean_reward,
   round(stddev_pop(reward), 6) AS std_reward, count(*) AS n
@@ -542,9 +551,11 @@ patents AS (
     CASE WHEN o_orderkey % 11 <> 3 THEN 'Total price ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' <USD>' END AS abstract,
     CASE WHEN o_orderkey % 3 <> 0 THEN 'Summary of order ' || CAST(o_orderkey AS VARCHAR) END AS summary,
     CASE WHEN o_orderkey % 2 = 0 THEN ['Claim about part ' || CAST(o_orderkey % 50 AS VARCHAR),
-                                      'Second claim for ''c' || CAST(o_custkey AS VARCHAR) || ''''] END AS claims_list,
+                                      'Second claim for ''c' || CAST(o_custkey AS VARCHAR) || ''' &copy; &nbsp;&#x27;'] END AS claims_list,
     CASE WHEN o_orderkey % 2 = 1 THEN 'Single claim text for ' || CAST(o_orderkey AS VARCHAR) END AS claims_text,
-    d.text AS description,
+    CASE WHEN o_orderkey % 5 <> 1 THEN d.text END AS description,
+    CASE WHEN o_orderkey % 5 = 1 AND d.text IS NOT NULL THEN string_split(d.text, chr(10)) END AS description_list,
+    CASE WHEN o_orderkey % 6 = 3 THEN 'Cleo ' || CAST(o_custkey AS VARCHAR) END AS inventors_text,
     CASE WHEN o_orderkey % 2 = 0 THEN ['Ann ' || CAST(o_custkey AS VARCHAR), 'Bob ' || CAST(o_orderkey AS VARCHAR)] END AS inventors,
     CASE WHEN o_orderkey % 3 = 1 THEN 'Applicant ' || CAST(o_custkey AS VARCHAR) END AS applicant,
     CASE WHEN o_orderkey % 5 = 2 THEN strftime(CAST(o_orderdate AS DATE) + 60, '%Y-%m-%d') END AS publication_date,
@@ -556,7 +567,7 @@ patents AS (
 
 def _unescape(x: str) -> str:
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
-                    ("&middot;", "·"), ("&amp;", "&")):
+                    ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&#x27;", "'"), ("&amp;", "&")):
         x = f"replace({x}, {q(ent)}, {q(ch)})"
     return x
 
@@ -594,13 +605,14 @@ SELECT record_id, array_to_string(
    'Application Number: ' || coalesce(application_number, 'N/A'),
    'Publication Date: ' || coalesce(publication_date, 'N/A'),
    'Applicant: ' || coalesce(applicant, 'N/A'),
-   'Inventors: ' || CASE WHEN inventors IS NOT NULL THEN array_to_string(inventors, ', ') ELSE 'N/A' END,
+   'Inventors: ' || CASE WHEN inventors IS NOT NULL THEN array_to_string(inventors, ', ') ELSE coalesce(inventors_text, 'N/A') END,
    {q(K.COVER_NOTE)}, 'Abstract', {_san('coalesce(abstract, ' + q(K.NO_ABSTRACT) + ')')}]
   || CASE WHEN summary IS NOT NULL THEN ['Summary', {_san('summary')}] ELSE []::VARCHAR[] END
   || ['Claims']
   || CASE WHEN claims_list IS NOT NULL THEN list_transform(claims_list, lambda x, i: 'Claim ' || CAST(i AS VARCHAR) || '. ' || {_san('x')})
           WHEN claims_text IS NOT NULL THEN [{_san('claims_text')}] ELSE []::VARCHAR[] END
-  || CASE WHEN coalesce(description, '') <> '' THEN ['Detailed Description']
+  || CASE WHEN len(description_list) > 0 THEN ['Detailed Description'] || list_transform(description_list, lambda p: {_san('p')})
+          WHEN coalesce(description, '') <> '' THEN ['Detailed Description']
           || list_transform(string_split(description, chr(10) || chr(10)), lambda p: {_san('p')}) ELSE []::VARCHAR[] END
   || CASE WHEN coalesce(len(figures), 0) > 0 THEN ['Figures'] || list_transform(figures, lambda f: regexp_extract(f, '([^/]*)$', 1))
           ELSE []::VARCHAR[] END, chr(10)) AS text
@@ -658,9 +670,9 @@ trows AS (
 tcalls AS (
   SELECT *, CASE WHEN name IS NOT NULL THEN 'call_' || CAST(traj_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) END AS tool_call_id,
     CASE WHEN name = 'search_inbox' THEN 'w' || CAST(traj_id % 9 AS VARCHAR) || ',t' || CAST(turn AS VARCHAR) END AS keywords,
-    CASE WHEN name = 'return_final_answer' THEN 'answer ' || CAST(traj_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS answer,
-    CASE WHEN name = 'return_final_answer' THEN 'm' || CAST(traj_id % 7 AS VARCHAR) || ',m' || CAST((traj_id + turn) % 5 AS VARCHAR) END AS source_ids,
-    CASE WHEN name = 'return_final_answer' THEN ['m' || CAST(traj_id % 7 AS VARCHAR), 'm' || CAST((traj_id + turn) % 5 AS VARCHAR)] END AS source_list
+    CASE WHEN name = 'return_final_answer' AND traj_id % 17 <> 5 THEN 'answer ' || CAST(traj_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS answer,
+    CASE WHEN name = 'return_final_answer' AND traj_id % 17 <> 5 THEN 'm' || CAST(traj_id % 7 AS VARCHAR) || ',m' || CAST((traj_id + turn) % 5 AS VARCHAR) END AS source_ids,
+    CASE WHEN name = 'return_final_answer' AND traj_id % 17 <> 5 THEN ['m' || CAST(traj_id % 7 AS VARCHAR), 'm' || CAST((traj_id + turn) % 5 AS VARCHAR)] END AS source_list
   FROM trows
 ),
 finals AS (SELECT * FROM tcalls WHERE name = 'return_final_answer'
@@ -670,8 +682,8 @@ tmeta AS (
     CASE WHEN c.conv_id % 10 < 8 THEN 'train' ELSE 'val' END AS split,
     CAST(((c.conv_id * 37) % 100) / 100.0 AS DOUBLE) AS reward,
     ['m' || CAST(c.conv_id % 7 AS VARCHAR), 'm' || CAST(c.conv_id % 3 AS VARCHAR)] AS expected_ids,
-    c.conv_id % 5 <> 0 AS parse_ok,
-    (c.conv_id % 5 <> 0) AND coalesce(l.quality = 1, false) AS accept
+    c.conv_id % 5 <> 0 AND c.conv_id % 35 NOT IN (1, 2, 6, 7, 8) AS parse_ok,
+    c.conv_id % 5 <> 0 AND c.conv_id % 35 NOT IN (1, 2, 6, 7, 8) AND (c.conv_id % 35 IN (3, 4) OR coalesce(l.quality = 1, false)) AS accept
   FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN labels l ON l.doc_id = c.conv_id
 )"""
 
@@ -687,11 +699,11 @@ tc AS (SELECT traj_id, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER
 SELECT traj_id, CAST(count(*) FILTER (WHERE t <= 6) AS INTEGER) AS n_messages FROM tc GROUP BY traj_id"""
 
 SQL["source_coverage"] = with_(TRAJ) + """
-SELECT f.traj_id, CAST(len(list_distinct(f.source_list)) AS INTEGER) AS n_used,
+SELECT f.traj_id, CAST(len(list_distinct(coalesce(f.source_list, []::VARCHAR[]))) AS INTEGER) AS n_used,
   CAST(len(list_distinct(m.expected_ids)) AS INTEGER) AS n_expected,
-  CAST(len(list_intersect(list_distinct(f.source_list), list_distinct(m.expected_ids))) AS INTEGER) AS n_hit,
-  round(len(list_intersect(list_distinct(f.source_list), list_distinct(m.expected_ids))) / len(list_distinct(f.source_list)), 6) AS precision,
-  round(len(list_intersect(list_distinct(f.source_list), list_distinct(m.expected_ids))) / len(list_distinct(m.expected_ids)), 6) AS recall
+  CAST(len(list_intersect(list_distinct(coalesce(f.source_list, []::VARCHAR[])), list_distinct(m.expected_ids))) AS INTEGER) AS n_hit,
+  round(len(list_intersect(list_distinct(coalesce(f.source_list, []::VARCHAR[])), list_distinct(m.expected_ids))) / len(list_distinct(coalesce(f.source_list, []::VARCHAR[]))), 6) AS precision,
+  round(len(list_intersect(list_distinct(coalesce(f.source_list, []::VARCHAR[])), list_distinct(m.expected_ids))) / len(list_distinct(m.expected_ids)), 6) AS recall
 FROM finals f JOIN tmeta m ON m.traj_id = f.traj_id"""
 
 SQL["group_prefix"] = with_(TRAJ) + """,

@@ -47,21 +47,21 @@ _LOCAL_CKPT: str | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and written tables: the one that
+    ``spark.checkpoint.dir`` names, else the one set on the context.
 
-    A cluster names a shared folder there; it is read and used as is. Only when
-    the setting is absent (local runs and tests) a private folder is created.
-    """
+    Only a local master may do without either (tests): it gets a folder of its
+    own.  On a cluster such a folder would be the driver's disk alone, so this
+    raises."""
     global _LOCAL_CKPT
-    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _LOCAL_CKPT
     if not d:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = _LOCAL_CKPT = tempfile.mkdtemp(prefix="scorewright-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - not modifiable at runtime; the context dir below is enough
-            pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -25,11 +25,6 @@ def test_conversation_rendering_collects_partially(spark):
     assert "partial_collect_list" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_flagship_uses_one_exchange_on_prompt(spark):
-    p = catalog.flagship(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert p.count("hashpartitioning(prompt_id") <= 1
-
-
 def test_quantile_cut_exact_and_sketch(spark):
     df = spark.range(0, 8).withColumnRenamed("id", "n")
     assert prompts.quantile_cut(df, "n", 0.9) == 6          # 6.3 truncated

@@ -702,7 +702,7 @@ SQL["source_coverage"] = with_(TRAJ) + """
 SELECT f.traj_id, CAST(len(list_distinct(coalesce(f.source_list, []::VARCHAR[]))) AS INTEGER) AS n_used,
   CAST(len(list_distinct(m.expected_ids)) AS INTEGER) AS n_expected,
   CAST(len(list_intersect(list_distinct(coalesce(f.source_list, []::VARCHAR[])), list_distinct(m.expected_ids))) AS INTEGER) AS n_hit,
-  round(len(list_intersect(list_distinct(coalesce(f.source_list, []::VARCHAR[])), list_distinct(m.expected_ids))) / len(list_distinct(coalesce(f.source_list, []::VARCHAR[]))), 6) AS precision,
+  round(len(list_intersect(list_distinct(coalesce(f.source_list, []::VARCHAR[])), list_distinct(m.expected_ids))) / nullif(len(list_distinct(coalesce(f.source_list, []::VARCHAR[]))), 0), 6) AS precision,
   round(len(list_intersect(list_distinct(coalesce(f.source_list, []::VARCHAR[])), list_distinct(m.expected_ids))) / len(list_distinct(m.expected_ids)), 6) AS recall
 FROM finals f JOIN tmeta m ON m.traj_id = f.traj_id"""
 

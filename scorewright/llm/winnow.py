@@ -60,9 +60,10 @@ def fingerprints(rows: DataFrame, own: list[str], text: str, lengths: list[int])
     n in ``lengths``, every n-gram."""
     step = rows.select(*own, hashes(F.col(text)).alias("h"))
     step = step.select(*own, "h", packed(gram_hashes("h", GRAM)).alias("p"))
-    arrays = [F.transform(winnowed("p"), lambda x: F.struct(F.lit(WINDOW).alias("n"), x.alias("p")))]
-    for n in lengths:
-        arrays.append(F.transform(packed(gram_hashes("h", n)), lambda x, n=n: F.struct(F.lit(n).alias("n"), x.alias("p"))))
+    def tagged(prints: Column, n: int) -> Column:
+        return F.transform(prints, lambda x: F.struct(F.lit(n).alias("n"), x.alias("p")))
+
+    arrays = [tagged(winnowed("p"), WINDOW), *[tagged(packed(gram_hashes("h", n)), n) for n in lengths]]
     flat = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     return step.select(*own, F.inline(flat)).select(
         *own, "n", F.expr(f"shiftright(p, {POS_BITS})").alias("key"), F.col("p").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("pos"))

@@ -71,12 +71,14 @@ def truncate_preview(x, n: int, always: bool = False) -> Column:
 def _accent_table() -> tuple[str, str]:
     """Diacritic folding table built by rule: every Latin letter in
     U+00C0..U+024F whose canonical decomposition is one base letter plus
-    combining marks maps to that base letter."""
+    combining marks, and every one in U+1E00..U+1EFF with exactly one mark,
+    maps to its base letter."""
     src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    for cp in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
         ch = chr(cp)
-        base = "".join(b for b in unicodedata.normalize("NFD", ch) if not unicodedata.combining(b))
-        if base != ch and len(base) == 1:
+        parts = unicodedata.normalize("NFD", ch)
+        base = "".join(b for b in parts if not unicodedata.combining(b))
+        if base != ch and len(base) == 1 and (cp < 0x0250 or len(parts) == 2):
             src.append(ch)
             dst.append(base)
     return "".join(src), "".join(dst)
@@ -86,10 +88,13 @@ ACCENT_FROM, ACCENT_TO = _accent_table()
 
 
 def fold_accents(x) -> Column:
-    return F.translate(c(x), ACCENT_FROM, ACCENT_TO)
+    """Accented Latin letters as their base letter; separate accents dropped."""
+    return F.regexp_replace(F.translate(c(x), ACCENT_FROM, ACCENT_TO), "\\p{Mn}+", "")
 
 
 TOKEN_RE = "[\\p{L}\\p{N}]+"
+#: The same tokens in a text as written, where separate accents still stand.
+TOKEN_SPAN = "[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{Mn}]*"
 
 
 def fts_tokens(x) -> Column:

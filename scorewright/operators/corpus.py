@@ -5,10 +5,10 @@ messages, keep the first copy of each (subject, body, sender), and write the
 Order of steps (a row failing an earlier step never reaches a later one):
 clean addresses -> body length -> recipient count -> dedup.
 
-Dedup is an aggregation, not a window: ``groupBy(subject, body, from)`` with
-``min_by(row, ordinal)`` keeps the first copy in source order. Partial
-aggregation collapses copies map-side, so a group of copies that holds a third
-of all rows still sends at most one row per map task to the shuffle.
+Dedup groups on a digest of (subject, body, sender) with a narrow partial
+aggregate (digest, least ordinal, count), so a group of copies that holds a
+third of all rows sends one short row per map task, and no text is sorted; the
+kept rows are then joined by ordinal.
 """
 
 from __future__ import annotations
@@ -50,15 +50,20 @@ def with_outcome(df: DataFrame, body: str = "body", max_body: int = K.MAX_BODY_C
 DEDUP_KEYS = ("subject", "body", "from")
 
 
+def key_digest(keys=DEDUP_KEYS) -> Column:
+    """SHA-256 of the key values with their lengths; a null is its own value."""
+    parts = [F.coalesce(F.concat(F.octet_length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in keys]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def keep_first(df: DataFrame, keys=DEDUP_KEYS, ordinal: str = "ordinal") -> DataFrame:
-    """First row per key in ordinal order (null keys compare equal) plus the
-    number of copies dropped (``n_copies - 1``) on the kept row."""
-    payload = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*payload), F.col(ordinal)).alias("_first"),
-        F.count(F.lit(1)).alias("_copies"),
-    )
-    return agg.select(*keys, "_first.*", (F.col("_copies") - 1).alias("dropped_copies"))
+    """First row per key in ordinal order (null keys compare equal; ordinals
+    are unique) plus the number of copies dropped (``n_copies - 1``) on the
+    kept row."""
+    narrow = df.select(key_digest(keys).alias("_key"), ordinal)
+    first = narrow.groupBy("_key").agg(F.min(ordinal).alias(ordinal), (F.count(F.lit(1)) - 1).alias("dropped_copies"))
+    kept = df.join(first.drop("_key"), ordinal)
+    return kept.select(*keys, *[c for c in df.columns if c not in keys], "dropped_copies")
 
 
 def dedup_emails(source: DataFrame) -> DataFrame:
@@ -70,18 +75,18 @@ def dedup_emails(source: DataFrame) -> DataFrame:
 
 def build_outcomes(source: DataFrame) -> DataFrame:
     """Counts per outcome: kept, skipped (length and recipients share one
-    counter), duplicate, invalid. One pass for the filter counts, one
-    aggregation for the duplicates."""
+    counter), duplicate, invalid. One pass over the source and narrow partial
+    aggregates; kept and duplicate are there even without a message."""
     staged = with_outcome(clean_addresses(source))
-    stage_counts = (staged.filter(F.col("stage_outcome") != "candidate")
-                    .groupBy(F.col("stage_outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
-    kept = keep_first(staged.filter(F.col("stage_outcome") == "candidate").drop("stage_outcome"))
-    dedup_counts = kept.agg(F.count(F.lit(1)).alias("kept"), F.sum("dropped_copies").alias("duplicate"))
-    dedup_long = dedup_counts.select(F.explode(F.array(
-        F.struct(F.lit("kept").alias("outcome"), F.col("kept").cast("long").alias("n")),
-        F.struct(F.lit("duplicate").alias("outcome"), F.coalesce(F.col("duplicate"), F.lit(0)).cast("long").alias("n")),
-    )).alias("o")).select("o.*")
-    return stage_counts.unionByName(dedup_long)
+    staged = staged.select("stage_outcome", F.when(F.col("stage_outcome") == "candidate", key_digest()).alias("_key"))
+    groups = staged.groupBy("stage_outcome", "_key").agg(F.count(F.lit(1)).alias("n"))
+
+    def row(name, n):
+        return F.struct(name.alias("outcome"), n.cast("long").alias("n"))
+    rows = F.when(F.col("_key").isNotNull(), F.array(row(F.lit("kept"), F.lit(1)), row(F.lit("duplicate"), F.col("n") - 1)))
+    counted = groups.select(F.inline(rows.otherwise(F.array(row(F.col("stage_outcome"), F.col("n"))))))
+    always = source.sparkSession.range(2).select(F.when(F.col("id") == 0, "kept").otherwise("duplicate").alias("outcome"), F.lit(0).cast("long").alias("n"))
+    return counted.unionByName(always).groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 def emails_table(kept: DataFrame) -> DataFrame:

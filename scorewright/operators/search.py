@@ -5,19 +5,20 @@
 * Phrase match: every keyword is a phrase; all keywords of a request must
   match, each inside one field (different keywords may hit different fields).
 * Rarest term first: candidates are the messages holding the request's
-  rarest term (from the postings and a per-term count table); each phrase is
-  then verified exactly on the stored space-joined token string of a field.
+  rarest term (from the postings and a per-term count table); the phrases are
+  then verified by position on the candidates' postings.  No message text is
+  read before the snippets of the final results.
 * Filters: inbox (sender or any recipient), optional sender, optional
-  recipient, half-open date interval on the ``yyyy-MM-dd HH:mm:ss`` text.
+  recipient, half-open date interval on the ``yyyy-MM-dd HH:mm:ss`` text.  A
+  filter that is null or empty is not set; without a limit there are 10 results.
 * Top-k per request by date descending (message_id breaks ties); Spark plans
   the ``row_number() <= k`` filter as a partial ``WindowGroupLimit`` before
   the exchange, so a request that matches a third of the corpus still ships
   at most k rows per map task.
 
-The request-side tables are broadcast only after their row count is checked
-(``broadcast_if_small``); above the bound the joins are shuffle joins with
-AQE skew handling. Stored postings are partitioned by term bucket, so the
-join on (bucket, term) prunes folders of unused buckets at run time.
+No side is broadcast by a hint: Spark decides from measured sizes.  Stored
+postings are in folders by term bucket, so the join on (bucket, term) can skip
+the folders of unused buckets at run time.
 """
 
 from __future__ import annotations
@@ -26,15 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import fts_tokens
-
-BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a counted size bound."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from ..functions.text import TOKEN_SPAN, fts_tokens
 
 
 def postings(emails: DataFrame, fields=("subject", "body")) -> DataFrame:
@@ -44,11 +37,17 @@ def postings(emails: DataFrame, fields=("subject", "body")) -> DataFrame:
                     F.posexplode("f.tokens").alias("pos", "term")))
 
 
+def _set(x) -> Column:
+    """The filter's value, null when it is not set (null or empty)."""
+    return F.nullif(F.col(x), F.lit(""))
+
+
 def validate_requests(requests: DataFrame, max_results: str = "max_results") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected-with-reason). A request needs at least one keyword,
-    every keyword needs a token, and at most MAX_SEARCH_RESULTS results."""
+    """(valid, rejected with ``reject_reason``). A request needs at least one
+    keyword, every keyword needs a token, and at most MAX_SEARCH_RESULTS
+    results."""
     no_token = F.exists(F.coalesce("keywords", F.array().cast("array<string>")),
-                        lambda k: F.size(fts_tokens(k)) == 0)
+                        lambda k: F.coalesce(F.size(fts_tokens(k)), F.lit(0)) <= 0)
     reason = (F.when(F.coalesce(F.size("keywords"), F.lit(0)) <= 0, F.lit("no keywords"))
               .when(no_token, F.lit("keyword without searchable token"))
               .when(F.col(max_results) > K.MAX_SEARCH_RESULTS, F.lit("max_results must be <= 10")))
@@ -57,6 +56,11 @@ def validate_requests(requests: DataFrame, max_results: str = "max_results") ->
             tagged.filter(F.col("reject_reason").isNotNull()))
 
 
+def rejections(requests: DataFrame) -> DataFrame:
+    """(request_id, reject_reason) of the requests that ``search`` does not answer."""
+    return validate_requests(requests)[1].select("request_id", "reject_reason")
+
+
 def request_terms(requests: DataFrame) -> DataFrame:
     kw = requests.select("request_id", F.posexplode("keywords").alias("kw_idx", "keyword"))
     kw = kw.withColumn("tokens", fts_tokens("keyword"))
@@ -73,40 +77,17 @@ def parties(emails: DataFrame, recipients: DataFrame) -> DataFrame:
             .distinct())
 
 
-def _opt(colname: str, pred: Column) -> Column:
-    return F.col(colname).isNull() | pred
-
-
-def with_token_strings(emails: DataFrame, fields=("subject", "body")) -> DataFrame:
-    """Adds ``<field>_toks``: the field's tokens joined by single spaces with
-    a leading and trailing space. A phrase occurs in the field exactly when
-    ' ' + phrase tokens joined + ' ' is a substring (tokens have no spaces)."""
-    return emails.withColumns({f"{f}_toks": F.concat(F.lit(" "), F.array_join(fts_tokens(f), " "), F.lit(" "))
-                               for f in fields})
-
-
-def postings_from_token_strings(emails: DataFrame, fields=("subject", "body")) -> DataFrame:
-    """Postings from stored ``<field>_toks`` strings (no second tokenising
-    pass over the texts)."""
-    def toks(f):
-        return F.filter(F.split(F.trim(F.col(f"{f}_toks")), " ", -1), lambda x: x != "")
-    arr = F.array(*[F.struct(F.lit(f).alias("field"), toks(f).alias("tokens")) for f in fields])
-    return (emails.select("message_id", F.explode(arr).alias("f"))
-            .select(F.col("message_id"), F.col("f.field").alias("field"),
-                    F.posexplode("f.tokens").alias("pos", "term")))
-
-
 def term_stats(post: DataFrame) -> DataFrame:
     """(term, n): postings per term (map-side partial counts)."""
     keys = ["bucket", "term"] if "bucket" in post.columns else ["term"]
     return post.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _keyword_needles(valid: DataFrame) -> DataFrame:
-    kw = valid.select("request_id", F.posexplode("keywords").alias("kw_idx", "keyword"))
-    kw = kw.withColumn("toks", fts_tokens("keyword"))
-    return kw.select("request_id", "kw_idx", "toks",
-                     F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("needle"))
+def _bucketed(terms: DataFrame, post: DataFrame) -> tuple[DataFrame, list[str]]:
+    if "bucket" not in post.columns:
+        return terms, ["term"]
+    from ..plans.store import term_bucket
+    return terms.withColumn("bucket", term_bucket(F.col("term"))), ["bucket", "term"]
 
 
 def candidates(post: DataFrame, stats: DataFrame, valid: DataFrame) -> DataFrame:
@@ -114,55 +95,71 @@ def candidates(post: DataFrame, stats: DataFrame, valid: DataFrame) -> DataFrame
     term: a message that matches every phrase must hold every term, so the
     rarest one bounds the candidates. A frequent term never drives the join
     unless all of a request's terms are frequent."""
-    terms = request_terms(valid)
-    bucketed = "bucket" in post.columns
-    if bucketed:
-        from ..plans.store import term_bucket
-        terms = terms.withColumn("bucket", term_bucket(F.col("term")))
-    keys = ["bucket", "term"] if bucketed else ["term"]
+    terms, keys = _bucketed(request_terms(valid), post)
     with_n = terms.join(stats, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     anchor = with_n.groupBy("request_id").agg(F.min_by(F.struct(*keys), F.struct("n", "term")).alias("a"))
     anchor = anchor.select("request_id", *[F.col(f"a.{k}").alias(k) for k in keys])
-    # one anchor per request: the request count bounds the broadcast
-    small = valid.select("request_id").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = post.select(*keys, "message_id").join(F.broadcast(anchor) if small else anchor, keys)
-    return hits.select("request_id", "message_id").distinct()
+    return post.select(*keys, "message_id").join(anchor, keys).select("request_id", "message_id").distinct()
+
+
+def matches(post: DataFrame, stats: DataFrame, valid: DataFrame) -> DataFrame:
+    """(request_id, message_id) of messages that hold every phrase: the terms
+    of a phrase stand at consecutive positions of one field."""
+    terms, keys = _bucketed(request_terms(valid), post)
+    found = post.join(terms, keys).join(candidates(post, stats, valid), ["request_id", "message_id"], "left_semi")
+    start = (F.col("pos") - F.col("term_idx")).alias("start")
+    phrase = found.groupBy("request_id", "message_id", "kw_idx", "field", start, "n_terms").agg(F.count(F.lit(1)).alias("n"))
+    phrase = phrase.filter("n = n_terms").select("request_id", "message_id", "kw_idx").distinct()
+    whole = phrase.groupBy("request_id", "message_id").agg(F.count(F.lit(1)).alias("n"))
+    need = valid.select("request_id", F.size("keywords").cast("long").alias("n"))
+    return whole.join(need, ["request_id", "n"]).select("request_id", "message_id")
+
+
+def _date_bounds(emails: DataFrame, requests: DataFrame) -> DataFrame:
+    """Emails inside the dates that all requests together span, as a filter
+    that the scan can use (every date when a request leaves a side open)."""
+    after, before = _set("sent_after"), _set("sent_before")
+    span = requests.agg(
+        F.coalesce(F.when(F.count(after) == F.count(F.lit(1)), F.concat(F.min(after), F.lit(" 00:00:00"))), F.lit("")).alias("lo"),
+        F.coalesce(F.when(F.count(before) == F.count(F.lit(1)), F.concat(F.max(before), F.lit(" 00:00:00"))), F.lit("~")).alias("hi"))
+    return emails.filter((F.col("date") >= span.select("lo").scalar()) & (F.col("date") < span.select("hi").scalar()))
+
+
+def apply_filters(cand: DataFrame, recipients: DataFrame) -> DataFrame:
+    """Rows (request_id, message_id, date, from_address, inbox, from_addr,
+    to_addr, sent_after, sent_before, ...) that pass the request's filters.
+    Recipients are looked up once, for the inbox and the recipient filter of
+    the rows that pass the others."""
+    sender, to, after, before = map(_set, ("from_addr", "to_addr", "sent_after", "sent_before"))
+    cand = cand.filter((sender.isNull() | (F.col("from_address") == sender))
+                       & (after.isNull() | (F.col("date") >= F.concat(after, F.lit(" 00:00:00"))))
+                       & (before.isNull() | (F.col("date") < F.concat(before, F.lit(" 00:00:00")))))
+    asked = F.array(F.struct(F.lit("inbox").alias("kind"), F.col("inbox").alias("addr")),
+                    F.struct(F.lit("to").alias("kind"), to.alias("addr")))
+    asked = cand.select("request_id", "message_id", F.inline(asked)).filter("addr is not null")
+    held = recipients.select(F.col("email_id").alias("message_id"), F.col("recipient_address").alias("addr"))
+    held = asked.join(held, ["message_id", "addr"]).groupBy("request_id", "message_id").agg(
+        F.bool_or(F.col("kind") == "inbox").alias("_in"), F.bool_or(F.col("kind") == "to").alias("_to"))
+    cand = cand.join(held, ["request_id", "message_id"], "left")
+    return cand.filter(((F.col("from_address") == F.col("inbox")) | F.col("_in")) & (to.isNull() | F.col("_to"))).drop("_in", "_to")
+
+
+FILTERS = ("inbox", "from_addr", "to_addr", "sent_after", "sent_before")
 
 
 def search(emails: DataFrame, recipients: DataFrame, requests: DataFrame,
            post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Batch form of the filtered top-k search. ``requests`` columns:
     request_id, inbox, keywords, from_addr, to_addr, sent_after, sent_before,
-    max_results. Returns request_id, rank, message_id, date."""
+    max_results. Returns request_id, rank, message_id, date.  Requests that are
+    not valid have no results; ``rejections`` says why."""
     valid, _ = validate_requests(requests)
-    if "subject_toks" not in emails.columns:
-        emails = with_token_strings(emails)
     post = post if post is not None else postings(emails)
     stats = stats if stats is not None else term_stats(post)
-    needles = _keyword_needles(valid).groupBy("request_id").agg(F.collect_list("needle").alias("needles"))
-    meta = valid.select("request_id", "inbox", "from_addr", "to_addr", "sent_after", "sent_before",
-                        "max_results").join(needles, "request_id")
-    # no hint here: AQE broadcasts the smaller side from measured sizes
-    cand = (candidates(post, stats, valid).join(meta, "request_id")
-            .join(emails.select("message_id", "from_address", "date", "subject_toks", "body_toks"), "message_id"))
-    every_phrase = F.forall("needles", lambda n: F.contains(F.col("subject_toks"), n) | F.contains(F.col("body_toks"), n))
-    cand = cand.filter(
-        every_phrase
-        & _opt("from_addr", F.col("from_address") == F.col("from_addr"))
-        & _opt("sent_after", F.col("date") >= F.concat(F.col("sent_after"), F.lit(" 00:00:00")))
-        & _opt("sent_before", F.col("date") < F.concat(F.col("sent_before"), F.lit(" 00:00:00"))))
-    cand = cand.select("request_id", "message_id", "date", "from_address", "inbox", "to_addr", "max_results")
-    rec = recipients.select(F.col("email_id").alias("message_id"), F.col("recipient_address").alias("addr"))
-    # inbox: sender is the inbox, or the inbox is among the recipients; the
-    # recipient side is looked up only for candidate (message, inbox) keys
-    inbox_keys = cand.select("message_id", F.col("inbox").alias("addr")).distinct()
-    in_inbox = rec.join(inbox_keys, ["message_id", "addr"]).distinct().withColumn("_in", F.lit(True))
-    cand = (cand.join(in_inbox.withColumnRenamed("addr", "inbox"), ["message_id", "inbox"], "left")
-            .filter((F.col("from_address") == F.col("inbox")) | F.col("_in").isNotNull()).drop("_in"))
-    to_keys = cand.filter(F.col("to_addr").isNotNull()).select("message_id", F.col("to_addr").alias("addr")).distinct()
-    to_hit = rec.join(to_keys, ["message_id", "addr"]).distinct().withColumn("_to", F.lit(True))
-    cand = (cand.join(to_hit.withColumnRenamed("addr", "to_addr"), ["message_id", "to_addr"], "left")
-            .filter(F.col("to_addr").isNull() | F.col("_to").isNotNull()).drop("_to"))
+    meta = valid.select("request_id", *FILTERS, F.coalesce("max_results", F.lit(K.MAX_SEARCH_RESULTS)).alias("max_results"))
+    mail = _date_bounds(emails.select("message_id", "from_address", "date"), valid)
+    cand = matches(post, stats, valid).join(meta, "request_id").join(mail, "message_id")
+    cand = apply_filters(cand, recipients).select("request_id", "message_id", "date", "max_results")
     w = Window.partitionBy("request_id").orderBy(F.col("date").desc(), F.col("message_id"))
     # the literal cap lets Spark plan a partial WindowGroupLimit before the
     # exchange; the per-request limit (<= the cap) is applied after it
@@ -172,15 +169,23 @@ def search(emails: DataFrame, recipients: DataFrame, requests: DataFrame,
     return ranked.select("request_id", "rank", "message_id", "date")
 
 
+def inbox_messages(emails: DataFrame, recipients: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, message_id) of the mail in each request's inbox that passes
+    its other filters; keywords are not looked at."""
+    own = requests.select("request_id", *FILTERS).join(parties(emails, recipients), F.col("inbox") == F.col("party")).drop("party")
+    mail = _date_bounds(emails.select("message_id", "from_address", "date"), requests)
+    return apply_filters(own.join(mail, "message_id"), recipients).select("request_id", "message_id")
+
+
 def snippets(results: DataFrame, requests: DataFrame, emails: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
     """Snippet per result: the field with a match (subject preferred), a
-    window of ``width`` tokens from the earliest match, every matched phrase
-    token wrapped in <b>...</b>, ' ... ' where the window cuts the field.
-    (Fragment choice differs from SQLite's scoring heuristic; this one is
-    'earliest match'.) Works on the <= k results per request only."""
-    phrases = _keyword_needles(requests).groupBy("request_id").agg(F.collect_list("toks").alias("phrases"))
-    e = emails.select("message_id", "subject", "body")
-    j = results.join(phrases, "request_id").join(e, "message_id")
+    window of ``width`` tokens of the source text from the earliest match, each
+    matched run marked once with <b>...</b>, ' ... ' where the window cuts the
+    field.  (Fragment choice differs from SQLite's scoring heuristic; this one
+    is 'earliest match'.) Works on the <= k results per request only."""
+    kw = requests.select("request_id", F.explode("keywords").alias("keyword"))
+    phrases = kw.groupBy("request_id").agg(F.collect_list(fts_tokens("keyword")).alias("phrases"))
+    j = results.join(phrases, "request_id").join(emails.select("message_id", "subject", "body"), "message_id")
 
     def covered(tok_col):
         def starts(p):
@@ -194,17 +199,27 @@ def snippets(results: DataFrame, requests: DataFrame, emails: DataFrame, width:
     j = j.withColumns({"_st": fts_tokens("subject"), "_bt": fts_tokens("body")})
     j = j.withColumns({"_sh": covered(F.col("_st")), "_bh": covered(F.col("_bt"))})
     use_subject = F.size("_sh") > 0
+    source = F.when(use_subject, F.col("subject")).otherwise(F.col("body"))
+    # the words as written, and what stands before each of them
     j = j.withColumns({
         "field": F.when(use_subject, F.lit("subject")).otherwise(F.lit("body")),
-        "_t": F.when(use_subject, F.col("_st")).otherwise(F.col("_bt")),
         "hset": F.when(use_subject, F.col("_sh")).otherwise(F.col("_bh")),
+        "words": F.regexp_extract_all(source, F.lit(TOKEN_SPAN), 0),
+        "gaps": F.split(source, TOKEN_SPAN, -1),
     }).withColumn("first", F.array_min("hset"))
-    window = F.slice("_t", F.col("first") + 1, width)
-    marked = F.transform(window, lambda t, i: F.when(F.array_contains("hset", F.col("first") + i),
-                                                      F.concat(F.lit(K.SNIPPET_OPEN), t, F.lit(K.SNIPPET_CLOSE))).otherwise(t))
+
+    def shown(word, i):
+        at = F.col("first") + i
+        hit = F.array_contains("hset", at)
+        opens = hit & ((i == 0) | ~F.array_contains("hset", at - 1))
+        closes = hit & ((i == width - 1) | ~F.array_contains("hset", at + 1))
+        return F.concat(F.when(i > 0, F.get("gaps", at)).otherwise(F.lit("")),
+                        F.when(opens, F.lit(K.SNIPPET_OPEN)).otherwise(F.lit("")), word,
+                        F.when(closes, F.lit(K.SNIPPET_CLOSE)).otherwise(F.lit("")))
+    window = F.transform(F.slice("words", F.col("first") + 1, width), shown)
     text = F.concat(F.when(F.col("first") > 0, F.lit(K.SNIPPET_ELLIPSIS)).otherwise(F.lit("")),
-                    F.array_join(marked, " "),
-                    F.when(F.col("first") + width < F.size("_t"), F.lit(K.SNIPPET_ELLIPSIS)).otherwise(F.lit("")))
+                    F.array_join(window, ""),
+                    F.when(F.col("first") + width < F.size("words"), F.lit(K.SNIPPET_ELLIPSIS)).otherwise(F.lit("")))
     return j.select(*results.columns, "field", text.alias("snippet"))
 
 

@@ -138,7 +138,8 @@ def q_recipients_build(spark, sf_dir):
 
 @register("unique_check")
 def q_unique_check(spark, sf_dir):
-    return corpus.unique_violations(corpus.emails_table(_kept(spark, sf_dir)))
+    emails = corpus.emails_table(_kept(spark, sf_dir)).withColumn("message_id", F.substring("message_id", 1, 3))
+    return corpus.unique_violations(emails)
 
 
 @register("corpus_counts")
@@ -180,11 +181,11 @@ def search_requests(spark, sf_dir):
         i.alias("request_id"),
         F.col("inbox_address").alias("inbox"),
         "keywords",
-        F.when(i % 5 == 0, F.lit("en@ex.com")).alias("from_addr"),
-        F.when(i % 6 == 1, F.lit("u3@ex.com")).alias("to_addr"),
-        F.when(i % 3 == 0, F.lit("2001-01-10")).alias("sent_after"),
-        F.col("query_date").alias("sent_before"),
-        (i % 10 + 1).cast("int").alias("max_results"),
+        F.when(i % 5 == 0, F.lit("en@ex.com")).when(i % 5 == 1, F.lit("")).alias("from_addr"),
+        F.when(i % 6 == 1, F.lit("u3@ex.com")).when(i % 6 == 2, F.lit("")).alias("to_addr"),
+        F.when(i % 3 == 0, F.lit("2001-01-10")).when(i % 3 == 1, F.lit("")).alias("sent_after"),
+        F.when(i % 7 == 3, F.lit("")).when(i % 7 != 4, F.col("query_date")).alias("sent_before"),
+        F.when(i % 9 != 5, (i % 10 + 1).cast("int")).alias("max_results"),
     )
 
 
@@ -229,19 +230,20 @@ def q_inbox_semi_join(spark, sf_dir):
 
 @register("search_filters")
 def q_search_filters(spark, sf_dir):
-    """Sender / recipient / date filters of each request, without keywords."""
+    """Inbox mail of each request that passes its filters, without keywords."""
     emails, rec = _tables(spark, sf_dir)
-    req = search_requests(spark, sf_dir)
-    e = emails.select("message_id", "from_address", "date")
-    cand = e.join(search.broadcast_if_small(req.select("request_id", "from_addr", "sent_after", "sent_before", "to_addr")),
-                  F.col("from_addr").isNotNull() & (F.col("from_address") == F.col("from_addr")))
-    cand = cand.filter(search._opt("sent_after", F.col("date") >= F.concat(F.col("sent_after"), F.lit(" 00:00:00")))
-                       & search._opt("sent_before", F.col("date") < F.concat(F.col("sent_before"), F.lit(" 00:00:00"))))
-    r = rec.select("email_id", "recipient_address")
-    with_to = cand.filter(F.col("to_addr").isNotNull())
-    with_to = with_to.join(r, (with_to.message_id == r.email_id) & (with_to.to_addr == r.recipient_address), "left_semi")
-    cand = cand.filter(F.col("to_addr").isNull()).unionByName(with_to)
-    return cand.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    found = search.inbox_messages(emails, rec, search_requests(spark, sf_dir))
+    return found.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+@register("rejected_requests")
+def q_rejected_requests(spark, sf_dir):
+    """Requests that the search does not answer, with the reason."""
+    i = F.col("request_id")
+    req = search_requests(spark, sf_dir).withColumns({
+        "keywords": F.when(i % 8 == 1, F.array().cast("array<string>")).when(i % 8 == 2, F.array(F.lit("?!"))).when(i % 8 != 3, F.col("keywords")),
+        "max_results": F.when(i % 8 == 4, F.lit(11)).otherwise(F.col("max_results"))})
+    return search.rejections(req)
 
 
 # ------------------------------------------------------- extraction rewards

@@ -265,8 +265,8 @@ results AS (
 
 SEARCH_REQ = """SELECT id AS request_id, inbox_address AS inbox, keywords,
   CASE WHEN id % 5 = 0 THEN 'en@ex.com' END AS from_addr, CASE WHEN id % 6 = 1 THEN 'u3@ex.com' END AS to_addr,
-  CASE WHEN id % 3 = 0 THEN '2001-01-10' END AS sent_after, query_date AS sent_before,
-  CAST(id % 10 + 1 AS INTEGER) AS max_results FROM scenarios"""
+  CASE WHEN id % 3 = 0 THEN '2001-01-10' END AS sent_after, CASE WHEN id % 7 NOT IN (3, 4) THEN query_date END AS sent_before,
+  CASE WHEN id % 9 <> 5 THEN CAST(id % 10 + 1 AS INTEGER) ELSE 10 END AS max_results FROM scenarios"""
 SCENARIO_REQ = """SELECT id AS request_id, inbox_address AS inbox, keywords, NULL::VARCHAR AS from_addr,
   NULL::VARCHAR AS to_addr, NULL::VARCHAR AS sent_after, query_date AS sent_before, 10 AS max_results FROM scenarios"""
 
@@ -286,7 +286,7 @@ SQL["email_build"] = with_(EMAIL_SOURCE) + "SELECT * FROM emails"
 SQL["recipients_build"] = with_(EMAIL_SOURCE) + "SELECT * FROM recipients"
 
 SQL["unique_check"] = with_(EMAIL_SOURCE) + """
-SELECT message_id, count(*) AS n FROM emails GROUP BY message_id HAVING count(*) > 1"""
+SELECT substr(message_id, 1, 3) AS message_id, count(*) AS n FROM emails GROUP BY 1 HAVING count(*) > 1"""
 
 SQL["corpus_counts"] = with_(EMAIL_SOURCE) + """
 SELECT 'emails' AS table_name, count(*) AS n FROM emails
@@ -319,12 +319,15 @@ cov AS (SELECT p.request_id, p.message_id, p.field, unnest(range(p.start, p.star
 pf AS (SELECT request_id, message_id, field, min(hpos) AS first, list(DISTINCT hpos) AS hset FROM cov GROUP BY ALL),
 best AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY request_id, message_id
                                                      ORDER BY CASE WHEN field = 'subject' THEN 0 ELSE 1 END) = 1),
-bt AS (SELECT b.*, {_toks("CASE WHEN b.field = 'subject' THEN e.subject ELSE e.body END")} AS toks
-       FROM best b JOIN emails e ON e.message_id = b.message_id)
+bs AS (SELECT b.*, CASE WHEN b.field = 'subject' THEN e.subject ELSE e.body END AS src
+       FROM best b JOIN emails e ON e.message_id = b.message_id),
+bt AS (SELECT *, regexp_extract_all(src, {TOK}) AS toks, string_split_regex(src, {TOK}) AS gaps FROM bs)
 SELECT r.request_id, r.rank, r.message_id, bt.field,
   (CASE WHEN bt.first > 0 THEN ' ... ' ELSE '' END)
   || array_to_string(list_transform(list_slice(bt.toks, bt.first + 1, bt.first + 15),
-       lambda t, i: CASE WHEN list_contains(bt.hset, bt.first + i - 1) THEN '<b>' || t || '</b>' ELSE t END), ' ')
+       lambda t, i: (CASE WHEN i > 1 THEN bt.gaps[bt.first + i] ELSE '' END)
+         || CASE WHEN list_contains(bt.hset, bt.first + i - 1) AND (i = 1 OR NOT list_contains(bt.hset, bt.first + i - 2)) THEN '<b>' ELSE '' END
+         || t || CASE WHEN list_contains(bt.hset, bt.first + i - 1) AND (i = 15 OR NOT list_contains(bt.hset, bt.first + i)) THEN '</b>' ELSE '' END), '')
   || (CASE WHEN bt.first + 15 < len(bt.toks) THEN ' ... ' ELSE '' END) AS snippet
 FROM results r LEFT JOIN bt ON bt.request_id = r.request_id AND bt.message_id = r.message_id"""
 
@@ -337,12 +340,18 @@ GROUP BY s.id"""
 
 SQL["search_filters"] = with_(EMAIL_SOURCE, SCENARIOS) + f""",
 req AS ({SEARCH_REQ})
-SELECT r.request_id, count(*) AS n_messages FROM req r JOIN emails e ON e.from_address = r.from_addr
-WHERE (r.sent_after IS NULL OR e.date >= r.sent_after || ' 00:00:00')
+SELECT r.request_id, count(*) AS n_messages FROM req r JOIN emails e
+  ON (r.from_addr IS NULL OR e.from_address = r.from_addr)
+  AND (r.sent_after IS NULL OR e.date >= r.sent_after || ' 00:00:00')
   AND (r.sent_before IS NULL OR e.date < r.sent_before || ' 00:00:00')
   AND (r.to_addr IS NULL OR EXISTS (SELECT 1 FROM recipients x WHERE x.email_id = e.message_id AND x.recipient_address = r.to_addr))
+  AND (e.from_address = r.inbox OR EXISTS (SELECT 1 FROM recipients x WHERE x.email_id = e.message_id AND x.recipient_address = r.inbox))
 GROUP BY r.request_id"""
 
+SQL["rejected_requests"] = with_(SCENARIOS) + """
+SELECT id AS request_id, CASE WHEN id % 8 IN (1, 3) THEN 'no keywords' WHEN id % 8 = 2 THEN 'keyword without searchable token'
+  ELSE 'max_results must be <= 10' END AS reject_reason FROM scenarios WHERE id % 8 IN (1, 2, 3, 4)"""
+
 
 # --------------------------------------------------------- extraction rewards
 IE_EXPECTED = """

@@ -1,8 +1,9 @@
 """Materialised corpus: emails, recipients and postings written once per
-input folder (build-once, SNK-5) under the shared checkpoint folder and read
-by every search. Emails are clustered by date, recipients by address, and
-postings by term bucket, so date / address / term predicates skip files and
-row groups."""
+state of the input (build-once, SNK-5) under the shared checkpoint folder and
+read by every search. Emails are clustered by date, recipients by address, and
+postings by term bucket and term, so date / address / term predicates skip
+files and row groups. Every table is dealt by range on a key that ends in the
+message id, so a busy day, mailbox or term spans several writers."""
 
 from __future__ import annotations
 
@@ -15,16 +16,20 @@ from pyspark.sql import functions as F
 from ..operators import corpus, search
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import sinks
+from ..sources.files import listing_digest
+from ..sources.tables import table_path
 from . import fixtures as fx
 
-VERSION = "v3"
+#: Folders of the postings; each holds as many files as the range dealing gives it.
 TERM_BUCKETS = 64
+#: Part of the store's name: what is built and how.
+SETTINGS = f"v4 buckets={TERM_BUCKETS}"
 
 
 def _base(spark: SparkSession, sf_dir: str, tag: str = "") -> str:
     tag = tag or os.environ.get("SCOREWRIGHT_STORE_TAG", "")
-    h = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{h}-{VERSION}{tag}"
+    h = hashlib.md5(f"{SETTINGS} {listing_digest(spark, table_path(sf_dir, 'documents'))}".encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{h}{tag}"
 
 
 def term_bucket(term) -> F.Column:
@@ -32,7 +37,7 @@ def term_bucket(term) -> F.Column:
 
 
 def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(emails with token strings, recipients, postings, term statistics)."""
+    """(emails, recipients, postings, term statistics)."""
     base = _base(spark, sf_dir, tag)
     state = {}
 
@@ -42,19 +47,24 @@ def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataF
         return state["kept"]
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    emails = sinks.build_once(
-        spark, f"{base}/emails", lambda: search.with_token_strings(corpus.emails_table(kept())),
-        lambda df, p: df.repartitionByRange(n, "date").sortWithinPartitions("date", "message_id")
-        .write.mode("overwrite").parquet(p))
-    recipients = sinks.build_once(
-        spark, f"{base}/recipients", lambda: corpus.recipients_table(kept()),
-        lambda df, p: df.repartitionByRange(n, "recipient_address").sortWithinPartitions("recipient_address", "email_id")
-        .write.mode("overwrite").parquet(p))
+
+    def unique_emails():
+        table = corpus.emails_table(kept())
+        corpus.assert_unique(table)
+        return table
+
+    def clustered(*order, folders=()):
+        def write(df, path):
+            out = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite")
+            (out.partitionBy(*folders) if folders else out).parquet(path)
+        return write
+
+    emails = sinks.build_once(spark, f"{base}/emails", unique_emails, clustered("date", "message_id"))
+    recipients = sinks.build_once(spark, f"{base}/recipients", lambda: corpus.recipients_table(kept()),
+                                  clustered("recipient_address", "email_id"))
     postings = sinks.build_once(
-        spark, f"{base}/postings", lambda: search.postings_from_token_strings(emails).withColumn("bucket", term_bucket(F.col("term"))),
-        lambda df, p: df.repartition(n, "bucket").sortWithinPartitions("bucket", "term")
-        .write.mode("overwrite").partitionBy("bucket").parquet(p))
-    stats = sinks.build_once(
-        spark, f"{base}/term_stats", lambda: search.term_stats(postings),
-        lambda df, p: df.repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(p))
+        spark, f"{base}/postings", lambda: search.postings(emails).withColumn("bucket", term_bucket(F.col("term"))),
+        clustered("bucket", "term", "message_id", folders=["bucket"]))
+    stats = sinks.build_once(spark, f"{base}/term_stats", lambda: search.term_stats(postings),
+                             clustered("bucket", "term", folders=["bucket"]))
     return emails, recipients, postings, stats

@@ -8,6 +8,7 @@ gaps, which is what happens in tests and in ``bench.py`` on ``local[N]``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,9 @@ def build_session(master: str | None = None, app: str = "scorewright",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        cores = re.fullmatch(r"local\[(\d+)\]", master)
+        if cores:
+            b = b.config("spark.scorewright.scan.partitions", cores[1])
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:

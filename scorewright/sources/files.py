@@ -33,6 +33,14 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
                      "length", "modificationTime")
 
 
+def listing_digest(spark: SparkSession, folder: str) -> str:
+    """Digest of a folder's (or file's) names, lengths and modification times."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    r = every.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("a"),
+                  F.bit_xor(F.xxhash64(F.lit(1), "path", "length", "modificationTime")).alias("b")).first()
+    return f"{r['n']}-{r['a']}-{r['b']}"
+
+
 def first_files(spark: SparkSession, folder: str, limit: int | None, glob: str = "*") -> DataFrame:
     """Listing sorted by file name, first ``limit`` entries (all when None
     or 0)."""

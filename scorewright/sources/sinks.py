@@ -31,9 +31,9 @@ def write_corpus(emails: DataFrame, recipients: DataFrame, path: str, partitions
     date predicates skip row groups; ``recipients`` clustered by address,
     so address lookups (inbox / to filters) skip row groups too."""
     n = partitions or int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (emails.repartitionByRange(n, "date").sortWithinPartitions("date", "message_id")
+    (emails.repartitionByRange(n, "date", "message_id").sortWithinPartitions("date", "message_id")
      .write.mode("overwrite").parquet(f"{path}/emails"))
-    (recipients.repartitionByRange(n, "recipient_address").sortWithinPartitions("recipient_address", "email_id")
+    (recipients.repartitionByRange(n, "recipient_address", "email_id").sortWithinPartitions("recipient_address", "email_id")
      .write.mode("overwrite").parquet(f"{path}/recipients"))
 
 
@@ -60,7 +60,3 @@ def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame],
         else:
             df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def with_file_stem_json(df: DataFrame, stem: str, cols: list[str]) -> DataFrame:
-    return df.select(F.col(stem).alias("file_stem"), F.to_json(F.struct(*cols)).alias("json"))

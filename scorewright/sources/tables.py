@@ -17,23 +17,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Make sure CPU-heavy row work has at least one partition per core.
-
-    A scan of few large row groups yields few splits; on a cluster reading
-    many files the scan already has far more splits than cores and this is a
-    no-op. Planning only (no job) decides; the repartition is by ``key`` so
-    it is deterministic under task retries."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
                key: str | None = None) -> DataFrame:
-    """Pruned scan of one table; with ``key`` the scan is spread over at
-    least one partition per core (see ``spread``)."""
+    """Pruned scan of one table, in the splits that the reader gives.
+
+    ``key``: rows that get heavy work may be dealt by this column first, but
+    only where the session asks for it (``spark.scorewright.scan.partitions``, set by
+    ``build_session`` for a local master whose small files hold one split)."""
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
-    return spread(df, key) if key else df
+    n = spark.conf.get("spark.scorewright.scan.partitions", None)
+    return df.repartition(int(n), key) if key and n else df

@@ -31,9 +31,21 @@ def test_quantile_cut_exact_and_sketch(spark):
     assert prompts.quantile_cut(df, "n", 0.9, exact=False) in (6, 7)
 
 
-def test_spread_is_noop_when_scan_has_enough_splits(spark):
-    from scorewright.sources.tables import spread
-    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert spread(many, "id") is many
-    few = spark.range(0, 1000, numPartitions=1)
-    assert spread(few, "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+def test_scan_keeps_its_splits_unless_asked(spark):
+    from scorewright.sources.tables import read_table
+    plan = read_table(spark, SF_SMALL, "documents", ["doc_id", "text"], key="doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_search_reads_no_message_text(spark):
+    emails, rec, post, stats = corpus_store(spark, SF_SMALL)
+    res = search.search(emails, rec, catalog.search_requests(spark, SF_SMALL), post, stats)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "corpus-" in line]
+    assert scans and not any("body" in line or "subject" in line for line in scans)
+
+
+def test_dedup_sorts_no_text(spark):
+    from scorewright.operators import corpus
+    plan = corpus.dedup_emails(fx.email_source(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

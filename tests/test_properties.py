@@ -74,13 +74,13 @@ def test_search_results_satisfy_filters(spark):
     req = catalog.search_requests(spark, SF_SMALL)
     from scorewright.operators import search
     res = search.search(emails, rec, req, post, stats)
-    j = (res.join(req, "request_id").join(emails.select("message_id", "from_address", "subject_toks", "body_toks"), "message_id"))
+    j = (res.join(req, "request_id").join(emails.select("message_id", "from_address"), "message_id"))
     rows = j.collect()
     recips = {}
     for r in rec.collect():
         recips.setdefault(r["email_id"], set()).add(r["recipient_address"])
     for r in rows:
-        assert r["rank"] <= r["max_results"]
+        assert r["rank"] <= (r["max_results"] or 10)
         assert r["from_address"] == r["inbox"] or r["inbox"] in recips.get(r["message_id"], set())
         if r["from_addr"]:
             assert r["from_address"] == r["from_addr"]

@@ -243,8 +243,15 @@ class PreTokenizer:
         self.find = splitter(WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.newer = newer_letters()
 
+    def _has_newer(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")  # far faster than a search, and enough for most texts
+        except UnicodeEncodeError:
+            return self.newer.search(text) is not None
+        return False
+
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii() and self.newer.search(text):
+        if not text.isascii() and self._has_newer(text):
             lib = library(self.path)
             if lib.normalizer is not None:
                 text = lib.normalizer.normalize_str(text)

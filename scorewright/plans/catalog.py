@@ -712,42 +712,44 @@ def q_email_source(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ streaming
-import time as _time  # noqa: E402
-import uuid as _uuid  # noqa: E402
-
 from ..session import scratch_path  # noqa: E402
 from ..streaming import index as sindex  # noqa: E402
 from ..streaming import scores as sscores  # noqa: E402
 
 
-def _completion_files(spark, sf_dir, parts: int = 4) -> tuple[str, object]:
-    """Stored completions written as several files (the arriving stream)."""
-    m = fx.math_rows(spark, sf_dir).withColumn(
+def _completions(spark, sf_dir):
+    return fx.math_rows(spark, sf_dir).withColumn(
         "event_time", F.timestamp_add("SECOND", F.col("prompt_id") * 10, F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")))
-    path = scratch_path(spark, "completion-stream")
-    m.repartition(parts, "prompt_id").write.mode("overwrite").parquet(path)
-    return path, m.schema
 
 
 @register("stream_scores")
 def q_stream_scores(spark, sf_dir):
-    path, schema = _completion_files(spark, sf_dir)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """Stored completions scored as they arrive, several files a batch."""
+    arriving = _completions(spark, sf_dir)
+    path = scratch_path(spark, "completion-stream")
+    arriving.repartition(4, "prompt_id").write.parquet(path)
+    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 2).parquet(path)
     scored = sscores.score_stream(stream).select(
         "prompt_id", "gen_idx", "format_exact", "format_approx", "answer_reward", "number_reward", "reward")
-    name = "scores_" + _uuid.uuid4().hex[:8]
-    return sscores.run_available(scored, name, scratch_path(spark, "ckpt-scores"), "append")
+    return sscores.run_available(scored, scratch_path(spark, "scores"), scratch_path(spark, "ckpt-scores"))
 
 
 @register("stream_group_stats")
 def q_stream_group_stats(spark, sf_dir):
-    path, schema = _completion_files(spark, sf_dir)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stats = sscores.group_stats_stream(sscores.score_stream(stream))
-    name = "gstats_" + _uuid.uuid4().hex[:8]
-    out = sscores.run_available(stats, name, scratch_path(spark, "ckpt-gstats"), "complete")
-    return out.select("prompt_id", sscores.instant_to_utc_text(F.col("window.start")).alias("window_start"),
-                      F.round("mean_reward", 6).alias("mean_reward"), F.round("std_reward", 6).alias("std_reward"), "n")
+    """Windowed group statistics in append mode.  A marker two days ahead
+    closes the windows (its own stays open); rows that arrive for closed
+    windows afterwards change nothing."""
+    arriving = _completions(spark, sf_dir)
+    path, out, ckpt = (scratch_path(spark, f"group-stats-{x}") for x in ("in", "out", "ckpt"))
+    day = F.expr("event_time + INTERVAL 2 DAYS")
+    marker = arriving.orderBy(F.col("event_time").desc(), "gen_idx").limit(1).withColumn("event_time", day)
+    late = arriving.filter("gen_idx = 0").withColumn("completion", F.lit("late"))
+    for rows in (arriving, marker, late):
+        rows.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(arriving.schema).parquet(path)
+        stats = sscores.run_available(sscores.group_stats_stream(sscores.score_stream(stream)), out, ckpt)
+    return stats.select("prompt_id", sscores.instant_to_utc_text(F.col("window.start")).alias("window_start"),
+                        F.round("mean_reward", 6).alias("mean_reward"), F.round("std_reward", 6).alias("std_reward"), "n")
 
 
 CHANGE_SCHEMA = "op string, message_id string, subject string, body string, seq long"
@@ -755,25 +757,19 @@ CHANGE_SCHEMA = "op string, message_id string, subject string, body string, seq
 
 @register("stream_index")
 def q_stream_index(spark, sf_dir):
-    """Index kept current from a change feed of inserts, updates and deletes
-    (three change files consumed one micro-batch each)."""
+    """Index kept current from a change feed; inserts, updates and deletes of
+    one message meet in one batch or come in several."""
     emails, _ = _tables(spark, sf_dir)
-    e = emails.select("message_id", "subject", "body", F.col("id").alias("ordinal"))
-    o = F.col("ordinal")
-    sets = [
-        e.filter(o % 3 != 0).select(F.lit("insert").alias("op"), "message_id", "subject", "body"),
-        e.filter(o % 3 == 0).select(F.lit("insert").alias("op"), "message_id", "subject", "body").unionByName(
-            e.filter((o % 5 == 1) & (o % 3 != 0)).select(F.lit("update").alias("op"), "message_id",
-                                                          F.concat(F.lit("updated "), F.col("subject")).alias("subject"), "body")),
-        e.filter(o % 7 == 2).select(F.lit("delete").alias("op"), "message_id",
-                                    F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("body")),
-    ]
-    changes = scratch_path(spark, "changes")
-    for i, s in enumerate(sets):
-        s.withColumn("seq", F.lit(i).cast("long")).coalesce(1).write.mode("append").parquet(changes)
-        _time.sleep(1.1)
-    base = scratch_path(spark, "index")
-    sindex.run_change_feed(spark, changes, CHANGE_SCHEMA, base, scratch_path(spark, "ckpt-index"))
+    o = F.col("id")
+    insert = F.struct(F.lit("insert").alias("op"), "subject", "body", F.when(o % 3 == 0, 1).otherwise(0).cast("long").alias("seq"))
+    update = F.when((o % 5 == 1) & (o % 3 != 0), F.struct(
+        F.lit("update").alias("op"), F.concat(F.lit("updated "), F.col("subject")).alias("subject"), "body", F.lit(1).cast("long").alias("seq")))
+    delete = F.when(o % 7 == 2, F.struct(F.lit("delete").alias("op"), F.lit(None).cast("string").alias("subject"),
+                                         F.lit(None).cast("string").alias("body"), F.lit(2).cast("long").alias("seq")))
+    rows = emails.select("message_id", F.inline(F.filter(F.array(delete, insert, update), lambda x: x.isNotNull())))
+    changes, base = scratch_path(spark, "changes"), scratch_path(spark, "index")
+    rows.select("op", "message_id", "subject", "body", "seq").repartition(6, "message_id", "seq").write.parquet(changes)
+    sindex.run_change_feed(spark, changes, CHANGE_SCHEMA, base, scratch_path(spark, "ckpt-index"), files_per_batch=2)
     return sindex.live_postings(spark, base).select("term", "message_id", "field", F.col("pos").cast("int").alias("pos"))
 
 

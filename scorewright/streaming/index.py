@@ -1,12 +1,9 @@
 """Search-index upkeep from a change feed (inserts, updates, deletes).
 
-Storage is append-only, like a log-structured index: each micro-batch
-appends (a) postings of the inserted/updated messages and (b) tombstones for
-every message id the batch touched, both tagged with the batch id and
-written into a folder named by the batch id (overwrite of that folder makes
-a retried batch idempotent). The current index is the postings whose
-message has no tombstone from a later batch. ``compact`` rewrites the live
-postings once the log grows.
+Each micro-batch is reduced to the last change of every message (by ``seq``)
+and appended with that message's tokens, in a folder named by the batch, so a
+retried batch rewrites only its own folder.  The current index is the last
+change of each message over all batches, whatever batch it came in.
 """
 
 from __future__ import annotations
@@ -14,35 +11,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..functions.text import fts_tokens
 
+FIELDS = ("subject", "body")
 
-def apply_changes(base: str):
-    """foreachBatch function: change rows (op, message_id, subject, body)."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        upserts = batch.filter(F.col("op").isin("insert", "update"))
-        post = search.postings(upserts).withColumn("batch_id", F.lit(batch_id))
-        post.write.mode("overwrite").parquet(f"{base}/postings/batch={batch_id}")
-        (batch.select("message_id").distinct().withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{base}/tombstones/batch={batch_id}"))
-    return run
 
+def last_changes(changes: DataFrame) -> DataFrame:
+    """The row with the greatest ``seq`` of each message."""
+    latest = changes.groupBy("message_id").agg(F.max("seq").alias("seq"))
+    return changes.join(latest, ["message_id", "seq"])
 
-def live_postings(spark: SparkSession, base: str) -> DataFrame:
-    """Postings not superseded by a later change of the same message."""
-    p = spark.read.parquet(f"{base}/postings").drop("batch")
-    t = spark.read.parquet(f"{base}/tombstones").drop("batch").withColumnRenamed("batch_id", "t_batch")
-    cond = (p.message_id == t.message_id) & (t.t_batch > p.batch_id)
-    return p.join(t, cond, "left_anti")
 
+def apply_changes(base: str):
+    """foreachBatch function: change rows (op, message_id, subject, body, seq)."""
+    def tokens(field):
+        return F.transform(F.coalesce(fts_tokens(field), F.array().cast("array<string>")),
+                           lambda t, i: F.struct(t.alias("term"), F.lit(field).alias("field"), i.alias("pos")))
 
-def compact(spark: SparkSession, base: str, out: str) -> None:
-    live_postings(spark, base).write.mode("overwrite").parquet(out)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        own = last_changes(batch).select("message_id", "seq", "op", F.concat(*map(tokens, FIELDS)).alias("tokens"))
+        own.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+    return run
 
 
-def run_change_feed(spark: SparkSession, changes_dir: str, schema, base: str, checkpoint: str) -> None:
-    """Consume every change file available now (one micro-batch per file)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(changes_dir)
-    q = (stream.writeStream.foreachBatch(apply_changes(base)).option("checkpointLocation", checkpoint)
+def live_postings(spark: SparkSession, base: str) -> DataFrame:
+    """Postings (term, message_id, field, pos) of the messages as they stand."""
+    now = last_changes(spark.read.parquet(base).drop("batch")).filter("op != 'delete'")
+    return now.select("message_id", F.inline("tokens"))
+
+
+def run_change_feed(spark: SparkSession, changes_dir: str, schema, base: str, checkpoint: str,
+                    files_per_batch: int | None = None) -> None:
+    """Consume every change file available now."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    q = (reader.parquet(changes_dir).writeStream.foreachBatch(apply_changes(base)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

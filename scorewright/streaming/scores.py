@@ -3,8 +3,9 @@
 * ``score_stream``: the batch reward columns applied to a streaming
   DataFrame; stateless, append mode.
 * ``group_stats_stream``: per-prompt reward statistics in event-time windows
-  with a watermark, so state for finished windows is dropped and late rows
-  beyond the delay are ignored.
+  with a watermark and append mode: a window is written once, when the
+  watermark has passed it; its state is then dropped, and later rows for it
+  are ignored.
 """
 
 from __future__ import annotations
@@ -44,11 +45,11 @@ def group_stats_stream(scored: DataFrame, event_time: str = "event_time", window
                  F.count(F.lit(1)).alias("n")))
 
 
-def run_available(stream_df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available now into a memory table and return it
-    as a batch DataFrame (used for tests and one-shot catch-up runs)."""
-    spark = stream_df.sparkSession
-    q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)
+def run_available(stream_df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process everything available now into a parquet table (append mode) and
+    return the table; the driver holds no rows.  A later call with the same
+    folders goes on where this one ended."""
+    q = (stream_df.writeStream.format("parquet").outputMode("append").option("path", out)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return stream_df.sparkSession.read.schema(stream_df.schema).parquet(out)

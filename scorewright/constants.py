@@ -117,6 +117,8 @@ AGENT_SYSTEM_PROMPT = (
     "User's email address is {inbox}\n"
     "Today's date is {query_date}\n"
 )
+JUDGE_SYSTEM_PROMPT = ("You are given a question, the reference answer and an answer of an assistant. "
+                       "Accept the assistant's answer if it holds the relevant information of the reference answer.")
 JUDGE_USER_TEMPLATE = "Question: {question}\nReference answer: {reference}\nAI answer: {answer}"
 
 # Positional split and seeds.

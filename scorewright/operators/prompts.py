@@ -8,8 +8,11 @@ conversation length, not by the table) and sorts them by turn.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import c, count_ws_tokens, py_strip, strip_chars, truncate_preview
@@ -64,6 +67,17 @@ def flatten_messages(msgs) -> Column:
     return F.array_join(F.transform(c(msgs), lambda m: F.coalesce(m["content"].cast("string"), F.lit(""))), "\n")
 
 
+def completion_text(df: DataFrame, col: str = "completion") -> Column:
+    """The text of a completion column, be it a string, one message or a list
+    of messages."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.ArrayType):
+        return flatten_messages(col)
+    if isinstance(kind, T.StructType):
+        return F.coalesce(F.col(f"{col}.content").cast("string"), F.lit(""))
+    return F.col(col)
+
+
 def render_chat(msgs, eos: str = K.DEFAULT_EOS, add_generation_prompt: bool = True,
                 system_prompt: str = K.MATH_SYSTEM_PROMPT) -> Column:
     """Chat template: a leading system message (else the default system
@@ -111,8 +125,9 @@ def preview(role, content) -> Column:
 
 
 def judge_user_text(question, reference, answer) -> Column:
-    return F.concat(F.lit("Question: "), c(question), F.lit("\nReference answer: "), c(reference),
-                    F.lit("\nAI answer: "), c(answer))
+    given = {"question": question, "reference": reference, "answer": answer}
+    parts = re.split(r"\{(\w+)\}", K.JUDGE_USER_TEMPLATE)
+    return F.concat(*[c(given[x]) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
 def agent_system_prompt(inbox, query_date, max_turns: int = K.MAX_TURNS) -> Column:
@@ -147,7 +162,10 @@ def quantile_cut(df: DataFrame, length: str, q: float = 0.9, exact: bool = True)
 
 
 def quantile_length_filter(df: DataFrame, length: str, q: float = 0.9, exact: bool = True) -> DataFrame:
-    return df.filter(F.col(length) <= F.lit(quantile_cut(df, length, q, exact)))
+    """Rows up to the quantile.  The cut is a scalar subquery of the same plan;
+    without rows there is none."""
+    agg = F.percentile(length, q) if exact else F.percentile_approx(length, q, 10000)
+    return df.filter(F.col(length) <= df.agg(agg.cast("long").alias("q")).select("q").scalar())
 
 
 def ws_token_count(text) -> Column:

@@ -165,5 +165,20 @@ def pack_blocks(df: DataFrame, order_cols: list[str], tokens: str, budget: int)
     })
 
 
-def truncate_tokens(tokens: Column, max_len: int) -> Column:
-    return F.slice(tokens, 1, max_len)
+def block_pieces(packed: DataFrame, key: str, tokens: str, budget: int) -> DataFrame:
+    """One row per (block, sequence): ``at`` place in the block, ``offset`` first
+    token of the sequence that the block holds, ``n`` how many.  Sequences
+    without tokens are in no block."""
+    rows = packed.filter(F.col(tokens) > 0).withColumn("block", F.explode(F.sequence("first_block", "last_block")))
+    begin = F.greatest(F.col("start"), F.col("block") * budget)
+    end = F.least(F.col("start") + F.col(tokens), (F.col("block") + 1) * budget)
+    return rows.select("block", key, (begin - F.col("block") * budget).alias("at"), (begin - F.col("start")).alias("offset"), (end - begin).alias("n"))
+
+
+def first_tokens(text, limit: int) -> Column:
+    """The text up to the end of its ``limit``-th whitespace token, otherwise
+    as it stands."""
+    col = F.col(text) if isinstance(text, str) else text
+    words, gaps = F.regexp_extract_all(col, F.lit("\\S+"), 0), F.split(col, "\\S+", -1)
+    head = F.zip_with(F.slice(gaps, 1, limit), F.slice(words, 1, limit), lambda g, w: F.concat(g, w))
+    return F.when(F.size(words) <= limit, col).otherwise(F.array_join(head, ""))

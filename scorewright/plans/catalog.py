@@ -11,8 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import groups, math_rewards
+from ..operators import batch, groups, math_rewards
+from ..session import scratch_path
+from ..sources import readers
 from ..sources.tables import read_table
 from . import fixtures as fx
 
@@ -77,6 +80,25 @@ def q_group_stats(spark, sf_dir):
                     F.round("std_reward", 6).alias("std_reward"), "n")
 
 
+@register("batch_scorer")
+def q_batch_scorer(spark, sf_dir):
+    """The completions of a prompt as strings, as messages and as lists of
+    messages, all against the prompt's own answer."""
+    rows = fx.math_rows(spark, sf_dir)
+    gold = rows.groupBy("prompt_id").agg(F.min_by("answer", "gen_idx").alias("answer"))
+
+    def message(text):
+        return F.struct(F.lit("assistant").alias("role"), text.alias("content"))
+    text = F.col("completion")
+    forms = {0: text, 1: message(text), 2: F.array(message(F.lit("Working.")), message(text))}
+    parts = []
+    for k, form in forms.items():
+        own = rows.filter(F.col("prompt_id") % 3 == k).groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("gen_idx", form.alias("c")))).alias("x"))
+        parts.append(batch.score_batch(own.select("prompt_id", F.col("x.c").alias("completions")), gold, math_rewards.score_math))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("prompt_id", F.col("gen_idx").cast("int").alias("gen_idx"), "format_exact", "answer_reward", "number_reward", "reward")
+
+
 @register("math_reward_total")
 def q_math_reward_total(spark, sf_dir):
     return _scored_math(spark, sf_dir).groupBy("variant").agg(
@@ -297,6 +319,13 @@ def q_parse_outcomes(spark, sf_dir):
         "row_id", "outcome", F.when(F.col("n_keys") >= 0, F.col("n_keys")).alias("n_keys"))
 
 
+@register("parse_outcome_counts")
+def q_parse_outcome_counts(spark, sf_dir):
+    """How the completions of each prompt parsed."""
+    s = extraction.parse_pred(fx.ie_rows(spark, sf_dir))
+    return s.groupBy("prompt_id", F.col("pred.outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("date_profile")
 def q_date_profile(spark, sf_dir):
     return extraction.date_format_profile(extraction.parse_pred(fx.ie_rows(spark, sf_dir)))
@@ -454,6 +483,18 @@ def q_pack_sequences(spark, sf_dir):
         "doc_id", "n_tokens", "start", "first_block", "last_block")
 
 
+@register("packed_blocks")
+def q_packed_blocks(spark, sf_dir):
+    """The blocks themselves: which tokens of which documents each holds."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    t = d.select("doc_id", prompts.ws_token_count("text").alias("n_tokens"))
+    cut = sampling.block_pieces(sampling.pack_blocks(t, ["doc_id"], "n_tokens", MAX_SEQ_LENGTH), "doc_id", "n_tokens", MAX_SEQ_LENGTH)
+    return cut.groupBy("block").agg(
+        F.sum("n").alias("n_tokens"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id", "offset", "n"))),
+                                 lambda x: F.concat_ws(":", x["doc_id"], x["offset"], x["n"])), ",").alias("pieces"))
+
+
 # ------------------------------------------------------------ patent records
 from ..operators import records  # noqa: E402
 from .. import constants as K  # noqa: E402
@@ -585,6 +626,13 @@ def q_group_prefix(spark, sf_dir):
     return trj.group_prefix(t, "group_id")
 
 
+@register("without_prefix")
+def q_without_prefix(spark, sf_dir):
+    """Messages that each trajectory has beyond its group's shared prefix."""
+    t = _trajectories(spark, sf_dir).withColumn("group_id", F.floor(F.col("traj_id") / 4))
+    return trj.without_prefix(t, "group_id").select("traj_id", "prefix_len", F.size("messages").alias("n_left"))
+
+
 @register("judge_verdicts")
 def q_judge_verdicts(spark, sf_dir):
     v = trj.judge_verdicts(fx.trajectory_meta(spark, sf_dir))
@@ -607,12 +655,14 @@ def q_trajectory_rank(spark, sf_dir):
 
 @register("judge_prompt")
 def q_judge_prompt(spark, sf_dir):
-    flat = trj.flatten(_trajectories(spark, sf_dir))
-    first_user = flat.filter(F.col("role") == "user").groupBy("traj_id").agg(
-        F.min_by("content", "pos").alias("question"))
+    """System and user message for each answered trajectory: the question and
+    reference answer of its scenario, and the answer that was given."""
     fa = _finals(spark, sf_dir).select("traj_id", "answer")
-    j = first_user.join(fa, "traj_id")
-    return j.select("traj_id", prompts.judge_user_text("question", F.lit("see message m0"), "answer").alias("user_content"))
+    own = fx.trajectory_meta(spark, sf_dir).select("traj_id", F.col("group_id").alias("id"))
+    scen = fx.scenarios(spark, sf_dir).select("id", "question", F.col("answer").alias("reference"))
+    j = fa.join(own, "traj_id").join(scen, "id")
+    return j.select("traj_id", F.lit(K.JUDGE_SYSTEM_PROMPT).alias("system_content"),
+                    prompts.judge_user_text("question", "reference", F.coalesce("answer", F.lit(""))).alias("user_content"))
 
 
 @register("validation_plan")
@@ -678,9 +728,9 @@ def q_head_limit(spark, sf_dir):
 @register("scenario_select")
 def q_scenario_select(spark, sf_dir):
     """Train scenarios with at most one referenced message, seeded order, first 50."""
-    s = fx.scenarios(spark, sf_dir).filter((F.col("split") == "train") & (F.size("message_ids") <= 1))
-    s = sampling.seeded_shuffle(s.select("id"), "id", 42)
-    return s.filter(F.col("position") < 50).select("id", "position")
+    path = scratch_path(spark, "scenarios")
+    fx.scenarios(spark, sf_dir).drop("keywords").write.partitionBy("split").parquet(path)
+    return readers.load_scenarios(spark, path, "train", limit=50, max_messages=1, shuffle=True, seed=42).select("id", "question")
 
 
 @register("scenario_validation")
@@ -697,22 +747,137 @@ def q_scenario_validation(spark, sf_dir):
 
 @register("math_source")
 def q_math_source(spark, sf_dir):
-    r = fx.reasoning_rows(spark, sf_dir)
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
-    j = r.join(d, "doc_id").withColumn("split", F.when(F.col("doc_id") % 2 == 0, "cot").otherwise("tir"))
-    return j.filter((F.col("lang") == "en") & (F.col("split") == "cot")).select(
-        "doc_id", "expected_answer", "problem", "generated_solution")
+    """The set is stored by config and split; the reader takes one folder."""
+    path = scratch_path(spark, "math-set")
+    split = F.when(F.col("doc_id") % 2 == 0, "cot").otherwise("tir")
+    fx.reasoning_rows(spark, sf_dir).withColumns({"split": split}).withColumnRenamed("lang", "config").write.partitionBy("config", "split").parquet(path)
+    return readers.read_math_set(spark, path, "en", "cot", ["doc_id", "expected_answer", "problem", "generated_solution"])
 
 
 @register("email_source")
 def q_email_source(spark, sf_dir):
-    e = fx.email_source(spark, sf_dir)
+    path = scratch_path(spark, "email-source")
+    fx.email_source(spark, sf_dir).write.parquet(path)
+    e = readers.read_email_source(spark, path)
     return e.select("message_id", "subject", "from", F.size("to").alias("n_to"), F.size("cc").alias("n_cc"),
                     F.size("bcc").alias("n_bcc"), F.date_format("date", K.EMAIL_DATE_FORMAT).alias("date"))
 
 
+# ------------------------------------------------------ files, sinks and hooks
+from ..operators import registry  # noqa: E402
+from ..sources import files, sinks  # noqa: E402
+
+PAGE_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())])
+
+
+def _page_files(spark, sf_dir):
+    """One JSON file for each page; some end early, some hold an array."""
+    k = F.col("page_id")
+    text = F.to_json(F.struct("page_id", "url", "html"))
+    text = F.when(k % 9 == 4, F.substring(text, F.lit(1), F.length(text) - 1)).when(k % 9 == 5, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    path = scratch_path(spark, "page-files")
+    read_table(spark, sf_dir, "pages").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@register("raw_scan")
+def q_raw_scan(spark, sf_dir):
+    return files.read_raw_records(spark, _page_files(spark, sf_dir), PAGE_SCHEMA, glob="part-*")[0].select("page_id", "url")
+
+
+@register("raw_rejected")
+def q_raw_rejected(spark, sf_dir):
+    bad = files.read_raw_records(spark, _page_files(spark, sf_dir), PAGE_SCHEMA, glob="part-*")[1]
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("raw_scan_first")
+def q_raw_scan_first(spark, sf_dir):
+    """The first 20 files by name, read whole: records and rejected files."""
+    good, bad = files.read_raw_records(spark, _page_files(spark, sf_dir), PAGE_SCHEMA, limit=20, glob="part-*")
+    return good.select("path").unionByName(bad.select("path")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@register("label_contents")
+def q_label_contents(spark, sf_dir):
+    whole = files.read_label_contents(spark, _page_files(spark, sf_dir), glob="part-*")
+    return whole.select(F.md5("content").alias("content_md5"), F.length("content").alias("n_chars"))
+
+
+@register("file_listing")
+def q_file_listing(spark, sf_dir):
+    """Names and lengths only; no file is opened."""
+    lst = files.list_files(spark, _page_files(spark, sf_dir), "part-*")
+    return lst.agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("stem").alias("n_stems"), F.sum("length").alias("n_bytes"))
+
+
+@register("training_sink")
+def q_training_sink(spark, sf_dir):
+    path = scratch_path(spark, "training-rows")
+    sinks.write_training_rows(q_training_rows(spark, sf_dir), path)
+    return spark.read.schema("prompt string, gold_json string, patent_id string").parquet(path)
+
+
+@register("build_once")
+def q_build_once(spark, sf_dir):
+    """Built by the first call, read by the second."""
+    path = scratch_path(spark, "built-once")
+    rows = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    sinks.build_once(spark, path, lambda: rows.withColumn("built", F.lit(1)))
+    return sinks.build_once(spark, path, lambda: rows.withColumn("built", F.lit(2)))
+
+
+@register("required_columns")
+def q_required_columns(spark, sf_dir):
+    return records.require_columns(manifest(spark, sf_dir), "patent_id", "text").select("patent_id", F.length("text").alias("n_chars"))
+
+
+def _length_reward(prompts, completions, answer):
+    return [float(len(c)) if a in c else -1.0 for c, a in zip(completions, answer)]
+
+
+@register("reward_registry")
+def q_reward_registry(spark, sf_dir):
+    """A built-in reward, a user's Python reward and their weighted sum."""
+    registry.register_reward("length_reward", registry.python_reward(_length_reward, ("prompt", "completion", "answer")), ("prompt", "completion", "answer"))
+    rows = fx.math_rows(spark, sf_dir).withColumn("prompt", F.col("prompt_id").cast("string"))
+    return registry.score(rows, ["format_approx", "length_reward"], {"length_reward": 0.5}).select(
+        "prompt_id", "gen_idx", "format_approx", "length_reward", "reward")
+
+
+@register("map_batches")
+def q_map_batches(spark, sf_dir):
+    def heads(pdf):
+        return pdf.assign(head=pdf["text"].str.slice(0, 10), n=pdf["text"].str.len().astype("int64"))[["conv_id", "turn", "head", "n"]]
+    return registry.map_batches(fx.chat(spark, sf_dir), heads, "conv_id long, turn long, head string, n long")
+
+
+@register("extract_hook")
+def q_extract_hook(spark, sf_dir):
+    """A strict extractor with a fallback, over the bytes of the pages."""
+    def strict():
+        def run(b):
+            return b[:40].decode("ascii")
+        return run
+
+    def fallback():
+        def run(b):
+            if len(b) % 5 == 0:
+                raise ValueError("unreadable")
+            return "fallback"
+        return run
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "html"]).select(
+        F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))
+    return files.extract_text(pages, strict, fallback)
+
+
+@register("token_counter")
+def q_token_counter(spark, sf_dir):
+    count = registry.token_counter(lambda: str.split)
+    return fx.chat(spark, sf_dir).select("conv_id", "turn", count("text").alias("n_tokens"))
+
+
 # ------------------------------------------------------------------ streaming
-from ..session import scratch_path  # noqa: E402
 from ..streaming import index as sindex  # noqa: E402
 from ..streaming import scores as sscores  # noqa: E402
 
@@ -806,11 +971,14 @@ MAX_PROMPT_LENGTH = 2048
 
 @register("prompt_truncation")
 def q_prompt_truncation(spark, sf_dir):
-    """Extraction prompts cut to the prompt budget (whitespace tokens); the
-    completion budget is what is left of the sequence budget."""
+    """Extraction prompts inside the prompt budget (whitespace tokens): the
+    document is cut, the instructions before and after it stay; the completion
+    budget is what is left of the sequence budget."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"], key="doc_id")
-    toks = F.split(F.trim(F.regexp_replace(prompts.extraction_prompt("text"), "[ \\t\\n\\r\\f]+", " ")), " ", -1)
-    cut = sampling.truncate_tokens(toks, MAX_PROMPT_LENGTH)
-    return d.select("doc_id", F.size(toks).alias("n_tokens"), F.size(cut).alias("n_kept"),
-                    F.array_join(cut, " ").alias("prompt"),
+    head, tail = prompts.extraction_prompt_parts()
+    room = MAX_PROMPT_LENGTH - len(head.split()) - len(tail.split())
+    cut = sampling.first_tokens("text", room)
+    return d.select("doc_id", prompts.ws_token_count("text").alias("n_tokens"),
+                    F.least(prompts.ws_token_count("text"), F.lit(room)).alias("n_kept"),
+                    F.concat(F.lit(head), cut, F.lit(tail)).alias("prompt"),
                     F.lit(MAX_SEQ_LENGTH * 2 - MAX_PROMPT_LENGTH).alias("max_completion_tokens"))

@@ -195,7 +195,7 @@ def reasoning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasoning-trace rows from ``documents``: problem = first line, solution
     = text inside think tags (some without), expected answer by residue: a
     number, a word, '1d'-style, space-padded number or empty."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"], key="doc_id")
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars", "lang"], key="doc_id")
     i = F.col("doc_id")
     expected = (F.when(i % 5 == 0, _s(F.col("n_chars")))
                 .when(i % 5 == 1, F.lit("forty"))
@@ -209,7 +209,7 @@ def reasoning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     problem = F.substring_index(text, "\n", 1)
     solution = F.when(i % 3 == 0, F.concat(problem, F.lit("\n" + K.HASH_MARK + " "), expected)).otherwise(problem)
     return d.select(i.alias("doc_id"), problem.alias("problem"), gen.alias("generated_solution"),
-                    expected.alias("expected_answer"), solution.alias("solution"))
+                    expected.alias("expected_answer"), solution.alias("solution"), "lang")
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:

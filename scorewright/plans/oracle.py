@@ -736,12 +736,10 @@ SQL["trajectory_rank"] = with_(TRAJ) + """
 SELECT traj_id, group_id, reward,
   CAST(row_number() OVER (PARTITION BY group_id ORDER BY reward DESC, traj_id) AS INTEGER) AS rank FROM tmeta"""
 
-SQL["judge_prompt"] = with_(TRAJ) + """,
-fu AS (SELECT traj_id, content AS question FROM trows WHERE role = 'user'
-       QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY pos) = 1)
-SELECT f.traj_id, 'Question: ' || fu.question || chr(10) || 'Reference answer: see message m0' || chr(10)
-  || 'AI answer: ' || f.answer AS user_content
-FROM finals f JOIN fu ON fu.traj_id = f.traj_id"""
+SQL["judge_prompt"] = with_(TRAJ, SCENARIOS) + f"""
+SELECT f.traj_id, {q(K.JUDGE_SYSTEM_PROMPT)} AS system_content,
+  'Question: ' || s.question || chr(10) || 'Reference answer: ' || s.answer || chr(10) || 'AI answer: ' || coalesce(f.answer, '') AS user_content
+FROM finals f JOIN scenarios s ON s.id = f.traj_id // 4"""
 
 SQL["validation_plan"] = with_(SCENARIOS) + """
 SELECT id, CAST(unnest(range(0, 51, 5)) AS INTEGER) AS step FROM scenarios WHERE split = 'test'"""
@@ -785,10 +783,9 @@ FROM p GROUP BY 1"""
 
 SQL["head_limit"] = with_(IE_GOLD) + "SELECT patent_id FROM manifest ORDER BY patent_id LIMIT 128"
 
-SQL["scenario_select"] = with_(SCENARIOS) + """,
-p AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '42'), id) - 1 AS position
-      FROM scenarios WHERE split = 'train' AND len(message_ids) <= 1)
-SELECT id, position FROM p WHERE position < 50"""
+SQL["scenario_select"] = with_(SCENARIOS) + """
+SELECT id, question FROM scenarios WHERE split = 'train' AND len(message_ids) <= 1
+ORDER BY md5(CAST(id AS VARCHAR) || '42'), id LIMIT 50"""
 
 SQL["scenario_validation"] = with_(SCENARIOS) + """
 SELECT id, CASE WHEN id % 11 = 5 THEN false WHEN id % 9 = 4 THEN false ELSE true END AS valid,
@@ -829,9 +826,52 @@ FROM pairs pr JOIN splits s ON s.stem = pr.patent_id LEFT JOIN documents d ON d.
 for _rule in ("format_exact", "format_approx", "answer_reward", "number_reward"):
     SQL[_rule] = with_(MATH_ROWS, MATH_SCORED) + f"\nSELECT prompt_id, gen_idx, {_rule} FROM scored"
 
+_ROOM = 2048 - len(_HEAD.split()) - len(_TAIL.split())
 SQL["prompt_truncation"] = f"""
-WITH t AS (SELECT doc_id, string_split(trim(regexp_replace({q(_HEAD)} || text || {q(_TAIL)}, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ') AS toks
-           FROM documents)
-SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(least(len(toks), 2048) AS INTEGER) AS n_kept,
-  array_to_string(toks[1:2048], ' ') AS prompt, 2048 AS max_completion_tokens
-FROM t"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS toks, string_split_regex(text, '\\S+') AS gaps FROM documents)
+SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(least(len(toks), {_ROOM}) AS INTEGER) AS n_kept,
+  {q(_HEAD)} || CASE WHEN len(toks) <= {_ROOM} THEN text
+    ELSE array_to_string(list_transform(toks[1:{_ROOM}], lambda t, i: gaps[i] || t), '') END || {q(_TAIL)} AS prompt,
+  2048 AS max_completion_tokens FROM t"""
+
+SQL["packed_blocks"] = SQL["pack_sequences"].replace("SELECT doc_id, n_tokens, start, start // 2048", ", p AS (SELECT doc_id, n_tokens, start, start // 2048").rstrip() + """),
+b AS (SELECT *, unnest(range(first_block, last_block + 1)) AS block FROM p WHERE n_tokens > 0),
+c AS (SELECT block, doc_id, greatest(start, block * 2048) AS lo, least(start + n_tokens, (block + 1) * 2048) AS hi, start FROM b)
+SELECT block, CAST(sum(hi - lo) AS BIGINT) AS n_tokens,
+  string_agg(concat_ws(':', doc_id, lo - start, hi - lo), ',' ORDER BY lo, doc_id) AS pieces FROM c GROUP BY block"""
+
+SQL["parse_outcome_counts"] = "WITH o AS (" + SQL["parse_outcomes"] + ") SELECT row_id // 4 AS prompt_id, outcome, count(*) AS n FROM o GROUP BY ALL"
+
+SQL["without_prefix"] = "WITH g AS (" + SQL["group_prefix"] + """), t AS (SELECT conv_id AS traj_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT traj_id, prefix_len, CAST(n - prefix_len AS INTEGER) AS n_left FROM t JOIN g ON g.group_id = traj_id // 4"""
+
+# ------------------------------------------------------ files, sinks and hooks
+_PAGES = """WITH f AS (SELECT page_id, url, html, to_json({'page_id': page_id, 'url': url, 'html': html})::VARCHAR AS j FROM pages),
+files AS (SELECT page_id, url, html, CASE page_id % 9 WHEN 4 THEN left(j, length(j) - 1) WHEN 5 THEN '[' || j || ']' ELSE j END || chr(10) AS content FROM f)
+"""
+SQL["raw_scan"] = "SELECT page_id, url FROM pages WHERE page_id % 9 NOT IN (4, 5)"
+SQL["raw_rejected"] = """SELECT CASE page_id % 9 WHEN 4 THEN 'invalid JSON' ELSE 'JSON value is not an object' END AS reason, count(*) AS n
+FROM pages WHERE page_id % 9 IN (4, 5) GROUP BY 1"""
+SQL["raw_scan_first"] = "SELECT least(20, count(*)) AS n_files FROM pages"
+SQL["label_contents"] = _PAGES + "SELECT md5(left(content, length(content) - 1)) AS content_md5, CAST(length(content) - 1 AS INTEGER) AS n_chars FROM files"
+SQL["file_listing"] = _PAGES + "SELECT count(*) AS n_files, count(*) AS n_stems, CAST(sum(strlen(content)) AS BIGINT) AS n_bytes FROM files"
+SQL["training_sink"] = SQL["training_rows"]
+SQL["build_once"] = "SELECT page_id, url, 1 AS built FROM pages"
+SQL["required_columns"] = "WITH m AS (" + SQL["training_rows"] + """)
+SELECT m.patent_id, CAST(length(d.text) AS INTEGER) AS n_chars FROM m JOIN documents d ON 'patent_' || CAST(d.doc_id AS VARCHAR) = m.patent_id"""
+SQL["reward_registry"] = with_(MATH_ROWS, MATH_SCORED) + """,
+r AS (SELECT t.prompt_id, t.gen_idx, t.format_approx, CASE WHEN contains(m.completion, m.answer) THEN CAST(length(m.completion) AS DOUBLE) ELSE -1.0 END AS length_reward
+      FROM totals t JOIN math_rows m ON m.prompt_id = t.prompt_id AND m.gen_idx = t.gen_idx)
+SELECT prompt_id, gen_idx, format_approx, length_reward, format_approx + 0.5 * length_reward AS reward FROM r"""
+SQL["map_batches"] = "SELECT conv_id, turn, substr(text, 1, 10) AS head, length(text) AS n FROM conversations"
+SQL["extract_hook"] = r"""SELECT CAST(page_id AS VARCHAR) AS path,
+  CASE WHEN NOT regexp_matches(substr(html, 1, 40), '[^\x00-\x7F]') THEN substr(html, 1, 40) WHEN strlen(html) % 5 <> 0 THEN 'fallback' END AS text,
+  CASE WHEN regexp_matches(substr(html, 1, 40), '[^\x00-\x7F]') AND strlen(html) % 5 = 0 THEN 'unreadable' END AS error FROM pages"""
+SQL["token_counter"] = r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS n_tokens FROM conversations"
+
+SQL["batch_scorer"] = with_(MATH_ROWS.replace("math_rows AS (", "stored AS (") + """,
+firsts AS (SELECT prompt_id, min_by(answer, gen_idx) AS gold, min(gen_idx) AS low FROM stored GROUP BY 1),
+math_rows AS (SELECT s.* REPLACE (f.gold AS answer, CASE WHEN s.prompt_id % 3 = 2 THEN 'Working.' || chr(10) || s.completion ELSE s.completion END AS completion,
+    CAST(row_number() OVER (PARTITION BY s.prompt_id ORDER BY s.gen_idx) - 1 AS INTEGER) AS gen_idx)
+  FROM stored s JOIN firsts f ON f.prompt_id = s.prompt_id)""", MATH_SCORED) + """
+SELECT prompt_id, gen_idx, format_exact, answer_reward, number_reward, reward FROM totals"""

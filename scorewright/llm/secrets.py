@@ -28,7 +28,9 @@ RANDOM = "random"
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CANDIDATE_MIN, SAMPLE_MIN = 16, 6
 #: A candidate is a secret if the ratio passes both (nats; nats per character).
-LLR_MIN, LLR_MEAN_MIN, SMOOTHING = 8.0, 0.35, 0.5
+LLR_MIN, LLR_MEAN_MIN = 8.0, 0.35
+#: Pseudo-counts: of each character, and of a state's row (shared out as the characters are).
+SMOOTHING, ROW = 0.5, 20.0
 STATES = len(ALPHABET) + 1  # and the start
 
 
@@ -114,11 +116,12 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratio of each state pair, from all documents.
 
     Labelled samples: what the base patterns match (values of assignments,
-    access keys, hex strings) are random strings; all other runs of
-    ``SAMPLE_MIN`` characters or more are ordinary identifiers.  Each task
-    counts its pairs in a fixed table and sends the non-zero ones; the sums, at
-    most 2 * STATES**2 rows, come to the driver.  Without samples of a label
-    its model is uniform (smoothing)."""
+    access keys, hex strings) are random strings; other runs of ``SAMPLE_MIN``
+    characters or more that are too short to be candidates are ordinary
+    identifiers.  Each task counts its pairs in a fixed table and sends the
+    non-zero ones; the sums, at most 2 * STATES**2 rows, come to the driver.  A
+    state that a label has seen little of falls back on the label's characters
+    as a whole, and these on equal shares."""
     schema = pa.schema([("label", pa.int32()), ("pair", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -127,7 +130,9 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
             buf, off = raw_bytes(batch.column(0))
             base = base_spans(buf, off)
             values = np.array([(int(off[r]) + v, int(off[r]) + e) for r, spans in base.items() for _, _, e, v in spans], np.int64).reshape(-1, 2)
-            for label, (a, b) in enumerate((_candidates(buf, off, SAMPLE_MIN, base), (values[:, 0], values[:, 1]))):
+            a, b = _candidates(buf, off, SAMPLE_MIN, base)
+            short = b - a < CANDIDATE_MIN
+            for label, (a, b) in enumerate(((a[short], b[short]), (values[:, 0], values[:, 1]))):
                 if len(a):
                     sums[label] += np.bincount(_transitions(buf, a, b)[0], minlength=STATES * STATES)
         for label in (0, 1):
@@ -137,12 +142,16 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     rows = docs.select(docs[text].alias("text")).mapInArrow(run, "label int, pair int, n long")
     got = rows.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
-    sums = np.full((2, STATES * STATES), SMOOTHING)
+    sums = np.zeros((2, STATES * STATES))
     for r in got:
-        sums[r.label, r.pair] += r.n
+        sums[r.label, r.pair] = r.n
     sums = sums.reshape(2, STATES, STATES)
-    logs = np.log(sums / sums.sum(2, keepdims=True))
-    return (logs[1] - logs[0]).reshape(-1)
+    chars = sums.sum(1) + SMOOTHING
+    chars[:, 0] = 0  # nothing leads to the start
+    chars /= chars.sum(1, keepdims=True)
+    share = (sums + ROW * chars[:, None, :]) / (sums.sum(2, keepdims=True) + ROW)
+    share[:, :, 0] = 1
+    return (np.log(share[1]) - np.log(share[0])).reshape(-1)
 
 
 def random_spans(buf, off, base, ratio: np.ndarray) -> dict[int, list[tuple[int, int]]]:

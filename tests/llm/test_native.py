@@ -59,6 +59,14 @@ def test_native_plans_have_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_whole_tables_match_the_sql(spark, duck):
+    for name, sql in Q.SQL.items():
+        got = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+        cols = sorted(got.columns)
+        want = duck.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from scorewright.plans import catalog, oracle
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {name: E.queries()[name] for name in catalog.QUERIES}
+SQL = {name: sql for name, sql in oracle.SQL.items() if name in QUERIES}
 
 
 def _norm(v):

@@ -58,12 +58,6 @@ def _field(parsed: str, name) -> _Field:
     return _Field(parsed, name)
 
 
-def gold_nonempty(gold: str, name) -> Column:
-    f = _field(gold, name)
-    return (f.present & (f.kind != "null")
-            & ~((f.kind == "string") & (py_strip(f.value) == "")))
-
-
 def parse_gold(df: DataFrame, gold_json: str = "gold_json", out: str = "gold") -> DataFrame:
     return df.withColumn(out, parse_completion(F.col(gold_json)))
 
@@ -127,13 +121,6 @@ def with_field_similarities(df: DataFrame, gold: str = "gold", pred: str = "pred
     }).drop("_fs")
 
 
-def field_mean(used: Column, sims: Column) -> Column:
-    pairs = F.arrays_zip(used.alias("u"), sims.alias("s"))
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.when(x["u"], x["s"]).otherwise(0.0))
-    n = F.aggregate(used, F.lit(0), lambda acc, u: acc + F.when(u, 1).otherwise(0))
-    return F.when(sims.isNull(), 0.0).otherwise(total / F.greatest(n, F.lit(1)))
-
-
 def score_extraction(df: DataFrame, completion: str = "completion", gold: str = "gold",
                      weights=K.EXTRACTION_WEIGHTS) -> DataFrame:
     """Adds pred, validity, field_sims, field_used, field_mean, constraints,

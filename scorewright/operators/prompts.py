@@ -152,18 +152,11 @@ def token_budget_filter(df: DataFrame, tokens: str, max_seq_length: int) -> Data
     return df.filter(F.col(tokens) <= F.lit(max_seq_length / 2.0))
 
 
-def quantile_cut(df: DataFrame, length: str, q: float = 0.9, exact: bool = True) -> int:
-    """``int(quantile(length, q))``. Exact percentile keeps one counter per
-    distinct length (bounded by the longest sequence), approximate is a
-    fixed-size sketch; either way one scalar reaches the driver."""
-    agg = F.percentile(length, q) if exact else F.percentile_approx(length, q, 10000)
-    v = df.agg(agg.alias("q")).first()["q"]
-    return int(v) if v is not None else 0
-
-
 def quantile_length_filter(df: DataFrame, length: str, q: float = 0.9, exact: bool = True) -> DataFrame:
-    """Rows up to the quantile.  The cut is a scalar subquery of the same plan;
-    without rows there is none."""
+    """Rows up to ``int(quantile(length, q))``, a scalar subquery of the same
+    plan.  The exact percentile keeps one counter per distinct length (bounded
+    by the longest sequence), the other is a fixed-size sketch; without rows
+    there is no cut."""
     agg = F.percentile(length, q) if exact else F.percentile_approx(length, q, 10000)
     return df.filter(F.col(length) <= df.agg(agg.cast("long").alias("q")).select("q").scalar())
 

@@ -1,5 +1,5 @@
-"""Sinks: manifests, label records, the email corpus, training rows, and
-build-once materialisation.
+"""Sinks: manifests, label records, training rows, and build-once
+materialisation (the email corpus is written by ``plans.store``).
 
 Writes go through Spark's file commit protocol (a ``_SUCCESS`` marker only
 after every task committed), so a job retried after an executor loss either
@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_manifests(df: DataFrame, path: str, max_records_per_file: int = 100_000) -> None:
@@ -26,17 +25,6 @@ def write_label_records(df: DataFrame, path: str) -> None:
     df.select("file_stem", "json").write.mode("overwrite").json(path)
 
 
-def write_corpus(emails: DataFrame, recipients: DataFrame, path: str, partitions: int | None = None) -> None:
-    """``emails`` clustered by date (range partitions, sorted inside), so
-    date predicates skip row groups; ``recipients`` clustered by address,
-    so address lookups (inbox / to filters) skip row groups too."""
-    n = partitions or int(emails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (emails.repartitionByRange(n, "date", "message_id").sortWithinPartitions("date", "message_id")
-     .write.mode("overwrite").parquet(f"{path}/emails"))
-    (recipients.repartitionByRange(n, "recipient_address", "email_id").sortWithinPartitions("recipient_address", "email_id")
-     .write.mode("overwrite").parquet(f"{path}/recipients"))
-
-
 def write_training_rows(df: DataFrame, path: str, columns=("prompt", "gold_json", "patent_id"),
                         max_records_per_file: int = 100_000) -> None:
     df.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(path)

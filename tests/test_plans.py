@@ -27,8 +27,10 @@ def test_conversation_rendering_collects_partially(spark):
 
 def test_quantile_cut_exact_and_sketch(spark):
     df = spark.range(0, 8).withColumnRenamed("id", "n")
-    assert prompts.quantile_cut(df, "n", 0.9) == 6          # 6.3 truncated
-    assert prompts.quantile_cut(df, "n", 0.9, exact=False) in (6, 7)
+    kept = [r["n"] for r in prompts.quantile_length_filter(df, "n", 0.9).collect()]
+    assert max(kept) == 6 and len(kept) == 7          # the cut is 6.3, truncated
+    assert prompts.quantile_length_filter(df, "n", 0.9, exact=False).count() in (7, 8)
+    assert prompts.quantile_length_filter(df.limit(0), "n").count() == 0
 
 
 def test_scan_keeps_its_splits_unless_asked(spark):

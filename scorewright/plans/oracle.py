@@ -875,3 +875,13 @@ math_rows AS (SELECT s.* REPLACE (f.gold AS answer, CASE WHEN s.prompt_id % 3 =
     CAST(row_number() OVER (PARTITION BY s.prompt_id ORDER BY s.gen_idx) - 1 AS INTEGER) AS gen_idx)
   FROM stored s JOIN firsts f ON f.prompt_id = s.prompt_id)""", MATH_SCORED) + """
 SELECT prompt_id, gen_idx, format_exact, answer_reward, number_reward, reward FROM totals"""
+
+# every pair of a used field is equal but a missing key (0) and a date with other
+# separators (eight of ten characters match: 0.8)
+SQL["pair_similarity"] = with_(IE_GOLD) + f""",
+f AS (SELECT row_id % 10 AS variant, unnest({_FIELD_LIST}) AS field, gold_json FROM gold WHERE row_id % 10 <= 5),
+v AS (SELECT variant, field, lower(CASE WHEN field = 'claims' THEN array_to_string(CAST(json_extract(gold_json, '$.claims') AS VARCHAR[]), ' ')
+        ELSE json_extract_string(gold_json, '$.' || field) END) AS gold_norm FROM f),
+p AS (SELECT gold_norm, CASE WHEN variant = 2 AND field = 'claims' THEN '' WHEN variant = 4 AND field = 'filing_date' THEN replace(gold_norm, '-', '/')
+        ELSE gold_norm END AS pred_norm FROM v WHERE gold_norm <> '')
+SELECT DISTINCT gold_norm, pred_norm, CASE WHEN pred_norm = gold_norm THEN 1.0::DOUBLE WHEN pred_norm = '' THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END AS sim FROM p"""

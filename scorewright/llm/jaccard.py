@@ -8,9 +8,9 @@ Documents are joined by Jaccard distance, a metric, in four steps.
    every document into every region.  The first regions therefore have pivots
    that are parts of the sets themselves: the symmetric difference, also a
    metric, of two linked sets is at most d, so of d + 3 parts of the shingle
-   space at least three hold the same shingles in both.  A document joins the
-   region of each of its parts; the members of a region, and regions that share
-   a member, form a group.  No link leaves a group.
+   space (or more) at least three hold the same shingles in both.  A document joins the
+   region of each of its parts; documents that share as many regions as linked
+   ones must, and chains of them, form a group.  No link leaves a group.
 3. Groups of bounded size are joined in a task: far-apart members are pivots,
    members go to the Voronoi region of the nearest pivot and visit the others
    that the triangle inequality leaves open, and regions are joined in the same
@@ -24,6 +24,8 @@ Every kept link is decided by integer counts on whole sets.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,6 +43,8 @@ GROUP_SHINGLES = 1_500_000
 PIVOT_ROUNDS = 6
 CACHE_WORDS = 500_000
 SMALL, PIVOTS, DEPTH = 64, 8, 6
+#: Members of a region up to which its pairs are counted one by one.
+REGION_PAIRS = 12
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -85,9 +89,11 @@ def _texts(column) -> list[bytes]:
 class Parts:
     """Region keys of a set.  Sizes fall in classes such that linked sets are in
     one class or two neighbours; a set gets the keys of its own class and of the
-    class below.  In a class with difference bound d the shingle space has d + 3
-    parts.  Empty parts give keys only to a set with three or more of them:
-    others share a part that is not empty with any set they link to."""
+    class below.  In a class with difference bound d the shingle space has
+    d + spare parts, of which linked sets agree on ``spare``: three, and more
+    where small parts are often empty.  Empty parts give keys only to a set with
+    ``spare`` or more of them: others share at least ``spare - empty`` parts that
+    are not empty with any set they link to."""
 
     def __init__(self, percent: int):
         self.p, self.tops, self.cuts = percent, [], {}
@@ -102,13 +108,18 @@ class Parts:
         top = self.tops[c]
         return (top + top * 100 // self.p) * (100 - self.p) // (100 + self.p)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        own, total, out = self._class(len(s)), np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))]), []
+    def spare(self, c: int) -> int:
+        low, d = (self.tops[c - 1] if c else 0) + 1, self.bound(c)
+        return 3 + math.ceil(2 * d * math.exp(-0.9 * low / d))
+
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The keys, and how many of them any linked set is sure to share (0: not known)."""
+        own, total, out, need = self._class(len(s)), np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))]), [], len(s)
         for c in (own - 1, own):
             if c < 0 or not self.bound(c):
                 continue  # only equal sets link, and those are one class already
             if c not in self.cuts:
-                m = self.bound(c) + 3
+                m = self.bound(c) + self.spare(c)
                 cut = np.array([(j << 64) // m for j in range(1, m)], np.uint64)
                 salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32))
                 self.cuts[c] = cut, salt
@@ -119,8 +130,10 @@ class Parts:
             size = np.diff(at)
             key = mix((total[at[1:]] - total[at[:-1]]) ^ mix(salt + size.astype(np.uint64)))
             full = size > 0
-            out.append(key if len(size) - full.sum() >= 3 else key[full])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            empty = len(size) - int(full.sum())
+            need = min(need, max(0, self.spare(c) - empty))
+            out.append(key if empty >= self.spare(c) else key[full])
+        return (np.concatenate(out), need) if out else (np.zeros(0, np.uint64), 0)
 
 
 class Group:
@@ -226,66 +239,105 @@ def _sets_of(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _region_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, a, b): a document a in region key; with b, two documents of one
-    region that met in the task (key is then of no account)."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    """(key, a, need): document a in region key, and how many regions it shares
+    with any document it links to."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("need", pa.int32())])
 
     def run(batches):
         parts, seen = Parts(percent), {}
         for b in slices(batches):
-            ids, keys, pairs = [], [], []
+            ids, keys, needs = [], [], []
             for i, t in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
                 s = shingle_set(t, k)
                 if i is None or not len(s):
                     continue
-                same = seen.setdefault((len(s), int(mix(s).sum(dtype=np.uint64))), i)
-                if same != i:
+                if seen.setdefault((len(s), int(mix(s).sum(dtype=np.uint64))), i) != i:
                     continue  # a copy of a text of this task (its class finds it)
-                key = parts.keys(s)
+                key, need = parts.keys(s)
                 keys.append(key)
                 ids.append(np.full(len(key), i, np.int64))
+                needs.append(np.full(len(key), need, np.int32))
             if len(seen) > CACHE_WORDS:
                 seen.clear()
-            if not keys or not sum(map(len, keys)):
-                continue
-            key, doc = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            first = np.r_[True, key[1:] != key[:-1]]
-            head = doc[first][np.cumsum(first) - 1]
-            pairs = np.unique(np.c_[head, doc][~first & (head != doc)], axis=0)
-            yield record(schema, key[first], doc[first], pa.nulls(int(first.sum()), pa.int64()))
-            if len(pairs):
-                yield record(schema, pairs[:, 0] ^ pairs[:, 1], pairs[:, 0], pairs[:, 1])
+            if keys:
+                yield record(schema, np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(needs))
+
+    return docs.mapInArrow(run, "key long, a long, need int")
+
+
+def _region_pairs(rows: DataFrame) -> DataFrame:
+    """Small regions: (a, b, n, need) with n of the regions that a pair shares.
+    Others: (a, key, need) for each member, b null."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("key", pa.int64())])
+
+    def pairs_of(key, a, need):
+        """Regions that are complete here, by size; the large ones as rows."""
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        got = []
+        for c in np.unique(size[(size > 1) & (size <= REGION_PAIRS)]):
+            at = first[size == c][:, None] + np.arange(c)
+            x, y = np.triu_indices(c, 1)
+            one, two, most = a[at[:, x]].ravel(), a[at[:, y]].ravel(), np.maximum(need[at[:, x]], need[at[:, y]]).ravel()
+            got.append(np.c_[np.minimum(one, two), np.maximum(one, two), most][one != two])
+        if got:
+            found, n = np.unique(np.concatenate(got), axis=0, return_counts=True)
+            yield record(schema, np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]), n, found[:, 2].astype(np.int32), pa.nulls(len(n), pa.int64()))
+        large = np.repeat(size > REGION_PAIRS, size)
+        if large.any():
+            yield from members_of(key[large], a[large], need[large])
+
+    def members_of(key, a, need):
+        none = pa.nulls(len(a), pa.int64())
+        yield record(schema, a, none, none, need, key)
 
-    return docs.mapInArrow(run, "key long, a long, b long")
+    def run(batches):
+        held = None  # the last region so far, which may go on; a large one is passed on as it comes
+        large = None
+        for batch in batches:
+            key, a, need = (batch.column(i).to_numpy() for i in range(3))
+            if large is not None:
+                more = int(np.searchsorted(key, large, side="right"))
+                if more:
+                    yield from members_of(key[:more], a[:more], need[:more])
+                    key, a, need = key[more:], a[more:], need[more:]
+                if not len(key):
+                    continue
+                large = None
+            if held is not None:
+                key, a, need = (np.concatenate(x) for x in zip(held, (key, a, need), strict=True))
+            last = int(np.searchsorted(key, key[-1], side="left"))
+            if last:
+                yield from pairs_of(key[:last], a[:last], need[:last])
+            held = key[last:], a[last:], need[last:]
+            if len(held[0]) > REGION_PAIRS:
+                yield from members_of(*held)
+                large, held = held[0][0], None
+        if held is not None:
+            yield from pairs_of(*held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, n long, need int, key long")
 
 
 def _region_edges(rows: DataFrame) -> DataFrame:
-    """(a, b): the members of each region with one of them."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        last = None  # key and head of a region that may go on in the next batch
-        for batch in batches:
-            key, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            b = batch.column(2)
-            met = b.is_valid().to_numpy(zero_copy_only=False)
-            made = [np.c_[a[met], b.drop_null().to_numpy()]]
-            key, a = key[~met], a[~met]
-            if len(key):
-                first = np.r_[True, key[1:] != key[:-1]]
-                place = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-                head = a[place]
-                if last is not None and last[0] == key[0]:
-                    head[place == 0] = last[1]
-                last = key[-1], head[-1]
-                made.append(np.c_[head, a][head != a])
-            made = np.unique(np.concatenate(made), axis=0)
-            if len(made):
-                yield record(schema, np.ascontiguousarray(made[:, 0]), np.ascontiguousarray(made[:, 1]))
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    """(a, b): pairs that may link, from the regions they share.
+
+    Linked documents share ``need`` regions.  Those of a pair that are small are
+    counted pair by pair; what is missing can only be large regions, so the
+    count may fall short by no more than the large regions that both are in.  A
+    pair with none but large ones has ``need`` of them on both sides: such
+    documents are joined through the least of them in each large region."""
+    found = _kept(_region_pairs(rows), "op4-regions")
+    large = found.filter("b is null").select("key", "a", "need")
+    in_large = _kept(large.groupBy("a").agg(F.count(F.lit(1)).alias("h"), F.min("need").alias("need")), "op4-large")
+    pairs = found.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    h = in_large.select("a", F.col("h").alias("ha"))
+    pairs = pairs.join(h, "a", "left").join(h.toDF("b", "hb"), "b", "left")
+    short = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    pairs = pairs.filter(F.col("n") >= F.greatest(F.lit(1), F.col("need") - short)).select("a", "b")
+    many = large.select("key", "a").join(in_large.filter("h >= need").select("a"), "a", "left_semi")
+    heads = many.groupBy("key").agg(F.min("a").alias("b"))
+    return pairs.unionByName(many.join(heads, "key").filter("a != b").select("a", "b").distinct())
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:

@@ -38,10 +38,11 @@ from .graph import components
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles of a group that one task joins at once.
-GROUP_SHINGLES = 1_500_000
+GROUP_SHINGLES = 1_000_000
 #: Pivot rounds for larger groups before all their blocks meet.
 PIVOT_ROUNDS = 6
-CACHE_WORDS = 500_000
+#: Words, and sets of copies, that a Python worker remembers.
+CACHE_WORDS, CACHE_SETS = 150_000, 60_000
 SMALL, PIVOTS, DEPTH = 64, 8, 6
 #: Members of a region up to which its pairs are counted one by one.
 REGION_PAIRS = 12
@@ -257,7 +258,7 @@ def _region_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keys.append(key)
                 ids.append(np.full(len(key), i, np.int64))
                 needs.append(np.full(len(key), need, np.int32))
-            if len(seen) > CACHE_WORDS:
+            if len(seen) > CACHE_SETS:
                 seen.clear()
             if keys:
                 yield record(schema, np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(needs))

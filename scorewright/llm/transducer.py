@@ -14,7 +14,7 @@ from .batches import record, slices
 from .bpe import PreTokenizer, load_lookahead, load_table, merge_ragged
 
 #: Most words that a Python worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 _words: dict[str, dict] = {}
 
 

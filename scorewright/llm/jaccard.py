@@ -415,17 +415,16 @@ def _join_blocks(left: DataFrame, right: DataFrame | None, k: int, percent: int,
         g = Group(ids, sets, percent)
         if one_sided:
             g.join(np.arange(len(ids)), np.zeros(0, np.int64))
-        else:  # the left side is connected through its pivot
-            left_rows = np.flatnonzero(side == 0)
+            least = np.full(g.label.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, g.label, ids)
+            found = least[g.label]
+        else:  # the left side is connected through its pivot, so each link leads to its least member
+            found, left_rows = ids.copy(), np.flatnonzero(side == 0)
             if len(left_rows):
                 g.label[left_rows] = g.label[left_rows[0]]
                 for one in np.flatnonzero(side == 1):
                     g.connect(one, left_rows)
-        least = np.full(g.label.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, g.label, ids)
-        found = least[g.label]
-        if not one_sided:  # members of the left are already known
-            found = np.where(side == 1, found, ids)
+                found[(side == 1) & (g.label == g.label[left_rows[0]])] = ids[left_rows].min()
         return pa.Table.from_arrays([pa.array(ids), pa.array(found)], schema=schema)
 
     return rows.groupBy("root", "i", "j").applyInArrow(run, "a long, b long").filter("a != b")

@@ -77,6 +77,29 @@ def test_components_match_brute_force(spark, monkeypatch, k, percent, limit, pai
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("limit", [10**6, 1500])
+def test_core_of_a_large_group_keeps_its_links_to_lower_ids(spark, limit):
+    """Every document beside the core has a lower id than the whole core and
+    links to one member of it, not to the pivot; in one block and in several."""
+    rng = random.Random(12)
+    base = prose(rng, 110, 400).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(20):
+        w = list(base)
+        w[3 * i + 5] = f"c{i}"
+        rows.append((1001 + i, " ".join(w)))
+        w[(3 * i + 50) % 100] = f"n{i}"
+        rows.append((1 + i, " ".join(w)))
+    want = brute_components(rows, 3, 90)
+    assert {c for _, _, c in want} == {1}
+    members = spark.createDataFrame([(0, i, t, len(shingles(t, 3))) for i, t in rows], "root long, doc_id long, text string, n_shingles long")
+    links = jaccard._join_blocks(members.filter("doc_id >= 1000"), members.filter("doc_id < 1000"), 3, 90, limit).collect()
+    up = {i: 1000 if i >= 1000 else i for i, _ in rows}  # the core is connected through its pivot
+    for x, y in links:
+        up = {i: min(up[x], up[y]) if u in (up[x], up[y]) else u for i, u in up.items()}
+    assert sorted(((i, n, up[i]) for i, n, _ in want), key=repr) == want
+
+
 def test_components_of_odd_rows(spark):
     rows = odd_texts() + [(30, "A b"), (31, "a B"), (32, "a b c"), (33, "a  b\tc\n")]
     got = jaccard.jaccard_components(table(spark, rows))

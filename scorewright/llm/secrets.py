@@ -88,16 +88,25 @@ def base_spans(buf: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, in
     return found
 
 
-def _candidates(buf, off, least, base):
-    """Runs of the alphabet outside the base spans: starts and ends."""
+def _candidates(buf, off, least, base, cut=True):
+    """Runs of the alphabet, cut at the base spans: starts and ends of the
+    pieces outside them (or of the runs that meet no base span)."""
     a, b = runs(buf, off, _ALL, least)
     taken = np.array(sorted((int(off[r]) + s, int(off[r]) + e) for r, spans in base.items() for _, s, e, _ in spans), np.int64).reshape(-1, 2)
     if not len(taken) or not len(a):
         return a, b
     reach = np.maximum.accumulate(taken[:, 1])
-    before = np.searchsorted(taken[:, 0], b) - 1  # the last base span that starts before the run ends
-    free = (before < 0) | (reach[before] <= a)
-    return a[free], b[free]
+    first = np.flatnonzero(np.r_[True, taken[1:, 0] > reach[:-1]])  # spans that overlap or touch are one
+    low, high = taken[first, 0], reach[np.r_[first[1:], len(taken)] - 1]
+    begin, end = np.searchsorted(high, a, side="right"), np.searchsorted(low, b)  # the spans begin..end - 1 meet the run
+    n = np.maximum(0, end - begin)
+    which = np.repeat(np.arange(len(a)), n + 1)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    at = begin[which] + place
+    start = np.where(place > 0, high[np.maximum(at - 1, 0)], a[which])
+    stop = np.where(place < n[which], low[np.minimum(at, len(low) - 1)], b[which])
+    long = (stop - start >= least) & (cut | (n[which] == 0))
+    return start[long], stop[long]
 
 
 def _transitions(buf, a, b):
@@ -130,7 +139,7 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
             buf, off = raw_bytes(batch.column(0))
             base = base_spans(buf, off)
             values = np.array([(int(off[r]) + v, int(off[r]) + e) for r, spans in base.items() for _, _, e, v in spans], np.int64).reshape(-1, 2)
-            a, b = _candidates(buf, off, SAMPLE_MIN, base)
+            a, b = _candidates(buf, off, SAMPLE_MIN, base, cut=False)  # what is joined to a secret may be one
             short = b - a < CANDIDATE_MIN
             for label, (a, b) in enumerate(((a[short], b[short]), (values[:, 0], values[:, 1]))):
                 if len(a):

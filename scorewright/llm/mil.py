@@ -56,11 +56,12 @@ def passages(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.bincount(owner * (KINDS * KINDS) + before * KINDS + kind, minlength=total * KINDS * KINDS).reshape(total, -1).astype(np.float32)
     twice = np.zeros(total, np.float32)
     letter = ~_SPACE[buf]
-    begin = np.flatnonzero(letter & np.r_[True, ~letter[:-1]]) if len(buf) else buf
+    begin = np.flatnonzero(letter & (np.r_[True, ~letter[:-1]] | (place == 0))) if len(buf) else buf
     if len(begin) > 1:  # a sum over the letters and their places stands for each word
         spot = np.arange(len(buf)) - np.repeat(np.r_[0, begin], np.diff(np.r_[0, begin, len(buf)]))
         word = np.add.reduceat(np.where(letter, buf * _POWER[spot % 256], 0), begin)
-        twice += 8 * np.bincount(owner[begin[1:][word[1:] == word[:-1]]], minlength=total)
+        row = np.searchsorted(off, begin, side="right")
+        twice += 8 * np.bincount(owner[begin[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])]], minlength=total)
     length = np.maximum(1, x.sum(1, keepdims=True))
     return np.log1p(np.c_[x, twice] * (200 / length)).astype(np.float32), n
 

@@ -82,6 +82,15 @@ def test_passages_cover_the_whole_text():
     assert n.tolist() == [1, 1, 2, 5] and len(x) == 9 and not x[0].any() and x[1:].any(axis=1).all()
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = ["is", "is", "is is", "", "is it ", "it is", "\nis", "is\n", "is", "a" * 1023 + " is", "is is is", " ", "is"]
+    x, n = mil.passages(*raw_bytes(pa.array(texts)))
+    alone = [mil.passages(*raw_bytes(pa.array([t]))) for t in texts]
+    assert n.tolist() == [int(k[0]) for _, k in alone]
+    assert (x == np.concatenate([y for y, _ in alone])).all()
+    assert [bool(y[:, -1].any()) for y, _ in alone] == ["is is" in t for t in texts]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

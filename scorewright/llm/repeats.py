@@ -1,7 +1,9 @@
 """Operator 7: removal of repeated 200-byte strings.
 
-The steps are those of difference-cover suffix sorting, cut at the length that
-matters, with a sample that is chosen by content:
+Taken from difference-cover suffix sorting is the idea of a sample that any two
+equal strings hit at the same offset.  Nothing is sorted in suffix order, and
+there is no recursion and no comparison of adjacent prefixes: anchors are
+chosen by content and repeats are counts of equal hashes:
 
 1. Sample.  A difference cover guarantees that two equal strings have a sampled
    suffix at the same offset.  Fixed residues need at least 8 % of all
@@ -12,8 +14,8 @@ matters, with a sample that is chosen by content:
    occurs at one place only is dropped with the windows that it stands for.
 3. Go on with the repeated names only: each brings the bytes around it that its
    windows cover.
-4. Merge.  Every other suffix is compared through its sampled one: windows at
-   the same offset from the same name, by their 200 bytes.
+4. Count.  Windows at the same offset from the same name repeat if the hashes
+   of their 200 bytes are equal.
 
 Places are kept per distinct text; a text that several rows share repeats whole.
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table_path
-from . import mil, rules, winnow
+from . import codes, mil, mixing, repair, rules, winnow
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .repeats import remove_repeats
@@ -69,6 +69,20 @@ def op10_winnowing(spark, sf_dir):
     return winnow.decontaminate(documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "benchmark")))
 
 
+def op11_sainte_lague_mix(spark, sf_dir):
+    return mixing.mix_documents(documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = spark.read.parquet(table_path(sf_dir, "conversations"))
+    return repair.audit(repair.damaged(rows), present="present")
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codes.compress(spark.read.parquet(table_path(sf_dir, "embeddings")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_pack_sequences, op3_quality_rules, op4_jaccard_join, op5_quality_mil, op6_secret_scan, op7_repeated_strings, op8_bpe_codec, op9_lpt_shards, op10_winnowing)}
-SQL = {"op3_quality_rules": rules.SQL, "op10_winnowing": winnow.SQL}
+    op1_token_counts, op2_pack_sequences, op3_quality_rules, op4_jaccard_join, op5_quality_mil, op6_secret_scan, op7_repeated_strings, op8_bpe_codec, op9_lpt_shards, op10_winnowing,
+    op11_sainte_lague_mix, op12_conversation_repair, op13_vector_codes)}
+SQL = {"op3_quality_rules": rules.SQL, "op10_winnowing": winnow.SQL, "op11_sainte_lague_mix": mixing.SQL, "op13_vector_codes": codes.SQL}

@@ -1,13 +1,19 @@
 """Full-text search over the email corpus for many requests in one job.
 
-* ``postings``: one row per (term, message_id, field, pos); tokens are
+* ``posting_lists``: one row per (term, message_id) with the sorted places of
+  the term in the message, built inside the message's row without a shuffle;
+  ``flat`` gives one row per (term, message_id, field, pos).  Tokens are
   case-folded, accent-folded runs of letters and digits.
 * Phrase match: every keyword is a phrase; all keywords of a request must
   match, each inside one field (different keywords may hit different fields).
-* Rarest term first: candidates are the messages holding the request's
-  rarest term (from the postings and a per-term count table); the phrases are
-  then verified by position on the candidates' postings.  No message text is
-  read before the snippets of the final results.
+* Candidates first: the messages that hold a request's rarest term (by the
+  number of messages per term) are its candidates; those that pass its filters
+  are written once.  Only (term, message) pairs of these are then looked up: a filter of ``FILTER_BITS`` bits over these
+  pairs is made at run time and stands at the scan of the lists, so a term that
+  half the corpus holds sends on no more rows than there are candidates (and a
+  few false hits, which the join drops).  Phrases are verified on the places of
+  what is left.  No message text is read before the snippets of the final
+  results.
 * Filters: inbox (sender or any recipient), optional sender, optional
   recipient, half-open date interval on the ``yyyy-MM-dd HH:mm:ss`` text.  A
   filter that is null or empty is not set; without a limit there are 10 results.
@@ -17,8 +23,8 @@
   at most k rows per map task.
 
 No side is broadcast by a hint: Spark decides from measured sizes.  Stored
-postings are in folders by term bucket, so the join on (bucket, term) can skip
-the folders of unused buckets at run time.
+lists are in folders by term bucket, so a join on (bucket, term) can skip the
+folders of unused buckets at run time.
 """
 
 from __future__ import annotations
@@ -28,9 +34,48 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import TOKEN_SPAN, fts_tokens
+from ..session import cut_lineage
 
+#: Folders of the stored lists; each holds as many files as the range dealing gives it.
+TERM_BUCKETS = 32
+#: Bits of the run-time filter (128 KiB); fuller filters let more rows by, never fewer.
+FILTER_BITS = 1 << 20
+FIELDS = ("subject", "body")
 
-def postings(emails: DataFrame, fields=("subject", "body")) -> DataFrame:
+
+def term_bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _tokens(field: str, no: int) -> Column:
+    """(term, place) of a field's tokens; the field's number is in the place's high bits."""
+    return F.transform(F.coalesce(fts_tokens(field), F.array().cast("array<string>")),
+                       lambda t, i: F.struct(t.alias("term"), (F.lit(no << 32) + i).cast("long").alias("place")))
+
+
+def posting_lists(emails: DataFrame, fields=FIELDS) -> DataFrame:
+    """(term, message_id, places): the sorted places of each term in a message.
+    The message's tokens are sorted and cut where the term changes."""
+    rows = emails.select("message_id", F.sort_array(F.concat(*[_tokens(f, i) for i, f in enumerate(fields)])).alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1),
+                     lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+    rows = rows.filter(F.size("s") > 0).withColumn("first", first)
+    lists = F.transform("first", lambda a, j: F.struct(
+        F.get("s", a)["term"].alias("term"),
+        F.transform(F.slice("s", a + 1, F.coalesce(F.get("first", j + 1), F.size("s")) - a), lambda x: x["place"]).alias("places")))
+    return rows.select("message_id", F.inline(lists)).select("term", "message_id", "places")
+
+
+def flat(lists: DataFrame, fields=FIELDS) -> DataFrame:
+    """(message_id, field, pos, term) of posting lists."""
+    place = F.col("place")
+    return lists.select("message_id", "term", F.explode("places").alias("place")).select(
+        "message_id", F.get(F.array(*map(F.lit, fields)), F.shiftright(place, 32).cast("int")).alias("field"),
+        place.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "term")
+
+
+def postings(emails: DataFrame, fields=FIELDS) -> DataFrame:
+    """One row per token: (message_id, field, pos, term)."""
     arr = F.array(*[F.struct(F.lit(f).alias("field"), fts_tokens(f).alias("tokens")) for f in fields])
     return (emails.select("message_id", F.explode(arr).alias("f"))
             .select(F.col("message_id"), F.col("f.field").alias("field"),
@@ -77,42 +122,61 @@ def parties(emails: DataFrame, recipients: DataFrame) -> DataFrame:
             .distinct())
 
 
-def term_stats(post: DataFrame) -> DataFrame:
-    """(term, n): postings per term (map-side partial counts)."""
-    keys = ["bucket", "term"] if "bucket" in post.columns else ["term"]
-    return post.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def _keys(lists: DataFrame) -> list[str]:
+    return ["bucket", "term"] if "bucket" in lists.columns else ["term"]
 
 
-def _bucketed(terms: DataFrame, post: DataFrame) -> tuple[DataFrame, list[str]]:
-    if "bucket" not in post.columns:
-        return terms, ["term"]
-    from ..plans.store import term_bucket
-    return terms.withColumn("bucket", term_bucket(F.col("term"))), ["bucket", "term"]
+def term_stats(lists: DataFrame) -> DataFrame:
+    """(term, n): messages per term (map-side partial counts)."""
+    return lists.groupBy(*_keys(lists)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def candidates(post: DataFrame, stats: DataFrame, valid: DataFrame) -> DataFrame:
+def candidates(lists: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
     """(request_id, message_id) of messages holding the request's rarest
     term: a message that matches every phrase must hold every term, so the
     rarest one bounds the candidates. A frequent term never drives the join
     unless all of a request's terms are frequent."""
-    terms, keys = _bucketed(request_terms(valid), post)
+    keys = _keys(lists)
     with_n = terms.join(stats, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     anchor = with_n.groupBy("request_id").agg(F.min_by(F.struct(*keys), F.struct("n", "term")).alias("a"))
     anchor = anchor.select("request_id", *[F.col(f"a.{k}").alias(k) for k in keys])
-    return post.select(*keys, "message_id").join(anchor, keys).select("request_id", "message_id").distinct()
-
-
-def matches(post: DataFrame, stats: DataFrame, valid: DataFrame) -> DataFrame:
-    """(request_id, message_id) of messages that hold every phrase: the terms
-    of a phrase stand at consecutive positions of one field."""
-    terms, keys = _bucketed(request_terms(valid), post)
-    found = post.join(terms, keys).join(candidates(post, stats, valid), ["request_id", "message_id"], "left_semi")
-    start = (F.col("pos") - F.col("term_idx")).alias("start")
-    phrase = found.groupBy("request_id", "message_id", "kw_idx", "field", start, "n_terms").agg(F.count(F.lit(1)).alias("n"))
-    phrase = phrase.filter("n = n_terms").select("request_id", "message_id", "kw_idx").distinct()
-    whole = phrase.groupBy("request_id", "message_id").agg(F.count(F.lit(1)).alias("n"))
-    need = valid.select("request_id", F.size("keywords").cast("long").alias("n"))
-    return whole.join(need, ["request_id", "n"]).select("request_id", "message_id")
+    return lists.select(*keys, "message_id").join(anchor, keys).select("request_id", "message_id")
+
+
+def key_filter(keys: DataFrame, cols: list[str], bits: int = FILTER_BITS) -> Column:
+    """Condition that holds for every row whose ``cols`` occur in ``keys`` and
+    for few others, as a scalar subquery that a scan's filter can use: one bit
+    per hash value, in an array of fixed size."""
+    at = F.pmod(F.xxhash64(*cols), F.lit(bits).cast("long"))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
+    every = keys.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("word"), "left")
+    array = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("set", F.lit(0)).cast("long").alias("set")))).alias("a"))
+    table = array.select(F.col("a.set").alias("a")).scalar()
+    return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def candidate_lists(lists: DataFrame, cand: DataFrame, terms: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(request_id, message_id, kw_idx, n_terms, term_idx, places): the lists of
+    a request's terms in its candidates (request_id, message_id)."""
+    wanted = terms.join(cand.select("request_id", "message_id"), "request_id")
+    near = lists.filter(key_filter(wanted, ["term", "message_id"], bits))
+    return near.join(wanted, [*_keys(lists), "message_id"]).select("request_id", "message_id", "kw_idx", "n_terms", "term_idx", "places")
+
+
+def matches(lists: DataFrame, cand: DataFrame, terms: DataFrame) -> DataFrame:
+    """(request_id, message_id, n_phrases): how many of the request's phrases a
+    candidate holds, if any: the terms of a phrase stand at consecutive places
+    of one field.  A candidate's lists (as many as its request has terms) are
+    shuffled once; starts and phrases are counted in that partitioning."""
+    held = candidate_lists(lists, cand, terms)
+    # a term alone is a phrase wherever it stands
+    places = F.when(F.col("n_terms") == 1, F.slice("places", 1, 1)).otherwise(F.col("places"))
+    held = held.repartition("request_id", "message_id").select("request_id", "message_id", "kw_idx", "n_terms", "term_idx", F.explode(places).alias("place"))
+    start = (F.col("place") - F.col("term_idx")).alias("start")
+    phrase = held.groupBy("request_id", "message_id", "kw_idx", "n_terms", start).agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms")
+    phrase = phrase.select("request_id", "message_id", "kw_idx").distinct()
+    return phrase.groupBy("request_id", "message_id").agg(F.count(F.lit(1)).alias("n_phrases"))
 
 
 def _date_bounds(emails: DataFrame, requests: DataFrame) -> DataFrame:
@@ -148,18 +212,23 @@ FILTERS = ("inbox", "from_addr", "to_addr", "sent_after", "sent_before")
 
 
 def search(emails: DataFrame, recipients: DataFrame, requests: DataFrame,
-           post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+           lists: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Batch form of the filtered top-k search. ``requests`` columns:
     request_id, inbox, keywords, from_addr, to_addr, sent_after, sent_before,
     max_results. Returns request_id, rank, message_id, date.  Requests that are
     not valid have no results; ``rejections`` says why."""
-    valid, _ = validate_requests(requests)
-    post = post if post is not None else postings(emails)
-    stats = stats if stats is not None else term_stats(post)
-    meta = valid.select("request_id", *FILTERS, F.coalesce("max_results", F.lit(K.MAX_SEARCH_RESULTS)).alias("max_results"))
+    valid = cut_lineage(validate_requests(requests)[0])
+    lists = lists if lists is not None else posting_lists(emails)
+    stats = stats if stats is not None else term_stats(lists)
+    terms = request_terms(valid)
+    if "bucket" in lists.columns:
+        terms = terms.withColumn("bucket", term_bucket(F.col("term")))
+    meta = valid.select("request_id", *FILTERS, F.coalesce("max_results", F.lit(K.MAX_SEARCH_RESULTS)).alias("max_results"),
+                        F.size("keywords").cast("long").alias("n_phrases"))
     mail = _date_bounds(emails.select("message_id", "from_address", "date"), valid)
-    cand = matches(post, stats, valid).join(meta, "request_id").join(mail, "message_id")
-    cand = apply_filters(cand, recipients).select("request_id", "message_id", "date", "max_results")
+    cand = candidates(lists, stats, terms).join(meta, "request_id").join(mail, "message_id")
+    cand = cut_lineage(apply_filters(cand, recipients).select("request_id", "message_id", "date", "max_results", "n_phrases"))
+    cand = matches(lists, cand, terms).join(cand, ["request_id", "message_id", "n_phrases"])
     w = Window.partitionBy("request_id").orderBy(F.col("date").desc(), F.col("message_id"))
     # the literal cap lets Spark plan a partial WindowGroupLimit before the
     # exchange; the per-request limit (<= the cap) is applied after it

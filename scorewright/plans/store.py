@@ -1,7 +1,7 @@
 """Materialised corpus: emails, recipients and postings written once per
 state of the input (build-once, SNK-5) under the shared checkpoint folder and
 read by every search. Emails are clustered by date, recipients by address, and
-postings by term bucket and term, so date / address / term predicates skip
+posting lists by term bucket and term, so date / address / term predicates skip
 files and row groups. Every table is dealt by range on a key that ends in the
 message id, so a busy day, mailbox or term spans several writers."""
 
@@ -20,10 +20,12 @@ from ..sources.files import listing_digest
 from ..sources.tables import table_path
 from . import fixtures as fx
 
-#: Folders of the postings; each holds as many files as the range dealing gives it.
-TERM_BUCKETS = 64
 #: Part of the store's name: what is built and how.
-SETTINGS = f"v4 buckets={TERM_BUCKETS}"
+SETTINGS = f"v5 buckets={search.TERM_BUCKETS}"
+EMAILS = "id long, message_id string, subject string, from_address string, date string, body string, file_name string"
+RECIPIENTS = "email_id string, recipient_address string, recipient_type string, position int"
+LISTS = "term string, message_id string, places array<long>, bucket int"
+STATS = "term string, n long, bucket int"
 
 
 def _base(spark: SparkSession, sf_dir: str, tag: str = "") -> str:
@@ -32,12 +34,8 @@ def _base(spark: SparkSession, sf_dir: str, tag: str = "") -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{h}{tag}"
 
 
-def term_bucket(term) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
 def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(emails, recipients, postings, term statistics)."""
+    """(emails, recipients, posting lists, messages per term)."""
     base = _base(spark, sf_dir, tag)
     state = {}
 
@@ -59,12 +57,12 @@ def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataF
             (out.partitionBy(*folders) if folders else out).parquet(path)
         return write
 
-    emails = sinks.build_once(spark, f"{base}/emails", unique_emails, clustered("date", "message_id"))
+    emails = sinks.build_once(spark, f"{base}/emails", unique_emails, clustered("date", "message_id"), EMAILS)
     recipients = sinks.build_once(spark, f"{base}/recipients", lambda: corpus.recipients_table(kept()),
-                                  clustered("recipient_address", "email_id"))
-    postings = sinks.build_once(
-        spark, f"{base}/postings", lambda: search.postings(emails).withColumn("bucket", term_bucket(F.col("term"))),
-        clustered("bucket", "term", "message_id", folders=["bucket"]))
-    stats = sinks.build_once(spark, f"{base}/term_stats", lambda: search.term_stats(postings),
-                             clustered("bucket", "term", folders=["bucket"]))
-    return emails, recipients, postings, stats
+                                  clustered("recipient_address", "email_id"), RECIPIENTS)
+    lists = sinks.build_once(
+        spark, f"{base}/lists", lambda: search.posting_lists(emails).withColumn("bucket", search.term_bucket(F.col("term"))),
+        clustered("bucket", "term", "message_id", folders=["bucket"]), LISTS)
+    stats = sinks.build_once(spark, f"{base}/term_stats", lambda: search.term_stats(lists),
+                             clustered("bucket", "term", folders=["bucket"]), STATS)
+    return emails, recipients, lists, stats

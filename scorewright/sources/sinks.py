@@ -38,13 +38,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-               writer: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+               writer: Callable[[DataFrame, str], None] | None = None, schema: str | None = None) -> DataFrame:
     """Read the table at ``path`` if a complete one is there (``_SUCCESS``),
-    else build, write and read it."""
+    else build, write and read it; with ``schema`` no file is opened to learn it."""
     if not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         df = build()
         if writer:
             writer(df, path)
         else:
             df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)

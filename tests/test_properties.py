@@ -96,7 +96,8 @@ def test_stored_postings_equal_fresh_postings(spark):
     from scorewright.operators import corpus as c
     from scorewright.operators import search
     from scorewright.plans.store import corpus_store
-    emails, _, post, _ = corpus_store(spark, SF_SMALL)
+    emails, _, lists, _ = corpus_store(spark, SF_SMALL)
+    post = search.flat(lists)
     fresh = search.postings(c.emails_table(c.dedup_emails(fx.email_source(spark, SF_SMALL))))
     cols = ["term", "message_id", "field", "pos"]
     assert post.select(*cols).exceptAll(fresh.select(*cols)).count() == 0

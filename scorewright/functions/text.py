@@ -43,7 +43,11 @@ def collapse_ws(x) -> Column:
 def py_float(x) -> Column:
     """``float(s)`` or null where Python would raise. Spark's own cast accepts
     ``'1d'`` and ``'5f'``, so the literal is checked first."""
-    s = py_strip(x)
+    return bare_float(py_strip(x))
+
+
+def bare_float(s: Column) -> Column:
+    """``py_float`` of a text that is already stripped."""
     return F.when(s.rlike(_FLOAT_RE), s.try_cast("double"))
 
 

@@ -1,5 +1,8 @@
 """Properties: bounds, zero-mean advantages, split sizes, idempotent dedup,
 partition-count independence."""
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -60,11 +63,32 @@ def test_groups_with_null_keys_null_rewards_and_ties(spark):
     assert alone == {(r["grp"], r["tie"], r["reward"]): r["rank"] for r in got if r["grp"] == 1}
 
 
-def test_group_statistics_are_partial_and_nothing_is_windowed(spark):
-    df = spark.range(100).selectExpr("id % 3 AS grp", "CAST(id AS double) AS reward", "id AS tie")
-    for out in (groups.group_normalize(df, "grp"), groups.group_rank(df, "grp", "reward", "tie")):
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "windowspecdefinition(grp" not in plan
+def test_cut_groups_are_as_whole_ones(spark):
+    """Groups above the limit are cut into segments; rewards with many equal
+    values, NaN and nulls, two key columns, text tiebreaks."""
+    rng = random.Random(4)
+    odd = [1.0, 1.0, 1.0, 0.0, 2.5, None, float("inf")]
+    rows = [("a", 1, rng.choice(odd), f"t{i:05}") for i in range(900)] + [(None, 2, rng.choice([0.0, 1.0]), f"t{i:05}") for i in range(500)]
+    rows += [("b", None, float(i), f"t{i:05}") for i in range(300)] + [(f"g{i // 4}", 0, float(i % 3), f"t{i:05}") for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, h int, reward double, tie string").repartition(6)
+    runs = []
+    for limit in (10**6, 100, 1):
+        got = groups.normalize_and_rank(df, ["g", "h"], "reward", "tie", limit=limit)
+        runs.append({(r.g, r.h, r.tie): (r.rank, r.advantage if r.advantage is None or math.isnan(r.advantage) else round(r.advantage, 9)) for r in got.collect()})
+        assert len(runs[-1]) == len(rows)
+    assert repr(sorted(runs[0].items(), key=repr)) == repr(sorted(runs[1].items(), key=repr)) == repr(sorted(runs[2].items(), key=repr))
+
+
+def test_one_exchange_for_rows_and_segments_of_bounded_size(spark):
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, 0, id) AS grp", "CAST(id % 97 AS double) AS reward", "id AS tie", "repeat('x', 100) AS wide")
+    out = groups.normalize_and_rank(df, "grp", "reward", "tie")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "ExistingRDD" not in plan
+    rows, pieces = groups._segmented(df, ["grp"], "reward", "tie", 100)
+    most = rows.groupBy("grp", "_seg").count().agg(F.max("count")).first()[0]
+    assert pieces.count() >= 6 and most < 4000 / 3 / 3
+    wide = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any("ExistingRDD" in line and "wide" in line for line in wide.splitlines())
 
 
 def test_search_results_satisfy_filters(spark):

@@ -1,51 +1,119 @@
 """Search-index upkeep from a change feed (inserts, updates, deletes).
 
-Each micro-batch is reduced to the last change of every message (by ``seq``)
-and appended with that message's tokens, in a folder named by the batch, so a
-retried batch rewrites only its own folder.  The current index is the last
-change of each message over all batches, whatever batch it came in.
+The index is one base table and a few deltas, each with one row per message:
+its last change by ``seq`` and its tokens (none for a delete, whose row stays so
+that an older change that comes late does not bring the message back).
+
+* A micro-batch is reduced to the last change of every message and written as a
+  delta, so its cost goes with the batch.
+* Once the deltas hold more than ``SHARE`` of the base's rows, base and deltas
+  are merged into a new base.  So what a read goes through is at most 1 + SHARE
+  times the messages, however many changes there were, and the rewriting adds
+  up to a few times the changes.
+* A manifest, written last and named by the batch, says which tables make up
+  the index.  Readers take the newest complete manifest; a retried batch starts
+  from the manifest before it and makes the same tables again.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_tokens
 
 FIELDS = ("subject", "body")
+#: Rows of the deltas over those of the base from which they are merged.
+SHARE = 0.25
+ROWS = "message_id string, seq long, op string, tokens array<struct<term: string, field: string, pos: int>>"
+MANIFEST = "base long, deltas array<long>, base_rows long, delta_rows long"
+
+
+class Index(NamedTuple):
+    """The tables that make up the index, by the batch that wrote them."""
+
+    base: int | None = None
+    deltas: list[int] = []
+    base_rows: int = 0
+    delta_rows: int = 0
 
 
 def last_changes(changes: DataFrame) -> DataFrame:
-    """The row with the greatest ``seq`` of each message."""
-    latest = changes.groupBy("message_id").agg(F.max("seq").alias("seq"))
-    return changes.join(latest, ["message_id", "seq"])
+    """One row per message, that with the greatest ``seq``.  Of rows that share
+    it, the one with the greatest digest stays, so a retry takes the same."""
+    values = [F.col(c) for c in sorted(changes.columns) if c not in ("message_id", "seq")]
+    marked = changes.withColumn("_mark", F.sha2(F.to_json(F.struct(*values)), 256))
+    latest = marked.groupBy("message_id").agg(F.max(F.struct("seq", "_mark")).alias("last"))
+    latest = latest.select("message_id", "last.seq", "last._mark")
+    return marked.join(latest, ["message_id", "seq", "_mark"]).dropDuplicates(["message_id"]).drop("_mark")
 
 
-def apply_changes(base: str):
-    """foreachBatch function: change rows (op, message_id, subject, body, seq)."""
-    def tokens(field):
-        return F.transform(F.coalesce(fts_tokens(field), F.array().cast("array<string>")),
-                           lambda t, i: F.struct(t.alias("term"), F.lit(field).alias("field"), i.alias("pos")))
+def _tokens(field: str):
+    return F.transform(F.coalesce(fts_tokens(field), F.array().cast("array<string>")),
+                       lambda t, i: F.struct(t.alias("term"), F.lit(field).alias("field"), i.alias("pos")))
 
+
+def read_manifest(spark: SparkSession, root: str, before: int | None = None) -> Index:
+    """The index as the newest complete manifest (of a batch below ``before``) has it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return Index()
+    batches = (int(s.getPath().getName()) for s in fs.listStatus(path) if s.isDirectory())
+    for batch in sorted((b for b in batches if before is None or b < before), reverse=True):
+        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/{batch}/_SUCCESS")):
+            return Index(*spark.read.schema(MANIFEST).parquet(f"{root}/manifest/{batch}").first())
+    return Index()
+
+
+def current(spark: SparkSession, root: str, index: Index) -> DataFrame:
+    """The last change of every message, deletes included.  Only the deltas are
+    grouped; the base is scanned and loses the messages that they replace."""
+    def table(*paths):
+        return spark.read.schema(ROWS).parquet(*paths) if paths else spark.createDataFrame([], ROWS)
+    base = table(*([f"{root}/base/{index.base}"] if index.base is not None else []))
+    if not index.deltas:
+        return base
+    late = last_changes(table(*[f"{root}/delta/{d}" for d in index.deltas]))
+    if index.base is None:
+        return late
+    newer = base.alias("b").join(late.select("message_id", F.col("seq").alias("late")), "message_id", "left")
+    older = late.join(base.select("message_id", F.col("seq").alias("held")), "message_id", "left")
+    return newer.filter("late is null or seq > late").drop("late").unionByName(older.filter("held is null or seq >= held").drop("held"))
+
+
+def apply_changes(root: str, share: float = SHARE):
+    """foreachBatch function: change rows (op, message_id, subject, body, seq)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        own = last_changes(batch).select("message_id", "seq", "op", F.concat(*map(tokens, FIELDS)).alias("tokens"))
-        own.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        spark = batch.sparkSession
+        old = read_manifest(spark, root, batch_id)
+        own = last_changes(batch.select("op", "message_id", "subject", "body", "seq"))
+        rows = own.select("message_id", "seq", "op", F.concat(*map(_tokens, FIELDS)).alias("tokens"))
+        rows.write.mode("overwrite").parquet(f"{root}/delta/{batch_id}")
+        n = spark.read.schema(ROWS).parquet(f"{root}/delta/{batch_id}").count()
+        new = old._replace(deltas=[*old.deltas, batch_id], delta_rows=old.delta_rows + n)
+        if new.delta_rows > share * new.base_rows:
+            current(spark, root, new).write.mode("overwrite").parquet(f"{root}/base/{batch_id}")
+            new = Index(batch_id, [], spark.read.schema(ROWS).parquet(f"{root}/base/{batch_id}").count(), 0)
+        spark.createDataFrame([new], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{batch_id}")
     return run
 
 
-def live_postings(spark: SparkSession, base: str) -> DataFrame:
-    """Postings (term, message_id, field, pos) of the messages as they stand."""
-    now = last_changes(spark.read.parquet(base).drop("batch")).filter("op != 'delete'")
+def live_postings(spark: SparkSession, root: str) -> DataFrame:
+    """Postings (message_id, term, field, pos) of the messages as they stand;
+    none before the first batch."""
+    now = current(spark, root, read_manifest(spark, root)).filter("op != 'delete'")
     return now.select("message_id", F.inline("tokens"))
 
 
-def run_change_feed(spark: SparkSession, changes_dir: str, schema, base: str, checkpoint: str,
+def run_change_feed(spark: SparkSession, changes_dir: str, schema, root: str, checkpoint: str,
                     files_per_batch: int | None = None) -> None:
     """Consume every change file available now."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    q = (reader.parquet(changes_dir).writeStream.foreachBatch(apply_changes(base)).option("checkpointLocation", checkpoint)
+    q = (reader.parquet(changes_dir).writeStream.foreachBatch(apply_changes(root)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

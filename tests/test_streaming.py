@@ -79,3 +79,41 @@ def test_change_feed_keeps_the_last_change(spark):
     assert now() == want
     apply(spark.createDataFrame(one, schema), 1)
     assert now() == want
+
+
+def test_reads_of_the_index_do_not_grow_with_the_changes(spark):
+    """The same 40 messages change in every batch: what a read goes through
+    stays near 40 rows, merged or not; deltas wait for the share."""
+    from scorewright.streaming import index
+    schema = "op string, message_id string, subject string, body string, seq long"
+    for share in (0.25, 3.0):
+        base = tempfile.mkdtemp(prefix="sw-idx-")
+        assert index.live_postings(spark, base).collect() == []
+        apply, waited = index.apply_changes(base, share), 0
+        for batch in range(6):
+            rows = [("delete" if (i + batch) % 9 == 0 else "update", f"m{i}", f"s{batch}", f"word{i} at {batch}", 100 * batch + i) for i in range(40)]
+            apply(spark.createDataFrame(rows + rows[:5], schema), batch)
+            now = index.read_manifest(spark, base)
+            waited = max(waited, len(now.deltas))
+            assert now.base_rows == 40 and now.delta_rows <= share * 40
+            got = {r.message_id for r in index.live_postings(spark, base).filter(f"term = '{batch}'").collect()}
+            assert got == {f"m{i}" for i in range(40) if (i + batch) % 9}
+            assert index.live_postings(spark, base).filter(f"term = '{batch - 1}'").count() == 0
+        assert waited == (0 if share < 1 else 3)
+
+
+def test_a_retried_batch_makes_the_same_index(spark):
+    """A batch that ran, or broke off before its manifest, is run again."""
+    from scorewright.streaming import index
+    base = tempfile.mkdtemp(prefix="sw-idx-")
+    schema = "op string, message_id string, subject string, body string, seq long"
+    apply = index.apply_changes(base, 0.5)
+    batches = [[("insert", f"m{i}", "one", "two words", 10 * b + i) for i in range(6 - b, 8 - b)] for b in range(5)]
+    for b, rows in enumerate(batches):
+        apply(spark.createDataFrame(rows, schema), b)
+    want = sorted(map(tuple, index.live_postings(spark, base).collect()))
+    for b in (4, 3, 4):
+        apply(spark.createDataFrame(batches[b], schema), b)
+    assert sorted(map(tuple, index.live_postings(spark, base).collect())) == want
+    spark.range(1).write.parquet(f"{base}/delta/9")  # a batch without a manifest is no part of the index
+    assert sorted(map(tuple, index.live_postings(spark, base).collect())) == want

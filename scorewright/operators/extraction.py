@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import collapse_ws, py_strip
-from ..functions.udfs import field_scores, parse_completion
+from ..functions.udfs import field_scores, pair_ratio, parse_completion
 
 def fields_arr() -> Column:
     return F.array(*[F.lit(f) for f in K.RELEVANT_FIELDS])
@@ -146,6 +146,27 @@ def field_scores_long(scored: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, F.col("z.field").alias("field"), F.col("z.sim").alias("sim")))
 
 
+def field_pairs(parsed: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """(gold_norm, pred_norm) of the used fields of rows with an object, as they
+    come; nothing is scored."""
+    g, p = F.col(gold), F.col(pred)
+    z = F.arrays_zip(g["fnorms"].alias("g"), p["fnorms"].alias("p"), g["fused"].alias("u"))
+    rows = parsed.filter(g["fnorms"].isNotNull() & p["fnorms"].isNotNull()).select(F.explode(z).alias("z")).filter("z.u")
+    return rows.select(F.col("z.g").alias("gold_norm"), F.col("z.p").alias("pred_norm"))
+
+
+def pair_similarities(pairs: DataFrame) -> DataFrame:
+    """(gold_norm, pred_norm, sim): the table's dictionary of distinct pairs.
+    Equal and empty texts are decided here; the matcher runs once for each
+    distinct pair that is left, whatever the number of rows."""
+    g, p = F.col("gold_norm"), F.col("pred_norm")
+    open_ = (g != p) & (g != "") & (p != "")
+    sim = F.when(g == p, F.lit(1.0)).when(open_, F.col("_ratio")).otherwise(F.lit(0.0))
+    distinct = pairs.select("gold_norm", "pred_norm").distinct()
+    scored = distinct.withColumn("_ratio", pair_ratio(F.when(open_, g), F.when(open_, p)))
+    return scored.select("gold_norm", "pred_norm", sim.alias("sim"))
+
+
 def date_format_profile(scored: DataFrame, fields=K.ISO_DATE_FIELDS) -> DataFrame:
     """Count of (field, format) over parsed completions: iso, compact, slash,
     unparsed or absent (null / blank / not a string)."""

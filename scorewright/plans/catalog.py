@@ -352,15 +352,15 @@ def q_normalize_text(spark, sf_dir):
 
 @register("pair_similarity")
 def q_pair_similarity(spark, sf_dir):
-    """Distinct (gold, prediction) normalised pairs of used fields with their
-    similarity (checked against difflib in unit tests)."""
-    s = _ie_scored(spark, sf_dir)
-    g = F.col("gold")["fnorms"]
-    p = F.col("pred")["fnorms"]
-    z = F.arrays_zip(g.alias("g"), p.alias("p"), F.col("field_used").alias("u"), F.col("field_sims").alias("s"))
-    pairs = s.filter(F.col("field_sims").isNotNull()).select(F.explode(z).alias("z")).filter("z.u")
-    return pairs.select(F.col("z.g").alias("gold_norm"), F.col("z.p").alias("pred_norm"),
-                        F.round("z.s", 6).alias("sim")).distinct()
+    """Distinct (gold, prediction) normalised pairs of used fields, and of each
+    gold text with a beginning of it, with their similarity."""
+    rows = fx.ie_rows(spark, sf_dir)
+    parsed = extraction.parse_pred(extraction.parse_gold(rows.select("row_id", "gold_json", "completion")))
+    pairs = extraction.field_pairs(parsed)
+    begun = F.substring("gold_norm", 1, F.length("gold_norm") % 7 + 2)
+    pairs = pairs.unionByName(pairs.filter("gold_norm = pred_norm").select("gold_norm", begun.alias("pred_norm")))
+    out = extraction.pair_similarities(pairs)
+    return out.select("gold_norm", "pred_norm", _r6("sim"))
 
 
 # ------------------------------------------------------- prompts and chat

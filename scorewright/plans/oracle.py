@@ -883,5 +883,7 @@ f AS (SELECT row_id % 10 AS variant, unnest({_FIELD_LIST}) AS field, gold_json F
 v AS (SELECT variant, field, lower(CASE WHEN field = 'claims' THEN array_to_string(CAST(json_extract(gold_json, '$.claims') AS VARCHAR[]), ' ')
         ELSE json_extract_string(gold_json, '$.' || field) END) AS gold_norm FROM f),
 p AS (SELECT gold_norm, CASE WHEN variant = 2 AND field = 'claims' THEN '' WHEN variant = 4 AND field = 'filing_date' THEN replace(gold_norm, '-', '/')
-        ELSE gold_norm END AS pred_norm FROM v WHERE gold_norm <> '')
-SELECT DISTINCT gold_norm, pred_norm, CASE WHEN pred_norm = gold_norm THEN 1.0::DOUBLE WHEN pred_norm = '' THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END AS sim FROM p"""
+        ELSE gold_norm END AS pred_norm FROM v WHERE gold_norm <> ''),
+begun AS (SELECT gold_norm, substr(gold_norm, 1, length(gold_norm) % 7 + 2) AS pred_norm FROM p WHERE pred_norm = gold_norm)
+SELECT DISTINCT gold_norm, pred_norm, CASE WHEN pred_norm = gold_norm THEN 1.0::DOUBLE WHEN pred_norm = '' THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END AS sim FROM p
+UNION SELECT gold_norm, pred_norm, round(2.0::DOUBLE * length(pred_norm) / (length(gold_norm) + length(pred_norm)), 6) FROM begun"""

@@ -127,14 +127,32 @@ def assert_unique(emails: DataFrame, key: str = "message_id") -> None:
         raise ValueError(f"duplicate {key} values in emails")
 
 
+#: Folders of tables that are looked up by message id.
+ID_SLOTS = 32
+
+
+def id_slot(message_id: str) -> Column:
+    return F.pmod(F.xxhash64(message_id), F.lit(ID_SLOTS)).cast("int")
+
+
+def _slots_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A table in folders by ``slot``, cut to the folders of the wanted ids: at
+    most ID_SLOTS numbers, known at run time before a file is opened."""
+    if "slot" not in table.columns:
+        return table
+    slots = wanted.agg(F.collect_set(id_slot("message_id")).alias("s")).scalar()
+    return table.filter(F.array_contains(slots, F.col("slot")))
+
+
 def read_emails(emails: DataFrame, recipients: DataFrame, ids: DataFrame, id_col: str = "message_id") -> DataFrame:
     """Batch point lookup: each requested id with its recipients collected by
     type (case-insensitive; other types ignored; missing -> []), in original
     order. Unknown ids give no row. A message has at most MAX_RECIPIENTS
-    recipients, so each collected group is bounded."""
+    recipients, so each collected group is bounded.  Of tables in folders by
+    ``slot`` only the folders of the requested ids are read."""
     wanted = ids.select(F.col(id_col).alias("message_id")).distinct()
-    base = emails.join(wanted, "message_id", "left_semi")
-    rec = recipients.join(wanted.withColumnRenamed("message_id", "email_id"), "email_id", "left_semi")
+    base = _slots_of(emails, wanted).join(wanted, "message_id", "left_semi")
+    rec = _slots_of(recipients, wanted).join(wanted.withColumnRenamed("message_id", "email_id"), "email_id", "left_semi")
     t = F.lower("recipient_type")
 
     def pick(kind):

@@ -113,13 +113,15 @@ def request_terms(requests: DataFrame) -> DataFrame:
                      F.posexplode("tokens").alias("term_idx", "term"))
 
 
-def parties(emails: DataFrame, recipients: DataFrame) -> DataFrame:
-    """(message_id, party): the sender and every recipient, distinct. Turns
-    'sender = x OR EXISTS recipient = x' into one semi join."""
-    return (emails.select("message_id", F.col("from_address").alias("party"))
-            .unionByName(recipients.select(F.col("email_id").alias("message_id"),
-                                           F.col("recipient_address").alias("party")))
-            .distinct())
+def parties(emails: DataFrame, recipients: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(message_id, party) of the messages that one of the ``addresses`` (column
+    address) sent or got, once each: 'sender = x OR EXISTS recipient = x' as two
+    semi joins by address.  Only mail of these addresses is compared for copies;
+    null addresses have no mail."""
+    asked = addresses.select(F.col("address").alias("party")).distinct()
+    sent = emails.select("message_id", F.col("from_address").alias("party")).join(asked, "party", "left_semi")
+    got = recipients.select(F.col("email_id").alias("message_id"), F.col("recipient_address").alias("party")).join(asked, "party", "left_semi")
+    return sent.unionByName(got).distinct()
 
 
 def _keys(lists: DataFrame) -> list[str]:
@@ -241,7 +243,8 @@ def search(emails: DataFrame, recipients: DataFrame, requests: DataFrame,
 def inbox_messages(emails: DataFrame, recipients: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, message_id) of the mail in each request's inbox that passes
     its other filters; keywords are not looked at."""
-    own = requests.select("request_id", *FILTERS).join(parties(emails, recipients), F.col("inbox") == F.col("party")).drop("party")
+    visible = parties(emails, recipients, requests.select(F.col("inbox").alias("address")))
+    own = requests.select("request_id", *FILTERS).join(visible, F.col("inbox") == F.col("party")).drop("party")
     mail = _date_bounds(emails.select("message_id", "from_address", "date"), requests)
     return apply_filters(own.join(mail, "message_id"), recipients).select("request_id", "message_id")
 

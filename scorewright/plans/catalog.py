@@ -183,8 +183,8 @@ def _lookup_ids(spark, sf_dir):
 
 @register("read_email")
 def q_read_email(spark, sf_dir):
-    emails, rec, _, _ = _store(spark, sf_dir)
-    out = corpus.read_emails(emails, rec, _lookup_ids(spark, sf_dir))
+    store = _store(spark, sf_dir)
+    out = corpus.read_emails(store.emails, store.recipients_by_id, _lookup_ids(spark, sf_dir))
     return out.select("message_id", "date", "subject", "from_address",
                       *[F.array_join(f"{k}_addresses", ",").alias(f"{k}_addresses") for k in ("to", "cc", "bcc")],
                       F.length("body").alias("body_chars"), "file_name")
@@ -219,24 +219,24 @@ def _store(spark, sf_dir):
 @register("corpus_search")
 def q_corpus_search(spark, sf_dir):
     """Batch search over the stored corpus and postings (built once)."""
-    emails, rec, post, stats = _store(spark, sf_dir)
-    res = search.search(emails, rec, search_requests(spark, sf_dir), post, stats)
+    store = _store(spark, sf_dir)
+    res = search.search(store.mail, store.recipients, search_requests(spark, sf_dir), store.lists, store.stats)
     return res.select("request_id", F.col("rank").cast("int").alias("rank"), "message_id", "date")
 
 
 @register("scenario_search")
 def q_scenario_search(spark, sf_dir):
-    emails, rec, post, stats = _store(spark, sf_dir)
-    res = search.search(emails, rec, search.scenario_requests(fx.scenarios(spark, sf_dir)), post, stats)
+    store = _store(spark, sf_dir)
+    res = search.search(store.mail, store.recipients, search.scenario_requests(fx.scenarios(spark, sf_dir)), store.lists, store.stats)
     return res.select("request_id", F.col("rank").cast("int").alias("rank"), "message_id", "date")
 
 
 @register("search_snippets")
 def q_search_snippets(spark, sf_dir):
-    emails, rec, post, stats = _store(spark, sf_dir)
+    store = _store(spark, sf_dir)
     req = search.scenario_requests(fx.scenarios(spark, sf_dir))
-    res = search.search(emails, rec, req, post, stats)
-    return search.snippets(res, req, emails).select(
+    res = search.search(store.mail, store.recipients, req, store.lists, store.stats)
+    return search.snippets(res, req, store.emails).select(
         "request_id", F.col("rank").cast("int").alias("rank"), "message_id", "field", "snippet")
 
 
@@ -244,8 +244,8 @@ def q_search_snippets(spark, sf_dir):
 def q_inbox_semi_join(spark, sf_dir):
     """Messages visible in each scenario's inbox (sender or recipient)."""
     emails, rec = _tables(spark, sf_dir)
-    p = search.parties(emails, rec)
     inboxes = fx.scenarios(spark, sf_dir).select(F.col("id").alias("request_id"), F.col("inbox_address").alias("inbox"))
+    p = search.parties(emails, rec, inboxes.select(F.col("inbox").alias("address")))
     j = inboxes.join(p, inboxes.inbox == p.party)
     return j.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_messages"))
 

@@ -1,14 +1,26 @@
-"""Materialised corpus: emails, recipients and postings written once per
-state of the input (build-once, SNK-5) under the shared checkpoint folder and
-read by every search. Emails are clustered by date, recipients by address, and
-posting lists by term bucket and term, so date / address / term predicates skip
-files and row groups. Every table is dealt by range on a key that ends in the
-message id, so a busy day, mailbox or term spans several writers."""
+"""Materialised corpus, written once per state of the input and of the build
+(build-once, SNK-5) under the shared checkpoint folder and read by every search
+and lookup:
+
+* ``emails`` with their texts, in folders by a hash of the message id, so a
+  lookup by id reads the wanted folders alone;
+* ``recipients``, clustered by address for the filters, and in the same folders
+  by message id for the lookups;
+* ``mail``, the emails' ids, senders and dates, clustered by date, so the search
+  filters read no text and skip dates;
+* ``lists`` and ``stats``, the posting lists and messages per term, in folders
+  by term bucket and clustered by term.
+
+Every clustered table is dealt by range on a key that ends in the message id, so
+a busy day, mailbox or term spans several writers.  The folder's name holds a
+digest of the input's listing and of the plans that build the tables: changed
+build code makes a new store."""
 
 from __future__ import annotations
 
 import hashlib
 import os
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,34 +32,67 @@ from ..sources.files import listing_digest
 from ..sources.tables import table_path
 from . import fixtures as fx
 
-#: Part of the store's name: what is built and how.
-SETTINGS = f"v5 buckets={search.TERM_BUCKETS}"
-EMAILS = "id long, message_id string, subject string, from_address string, date string, body string, file_name string"
+EMAILS = "id long, message_id string, subject string, from_address string, date string, body string, file_name string, slot int"
 RECIPIENTS = "email_id string, recipient_address string, recipient_type string, position int"
+MAIL = "message_id string, from_address string, date string"
 LISTS = "term string, message_id string, places array<long>, bucket int"
 STATS = "term string, n long, bucket int"
 
 
+class Store(NamedTuple):
+    emails: DataFrame
+    recipients: DataFrame
+    lists: DataFrame
+    stats: DataFrame
+    mail: DataFrame
+    recipients_by_id: DataFrame
+
+
+def _kept(spark, sf_dir):
+    return corpus.dedup_emails(fx.email_source(spark, sf_dir))
+
+
+def _emails(kept):
+    return corpus.emails_table(kept).withColumn("slot", corpus.id_slot("message_id"))
+
+
+def _lists(emails):
+    return search.posting_lists(emails).withColumn("bucket", search.term_bucket(F.col("term")))
+
+
+_KEYS: dict[tuple[str, ...], str] = {}
+
+
+def build_key(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the plans of the tables' builds; made once per session and input."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _KEYS:
+        kept = _kept(spark, sf_dir)
+        emails = _emails(kept)
+        lists = _lists(emails)
+        _KEYS[at] = sinks.plan_key(emails, corpus.recipients_table(kept), lists, search.term_stats(lists))
+    return _KEYS[at]
+
+
 def _base(spark: SparkSession, sf_dir: str, tag: str = "") -> str:
     tag = tag or os.environ.get("SCOREWRIGHT_STORE_TAG", "")
-    h = hashlib.md5(f"{SETTINGS} {listing_digest(spark, table_path(sf_dir, 'documents'))}".encode()).hexdigest()[:16]
+    h = hashlib.md5(f"{build_key(spark, sf_dir)} {listing_digest(spark, table_path(sf_dir, 'documents'))}".encode()).hexdigest()[:16]
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{h}{tag}"
 
 
-def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(emails, recipients, posting lists, messages per term)."""
+def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> Store:
     base = _base(spark, sf_dir, tag)
     state = {}
 
     def kept():
         if "kept" not in state:
-            state["kept"] = cut_lineage(corpus.dedup_emails(fx.email_source(spark, sf_dir)))
+            state["kept"] = cut_lineage(_kept(spark, sf_dir))
         return state["kept"]
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def unique_emails():
-        table = corpus.emails_table(kept())
+        table = _emails(kept())
         corpus.assert_unique(table)
         return table
 
@@ -57,12 +102,14 @@ def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> tuple[DataF
             (out.partitionBy(*folders) if folders else out).parquet(path)
         return write
 
-    emails = sinks.build_once(spark, f"{base}/emails", unique_emails, clustered("date", "message_id"), EMAILS)
-    recipients = sinks.build_once(spark, f"{base}/recipients", lambda: corpus.recipients_table(kept()),
-                                  clustered("recipient_address", "email_id"), RECIPIENTS)
-    lists = sinks.build_once(
-        spark, f"{base}/lists", lambda: search.posting_lists(emails).withColumn("bucket", search.term_bucket(F.col("term"))),
-        clustered("bucket", "term", "message_id", folders=["bucket"]), LISTS)
-    stats = sinks.build_once(spark, f"{base}/term_stats", lambda: search.term_stats(lists),
-                             clustered("bucket", "term", folders=["bucket"]), STATS)
-    return emails, recipients, lists, stats
+    def table(name, build, schema, *order, folders=()):
+        return sinks.build_once(spark, f"{base}/{name}", build, clustered(*order, folders=folders), schema)
+
+    emails = table("emails", unique_emails, EMAILS, "slot", "message_id", folders=["slot"])
+    recipients = table("recipients", lambda: corpus.recipients_table(kept()), RECIPIENTS, "recipient_address", "email_id")
+    by_id = table("recipients_by_id", lambda: recipients.withColumn("slot", corpus.id_slot("email_id")), f"{RECIPIENTS}, slot int",
+                  "slot", "email_id", folders=["slot"])
+    mail = table("mail", lambda: emails.select("message_id", "from_address", "date"), MAIL, "date", "message_id")
+    lists = table("lists", lambda: _lists(emails), LISTS, "bucket", "term", "message_id", folders=["bucket"])
+    stats = table("term_stats", lambda: search.term_stats(lists), STATS, "bucket", "term", folders=["bucket"])
+    return Store(emails, recipients, lists, stats, mail, by_id)

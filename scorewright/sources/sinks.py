@@ -8,6 +8,8 @@ finds a complete table or rebuilds it.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def plan_key(*frames: DataFrame) -> str:
+    """Digest of what the frames compute: their analysed plans in canonical
+    form, whole, without the numbers that differ from session to session.  It
+    hangs on columns, expressions and joins, not on where the input lies."""
+    conf, limit = frames[0].sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(limit)
+    conf.set(limit, "100000")
+    try:
+        text = "\n".join(df._jdf.queryExecution().analyzed().canonicalized().toString() for df in frames)
+    finally:
+        conf.set(limit, before)
+    text = re.sub(r"#\d+L?", "", text)
+    return hashlib.sha256(re.sub(r"\b([a-z])_\d+\b", r"\1", text).encode()).hexdigest()
+
+
 def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                writer: Callable[[DataFrame, str], None] | None = None, schema: str | None = None) -> DataFrame:
     """Read the table at ``path`` if a complete one is there (``_SUCCESS``),

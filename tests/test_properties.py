@@ -94,7 +94,7 @@ def test_one_exchange_for_rows_and_segments_of_bounded_size(spark):
 def test_search_results_satisfy_filters(spark):
     from scorewright.plans import catalog
     from scorewright.plans.store import corpus_store
-    emails, rec, post, stats = corpus_store(spark, SF_SMALL)
+    emails, rec, post, stats, mail, _ = corpus_store(spark, SF_SMALL)
     req = catalog.search_requests(spark, SF_SMALL)
     from scorewright.operators import search
     res = search.search(emails, rec, req, post, stats)
@@ -120,7 +120,7 @@ def test_stored_postings_equal_fresh_postings(spark):
     from scorewright.operators import corpus as c
     from scorewright.operators import search
     from scorewright.plans.store import corpus_store
-    emails, _, lists, _ = corpus_store(spark, SF_SMALL)
+    lists = corpus_store(spark, SF_SMALL).lists
     post = search.flat(lists)
     fresh = search.postings(c.emails_table(c.dedup_emails(fx.email_source(spark, SF_SMALL))))
     cols = ["term", "message_id", "field", "pos"]

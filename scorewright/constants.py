@@ -99,6 +99,7 @@ MAX_BODY_CHARS = 5000
 MAX_RECIPIENTS = 30
 MAX_SEARCH_RESULTS = 10
 SNIPPET_TOKENS = 15
+RANKING_PREVIEW_CHARS = 50
 SNIPPET_OPEN = "<b>"
 SNIPPET_CLOSE = "</b>"
 SNIPPET_ELLIPSIS = " ... "

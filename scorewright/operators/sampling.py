@@ -11,6 +11,9 @@ input).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,14 +39,16 @@ def with_positions(df: DataFrame, order: list, out: str, num_partitions: int | N
     return put.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, place).drop("_part", "_id", "_before")
 
 
-def _local_prefix(value_col: str, out: str):
+def _local_prefix(value: str):
+    """Adds ``_loc``, the sum of ``value`` over the task's rows before this one;
+    the other columns pass through as they are."""
     def run(batches):
-        acc = 0
-        for pdf in batches:
-            v = pdf[value_col].fillna(0).astype("int64")
-            pdf[out] = (v.cumsum() - v + acc).astype("int64")
-            acc += int(v.sum())
-            yield pdf
+        total = 0
+        for batch in batches:
+            v = pc.fill_null(batch.column(batch.schema.get_field_index(value)), 0).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(v) + total
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - v, pa.int64())], names=[*batch.schema.names, "_loc"])
     return run
 
 
@@ -51,14 +56,15 @@ def with_prefix_sum(df: DataFrame, order_cols: list[str], value: Column | str, o
                     num_partitions: int | None = None) -> DataFrame:
     """Adds ``out`` = sum of ``value`` over all rows strictly before this row
     in ``order_cols`` order (order_cols must be unique per row).  Same plan as
-    ``with_positions``, with a running sum over the sorted batches."""
+    ``with_positions``; the sorted rows are summed as they stream into the
+    checkpoint, so they go through Arrow once and are not computed again."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     val = F.col(value) if isinstance(value, str) else value
-    put = cut_lineage(df.withColumn("_v", val.cast("long")).repartitionByRange(n, *order_cols)
-                      .sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(put.schema.fields + [T.StructField("_loc", T.LongType())])
-    local = put.mapInPandas(_local_prefix("_v", "_loc"), schema)
-    totals = put.groupBy("_pid").agg(F.sum("_v").alias("_tot"))
+    put = (df.withColumn("_v", val.cast("long")).repartitionByRange(n, *order_cols)
+           .sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id()))
+    schema = T.StructType([*put.schema.fields, T.StructField("_loc", T.LongType())])
+    local = cut_lineage(put.mapInArrow(_local_prefix("_v"), schema))
+    totals = local.groupBy("_pid").agg(F.sum("_v").alias("_tot"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")

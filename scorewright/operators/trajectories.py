@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.text import c
+from ..functions.text import c, truncate_preview
 from ..functions.udfs import read_verdict, strict_object
 
 def guess_reward(text, answer) -> Column:
@@ -153,3 +153,11 @@ def failure_budget(rollouts: DataFrame, step: str, failed: str, rollouts_per_gro
 def zero_fraction(df: DataFrame, arr: str) -> Column:
     """Share of entries that are 0; null for an empty or null array."""
     return F.try_divide(F.size(F.filter(arr, lambda x: x == 0)), F.size(arr))
+
+
+def ranking_lines(messages: DataFrame, ranked: DataFrame, key: str = "traj_id", turn: str = "turn", content: str = "content") -> DataFrame:
+    """One line per ranked trajectory (key, group_id, rank, reward, response):
+    the first 50 characters of its last message, always with '...' behind them.
+    A trajectory without messages has a null response."""
+    last = messages.groupBy(key).agg(F.max_by(truncate_preview(content, K.RANKING_PREVIEW_CHARS, always=True), turn).alias("response"))
+    return ranked.select(key, "group_id", "rank", "reward").join(last, key, "left")

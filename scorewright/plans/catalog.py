@@ -99,6 +99,16 @@ def q_batch_scorer(spark, sf_dir):
     return every.select("prompt_id", F.col("gen_idx").cast("int").alias("gen_idx"), "format_exact", "answer_reward", "number_reward", "reward")
 
 
+@register("batch_unscored")
+def q_batch_unscored(spark, sf_dir):
+    """Prompts and gold rows that the batch scorer gives no rows for."""
+    rows = fx.math_rows(spark, sf_dir)
+    k = F.col("prompt_id")
+    prompts = rows.filter(k % 7 != 3).groupBy("prompt_id").agg(F.collect_list(F.when(k % 5 != 2, F.col("completion"))).alias("completions"))
+    gold = rows.filter(k % 11 != 6).groupBy("prompt_id").agg(F.min_by("answer", "gen_idx").alias("answer"))
+    return batch.unscored(prompts, gold)
+
+
 @register("math_reward_total")
 def q_math_reward_total(spark, sf_dir):
     return _scored_math(spark, sf_dir).groupBy("variant").agg(
@@ -563,6 +573,16 @@ def q_gold_lookup(spark, sf_dir):
     return rows.select("patent_id", "gold_json")
 
 
+@register("gold_missing")
+def q_gold_missing(spark, sf_dir):
+    """Manifest rows whose label file has no content (those whose stem's digest begins with 0 or 1 are absent)."""
+    _, pdfs, labels = _listings(spark, sf_dir)
+    manifest = records.pair_by_stem(pdfs, labels)
+    contents = labels.filter(~F.substring(F.md5("stem"), 1, 1).isin("0", "1")).select("path", F.lit("{}").alias("content"))
+    _, missing = records.attach_labels(manifest, contents)
+    return missing.select("patent_id", F.lit("label file missing").alias("reason"))
+
+
 # ---------------------------------------- guess / judge / trajectories
 from ..operators import trajectories as trj  # noqa: E402
 
@@ -653,6 +673,13 @@ def q_trajectory_rank(spark, sf_dir):
     return r.select("traj_id", "group_id", "reward", "rank")
 
 
+@register("ranking_preview")
+def q_ranking_preview(spark, sf_dir):
+    """Each trajectory's rank in its group with the beginning of its last message."""
+    ranked = groups.group_rank(fx.trajectory_meta(spark, sf_dir), "group_id", "reward", "traj_id")
+    return trj.ranking_lines(fx.trajectory_rows(spark, sf_dir), ranked)
+
+
 @register("judge_prompt")
 def q_judge_prompt(spark, sf_dir):
     """System and user message for each answered trajectory: the question and

@@ -639,6 +639,10 @@ contents AS (SELECT l.path, {_LABEL_JSON} AS content FROM patents p JOIN labels
 SELECT pr.patent_id, c.content AS gold_json FROM pairs pr JOIN contents c ON c.path = pr.gold_json_path"""
 
 
+SQL["gold_missing"] = with_(PATENTS, SPLIT) + """
+SELECT patent_id, 'label file missing' AS reason FROM pairs WHERE substr(md5(patent_id), 1, 1) IN ('0', '1')"""
+
+
 # ---------------------------------------------- guess / judge / trajectories
 _WORDS = "[" + ", ".join(q(w) for w in K.GUESS_WORDS) + "]"
 
@@ -736,6 +740,11 @@ SQL["trajectory_rank"] = with_(TRAJ) + """
 SELECT traj_id, group_id, reward,
   CAST(row_number() OVER (PARTITION BY group_id ORDER BY reward DESC, traj_id) AS INTEGER) AS rank FROM tmeta"""
 
+SQL["ranking_preview"] = with_(TRAJ) + """,
+lasts AS (SELECT conv_id AS traj_id, max_by(text, turn) AS content FROM conversations GROUP BY 1)
+SELECT m.traj_id, group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY reward DESC, m.traj_id) AS INTEGER) AS rank, reward,
+  substr(l.content, 1, 50) || '...' AS response FROM tmeta m LEFT JOIN lasts l ON l.traj_id = m.traj_id"""
+
 SQL["judge_prompt"] = with_(TRAJ, SCENARIOS) + f"""
 SELECT f.traj_id, {q(K.JUDGE_SYSTEM_PROMPT)} AS system_content,
   'Question: ' || s.question || chr(10) || 'Reference answer: ' || s.answer || chr(10) || 'AI answer: ' || coalesce(f.answer, '') AS user_content
@@ -876,6 +885,12 @@ math_rows AS (SELECT s.* REPLACE (f.gold AS answer, CASE WHEN s.prompt_id % 3 =
   FROM stored s JOIN firsts f ON f.prompt_id = s.prompt_id)""", MATH_SCORED) + """
 SELECT prompt_id, gen_idx, format_exact, answer_reward, number_reward, reward FROM totals"""
 
+SQL["batch_unscored"] = with_(MATH_ROWS) + """,
+k AS (SELECT DISTINCT prompt_id AS p FROM math_rows),
+w AS (SELECT p, CASE WHEN p % 7 = 3 AND p % 11 = 6 THEN NULL WHEN p % 7 = 3 THEN 'no prompt' WHEN p % 11 = 6 THEN 'no gold'
+                     WHEN p % 5 = 2 THEN 'no completions' END AS reason FROM k)
+SELECT p AS prompt_id, reason FROM w WHERE reason IS NOT NULL"""
+
 # every pair of a used field is equal but a missing key (0) and a date with other
 # separators (eight of ten characters match: 0.8)
 SQL["pair_similarity"] = with_(IE_GOLD) + f""",

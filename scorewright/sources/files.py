@@ -84,9 +84,9 @@ def split_listing(spark: SparkSession, pdfs_dir: str, labels_dir: str) -> tuple[
 
 
 def read_label_contents(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
-    """(path, content): each label file as one string."""
+    """(path, content): each label file as one string, UTF-8 or else Latin-1."""
     df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return df.select(F.col("_metadata.file_path").alias("path"), _decode(F.col("value").cast("binary")).alias("content"))
 
 
 MANIFEST_SCHEMA = T.StructType([

@@ -135,3 +135,22 @@ def test_label_sink_and_head_limit_rules(spark):
     assert sampling.head_limit(ids, ["k"], 0, falsy_means_all=False).count() == 0   # slice form
     assert sampling.head_limit(ids, ["k"], None, falsy_means_all=False).count() == 5
     assert [r["k"] for r in sampling.head_limit(ids, ["k"], 2).collect()] == [0, 1]
+
+
+def test_label_contents_fall_back_to_latin_1(spark):
+    base = tempfile.mkdtemp(prefix="sw-lab-")
+    for name, data in (("a", '{"t": "é"}'.encode()), ("b", '{"t": "é"}'.encode("latin-1"))):
+        with open(f"{base}/{name}.json", "wb") as f:
+            f.write(data)
+    got = {r.path.rsplit("/", 1)[1]: r.content for r in files.read_label_contents(spark, base).collect()}
+    assert got == {"a.json": '{"t": "é"}', "b.json": '{"t": "é"}'}
+
+
+def test_every_prompt_is_scored_or_listed(spark):
+    from scorewright.operators import batch
+    prompts = spark.createDataFrame([(1, ["a"]), (2, []), (3, None), (4, ["b", "c"]), (None, ["d"])], "prompt_id long, completions array<string>")
+    gold = spark.createDataFrame([(1, "x"), (2, "x"), (5, "x")], "prompt_id long, answer string")
+    left = {r.prompt_id: r.reason for r in batch.unscored(prompts, gold).collect()}
+    assert left == {2: "no completions", 3: "no gold", 4: "no gold", 5: "no prompt", None: "no gold"}
+    scored = {r.prompt_id for r in batch.score_batch(prompts, gold, lambda df: df).collect()}
+    assert scored == {1}

@@ -4,7 +4,11 @@ an incremental byte-to-text machine."""
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
+import itertools
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +19,10 @@ from .bpe import PreTokenizer, load_lookahead, load_table, merge_ragged
 
 #: Most words that a Python worker remembers, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: Characters that are split, encoded and decoded at once.
+BLOCK = 1 << 20
 _words: dict[str, dict] = {}
+_SPACE = re.compile(r"[ \t\n\r]")
 
 
 class Encoder:
@@ -66,7 +73,7 @@ class Encoder:
 
 
 class Decoder:
-    """Token ids in, text out, one id at a time.
+    """Token ids in, text out, some ids at a time.
 
     ``plain``: the bytes of the tokens as text, a word-end mark as a space; the
     state is the unfinished character, at most three bytes, and bytes that are
@@ -76,24 +83,17 @@ class Decoder:
 
     def __init__(self, path: str, plain: bool = True):
         self.table, self.plain = load_table(path), plain
+        self.pieces = load_pieces(path, plain)
         self.reset()
 
     def reset(self) -> None:
         self._state, self._started = codecs.getincrementaldecoder("utf-8")("replace"), False
 
-    def _bytes(self, i: int) -> bytes:
-        t = self.table
-        tok = t.tokens[i]
-        if tok in t.special:
-            return tok.encode()
-        end = bool(t.suffix) and tok.endswith(t.suffix)
-        return bytes(t.letter_byte[c] for c in (tok[: -len(t.suffix)] if end else tok)) + b" " * end
-
-    def feed(self, i: int) -> str:
+    def feed(self, ids: list[int]) -> str:
         if self.plain:
-            return self._state.decode(self._bytes(i))
-        gap, self._started = " " * self._started, True
-        return gap + self.table.tokens[i]
+            return self._state.decode(b"".join(map(self.pieces.__getitem__, ids)))
+        gap, self._started = " " * (self._started and bool(ids)), self._started or bool(ids)
+        return gap + " ".join(map(self.pieces.__getitem__, ids))
 
     def finish(self) -> str:
         rest = self._state.decode(b"", True)
@@ -101,18 +101,43 @@ class Decoder:
         return rest
 
 
+@functools.lru_cache(maxsize=4)
+def load_pieces(path: str, plain: bool) -> dict:
+    """What each token decodes to: its bytes (``plain``) or its string."""
+    t = load_table(path)
+    if not plain:
+        return t.tokens
+
+    def piece(tok: str) -> bytes:
+        if tok in t.special:
+            return tok.encode()
+        end = bool(t.suffix) and tok.endswith(t.suffix)
+        return bytes(t.letter_byte[c] for c in (tok[: -len(t.suffix)] if end else tok)) + b" " * end
+    return {i: piece(tok) for i, tok in t.tokens.items()}
+
+
 class Codec:
-    """Encodes texts and decodes ids, with the words seen so far remembered."""
+    """Encodes texts block by block, with the words seen so far remembered."""
 
     def __init__(self, path: str):
-        self.table = load_table(path)
-        self.split = PreTokenizer(path, self.table)
-        self.encoder, self.decoder = Encoder(path), Decoder(path, plain=False)
+        self.path, self.table = path, load_table(path)
+        self.split, self.encoder = PreTokenizer(path, self.table), Encoder(path)
         self.known = _words.setdefault(path, {})
-
-    def encode(self, texts: list[str]) -> list[list]:
-        """Per text, its words' (count, ids as text, tokens as text)."""
-        split = [self.split(t) for t in texts]
+        # words hold no white space, so a text may be cut at any
+        self.whole = any(_SPACE.search(s) for s in self.table.special)
+
+    def blocks(self, text: str, size: int):
+        """The text in blocks of about ``size`` characters, cut before white space."""
+        at = 0
+        while at < len(text):
+            cut = None if self.whole else _SPACE.search(text, at + size)
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
+    def encode(self, blocks: list[str]) -> list[list[int]]:
+        """The ids of each block."""
+        split = [self.split(b) for b in blocks]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known, local = self.known, {}
@@ -120,46 +145,91 @@ class Codec:
         strings = [w for w in fresh if isinstance(w, str)]
         found = self.encoder.streams([w.encode() for w in strings])
         for w, ids in [*zip(strings, found, strict=True), *((w, [w]) for w in fresh if not isinstance(w, str))]:
-            shown = "".join(map(self.decoder.feed, ids)) + self.decoder.finish()
-            entry = (len(ids), " ".join(map(str, ids)), shown)
-            (known if isinstance(w, str) and len(w) <= CACHE_CHARS else local)[w] = entry
-        return [[known[w] if w in known else local[w] for w in ws] for ws in split]
+            (known if isinstance(w, str) and len(w) <= CACHE_CHARS else local)[w] = ids
+        return [list(itertools.chain.from_iterable([known[w] if w in known else local[w] for w in ws])) for ws in split]
+
+
+class Stream:
+    """One text's way through the codec: ids in, digests out.  Of the text and
+    its ids nothing is kept (the ids only if they are asked for)."""
+
+    def __init__(self, path: str, keep: bool):
+        self.n, self.ids = 0, [] if keep else None
+        self.id_sha, self.shown_sha, self.plain_sha = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.shown, self.plain = Decoder(path, plain=False), Decoder(path)
+
+    def feed(self, ids: list[int]) -> None:
+        if ids:
+            self.id_sha.update((" " * (self.n > 0) + " ".join(map(str, ids))).encode())
+            self.shown_sha.update(self.shown.feed(ids).encode())
+            self.plain_sha.update(self.plain.feed(ids).encode())
+            self.n += len(ids)
+            if self.ids is not None:
+                self.ids += ids
+
+    def finish(self) -> tuple:
+        self.plain_sha.update(self.plain.finish().encode())
+        return (self.n, *(h.hexdigest() for h in (self.id_sha, self.shown_sha, self.plain_sha)), *(() if self.ids is None else (self.ids,)))
+
+
+def run_streams(texts: Iterable[str], path: str, keep: bool = False, block: int = BLOCK) -> Iterator[tuple]:
+    """``Stream.finish`` of each text.  Blocks of several short texts are
+    encoded together, a long text's in turn, so what is held beside the given
+    texts is about ``block`` characters and their words."""
+    codec = Codec(path)
+    held: list[tuple[Stream, str]] = []
+    size, open_ = 0, []
+
+    def flush():
+        for (stream, _), ids in zip(held, codec.encode([b for _, b in held]), strict=True):
+            stream.feed(ids)
+        held.clear()
+
+    for text in texts:
+        stream = Stream(path, keep)
+        for b in codec.blocks(text, block):
+            held.append((stream, b))
+            size += len(b)
+            if size >= block:
+                flush()
+                yield from (s.finish() for s in open_)
+                size, open_ = 0, []
+        open_.append(stream)
+    flush()
+    yield from (s.finish() for s in open_)
 
 
 def encode_ids(texts: list[str], path: str) -> list[list[int]]:
     """Token ids of each text."""
-    return [[int(i) for _, ids, _ in words for i in ids.split()] for words in Codec(path).encode(texts)]
+    return [r[-1] for r in run_streams(texts, path, keep=True)]
 
 
 def decode_ids(ids: list[int], path: str, plain: bool = True) -> str:
-    """Text of the ids through the incremental machine."""
+    """Text of the ids through the incremental machine, one at a time."""
     d = Decoder(path, plain)
-    return "".join(map(d.feed, ids)) + d.finish()
+    return "".join(d.feed([i]) for i in ids) + d.finish()
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256,
-    and the ids themselves if asked for.
-
-    ``decoded_sha256`` is of the decoding that the file itself defines: it has
-    no decoder, so its tokens are joined by one space.  Row by row, without a
-    shuffle.  A null text counts as empty; a null doc_id stays null; repeated
-    rows each give a row; other columns are not read.  Whole texts, in slices
-    of about 2 MB; a word of any length streams through a constant window."""
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    plain_sha256, and the ids themselves if asked for.
+
+    The ids that come out of the transducer go through the decoders as they
+    come, and what these say is hashed: ``decoded_sha256`` is of the decoding
+    that the file itself defines (it has no decoder, so its tokens are joined by
+    one space), ``plain_sha256`` of the byte-to-text machine's text.  Row by
+    row, without a shuffle.  A null text counts as empty; a null doc_id stays
+    null; repeated rows each give a row; an empty table gives none; other
+    columns are not read.  Whole texts, in blocks of about ``BLOCK`` characters
+    cut at white space; a word of any length streams through a constant window,
+    so beside the given text memory doesn't grow with its length."""
+    digests = ("ids_sha256", "decoded_sha256", "plain_sha256")
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(c, pa.string()) for c in digests]]
     schema = pa.schema([*fields, *[("ids", pa.list_(pa.int32()))] * with_ids])
 
-    def sha(s: str) -> str:
-        return hashlib.sha256(s.encode()).hexdigest()
-
     def run(batches):
-        codec = Codec(path)
         for b in slices(batches):
-            rows = codec.encode(b.column(1).to_pylist())
-            ids = [" ".join([e[1] for e in r if e[0]]) for r in rows]
-            shown = [" ".join([e[2] for e in r if e[0]]) for r in rows]
-            extra = [[[int(i) for i in s.split()] for s in ids]] * with_ids
-            yield record(schema, b.column(0), [sum(e[0] for e in r) for r in rows], list(map(sha, ids)), list(map(sha, shown)), *extra)
+            yield record(schema, b.column(0), *zip(*run_streams(b.column(1).to_pylist(), path, with_ids)))
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+        run, "doc_id long, n_tokens long, " + ", ".join(f"{c} string" for c in digests) + ", ids array<int>" * with_ids)

@@ -103,18 +103,18 @@ def test_plain_decoding_is_a_round_trip_and_incremental():
     ids = transducer.encode_ids([text], path)[0]
     assert transducer.decode_ids(ids, path).split() == text.split()
     d = transducer.Decoder(path)
-    assert "".join(d.feed(i) for i in ids) + d.finish() == transducer.decode_ids(ids, path)
+    assert d.feed(ids[:3]) + d.feed([]) + d.feed(ids[3:]) + d.finish() == transducer.decode_ids(ids, path)
     lone = [i for i, t in d.table.tokens.items() if t == "Ã"]  # the first byte of a character
     assert transducer.decode_ids(lone, path) == "�"
 
 
 def test_encode_documents_of_odd_rows(spark):
-    rows, lib = odd_texts(), library(Q.WORD_FILE)
-    got = transducer.encode_documents(table(spark, rows), Q.tokenizer_file(Q.WORD_FILE)).collect()
+    rows, lib, path = odd_texts(), library(Q.WORD_FILE), Q.tokenizer_file(Q.WORD_FILE)
+    got = transducer.encode_documents(table(spark, rows), path).collect()
     want = []
     for i, t in rows:
         ids = lib.encode(t or "", add_special_tokens=False).ids
-        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False))]
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False), transducer.decode_ids(ids, path))]
         want.append((i, len(ids), *sha))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert transducer.encode_documents(table(spark, []), Q.tokenizer_file(Q.WORD_FILE), with_ids=True).collect() == []
@@ -160,3 +160,29 @@ def test_packing_is_lossless(spark):
     assert packed.select("seq_id").distinct().count() == packed.count()
     assert packing.pack_documents(table(spark, []), path).collect() == []
     assert packing.pack_documents(table(spark, [(1, None), (2, "")]), path).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_change_nothing(block):
+    path, lib = Q.tokenizer_file(Q.WORD_FILE), library(Q.WORD_FILE)
+    texts = [t or "" for _, t in odd_texts()] + random_texts(120) + ["ΟΔΟΣ ΑΣ\u0301 \u0301x", " a", "a "]
+    for text, (n, *_, ids) in zip(texts, transducer.run_streams(texts, path, keep=True, block=block), strict=True):
+        assert ids == lib.encode(text, add_special_tokens=False).ids and n == len(ids)
+
+
+def test_a_text_of_ten_megabytes_needs_little_memory_beside_it():
+    import tracemalloc
+
+    path, lib = Q.tokenizer_file(Q.WORD_FILE), library(Q.WORD_FILE)
+    rng = random.Random(6)
+    text = " ".join(rng.choice("the quick brown fox jumps naïve 日本 over".split()) + str(rng.randrange(50)) for _ in range(1_400_000))
+    assert len(text.encode()) > 10_000_000
+    list(transducer.run_streams(["warm up " * 10], path))
+    tracemalloc.start()
+    (n, ids_sha, shown_sha, _), = transducer.run_streams([text], path, block=1 << 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000  # the ids alone would be more than 100 MB
+    ids = lib.encode(text, add_special_tokens=False).ids
+    assert n == len(ids) and ids_sha == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert shown_sha == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()

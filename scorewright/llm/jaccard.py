@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .batches import record, slices
 from .graph import components
+from .ordinal import with_position
+from .sieve import fresh, sieve, without
 
 SHINGLE, PERCENT = 3, 90
 #: Shingles of a group that one task joins at once.
@@ -465,7 +467,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     groups = _kept(groups, "op4-members")
     big = groups.groupBy("root").agg(F.sum("n_shingles").alias("total")).filter(F.col("total") > limit).select("root")
     big = _kept(big, "op4-big")
-    texts = docs.join(groups.select(F.col("node").alias("doc_id"), "root", "degree", "n_shingles").hint("shuffle_hash"), "doc_id")
+    members = groups.select(F.col("node").alias("doc_id"), "root", "degree", "n_shingles")
+    texts = docs.filter(sieve(members, ["doc_id"])).join(members, "doc_id")
     texts = texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if whole.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
         texts = texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
@@ -504,16 +507,45 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _own_ids(docs: DataFrame, doc_id: str, text: str, out: str) -> DataFrame:
+    """``docs`` with ``out``, an id for each distinct (doc_id, text): the doc_id
+    itself, unless rows with other texts share it; such pairs get ids below all
+    others.  Null doc_ids stay null.  Only ids and hashes are grouped."""
+    own, mark = docs[doc_id].cast("long"), F.xxhash64(docs[text])
+    pairs = docs.select(own.alias("id"), mark.alias("mark")).filter("id is not null")
+    twice = pairs.groupBy("id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a != b").select("id")
+    shared = _kept(pairs.join(twice, "id", "left_semi").distinct(), "op4-shared")
+    if not shared.limit(1).count():
+        return docs.withColumn(out, own)
+    low = pairs.agg(F.min("id").alias("low")).first().low
+    shared = _kept(with_position(shared, ["id", "mark"], "place", "op4-own").select("id", "mark", (F.lit(low) - 1 - F.col("place")).alias("new")), "op4-ids")
+    mine, marks, theirs, other, new = fresh(docs, "_mine", "_mark", "_theirs", "_other", "_new")
+    rows = docs.withColumns({mine: own, marks: mark}).join(shared.toDF(theirs, other, new), (F.col(mine) == F.col(theirs)) & (F.col(marks) == F.col(other)), "left")
+    return rows.withColumn(out, F.coalesce(F.col(new), F.col(mine))).drop(mine, marks, theirs, other, new)
+
+
 def keep_one(docs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group stays, the one with the least id, with all
-    its columns; of rows that repeat an id one stays.  Documents without words
-    and rows without an id are in no group and stay."""
-    own = jaccard_components(docs, k, percent, doc_id, text).filter("doc_id is not null")
-    own = own.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    own = _kept(own.filter("least < doc_id or n > 1").select(F.col("doc_id").alias("_d"), (F.col("least") < F.col("doc_id")).alias("_gone")), "op4-gone")
-    same = docs[doc_id].cast("long") == F.col("_d")
-    kept = docs.join(own.filter("_gone").hint("shuffle_hash"), same, "left_anti")
-    again = own.filter("not _gone")
+    """One document of each group stays, with all its columns, whatever they
+    are called: the one with the least id (rows that share a doc_id but not the
+    text are documents of their own, and come before others).
+
+    Documents without words and rows without an id are in no group and stay.
+    Of rows alike in doc_id and text one stays, the least by a hash of all
+    columns.  Very long texts are compared whole; an empty table gives no rows.
+    The ids that go are written; other texts are not shuffled."""
+    (own, mark, nth, twice) = fresh(docs, "_own", "_mark", "_nth", "_twice")
+    rows = _own_ids(docs, doc_id, text, own)
+    found = jaccard_components(rows, k, percent, own, text).filter("doc_id is not null")
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = _kept(found.filter("least < doc_id or n > 1"), "op4-found")
+    gone = _kept(found.filter("least < doc_id").select("doc_id"), "op4-gone")
+    kept = without(rows, gone, [F.col(own)])
+    again = _kept(found.filter("least >= doc_id").select(F.col("doc_id").alias(twice)), "op4-again")
     if not again.limit(1).count():
-        return kept
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([doc_id]))
+        return kept.drop(own)
+    # rows alike in id and text: a task sorts hashes of a run of them, not texts
+    same = F.col(own) == F.col(twice)
+    copies = kept.filter(sieve(again.toDF(own), [own])).join(again, same, "left_semi").withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    least = copies.groupBy(own).agg(F.min(mark).alias(nth)).withColumnRenamed(own, twice)
+    copies = copies.join(least, same & (F.col(mark) == F.col(nth))).drop(mark, nth, twice).dropDuplicates([own])
+    return without(kept, again, [F.col(own)]).unionByName(copies).drop(own)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .sieve import sieve, without
 
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
@@ -90,8 +91,9 @@ def _hits(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> Da
     The items' windows and fingerprints are written (their size is then known,
     so Spark broadcasts them below its threshold and shuffles them otherwise).
     One pass over the texts joins the documents' fingerprints with them.  Only
-    documents with a hit are joined with their text again, on the narrow side's
-    hash table, and have the windows around their hits compared."""
+    documents with a hit have the windows around their hits compared: a filter
+    over their keys, made at run time, stands at the second reading of the
+    texts, so no other text is shuffled."""
     spark = docs.sparkSession
     items = items.select(items[item_id].alias("_item"), items[item_text].alias("_text"))
 
@@ -110,7 +112,8 @@ def _hits(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> Da
 
     # extend: every window of the right length that holds a hit
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_h"))
-    held = docs.join(cand.hint("shuffle_hash"), same).select(*key, "hits", F.transform(words(F.col("_t")), lowered).alias("w"))
+    near = docs.filter(sieve(cand.select(F.col("_d").alias("doc_id"), F.col("_h").alias("_th")), key))
+    held = near.join(cand, same).select(*key, "hits", F.transform(words(F.col("_t")), lowered).alias("w"))
     turn = 1 << POS_BITS
     place = F.transform("hits", lambda x: F.transform(
         F.sequence(x["pos"], F.greatest(F.size("w").cast("long"), x["pos"]), F.lit(turn).cast("long")),
@@ -150,10 +153,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows without a hit, with all their columns."""
+    """The rows without a hit, with all their columns, whatever they are called.
+
+    Null and empty texts, and any row when there are no items, stay; repeated
+    rows stay or go together; a null doc_id is a value like others; a text of
+    any length is compared whole; an empty table gives none.  The keys of the
+    rows that go are written; other texts are not shuffled."""
     found = _hits(_keyed(docs, doc_id, text), items, item_id, item_text).select("_d", "_h")
-    same = docs[doc_id].cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_h"))
-    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+    path = scratch_path(docs.sparkSession, "op10-contaminated")
+    found.write.parquet(path)
+    gone = docs.sparkSession.read.schema(found.schema).parquet(path)
+    return without(docs, gone, [docs[doc_id].cast("long"), F.xxhash64(docs[text])])
 
 
 SQL = r"""

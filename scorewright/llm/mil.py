@@ -134,7 +134,9 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fits on at most ``TRAIN_ROWS`` labelled documents that are not held out,
     taken in order of a hash of their id.  A label that is null or not 0 or 1
-    is left out; of repeated ids the lowest label holds and one text is used.
+    is left out; of repeated ids the lowest label holds and the text with the
+    least hash is used.  Of a text longer than ``TRAIN_PASSAGES`` passages that
+    many are taken, evenly spread over the whole of it.
     Passages are encoded on the executors; the driver fits on their features.
     Without any labelled row every score is 0.5."""
     y = labels.select(labels[doc_id].cast("long").alias("_id"), labels[label].cast("int").alias("_y")).filter("_y in (0, 1)")
@@ -142,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # a labelled document may be absent here: pick among those that are there
     there = docs.select(docs[doc_id].cast("long").alias("_id")).distinct()
     y = y.join(there, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
-    rows = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("text")).join(F.broadcast(y), "_id").dropDuplicates(["_id"])
+    rows = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("text")).join(F.broadcast(y), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # the same one in any run
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("n", pa.int32()), ("x", pa.binary())])
 
     def run(batches):

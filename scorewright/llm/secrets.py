@@ -41,6 +41,7 @@ def _table(chars: bytes) -> np.ndarray:
 
 
 _HEX, _UPPER, _ALL = _table(b"0123456789abcdef"), _table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), _table(ALPHABET)
+_LETTER = _table(bytes(c for c in ALPHABET if chr(c).isalpha()))
 _STATE = np.full(256, -1, np.int64)
 _STATE[list(ALPHABET)] = np.arange(1, STATES)
 
@@ -164,8 +165,13 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def random_spans(buf, off, base, ratio: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Row -> spans of candidates that look random, in bytes of the row."""
+    """Row -> spans of candidates that look random, in bytes of the row.  A run
+    without a letter is a number (an amount, an id, a card: not a secret of
+    this kind) and is not judged."""
     a, b = _candidates(buf, off, CANDIDATE_MIN, base)
+    letters = np.r_[0, np.cumsum(_LETTER[buf])]
+    named = letters[b] > letters[a]
+    a, b = a[named], b[named]
     found: dict[int, list[tuple[int, int]]] = {}
     if not len(a):
         return found
@@ -197,15 +203,16 @@ def _joined(spans) -> str:
     return ",".join(f"{(*KINDS, RANDOM)[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ratio: np.ndarray | None = None) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256,
     spans, n_random.
 
-    The models are fitted on the same documents first (one pass, bounded
-    sums); the scan is row by row, without a shuffle.  A null text counts as
-    empty; a null doc_id stays null; an empty table gives no rows; other
-    columns are not read.  Whole texts, in slices of about 2 MB."""
-    ratio = fit(docs, text)
+    The models (``ratio``, from ``fit``) are fitted on the same documents first
+    if none are given (one pass, bounded sums); the scan is row by row, without
+    a shuffle.  A null text counts as empty; a null doc_id stays null; repeated
+    rows each give a row; an empty table gives none; other columns are not read.
+    Whole texts, in slices of about 2 MB."""
+    ratio = fit(docs, text) if ratio is None else ratio
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
                         ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())])
     empty = hashlib.sha256(b"").hexdigest()
@@ -226,10 +233,13 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", ratio: np.ndarray | None = None) -> DataFrame:
     """The same rows and columns with every found span replaced by ``mask``
-    (overlapping spans by one).  A null text stays null."""
-    ratio = fit(docs, text)
+    (overlapping spans by one).  A null text stays null, an empty one empty;
+    repeated rows, ids and other columns are as they were; an empty table gives
+    none.  With models given (``ratio``), what is masked in a text hangs on that
+    text alone; else they are fitted on these documents."""
+    ratio = fit(docs, text) if ratio is None else ratio
     place = docs.columns.index(text)
 
     def run(batches):

@@ -18,9 +18,9 @@ from .batches import record, slices
 from .bpe import PreTokenizer, load_lookahead, load_table, merge_ragged
 
 #: Most words that a Python worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+CACHE_WORDS, CACHE_CHARS = 120_000, 64
 #: Characters that are split, encoded and decoded at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _words: dict[str, dict] = {}
 _SPACE = re.compile(r"[ \t\n\r]")
 
@@ -116,12 +116,19 @@ def load_pieces(path: str, plain: bool) -> dict:
     return {i: piece(tok) for i, tok in t.tokens.items()}
 
 
+@functools.lru_cache(maxsize=4)
+def load_numbers(path: str) -> list[int]:
+    """One object per token id, for all words that hold it."""
+    return list(range(load_table(path).size))
+
+
 class Codec:
     """Encodes texts block by block, with the words seen so far remembered."""
 
     def __init__(self, path: str):
         self.path, self.table = path, load_table(path)
         self.split, self.encoder = PreTokenizer(path, self.table), Encoder(path)
+        self.number = load_numbers(path)
         self.known = _words.setdefault(path, {})
         # words hold no white space, so a text may be cut at any
         self.whole = any(_SPACE.search(s) for s in self.table.special)
@@ -145,7 +152,7 @@ class Codec:
         strings = [w for w in fresh if isinstance(w, str)]
         found = self.encoder.streams([w.encode() for w in strings])
         for w, ids in [*zip(strings, found, strict=True), *((w, [w]) for w in fresh if not isinstance(w, str))]:
-            (known if isinstance(w, str) and len(w) <= CACHE_CHARS else local)[w] = ids
+            (known if isinstance(w, str) and len(w) <= CACHE_CHARS else local)[w] = tuple(map(self.number.__getitem__, ids))
         return [list(itertools.chain.from_iterable([known[w] if w in known else local[w] for w in ws])) for ws in split]
 
 
@@ -228,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     schema = pa.schema([*fields, *[("ids", pa.list_(pa.int32()))] * with_ids])
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 20):
             yield record(schema, b.column(0), *zip(*run_streams(b.column(1).to_pylist(), path, with_ids)))
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(

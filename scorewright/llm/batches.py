@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,3 +41,19 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine; else a worker keeps what it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A task's function that gives memory back at its end."""
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+    return tidied

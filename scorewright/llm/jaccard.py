@@ -24,7 +24,6 @@ Every kept link is decided by integer counts on whole sets.
 
 from __future__ import annotations
 
-import ctypes
 import math
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .batches import record, slices
+from .batches import give_back, record, slices, tidy
 from .graph import components
 from .ordinal import with_position
 from .sieve import fresh, sieve, without
@@ -239,7 +238,7 @@ def _sets_of(docs: DataFrame, k: int) -> DataFrame:
                 hi = np.array([mix(s ^ _A).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield record(schema, b.column(0), [len(s) for s in sets], hi, lo)
 
-    return docs.mapInArrow(_tidy(run), "doc_id long, n_shingles long, hi long, lo long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, hi long, lo long")
 
 
 def _region_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -266,7 +265,7 @@ def _region_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
             if keys:
                 yield record(schema, np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(needs))
 
-    return docs.mapInArrow(_tidy(run), "key long, a long, need int")
+    return docs.mapInArrow(tidy(run), "key long, a long, need int")
 
 
 def _region_pairs(rows: DataFrame) -> DataFrame:
@@ -320,7 +319,7 @@ def _region_pairs(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield from pairs_of(*held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_tidy(run), "a long, b long, n long, need int, key long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long, n long, need int, key long")
 
 
 def _region_edges(rows: DataFrame) -> DataFrame:
@@ -344,22 +343,6 @@ def _region_edges(rows: DataFrame) -> DataFrame:
     return pairs.unionByName(many.join(heads, "key").filter("a != b").select("a", "b").distinct())
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the machine; else a worker keeps what it ever held."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def _tidy(run):
-    """A task's function that gives memory back at its end."""
-    def tidied(batches):
-        yield from run(batches)
-        _give_back()
-    return tidied
-
-
 def _kept(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -377,7 +360,7 @@ def _join_groups(members: DataFrame, k: int, percent: int) -> DataFrame:
         found = np.ascontiguousarray(group_labels(ids, sets, percent))
         del sets
         if table.nbytes > 1 << 20:
-            _give_back()
+            give_back()
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], schema=schema)
 
     return members.select("root", "doc_id", "text").groupBy("root").applyInArrow(run, "a long, b long")
@@ -405,7 +388,7 @@ def _pivot_states(members: DataFrame, pivots: DataFrame, k: int, percent: int) -
             b = b.select(kept)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(state, pa.int32())], names=[*b.schema.names, "state"])
 
-    return members.join(pivots, "root").select(*kept, "ptext").mapInArrow(_tidy(run), out)
+    return members.join(pivots, "root").select(*kept, "ptext").mapInArrow(tidy(run), out)
 
 
 def _join_blocks(left: DataFrame, right: DataFrame | None, k: int, percent: int, limit: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import raw_bytes, record, slices
+from .batches import raw_bytes, record, slices, tidy
 
 #: The base kinds in their order, and the assignment pattern.
 KINDS = ("assign", "access", "hex")
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
             if len(at):
                 yield record(schema, np.full(len(at), label, np.int32), at.astype(np.int32), sums[label][at])
 
-    rows = docs.select(docs[text].alias("text")).mapInArrow(run, "label int, pair int, n long")
+    rows = docs.select(docs[text].alias("text")).mapInArrow(tidy(run), "label int, pair int, n long")
     got = rows.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros((2, STATES * STATES))
     for r in got:
@@ -230,7 +230,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
             yield record(schema, b.column(0), counts[0], counts[1], counts[2], sha, shown, counts[3])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+        tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", ratio: np.ndarray | None = None) -> DataFrame:
@@ -260,4 +260,4 @@ def redact_secrets(docs: DataFrame, text: str = "text", mask: str = "[SECRET]",
             fixed = pa.array([None if x else t for x, t in zip(nulls, done, strict=True)], pa.string())
             yield batch.set_column(place, text, fixed)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import record, slices
+from .batches import record, slices, tidy
 from .bpe import PreTokenizer, load_lookahead, load_table, merge_ragged
 
 #: Most words that a Python worker remembers, and the longest of them.
@@ -239,4 +239,4 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
             yield record(schema, b.column(0), *zip(*run_streams(b.column(1).to_pylist(), path, with_ids)))
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, " + ", ".join(f"{c} string" for c in digests) + ", ids array<int>" * with_ids)
+        tidy(run), "doc_id long, n_tokens long, " + ", ".join(f"{c} string" for c in digests) + ", ids array<int>" * with_ids)

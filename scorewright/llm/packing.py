@@ -19,6 +19,8 @@ from .bpe import PreTokenizer, load_table, merge_ragged
 
 #: Tokens of a chunk that is packed at once.
 CHUNK_TOKENS = 2_000_000
+#: Tokens of a sequence.
+CAPACITY = 2048
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
 _ids: dict[tuple, dict] = {}
 
@@ -74,13 +76,18 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
+def id_width(path: str) -> int:
+    """Bytes of a token id of this tokenizer file."""
+    return 2 if load_table(path).size <= 1 << 16 else 4
+
+
 class IdEncoder:
     """Token ids of texts as little-endian bytes, words remembered."""
 
     def __init__(self, path: str):
         self.table = load_table(path)
         self.split = PreTokenizer(path, self.table)
-        self.dtype = np.dtype("<u2") if self.table.size <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype(f"<u{id_width(path)}")
         self.known = _ids.setdefault((path,), {})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -102,7 +109,7 @@ class IdEncoder:
         return [b"".join([known[w] if w in known else local[w] for w in ws]) for ws in split]
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, pad: int = 0,
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, pad: int = 0,
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per packed sequence: seq_id, n_tokens, ids (one row of the id
     matrix: ``capacity`` little-endian integers, padded), cu_seqlens (0 and the

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
 from ..sources.tables import table_path
-from . import codes, mil, mixing, repair, rules, winnow
+from . import codes, mil, mixing, packed_files, repair, rules, winnow
 from .jaccard import jaccard_components
-from .packing import pack_documents
+from .packing import CAPACITY, id_width, pack_documents
 from .repeats import remove_repeats
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -33,7 +34,9 @@ def op1_token_counts(spark, sf_dir):
 
 
 def op2_pack_sequences(spark, sf_dir):
-    return pack_documents(documents(spark, sf_dir), tokenizer_file(BYTE_FILE))
+    path = tokenizer_file(BYTE_FILE)
+    packed = pack_documents(documents(spark, sf_dir), path)
+    return packed_files.read_packed(spark, packed_files.write_packed(packed, scratch_path(spark, "op2-packed"), CAPACITY, id_width(path)))
 
 
 def op3_quality_rules(spark, sf_dir):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from scorewright.llm import bpe, packing, token_count, transducer
+from scorewright.llm import bpe, packed_files, packing, token_count, transducer
 from scorewright.llm import queries as Q
 
 from .helpers import odd_texts, table
@@ -162,6 +162,50 @@ def test_packing_is_lossless(spark):
     assert packing.pack_documents(table(spark, [(1, None), (2, "")]), path).collect() == []
 
 
+def plain(rows):
+    return sorted((tuple(bytes(x) if isinstance(x, bytearray) else tuple(x) if isinstance(x, list) else x for x in r) for r in rows), key=lambda r: r[0])
+
+
+@pytest.mark.parametrize("group", [3, 8192])
+def test_packed_files_give_the_rows_back(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(packed_files, "ROWS", group)
+    path = Q.tokenizer_file(Q.BYTE_FILE)
+    capacity = 99  # not a whole number of bytes of bits
+    packed = packing.pack_documents(table(spark, odd_texts(), parts=1), path, capacity=capacity)
+    out = packed_files.write_packed(packed, str(tmp_path / "packed"), capacity, packing.id_width(path))
+    want = plain(packed.collect())
+    assert any(None in r[5] for r in want) and plain(packed_files.read_packed(spark, out).collect()) == want
+
+    manifest = packed_files.read_manifest(spark, out).collect()
+    assert sum(m.n_rows for m in manifest) == len(want) and sum(m.n_tokens for m in manifest) == sum(r[1] for r in want)
+    assert sum(m.n_segments for m in manifest) == sum(len(r[5]) for r in want) and max(m.n_rows for m in manifest) <= group
+    by_seq = {r[0]: r for r in want}
+    for m in manifest:  # the files read without the library
+        ids = np.fromfile(f"{out}/{m.name}.ids", "<u2").reshape(-1, capacity)
+        bits = np.unpackbits(np.fromfile(f"{out}/{m.name}.resets", np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")
+        cu, at = np.fromfile(f"{out}/{m.name}.cu", "<i4").tolist(), 0
+        for row, bit, (seq, n, segments) in zip(ids, bits, np.fromfile(f"{out}/{m.name}.rows", "<i8").reshape(-1, 3).tolist(), strict=True):
+            r = by_seq[seq]
+            assert row.tobytes() == r[2] and tuple(cu[at : at + segments + 1]) == r[3] and n == r[1]
+            at += segments + 1
+            assert np.flatnonzero(bit).tolist() == [*r[4], *[n] * (n < capacity)]
+        assert at == len(cu)
+
+
+def test_packed_files_odd_cases(spark, tmp_path):
+    path = Q.tokenizer_file(Q.BYTE_FILE)
+    none = packing.pack_documents(table(spark, []), path, capacity=64)
+    assert packed_files.read_packed(spark, packed_files.write_packed(none, str(tmp_path / "none"), 64, 2)).collect() == []
+    some = packing.pack_documents(table(spark, [(1, "one two three")]), path, capacity=64)
+    with pytest.raises(Exception, match="id rows are not"):
+        packed_files.write_packed(some, str(tmp_path / "wide"), 64, 4)
+    out = packed_files.write_packed(some, str(tmp_path / "some"), 64, 2)
+    name = packed_files.read_manifest(spark, out).first().name
+    (tmp_path / "some" / f"{name}.cu").write_bytes(b"1234")
+    with pytest.raises(Exception, match="is not the file of the manifest"):
+        packed_files.read_packed(spark, out).collect()
+
+
 @pytest.mark.parametrize("block", [1, 7, 1000])
 def test_blocks_change_nothing(block):
     path, lib = Q.tokenizer_file(Q.WORD_FILE), library(Q.WORD_FILE)

@@ -803,8 +803,7 @@ def _page_files(spark, sf_dir):
     text = F.to_json(F.struct("page_id", "url", "html"))
     text = F.when(k % 9 == 4, F.substring(text, F.lit(1), F.length(text) - 1)).when(k % 9 == 5, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
     path = scratch_path(spark, "page-files")
-    read_table(spark, sf_dir, "pages").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return path
+    return sinks.write_row_files(read_table(spark, sf_dir, "pages").select(text.alias("value")), path)
 
 
 @register("raw_scan")

@@ -17,16 +17,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.udfs import parse_completion
+from ..functions.udfs import PARSED_SCHEMA, parse_completion
 
 STEM_RE = "([^/]+)\\.[^./]+$"
 NAME_RE = "([^/]+)$"
 
 
+#: Splits that one task reads.  A split holds at most 32 small files, fewer than
+#: are worth a task.
+TASK_SPLITS = 16
+
+
+#: Not moved by Spark below ``fewer_tasks``, where it would start a Python worker's
+#: stream for every split, nor run a second time for a filter on its result.
+_parse_once = F.arrow_udf(parse_completion.func, PARSED_SCHEMA).asNondeterministic()
+
+
+def fewer_tasks(files: DataFrame) -> DataFrame:
+    """The rows of many small files in fewer tasks, without a shuffle; every
+    core keeps several."""
+    n = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-files.rdd.getNumPartitions() // TASK_SPLITS))
+    return files.coalesce(n)
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, name, stem, length, modificationTime) of the files in a folder."""
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-          .select("path", "length", "modificationTime"))
+    df = fewer_tasks(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+                     .select("path", "length", "modificationTime"))
     return df.select("path",
                      F.regexp_extract("path", NAME_RE, 1).alias("name"),
                      F.regexp_extract("path", STEM_RE, 1).alias("stem"),
@@ -65,9 +82,9 @@ def read_raw_records(spark: SparkSession, folder: str, schema: T.StructType, lim
                     empty.withColumn("reason", F.lit(None).cast("string")))
         raw = spark.read.format("binaryFile").load(paths)
     else:
-        raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+        raw = fewer_tasks(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content"))
     text = raw.select("path", _decode(F.col("content")).alias("text"))
-    checked = text.withColumn("_p", parse_completion(F.col("text")))
+    checked = text.withColumn("_p", _parse_once(F.col("text")))
     ok = F.col("_p.outcome") == "whole"
     records = checked.filter(ok).select("path", F.from_json("text", schema).alias("r")).select("path", "r.*")
     rejected = checked.filter(~ok).select(
@@ -86,7 +103,8 @@ def split_listing(spark: SparkSession, pdfs_dir: str, labels_dir: str) -> tuple[
 def read_label_contents(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
     """(path, content): each label file as one string, UTF-8 or else Latin-1."""
     df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
-    return df.select(F.col("_metadata.file_path").alias("path"), _decode(F.col("value").cast("binary")).alias("content"))
+    whole = fewer_tasks(df.select(F.col("_metadata.file_path").alias("path"), "value"))
+    return whole.select("path", _decode(F.col("value").cast("binary")).alias("content"))
 
 
 MANIFEST_SCHEMA = T.StructType([

@@ -12,7 +12,14 @@ import hashlib
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Files of a folder that ``write_row_files`` makes.
+FOLDER_FILES = 1000
 
 
 def write_manifests(df: DataFrame, path: str, max_records_per_file: int = 100_000) -> None:
@@ -32,6 +39,32 @@ def write_training_rows(df: DataFrame, path: str, columns=("prompt", "gold_json"
     df.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(path)
 
 
+def write_row_files(df: DataFrame, path: str, folder_files: int = FOLDER_FILES) -> str:
+    """One text file, ended by a newline, for each row of a one-column table (a
+    null gives the newline alone), in folders of at most ``folder_files`` under
+    ``path``: a fresh folder that all executors share, any that ``pyarrow.fs``
+    opens.  Names tell the task and the row, so a task that runs again writes the
+    same files again and nothing is left to commit file by file; folders are
+    listed side by side."""
+    def run(batches):
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for value in batch.column(0).cast(pa.string()):
+                folder = f"{base}/folder={task:05d}-{n // folder_files:05d}"
+                if n % folder_files == 0:
+                    fs.create_dir(folder, recursive=True)
+                with fs.open_output_stream(f"{folder}/part-{task:05d}-{n:09d}.txt") as out:
+                    out.write((value.as_buffer().to_pybytes() if value.is_valid else b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    fs, base = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(base, recursive=True)  # stays empty if there are no rows
+    df.mapInArrow(run, "n long").agg(F.sum("n")).first()
+    return path
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -154,3 +154,29 @@ def test_every_prompt_is_scored_or_listed(spark):
     assert left == {2: "no completions", 3: "no gold", 4: "no gold", 5: "no prompt", None: "no gold"}
     scored = {r.prompt_id for r in batch.score_batch(prompts, gold, lambda df: df).collect()}
     assert scored == {1}
+
+
+def test_row_files_hold_one_row_each_and_no_task_makes_them_twice(spark, tmp_path):
+    rows = [("a\nb",), ("é",), ("",), (None,)] + [(f"x{i}",) for i in range(40)]
+    path = sinks.write_row_files(spark.createDataFrame(rows, "value string").repartition(3), str(tmp_path / "rows"), folder_files=4)
+    made = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names]
+    assert sorted(open(f, "rb").read() for f in made) == sorted((v or "").encode() + b"\n" for v, in rows)
+    assert all(len(names) <= 4 for _, _, names in os.walk(path)) and len({os.path.basename(f) for f in made}) == len(rows)
+    listed = files.list_files(spark, path, "part-*")
+    assert {r.path.split(":", 1)[1] for r in listed.collect()} == set(made)
+    assert len(files.read_label_contents(spark, path, "part-*").collect()) == len(rows)
+    empty = sinks.write_row_files(spark.createDataFrame([], "value string"), str(tmp_path / "none"))
+    assert files.list_files(spark, empty).count() == 0
+
+
+def test_many_small_files_take_few_tasks_and_are_parsed_once(spark, raw_dir, monkeypatch):
+    monkeypatch.setattr(files, "TASK_SPLITS", 2)
+    for i in range(1500):
+        with open(os.path.join(raw_dir, f"more_{i:04d}.json"), "w") as f:
+            f.write("[1]" if i % 2 else "{}")
+    splits = spark.read.format("binaryFile").load(raw_dir).rdd.getNumPartitions()
+    recs, bad = files.read_raw_records(spark, raw_dir, SCHEMA)
+    limit = max(4 * spark.sparkContext.defaultParallelism, -(-splits // 2))
+    assert splits > limit >= max(d.rdd.getNumPartitions() for d in (recs, bad, files.list_files(spark, raw_dir), files.read_label_contents(spark, raw_dir)))
+    plan = bad._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and recs.count() + bad.count() == 1509

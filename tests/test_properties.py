@@ -155,3 +155,29 @@ def test_epoch_resume_and_stop(spark):
     per_epoch = full.groupBy("epoch").count().collect()
     assert all(r["count"] == 5 for r in per_epoch)
     assert full.agg(F.max("step")).first()[0] == 3 * 3 - 1   # ceil(5/2) steps per epoch
+
+
+def test_extraction_functions_hold_some_rows_of_a_batch(monkeypatch):
+    import json
+
+    import pyarrow as pa
+
+    from scorewright.constants import RELEVANT_FIELDS
+    from scorewright.functions import udfs
+
+    rng = random.Random(4)
+    rows = [None if i % 11 == 0 else "no" if i % 7 == 0 else json.dumps({f: rng.choice(["", f"{f} {i}", None, [f, "b"]]) for f in RELEVANT_FIELDS}) for i in range(2500)]
+    texts, others = pa.array(rows), pa.array(rows[1:] + rows[:1])
+    held = []
+    for name in ("_parsed", "_scored"):
+        run = getattr(udfs, name)
+        monkeypatch.setattr(udfs, name, lambda *x, run=run: held.append(len(x[0])) or run(*x))
+
+    def both():
+        g, p = udfs.parse_completion.func(texts), udfs.parse_completion.func(others)
+        return g, udfs.field_scores.func(g.field("fnorms"), g.field("fused"), p.field("fnorms"))
+    cut = both()
+    assert len(held) == 9 and max(held) <= udfs.PIECE_ROWS
+    monkeypatch.setattr(udfs, "PIECE_ROWS", 10_000)
+    assert all(a.equals(b) for a, b in zip(cut, both()))
+    assert len(udfs.parse_completion.func(pa.array([], pa.string()))) == 0

@@ -45,7 +45,9 @@ def write_row_files(df: DataFrame, path: str, folder_files: int = FOLDER_FILES)
     ``path``: a fresh folder that all executors share, any that ``pyarrow.fs``
     opens.  Names tell the task and the row, so a task that runs again writes the
     same files again and nothing is left to commit file by file; folders are
-    listed side by side."""
+    listed side by side.  That holds for rows that come in the same order again,
+    as a scan gives them, and without speculative attempts (Spark's default): one
+    that outlives the job could be writing a file while it is read."""
     def run(batches):
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         task, n = TaskContext.get().partitionId(), 0

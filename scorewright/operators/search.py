@@ -66,6 +66,31 @@ def posting_lists(emails: DataFrame, fields=FIELDS) -> DataFrame:
     return rows.select("message_id", F.inline(lists)).select("term", "message_id", "places")
 
 
+def packed_lists(emails: DataFrame, fields=FIELDS) -> DataFrame:
+    """(bucket, message_id, packed): the posting lists of a message by term
+    bucket, one text of 'term place place ...' lines each, without a shuffle; so
+    a message's lists are dealt out in at most ``TERM_BUCKETS`` short rows."""
+    place = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)) * len(fields) + F.shiftright(x, 32)
+    rows = emails.select("message_id", F.sort_array(F.concat(*[F.transform(_tokens(f, i), lambda t: F.struct(
+        term_bucket(t["term"]).alias("bucket"), t["term"].alias("term"), place(t["place"]).alias("place"))) for i, f in enumerate(fields)])).alias("s"))
+    line = lambda x, i: F.concat(
+        F.when(i == 0, F.lit("")).when(F.get("s", i - 1)["bucket"] != x["bucket"], F.lit("\n\n"))
+        .when(F.get("s", i - 1)["term"] != x["term"], F.lit("\n")).otherwise(F.lit(" ")),
+        F.when((i == 0) | (F.get("s", i - 1)["term"] != x["term"]), F.concat(x["term"], F.lit(" "))).otherwise(F.lit("")), x["place"].cast("string"))
+    texts = F.split(F.array_join(F.transform("s", line), ""), "\n\n", -1)
+    buckets = F.array_distinct(F.transform("s", lambda x: x["bucket"]))
+    rows = rows.filter(F.size("s") > 0).select("message_id", F.inline(F.arrays_zip(buckets.alias("bucket"), texts.alias("packed"))))
+    return rows.select("bucket", "message_id", "packed")
+
+
+def unpacked(packed: DataFrame, fields=FIELDS) -> DataFrame:
+    """(term, message_id, places, bucket) of ``packed_lists``."""
+    words = packed.select("bucket", "message_id", F.explode(F.split("packed", "\n", -1)).alias("line")).select("bucket", "message_id", F.split("line", " ", -1).alias("w"))
+    n = len(fields)
+    places = F.expr(f"transform(slice(w, 2, size(w) - 1), x -> shiftleft(cast(x as long) % {n}, 32) + cast(x as long) div {n})")
+    return words.select(F.get("w", F.lit(0)).alias("term"), "message_id", F.array_sort(places).alias("places"), "bucket")
+
+
 def flat(lists: DataFrame, fields=FIELDS) -> DataFrame:
     """(message_id, field, pos, term) of posting lists."""
     place = F.col("place")
@@ -137,12 +162,15 @@ def candidates(lists: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFram
     """(request_id, message_id) of messages holding the request's rarest
     term: a message that matches every phrase must hold every term, so the
     rarest one bounds the candidates. A frequent term never drives the join
-    unless all of a request's terms are frequent."""
+    unless all of a request's terms are frequent.  Lists and counts of other
+    terms are left out at their scans."""
     keys = _keys(lists)
+    stats = stats.filter(key_filter(terms, ["term"]))
     with_n = terms.join(stats, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     anchor = with_n.groupBy("request_id").agg(F.min_by(F.struct(*keys), F.struct("n", "term")).alias("a"))
     anchor = anchor.select("request_id", *[F.col(f"a.{k}").alias(k) for k in keys])
-    return lists.select(*keys, "message_id").join(anchor, keys).select("request_id", "message_id")
+    near = lists.select(*keys, "message_id").filter(key_filter(anchor, ["term"]))
+    return near.join(anchor, keys).select("request_id", "message_id")
 
 
 def key_filter(keys: DataFrame, cols: list[str], bits: int = FILTER_BITS) -> Column:

@@ -11,8 +11,11 @@ and lookup:
 * ``lists`` and ``stats``, the posting lists and messages per term, in folders
   by term bucket and clustered by term.
 
-Every clustered table is dealt by range on a key that ends in the message id, so
-a busy day, mailbox or term spans several writers.  The folder's name holds a
+The lists are dealt out packed, a row per message and bucket, to as many tasks
+for a bucket as the mail's text asks for (``PIECE_BYTES``), so the rows that a
+task sorts stay in memory.  Every other clustered table is dealt by range on a
+key that ends in the message id.  So a busy day, mailbox or term spans several
+writers.  The folder's name holds a
 digest of the input's listing and of the plans that build the tables: changed
 build code makes a new store."""
 
@@ -39,6 +42,10 @@ LISTS = "term string, message_id string, places array<long>, bucket int"
 STATS = "term string, n long, bucket int"
 
 
+#: Bytes of text whose lists one task sorts; they take up to ten times as much in memory.
+PIECE_BYTES = 24 << 20
+
+
 class Store(NamedTuple):
     emails: DataFrame
     recipients: DataFrame
@@ -56,8 +63,9 @@ def _emails(kept):
     return corpus.emails_table(kept).withColumn("slot", corpus.id_slot("message_id"))
 
 
-def _lists(emails):
-    return search.posting_lists(emails).withColumn("bucket", search.term_bucket(F.col("term")))
+def _lists(emails, pieces=1):
+    task = F.col("bucket") * pieces + F.pmod(F.xxhash64("message_id"), F.lit(pieces))
+    return search.unpacked(search.packed_lists(emails).repartitionById(search.TERM_BUCKETS * pieces, task.cast("int")))
 
 
 _KEYS: dict[tuple[str, ...], str] = {}
@@ -96,20 +104,25 @@ def corpus_store(spark: SparkSession, sf_dir: str, tag: str = "") -> Store:
         corpus.assert_unique(table)
         return table
 
-    def clustered(*order, folders=()):
+    def clustered(*order, folders=(), dealt=False):
         def write(df, path):
-            out = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite")
+            out = (df if dealt else df.repartitionByRange(n, *order)).sortWithinPartitions(*order).write.mode("overwrite")
             (out.partitionBy(*folders) if folders else out).parquet(path)
         return write
 
-    def table(name, build, schema, *order, folders=()):
-        return sinks.build_once(spark, f"{base}/{name}", build, clustered(*order, folders=folders), schema)
+    def table(name, build, schema, *order, folders=(), dealt=False):
+        return sinks.build_once(spark, f"{base}/{name}", build, clustered(*order, folders=folders, dealt=dealt), schema)
+
+    def sized_lists():
+        size = F.sum(sum(F.coalesce(F.octet_length(f), F.lit(0)).cast("long") for f in search.FIELDS))
+        share = search.TERM_BUCKETS * PIECE_BYTES
+        return _lists(emails, max(1, -(-(emails.agg(size).first()[0] or 0) // share)))
 
     emails = table("emails", unique_emails, EMAILS, "slot", "message_id", folders=["slot"])
     recipients = table("recipients", lambda: corpus.recipients_table(kept()), RECIPIENTS, "recipient_address", "email_id")
     by_id = table("recipients_by_id", lambda: recipients.withColumn("slot", corpus.id_slot("email_id")), f"{RECIPIENTS}, slot int",
                   "slot", "email_id", folders=["slot"])
     mail = table("mail", lambda: emails.select("message_id", "from_address", "date"), MAIL, "date", "message_id")
-    lists = table("lists", lambda: _lists(emails), LISTS, "bucket", "term", "message_id", folders=["bucket"])
+    lists = table("lists", sized_lists, LISTS, "bucket", "term", "message_id", folders=["bucket"], dealt=True)
     stats = table("term_stats", lambda: search.term_stats(lists), STATS, "bucket", "term", folders=["bucket"])
     return Store(emails, recipients, lists, stats, mail, by_id)

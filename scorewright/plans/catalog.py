@@ -368,8 +368,9 @@ def q_pair_similarity(spark, sf_dir):
     parsed = extraction.parse_pred(extraction.parse_gold(rows.select("row_id", "gold_json", "completion")))
     pairs = extraction.field_pairs(parsed)
     begun = F.substring("gold_norm", 1, F.length("gold_norm") % 7 + 2)
-    pairs = pairs.unionByName(pairs.filter("gold_norm = pred_norm").select("gold_norm", begun.alias("pred_norm")))
-    out = extraction.pair_similarities(pairs)
+    own, cut = F.struct("gold_norm", "pred_norm"), F.struct("gold_norm", begun.alias("pred_norm"))
+    both = F.when(F.col("gold_norm") == F.col("pred_norm"), F.array(own, cut)).otherwise(F.array(own))
+    out = extraction.pair_similarities(pairs.select(F.inline(both)))
     return out.select("gold_norm", "pred_norm", _r6("sim"))
 
 

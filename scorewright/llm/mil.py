@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import raw_bytes, record, slices
+from .batches import raw_bytes, record, slices, tidy
 
 #: Bytes of a passage.
 PASSAGE = 1024
+#: Bytes of text that are counted at once, beyond the longest document; each takes about 100 bytes meanwhile.
+PIECE_BYTES = 1 << 18
 #: Fit: labelled documents (by hash of the id) and, of each, passages (evenly
 #: spread) at most; scoring has no such bounds.
 TRAIN_ROWS, TRAIN_PASSAGES = 6000, 64
@@ -43,7 +45,16 @@ WIDTH = KINDS * KINDS + 1
 
 def passages(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage, and the number of passages of each row (an
-    empty row has one, of zeros)."""
+    empty row has one, of zeros); some rows are counted at a time."""
+    parts, a = [], 0
+    while a < len(off) - 1 or not parts:
+        b = min(len(off) - 1, max(a + 1, int(np.searchsorted(off, off[a] + PIECE_BYTES, side="right")) - 1))
+        parts.append(_counted(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
+def _counted(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(off)
     n = np.maximum(1, -(-size // PASSAGE))
     first = np.cumsum(n) - n
@@ -155,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             keep = [x[a + np.unique(np.linspace(0, k - 1, min(k, TRAIN_PASSAGES)).astype(int))] for a, k in zip(start, n, strict=True)]
             yield record(schema, b.column(0), b.column(2), [len(k) for k in keep], [k.astype(np.float16).tobytes() for k in keep])
 
-    got = sorted(rows.select("_id", "text", "_y").mapInArrow(run, "id long, y int, n int, x binary").collect(), key=lambda r: r.id)
+    got = sorted(rows.select("_id", "text", "_y").mapInArrow(tidy(run), "id long, y int, n int, x binary").collect(), key=lambda r: r.id)
     model = Model()
     if got:
         x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float16).reshape(-1, WIDTH).astype(np.float32)
@@ -175,7 +186,7 @@ def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         for b in slices(batches):
             yield record(schema, b.column(0), model.scores(*passages(*raw_bytes(b.column(1)))))
 
-    out = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -189,4 +200,4 @@ def keep_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
             if keep:
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -103,10 +103,10 @@ def _samples(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(name, h1, h2, a, b, d, bytes): the bytes that the windows a..b of a
+    """(name, h1, h2, a, b, d, bytes, hot): the bytes that the windows a..b of a
     repeated name cover, d before the name.  Equal ones of a task are sent once;
     their windows repeat, which rows without bytes say."""
-    schema = pa.schema([("name", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("d", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("name", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("d", pa.int32()), ("bytes", pa.binary()), ("hot", pa.bool_())])
 
     def run(batches):
         texts: set = set()
@@ -122,23 +122,23 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 texts.add(key)
                 raw = text.as_buffer().to_pybytes()
                 m = marks.values
-                names, ps, starts, ends = (m.field(i).to_numpy() for i in range(4))
-                for name, p, a, b in zip(names.tolist(), ps.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                names, ps, starts, ends, hots = (m.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                for name, p, a, b, hot in zip(names.tolist(), ps.tolist(), starts.tolist(), ends.tolist(), hots.tolist(), strict=True):
                     part = raw[a : b + LENGTH]
                     if met.setdefault((name, p - a, part), key) is key:
                         first = len(out)
                         met[name, p - a, part] = (key, first, a, b)
-                        out.append((name, *key, a, b, p - a, part))
+                        out.append((name, *key, a, b, p - a, part, hot))
                     else:
                         k, first, fa, fb = met[name, p - a, part]
-                        out.append((name, *key, a, b, 0, None))
+                        out.append((name, *key, a, b, 0, None, hot))
                         if first is not None:
-                            out.append((name, *k, fa, fb, 0, None))
+                            out.append((name, *k, fa, fb, 0, None, hot))
                             met[name, p - a, part] = (k, None, fa, fb)
             for at in range(0, len(out), 4096):
                 yield record(schema, *map(list, zip(*out[at : at + 4096], strict=True)))
 
-    return docs.mapInArrow(run, "name long, h1 long, h2 long, a int, b int, d int, bytes binary")
+    return docs.mapInArrow(run, "name long, h1 long, h2 long, a int, b int, d int, bytes binary, hot boolean")
 
 
 def _windows(a, d, parts):
@@ -163,7 +163,9 @@ _SPAN = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int32()), ("
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """(h1, h2, a, b): repeated windows among the members of each name."""
+    """(h1, h2, a, b): repeated windows among the members of each name.  No join
+    by name may stand right below: Spark would take its shuffle for this one and
+    then split or read it locally, so that members of a name part unseen."""
 
     def flush(held):
         name, h1, h2, a, d = (np.concatenate([x[i] for x in held]) for i in range(5))
@@ -252,14 +254,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = F.xxhash64("h1", "h2", "p")
     names = rows.groupBy("name").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y")
     names = _kept(names.select("name", (F.col("n") > hot).alias("hot")), "op7-names")
-    live = rows.join(names.select("name"), "name", "left_semi").dropDuplicates([*keys, "p"])
-    marks = _kept(live.groupBy(*keys).agg(F.collect_list(F.struct("name", "p", "a", "b")).alias("marks")), "op7-marks")
+    live = rows.join(names, "name").dropDuplicates([*keys, "p"])
+    marks = _kept(live.groupBy(*keys).agg(F.collect_list(F.struct("name", "p", "a", "b", "hot")).alias("marks")), "op7-marks")
     long = docs.filter(F.octet_length("text") >= LENGTH).select(*keys, "text")
     parts = _contexts(long.join(marks.hint("shuffle_hash"), keys).select(*keys, "text", "marks"))
-    hot_names = names.filter("hot").select("name")
-    if hot_names.limit(1).count():
+    if names.filter("hot").limit(1).count():
         parts = _kept(parts, "op7-parts")
-        spans = _compare(parts.join(hot_names, "name", "left_anti")).unionByName(_compare_rows(parts.join(hot_names, "name", "left_semi")))
+        spans = _compare(parts.filter("not hot")).unionByName(_compare_rows(parts.filter("hot")))
     else:
         spans = _compare(parts)
     copies = docs.select(*keys, F.octet_length("text").alias("n")).filter(F.col("n") >= LENGTH).groupBy(*keys).agg(

@@ -198,6 +198,26 @@ def test_repeats_match_brute_force(spark, hot):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows)
 
 
+def test_members_of_a_name_meet_in_one_task(spark, monkeypatch):
+    """Spark drops a repartition by name over a join by name, and may then split
+    the join or read its shuffle locally: no join may stand below."""
+    rng = random.Random(8)
+
+    def text(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lead, shared = text(240), [text(260) for _ in range(5)]
+    rows = [(i, text(90) + rng.choice(shared) + text(90) + (lead if i % 2 else "")) for i in range(40)]
+    plans, compare = [], repeats._compare
+
+    def seen(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return compare(rows)
+    monkeypatch.setattr(repeats, "_compare", seen)
+    got = repeats.remove_repeats(table(spark, rows), hot=12)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows)
+    assert len(plans) == 1 and "hot" in plans[0] and "Join" not in plans[0]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.remove_repeats(table(spark, [])).collect() == []
 

@@ -28,12 +28,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .batches import give_back, record, slices, tidy
+from .batches import give_back, raw_bytes, record, slices, tidy
 from .graph import components
 from .ordinal import with_position
 from .sieve import fresh, sieve, without
@@ -43,8 +44,13 @@ SHINGLE, PERCENT = 3, 90
 GROUP_SHINGLES = 1_000_000
 #: Pivot rounds for larger groups before all their blocks meet.
 PIVOT_ROUNDS = 6
-#: Words, and sets of copies, that a Python worker remembers.
-CACHE_WORDS, CACHE_SETS = 150_000, 60_000
+#: Bytes of text that are shingled at once, beyond the longest document; bytes of a word that is hashed by itself.
+PIECE_BYTES, LONG_WORD = 1 << 18, 256
+#: Region rows that a task holds until it deals them out; buckets for each shuffle partition; rows of a bucket
+#: from which a task passes on the large regions before it has them all.
+DEAL_ROWS, BUCKETS, BUCKET_ROWS = 1 << 20, 4, 1 << 21
+#: Sets of copies that a Python worker remembers.
+CACHE_SETS = 60_000
 SMALL, PIVOTS, DEPTH = 64, 8, 6
 #: Members of a region up to which its pairs are counted one by one.
 REGION_PAIRS = 12
@@ -60,33 +66,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word):
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
+def _table(change) -> np.ndarray:
+    return np.array([change(bytes([i])) for i in range(256)])
+
+
+#: A-Z folded; the six ASCII spaces, at which ``bytes`` splits.
+_FOLD, _SPACE = _table(lambda c: c.lower()[0]).astype(np.uint8), _table(bytes.isspace)
+#: The low bytes of an 8-byte load that belong to a word.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of some rows (bytes and offsets), and the number of
+    words of each row.  Words are read 8 bytes at a time, all side by side."""
+    pad = np.zeros(len(buf) + 8, np.uint8)
+    np.take(_FOLD, buf, out=pad[: len(buf)])
+    word = np.zeros(len(buf) + 2, bool)
+    np.logical_not(_SPACE[buf], out=word[1:-1])
+    begin, end = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+    edge = off[1:-1]
+    edge = edge[(edge > 0) & (edge < len(buf))]
+    begin[edge], end[edge - 1] = word[edge + 1], word[edge]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    size = end - begin
+    eight = np.ndarray(len(buf) + 1, "<u8", pad, strides=(1,))
+    h = mix((eight[begin] & _LOW[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64)))
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        h[more] = mix(h[more] * _C + (eight[begin[more] + at] & _LOW[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(pad[begin[i] : end[i]])
+    return h, np.diff(np.searchsorted(begin, off))
+
+
+def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the distinct k-word shingles of each row, joined,
+    and their number.  A-Z are folded, words end at the six ASCII spaces; fewer
+    than k words are one shingle."""
+    parts, counts, a = [], [], 0
+    while a < len(off) - 1:  # some rows at a time
+        b = min(len(off) - 1, max(a + 1, int(np.searchsorted(off, off[a] + PIECE_BYTES, side="right")) - 1))
+        h, n = word_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+        s = mix(h[: max(0, len(h) - k + 1)] ^ np.uint64(k))
+        for j in range(1, k):
+            s = mix(s * _C + h[j : len(s) + j])
+        first = np.cumsum(n) - n
+        for w, m in zip(first.tolist(), n.tolist(), strict=True):
+            if m >= k:
+                x = s[w : w + m - k + 1]
+                x.sort()  # in place: no other row has these
+                new = x[1:] != x[:-1]
+                if not new.all():
+                    x = x[np.r_[True, new]]
+            else:
+                x = h[w : w + min(m, 1)] ^ np.uint64(m)
+                x = mix(x)
+                for j in range(1, m):
+                    x = mix(x * _C + h[w + j : w + j + 1])
+            parts.append(x)
+            counts.append(len(x))
+        a = b
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(counts, np.int64)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct k-word shingles.  ``bytes`` folds
-    A-Z only and splits at the six ASCII spaces, as asked for."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(k, len(words))
-    s = mix(h[: len(h) - size + 1] ^ np.uint64(size))
-    for j in range(1, size):
-        s = mix(s * _C + h[j : len(h) - size + 1 + j])
-    return np.unique(s)
+    """``shingle_sets`` of one text."""
+    return shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), k)[0]
 
 
-def _texts(column) -> list[bytes]:
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    return column.cast(pa.binary()).to_pylist()
+def _set_list(column: pa.Array, k: int) -> list[np.ndarray]:
+    """The sets of a column of texts (a null has none)."""
+    s, n = shingle_sets(*raw_bytes(pc.fill_null(column.cast(pa.string()), "")), k)
+    return np.split(s, np.cumsum(n)[:-1])
 
 
 class Parts:
@@ -99,7 +152,7 @@ class Parts:
     are not empty with any set they link to."""
 
     def __init__(self, percent: int):
-        self.p, self.tops, self.cuts = percent, [], {}
+        self.p, self.tops = percent, []
 
     def _class(self, n: int) -> int:
         while not self.tops or self.tops[-1] < n:
@@ -117,26 +170,42 @@ class Parts:
 
     def keys(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         """The keys, and how many of them any linked set is sure to share (0: not known)."""
-        own, total, out, need = self._class(len(s)), np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))]), [], len(s)
+        key, n, need = self.all_keys(s, np.array([len(s)]))
+        return key, int(need[0])
+
+    def all_keys(self, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of several sets (joined, and their sizes, none 0), how many
+        each has, and how many of them any linked set is sure to share."""
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
+        own, last, high = np.array([self._class(x) for x in n.tolist()]), np.cumsum(n), s >> np.uint64(32)
+        need, found = n.copy(), []
         for c in (own - 1, own):
-            if c < 0 or not self.bound(c):
-                continue  # only equal sets link, and those are one class already
-            if c not in self.cuts:
-                m = self.bound(c) + self.spare(c)
-                cut = np.array([(j << 64) // m for j in range(1, m)], np.uint64)
-                salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32))
-                self.cuts[c] = cut, salt
-                if len(self.cuts) > 256:
-                    self.cuts.pop(next(iter(self.cuts)))
-            cut, salt = self.cuts.get(c) or (cut, salt)
-            at = np.concatenate([[0], np.searchsorted(s, cut), [len(s)]])
-            size = np.diff(at)
-            key = mix((total[at[1:]] - total[at[:-1]]) ^ mix(salt + size.astype(np.uint64)))
+            kinds, which = np.unique(c, return_inverse=True)
+            bound = np.array([self.bound(x) if x >= 0 else 0 for x in kinds.tolist()])
+            spare = np.array([self.spare(x) if d else 0 for x, d in zip(kinds.tolist(), bound.tolist(), strict=True)])[which]
+            row = np.flatnonzero(bound[which])  # where it is 0 only equal sets link, and those are one class already
+            if not len(row):
+                continue
+            m, spare = bound[which][row] + spare[row], spare[row]
+            here = np.flatnonzero(np.repeat(bound[which] > 0, n)) if len(row) < len(n) else slice(None)
+            base = np.cumsum(m) - m
+            part = np.repeat(base, n[row]) + ((high[here] * np.repeat(m, n[row]).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            size = np.bincount(part, minlength=int(m.sum()))
+            # a row's shingles are sorted, and so are their parts
+            at = np.cumsum(size) + np.repeat((last - n)[row] - (np.cumsum(n[row]) - n[row]), m)
+            salt = mix((np.arange(len(size)) - np.repeat(base, m) + (np.repeat(c[row], m) << 32)).astype(np.uint64))
+            key = mix((total[at] - total[at - size]) ^ mix(salt + size.astype(np.uint64)))
             full = size > 0
-            empty = len(size) - int(full.sum())
-            need = min(need, max(0, self.spare(c) - empty))
-            out.append(key if empty >= self.spare(c) else key[full])
-        return (np.concatenate(out), need) if out else (np.zeros(0, np.uint64), 0)
+            empty = m - np.add.reduceat(full, base, dtype=np.int64)
+            need[row] = np.minimum(need[row], np.maximum(0, spare - empty))
+            keep = full | np.repeat(empty >= spare, m)
+            found.append((key[keep], np.repeat(row, m)[keep]))
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        key, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(row, kind="stable")
+        count = np.bincount(row, minlength=len(n))
+        return key[order], count, np.where(count > 0, need, 0)
 
 
 class Group:
@@ -226,57 +295,103 @@ def group_labels(ids: list[int], sets: list[np.ndarray], percent: int) -> np.nda
     return least[g.label]
 
 
+def set_sums(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each set the sum of its mixed hashes."""
+    out, full = np.zeros(len(n), np.uint64), n > 0
+    if full.any():
+        out[full] = np.add.reduceat(mix(s), (np.cumsum(n) - n)[full])
+    return out
+
+
 def _sets_of(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, hi, lo: size and 128-bit hash of each set."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
     def run(batches):
         for b in slices(batches):
-            sets = [shingle_set(t, k) for t in _texts(b.column(1))]
-            with np.errstate(over="ignore"):
-                lo = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                hi = np.array([mix(s ^ _A).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            yield record(schema, b.column(0), [len(s) for s in sets], hi, lo)
+            s, n = shingle_sets(*raw_bytes(b.column(1)), k)
+            yield record(schema, b.column(0), n, set_sums(s ^ _A, n).view(np.int64), set_sums(s, n).view(np.int64))
 
     return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, hi long, lo long")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The values byte by byte, all first bytes first: equal ones pack well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _values(data: bytes, kind) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
 def _region_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, a, need): document a in region key, and how many regions it shares
-    with any document it links to."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("need", pa.int32())])
+    """Region rows (key, a, need): document a in region key, and how many regions
+    it shares with any document it links to.  They come packed, a row for each
+    bucket of keys and some documents."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("needs", pa.binary())])
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(held):
+        key, a, need = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        key, a, need, bucket = key[order], a[order], need[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for some in np.array_split(np.arange(len(first)), -(-len(first) // 64)):
+            cut = [(int(first[i]), int(first[i + 1]) if i + 1 < len(first) else len(key)) for i in some]
+            yield record(schema, bucket[first[some]], *[pa.array([_planes(x[i:j]) for i, j in cut], pa.binary()) for x in (key.view(np.int64), a, need)])
 
     def run(batches):
-        parts, seen = Parts(percent), {}
+        parts, seen, held, rows = Parts(percent), {}, [], 0
         for b in slices(batches):
-            ids, keys, needs = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
-                s = shingle_set(t, k)
-                if i is None or not len(s):
-                    continue
-                if seen.setdefault((len(s), int(mix(s).sum(dtype=np.uint64))), i) != i:
-                    continue  # a copy of a text of this task (its class finds it)
-                key, need = parts.keys(s)
-                keys.append(key)
-                ids.append(np.full(len(key), i, np.int64))
-                needs.append(np.full(len(key), need, np.int32))
+            s, n = shingle_sets(*raw_bytes(b.column(1)), k)
+            mark = set_sums(s, n)
+            # a copy of a text of this task has no rows (its class finds it)
+            take = np.array([i is not None and m > 0 and seen.setdefault((m, x), i) == i
+                             for i, m, x in zip(b.column(0).to_pylist(), n.tolist(), mark.tolist(), strict=True)], bool)
             if len(seen) > CACHE_SETS:
                 seen.clear()
-            if keys:
-                yield record(schema, np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(needs))
+            if not take.any():
+                continue
+            key, count, need = parts.all_keys(s[np.repeat(take, n)], n[take])
+            ids = b.column(0).filter(pa.array(take)).to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((key, np.repeat(ids, count), np.repeat(need, count).astype(np.int32)))
+            rows += len(key)
+            if rows >= DEAL_ROWS:
+                yield from dealt(held)
+                rows = 0
+        if rows:
+            yield from dealt(held)
 
-    return docs.mapInArrow(tidy(run), "key long, a long, need int")
+    return docs.mapInArrow(tidy(run), "bucket int, keys binary, ids binary, needs binary")
 
 
 def _region_pairs(rows: DataFrame) -> DataFrame:
     """Small regions: (a, b, n, need) with n of the regions that a pair shares.
-    Others: (a, key, need) for each member, b null."""
+    Others: (a, key, need) for each member, b null.  A bucket's rows meet in one
+    task, which sorts them by key; of large regions it holds only the key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("key", pa.int64())])
 
+    def members_of(key, a, need):
+        for i in range(0, len(a), 1 << 16):
+            none = pa.nulls(len(a[i : i + (1 << 16)]), pa.int64())
+            yield record(schema, a[i : i + (1 << 16)], none, none, need[i : i + (1 << 16)], key[i : i + (1 << 16)])
+
+    def grouped(key, a, need):
+        """The rows by key, but those of keys that no other row has, and how many rows each key has."""
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        some = (np.r_[False, same] | np.r_[same, False])[: len(key)]
+        key, order = key[some], order[some]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        return key, a[order], need[order], first, np.diff(np.r_[first, len(key)])
+
     def pairs_of(key, a, need):
         """Regions that are complete here, by size; the large ones as rows."""
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
+        key, a, need, first, size = grouped(key, a, need)
         got = []
         for c in np.unique(size[(size > 1) & (size <= REGION_PAIRS)]):
             at = first[size == c][:, None] + np.arange(c)
@@ -284,42 +399,43 @@ def _region_pairs(rows: DataFrame) -> DataFrame:
             one, two, most = a[at[:, x]].ravel(), a[at[:, y]].ravel(), np.maximum(need[at[:, x]], need[at[:, y]]).ravel()
             got.append(np.c_[np.minimum(one, two), np.maximum(one, two), most][one != two])
         if got:
-            found, n = np.unique(np.concatenate(got), axis=0, return_counts=True)
+            found = np.concatenate(got)
+            found = found[np.lexsort(found.T)]
+            new = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]).any(1)][: len(found)])
+            n, found = np.diff(np.r_[new, len(found)]), found[new]
             yield record(schema, np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]), n, found[:, 2].astype(np.int32), pa.nulls(len(n), pa.int64()))
         large = np.repeat(size > REGION_PAIRS, size)
         if large.any():
             yield from members_of(key[large], a[large], need[large])
 
-    def members_of(key, a, need):
-        none = pa.nulls(len(a), pa.int64())
-        yield record(schema, a, none, none, need, key)
-
     def run(batches):
-        held = None  # the last region so far, which may go on; a large one is passed on as it comes
-        large = None
+        now, held, rows, large = None, [], 0, np.zeros(0, np.int64)
+        limit = BUCKET_ROWS
         for batch in batches:
-            key, a, need = (batch.column(i).to_numpy() for i in range(3))
-            if large is not None:
-                more = int(np.searchsorted(key, large, side="right"))
-                if more:
-                    yield from members_of(key[:more], a[:more], need[:more])
-                    key, a, need = key[more:], a[more:], need[more:]
-                if not len(key):
-                    continue
-                large = None
-            if held is not None:
-                key, a, need = (np.concatenate(x) for x in zip(held, (key, a, need), strict=True))
-            last = int(np.searchsorted(key, key[-1], side="left"))
-            if last:
-                yield from pairs_of(key[:last], a[:last], need[:last])
-            held = key[last:], a[last:], need[last:]
-            if len(held[0]) > REGION_PAIRS:
-                yield from members_of(*held)
-                large, held = held[0][0], None
-        if held is not None:
-            yield from pairs_of(*held)
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long, n long, need int, key long")
+            for bucket, keys, ids, needs in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if bucket.as_py() != now:
+                    if held:
+                        yield from pairs_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    now, held, rows, large, limit = bucket.as_py(), [], 0, np.zeros(0, np.int64), BUCKET_ROWS
+                key, a, need = _values(keys.as_py(), np.int64), _values(ids.as_py(), np.int64), _values(needs.as_py(), np.int32)
+                if len(large) and (gone := np.isin(key, large)).any():
+                    yield from members_of(key[gone], a[gone], need[gone])
+                    key, a, need = key[~gone], a[~gone], need[~gone]
+                held.append((key, a, need))
+                rows += len(key)
+                if rows > limit:
+                    key, a, need = (np.concatenate(x) for x in zip(*held, strict=True))
+                    own, _, _, first, size = grouped(key, a, need)
+                    more = own[first[size > REGION_PAIRS]]
+                    gone = np.isin(key, more)
+                    yield from members_of(key[gone], a[gone], need[gone])
+                    held = [(key[~gone], a[~gone], need[~gone])]
+                    large, rows = np.union1d(large, more), len(held[0][0])
+                    limit = max(BUCKET_ROWS, 2 * rows)
+        if held:
+            yield from pairs_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "a long, b long, n long, need int, key long")
 
 
 def _region_edges(rows: DataFrame) -> DataFrame:
@@ -356,7 +472,7 @@ def _join_groups(members: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
-        sets = [shingle_set(t, k) for t in _texts(table.column("text").combine_chunks())]
+        sets = _set_list(table.column("text").combine_chunks(), k)
         found = np.ascontiguousarray(group_labels(ids, sets, percent))
         del sets
         if table.nbytes > 1 << 20:
@@ -376,12 +492,12 @@ def _pivot_states(members: DataFrame, pivots: DataFrame, k: int, percent: int) -
         known: dict[bytes, np.ndarray] = {}
         for b in slices(batches):
             state = []
-            for t, p in zip(_texts(b.column(b.schema.get_field_index("text"))), _texts(b.column(b.schema.get_field_index("ptext"))), strict=True):
+            for x, p in zip(_set_list(b.column(b.schema.get_field_index("text")), k), b.column(b.schema.get_field_index("ptext")).cast(pa.binary()).to_pylist(), strict=True):
                 if p not in known:
                     if len(known) > 8:
                         known.clear()
                     known[p] = shingle_set(p, k)
-                x, y = shingle_set(t, k), known[p]
+                y = known[p]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
                 state.append(0 if 100 * both >= percent * union else 1 if 100 * both >= (2 * percent - 100) * union else 2)
@@ -415,7 +531,7 @@ def _join_blocks(left: DataFrame, right: DataFrame | None, k: int, percent: int,
 
     def run(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("doc_id").to_pylist(), np.int64)
-        sets = [shingle_set(t, k) for t in _texts(table.column("text").combine_chunks())]
+        sets = _set_list(table.column("text").combine_chunks(), k)
         side = table.column("side").to_numpy()
         g = Group(ids, sets, percent)
         if one_sided:

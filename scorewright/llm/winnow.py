@@ -19,6 +19,7 @@ from .sieve import sieve, without
 
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
+HALF = (RUN + 1) // 2
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Low bits of a packed fingerprint that hold the position (modulo 2**24).
@@ -50,10 +51,19 @@ def packed(grams: Column) -> Column:
     return F.transform(grams, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low))))
 
 
-def winnowed(p: str) -> Column:
-    """Distinct least packed hashes of every RUN neighbours."""
-    return F.array_distinct(F.transform(F.slice(p, 1, F.greatest(F.size(p) - (RUN - 1), F.lit(0))),
-                                        lambda x, i: F.array_min(F.slice(p, i + 1, RUN))))
+def least_of(p: str, *steps: int) -> Column:
+    """The least of each element and those ``steps`` places on, as far as all are there."""
+    return F.transform(F.slice(p, 1, F.greatest(F.size(p) - max(steps), F.lit(0))), lambda x, i: F.least(x, *[F.get(p, i + k) for k in steps]))
+
+
+def halves(p: str) -> Column:
+    """Least packed hash of every HALF neighbours."""
+    return least_of(p, *range(1, HALF))
+
+
+def winnowed(m: str) -> Column:
+    """Distinct least packed hashes of every RUN neighbours, from ``halves``."""
+    return F.array_distinct(least_of(m, RUN - HALF))
 
 
 def fingerprints(rows: DataFrame, own: list[str], text: str, lengths: list[int]) -> DataFrame:
@@ -61,10 +71,11 @@ def fingerprints(rows: DataFrame, own: list[str], text: str, lengths: list[int])
     n in ``lengths``, every n-gram."""
     step = rows.select(*own, hashes(F.col(text)).alias("h"))
     step = step.select(*own, "h", packed(gram_hashes("h", GRAM)).alias("p"))
+    step = step.select(*own, "h", halves("p").alias("m"))
     def tagged(prints: Column, n: int) -> Column:
         return F.transform(prints, lambda x: F.struct(F.lit(n).alias("n"), x.alias("p")))
 
-    arrays = [tagged(winnowed("p"), WINDOW), *[tagged(packed(gram_hashes("h", n)), n) for n in lengths]]
+    arrays = [tagged(winnowed("m"), WINDOW), *[tagged(packed(gram_hashes("h", n)), n) for n in lengths]]
     flat = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     return step.select(*own, F.inline(flat)).select(
         *own, "n", F.expr(f"shiftright(p, {POS_BITS})").alias("key"), F.col("p").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("pos"))

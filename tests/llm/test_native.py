@@ -129,3 +129,14 @@ def test_winnowing_of_periodic_and_long_texts(spark):
     docs = [(1, "z " * 5000), (2, "b " + "a b " * 300), (3, "q " * 3000 + items[2][1]), (4, "z " * 9)]
     got = winnow.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == brute_hits(docs, items)
+
+
+def test_fingerprints_are_the_least_of_each_run_without_a_slice_for_each_place(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randint(0, 40), 9)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = winnow.fingerprints(docs, ["doc_id"], "text", [])
+    grams = docs.select("doc_id", winnow.hashes(docs["text"]).alias("h")).select("doc_id", winnow.packed(winnow.gram_hashes("h", winnow.GRAM)).alias("p"))
+    want = {(r.doc_id, min(r.p[i : i + winnow.RUN])) for r in grams.collect() for i in range(len(r.p) - winnow.RUN + 1)}
+    assert sorted((r.doc_id, r.key, r.pos) for r in got.collect()) == sorted((d, p >> winnow.POS_BITS, p & ((1 << winnow.POS_BITS) - 1)) for d, p in want)
+    assert "array_min" not in got._jdf.queryExecution().optimizedPlan().toString()

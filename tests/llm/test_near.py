@@ -153,6 +153,56 @@ def test_linked_sets_share_a_region(percent):
                 assert np.intersect1d(x, y).size >= max(1, need, other)
 
 
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_sets_of_many_texts_at_once_match_plain_ones(monkeypatch, k):
+    rng = random.Random(k)
+    rows = [bytes(rng.choices(b"aAbB \t\n\x0b\x00\x1c\xc3\xa9xyzw", k=rng.randint(0, 300))) for _ in range(80)]
+    rows += [b"", b" ", b"x" * 3000, b"y" * 256 + b" " + b"y" * 257, b"abcdefgh abcdefgh\x00 abcdefghi", b"Ab " * 300]
+    off = np.cumsum([0, *map(len, rows)])
+    monkeypatch.setattr(jaccard, "PIECE_BYTES", 500)
+    s, n = jaccard.shingle_sets(np.frombuffer(b"".join(rows), np.uint8), off, k)
+    words = [t.lower().split() for t in rows]
+    assert n.tolist() == [len({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else ()) for w in words]
+    for t, x in zip(rows, np.split(s, np.cumsum(n)[:-1])):
+        assert (jaccard.shingle_set(t, k) == x).all() and (x[1:] > x[:-1]).all()
+    # the sets of all texts share what plain ones share
+    seen = collections.Counter(g for w in words for g in ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else ()))
+    assert sorted(np.unique(s, return_counts=True)[1]) == sorted(seen.values())
+
+
+def test_region_rows_travel_packed(spark):
+    """A row for each bucket of a task, however many regions its documents have."""
+    rng = random.Random(6)
+    docs = table(spark, [(i, prose(rng, 200, 900)) for i in range(60)], parts=2).select("doc_id", "text")
+    rows = jaccard._region_rows(docs, 5, 80)
+    got = rows.collect()
+    held = sum(len(r["keys"]) // 8 for r in got)
+    assert held > 60 * 100 and len(got) <= 2 * jaccard.BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_large_regions_leave_a_full_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(jaccard, "DEAL_ROWS", 50)
+    rng = random.Random(4)
+    base = prose(rng, 60, 400).split()
+    rows = [(i, " ".join([*base[: i % 50], f"x{i}", *base[i % 50 + 1 :]])) for i in range(60)]
+    docs = table(spark, rows).select("doc_id", "text")
+    pairs = jaccard._region_pairs(jaccard._region_rows(docs, 5, 80)).collect()
+    plain = collections.defaultdict(set)
+    parts = jaccard.Parts(80)
+    for i, t in rows:
+        for key in parts.keys(jaccard.shingle_set(t.encode(), 5))[0].view(np.int64).tolist():
+            plain[key].add(i)
+    large = {(k, i) for k, ids in plain.items() if len(ids) > jaccard.REGION_PAIRS for i in ids}
+    assert large and {(r.key, r.a) for r in pairs if r.b is None} == large
+    want = collections.Counter((a, b) for ids in plain.values() if len(ids) <= jaccard.REGION_PAIRS for a in ids for b in ids if a < b)
+    got = collections.Counter()
+    for r in pairs:
+        if r.b is not None:
+            got[r.a, r.b] += r.n
+    assert got == want
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)] + [(301, 300), (300, 301)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -143,7 +143,9 @@ def merge_ragged(table: MergeTable, sym: np.ndarray, lens: np.ndarray) -> tuple[
         keep[at + 1] = False
         sym, seg, rank = sym[keep], seg[keep], rank[keep]
         new = at - np.arange(len(at))
-        again = np.unique(np.concatenate([new, new[new > 0] - 1]))
+        near = np.zeros(len(sym), bool)
+        near[new] = near[new[new > 0] - 1] = True
+        again = np.flatnonzero(near)
         rank[again] = NO_RANK
         again = again[again + 1 < len(sym)]
         again = again[seg[again] == seg[again + 1]]
@@ -165,6 +167,27 @@ def splitter(pattern: str):
     return regex.compile(pattern)
 
 
+@functools.lru_cache(maxsize=1)
+def latin_splitter():
+    """``WORD_PATTERN`` for texts of Latin-1 alone, whose classes are spelled out
+    and need no Unicode tables."""
+    import re
+
+    every = "".join(map(chr, range(256)))
+    letters, digits, spaces = ("".join(map(re.escape, regex.findall(c, every))) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(WORD_PATTERN.replace(r"\p{L}", letters).replace(r"\p{N}", digits).replace(r"\s", spaces))
+
+
+def is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def parts(text: str, special: dict[str, int]):
     """(piece, id of a special string or None) in text order."""
     if not any(s in text for s in special):
@@ -244,11 +267,8 @@ class PreTokenizer:
         self.newer = newer_letters()
 
     def _has_newer(self, text: str) -> bool:
-        try:
-            text.encode("latin-1")  # far faster than a search, and enough for most texts
-        except UnicodeEncodeError:
-            return self.newer.search(text) is not None
-        return False
+        # far faster than a search, and enough for most texts
+        return not is_latin(text) and self.newer.search(text) is not None
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii() and self._has_newer(text):
@@ -262,6 +282,8 @@ class PreTokenizer:
             if not text.isascii():  # lower case letter by letter: no final sigma
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             text = text.lower()
+            if is_latin(text):
+                return latin_splitter().findall(text)
         return self.find(text)
 
     def __call__(self, text: str) -> list[str | int]:

@@ -42,7 +42,11 @@ class Encoder:
 
     def streams(self, feeds: list[bytes]) -> list[list[int]]:
         t = self.table
-        width = np.fromiter((len(t.tokens[i]) - (len(t.suffix) if t.suffix and t.tokens[i].endswith(t.suffix) else 0) if i in t.tokens else 0 for i in range(t.size)), np.int64, t.size) if any(len(f) > self.window for f in feeds) else None
+        if not any(len(f) > self.window for f in feeds):  # every stream is one window
+            ids, n = merge_ragged(t, *t.symbols(feeds))
+            ids, n = ids.tolist(), n.tolist()
+            return [ids[b - k : b] for b, k in zip(itertools.accumulate(n), n, strict=True)]
+        width = np.fromiter((len(t.tokens[i]) - (len(t.suffix) if t.suffix and t.tokens[i].endswith(t.suffix) else 0) if i in t.tokens else 0 for i in range(t.size)), np.int64, t.size)
         out: list[list[int]] = [[] for _ in feeds]
         at = [0] * len(feeds)
         live = [i for i, f in enumerate(feeds) if f]
@@ -102,18 +106,18 @@ class Decoder:
 
 
 @functools.lru_cache(maxsize=4)
-def load_pieces(path: str, plain: bool) -> dict:
-    """What each token decodes to: its bytes (``plain``) or its string."""
+def load_pieces(path: str, plain: bool) -> list:
+    """What each token decodes to, by id: its bytes (``plain``) or its string."""
     t = load_table(path)
     if not plain:
-        return t.tokens
+        return [t.tokens.get(i) for i in range(t.size)]
 
     def piece(tok: str) -> bytes:
         if tok in t.special:
             return tok.encode()
         end = bool(t.suffix) and tok.endswith(t.suffix)
         return bytes(t.letter_byte[c] for c in (tok[: -len(t.suffix)] if end else tok)) + b" " * end
-    return {i: piece(tok) for i, tok in t.tokens.items()}
+    return [piece(t.tokens[i]) if i in t.tokens else None for i in range(t.size)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -122,6 +126,12 @@ def load_numbers(path: str) -> list[int]:
     return list(range(load_table(path).size))
 
 
+@functools.lru_cache(maxsize=4)
+def load_digits(path: str) -> list[str]:
+    """Each token id as decimal digits."""
+    return list(map(str, load_numbers(path)))
+
+
 class Codec:
     """Encodes texts block by block, with the words seen so far remembered."""
 
@@ -153,7 +163,11 @@ class Codec:
         found = self.encoder.streams([w.encode() for w in strings])
         for w, ids in [*zip(strings, found, strict=True), *((w, [w]) for w in fresh if not isinstance(w, str))]:
             (known if isinstance(w, str) and len(w) <= CACHE_CHARS else local)[w] = tuple(map(self.number.__getitem__, ids))
-        return [list(itertools.chain.from_iterable([known[w] if w in known else local[w] for w in ws])) for ws in split]
+        known.update(local)  # one look for each word
+        out = [list(itertools.chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
+        for w in local:
+            del known[w]
+        return out
 
 
 class Stream:
@@ -161,13 +175,13 @@ class Stream:
     its ids nothing is kept (the ids only if they are asked for)."""
 
     def __init__(self, path: str, keep: bool):
-        self.n, self.ids = 0, [] if keep else None
+        self.n, self.ids, self.digits = 0, [] if keep else None, load_digits(path)
         self.id_sha, self.shown_sha, self.plain_sha = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
         self.shown, self.plain = Decoder(path, plain=False), Decoder(path)
 
     def feed(self, ids: list[int]) -> None:
         if ids:
-            self.id_sha.update((" " * (self.n > 0) + " ".join(map(str, ids))).encode())
+            self.id_sha.update((" " * (self.n > 0) + " ".join(map(self.digits.__getitem__, ids))).encode())
             self.shown_sha.update(self.shown.feed(ids).encode())
             self.plain_sha.update(self.plain.feed(ids).encode())
             self.n += len(ids)

@@ -230,3 +230,21 @@ def test_a_text_of_ten_megabytes_needs_little_memory_beside_it():
     ids = lib.encode(text, add_special_tokens=False).ids
     assert n == len(ids) and ids_sha == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert shown_sha == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_latin_texts_are_split_as_others():
+    rng = random.Random(5)
+    every, some = "".join(map(chr, range(256))), "a'stre mvld\x1c\x1d\n\x85\xa0²½é_9-"
+    for i in range(2000):
+        text = "".join(rng.choices(every if i % 2 else some, k=rng.randint(0, 60)))
+        assert bpe.is_latin(text) and bpe.latin_splitter().findall(text) == bpe.splitter(bpe.WORD_PATTERN).findall(text)
+    assert not bpe.is_latin("a日")
+
+
+def test_streams_of_one_window_give_what_stepwise_ones_give():
+    path = Q.tokenizer_file(Q.WORD_FILE)
+    wide, narrow = transducer.Encoder(path), transducer.Encoder(path)
+    narrow.window = narrow.lookahead + max(map(len, narrow.table.tokens.values())) + 2
+    words = [w.encode() for w in ["", "a", "unbelievable", "é" * 9, "x" * 300, "the", ("anthropology" * narrow.window)[: narrow.window + 60]]]
+    assert narrow.window < max(map(len, words)) <= wide.window
+    assert wide.streams(words) == narrow.streams(words) and wide.streams([]) == []
